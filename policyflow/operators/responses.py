@@ -80,26 +80,26 @@ def attributes(spark) -> DataFrame:
 
 
 def mapping_context(config: DataFrame, tables: DataFrame, name: str, content: str, pos: str) -> DataFrame:
-    """Per attribute the texts of all tables whose file name contains one of its patterns, in file order.
+    """(attribute, pos, content): the tables whose file name contains one of the attribute's patterns, in file order.
 
-    Tables are labelled with the attributes they serve by testing the (fixed) patterns on each name, then grouped.
+    The fixed patterns are tested on each name, so a table row is labelled without a join. An attribute without patterns
+    or without any table gets one row at position -1 with the text that says so. Fold with ``context_text``.
     """
-    served = config.select("attribute", F.explode("patterns").alias("pattern"))
-    patterns = [(r["attribute"], r["pattern"].lower()) for r in served.collect()]  # the configuration: some 20 rows
-    hits = [
-        F.when(tx.any_of([F.contains(F.lower(F.col(name)), F.lit(p)) for a, p in patterns if a == key]), F.lit(key))
-        for key in dict.fromkeys(a for a, _ in patterns)
-    ]
-    labelled = tables.select(F.explode(F.array_compact(F.array(*hits))).alias("attribute"), pos, content)
-    merged = labelled.groupBy("attribute").agg(F.array_sort(F.collect_list(F.struct(pos, content))).alias("__t"))
-    joined = config.join(merged, "attribute", "left")
+    hits = F.array(*[
+        F.when(tx.any_of([F.contains(F.lower(F.col(name)), F.lit(p.lower())) for p in patterns]), F.lit(key))
+        for key, _, patterns in names.ATTRIBUTES if patterns
+    ])
+    labelled = tables.select(F.explode(F.array_compact(hits)).alias("attribute"), F.col(pos).alias("pos"), F.col(content).alias("content"))
     missing = F.concat(F.lit("[주의] '"), F.col("attribute_name"), F.lit("' 관련 매핑 파일을 찾지 못했습니다."))
-    return joined.select(
-        *config.columns,
-        F.when(F.size("patterns") == 0, names.NO_MAPPING_TABLE)
-        .when(F.col("__t").isNotNull(), F.array_join(F.transform("__t", lambda t: t[content]), "\n"))
-        .otherwise(missing).alias("context"),
-    )
+    message = F.when(F.size("patterns") == 0, names.NO_MAPPING_TABLE).otherwise(missing)
+    without = config.join(labelled.select("attribute").distinct(), "attribute", "left_anti")
+    return labelled.unionByName(without.select("attribute", F.lit(-1).cast("long").alias("pos"), message.alias("content")))
+
+
+def context_text(context: DataFrame, limit: int = 100_000) -> DataFrame:
+    """One prompt context per attribute, within the character budget of a prompt."""
+    named = context.withColumn("name", F.concat(F.lit("table "), F.col("pos").cast("string")))
+    return budget_text(named, ["attribute"], "pos", "name", "content", limit)
 
 
 def merge_rules(rules: DataFrame, keys: list[str], pos: str, group: str, raw: str, default: str = names.DEFAULT_LOGIC) -> DataFrame:
@@ -158,15 +158,11 @@ def budget_text(pieces: DataFrame, keys: list[str], pos: str, name: str, content
     return merged.select(*keys, F.array_join(F.transform("__p", lambda r: r["t"]), "").alias("text"))
 
 
-def table_csv(table: DataFrame, keys: list[str], pos: str, columns: list[str], name: str | None = None) -> DataFrame:
-    """Rows as CSV text below a header line, one text per table: the text is the prompt context of that table."""
-    line = F.to_csv(F.struct(*columns))
-    rows = table.select(*keys, F.struct(F.col(pos).alias("p"), line.alias("t")).alias("__l"))
-    merged = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("__l")).alias("__l"))
-    body = F.concat(F.lit(",".join(columns) + "\n"), F.array_join(F.transform("__l", lambda r: r["t"]), "\n"))
-    if name:
-        body = F.concat(F.lit("=== "), F.col(name), F.lit(" ===\n"), body)
-    return merged.select(*keys, body.alias("csv"))
+def csv_lines(table: DataFrame, name: str, pos: str, columns: list[str]) -> DataFrame:
+    """A table as CSV text, one row per line: name at -2, header at -1, then the rows by position."""
+    spark = table.sparkSession
+    top = spark.createDataFrame([(-2, f"=== {name} ==="), (-1, ",".join(columns))], "line_no long, line string")
+    return top.unionByName(table.select(F.col(pos).cast("long").alias("line_no"), F.to_csv(F.struct(*columns)).alias("line")))
 
 
 def call_model(prompts: DataFrame, model_fn, schema: str) -> DataFrame:

@@ -13,8 +13,9 @@ REPLACEMENT = "\ufffd"
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """All columns as text, empty cells as ''."""
-    reader = spark.read.option("header", header).option("sep", sep).option("encoding", encoding).option("multiLine", True)
+    """All columns as text, empty cells as ''. Files are split by lines, UTF-16 ones are read whole."""
+    reader = spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
+    reader = reader.option("multiLine", encoding.startswith("UTF-16"))
     return reader.option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "\ufdd0").csv(path)
 
 
@@ -166,9 +167,9 @@ def relative_path(path: Column, folder: str) -> Column:
 META_SCHEMA = "product_code string, product_name string, product_type string, version string, stored_at string"
 
 
-def read_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """All metadata files below a folder, broken ones skipped, newest first."""
-    reader = spark.read.schema(META_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", True)
+def read_meta(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+    """All metadata objects below a folder, broken ones skipped, newest first."""
+    reader = spark.read.schema(META_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", multi_line)
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder).orderBy(F.desc("stored_at"), "product_code")
 
 
