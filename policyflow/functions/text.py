@@ -11,6 +11,11 @@ from .. import names
 BLANKS_AT_ENDS = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside array functions Spark repeats every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode blank, not only spaces."""
     return F.regexp_replace(c, BLANKS_AT_ENDS, "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions.tags import CUT
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 # Headers of the document format, one line each.
 ARTICLE = r"제\d+조(?:의\d+)?"
@@ -24,13 +24,16 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """Split at every match and keep the match: odd entries are matches, even ones the text between."""
-    return F.split(F.regexp_replace(text, pattern, CUT + "$0" + CUT), CUT)
+def _pieces(text: Column, pattern: str, word: str) -> Column:
+    """Split at every match and keep the match: odd entries are matches, even ones the text between.
 
+    Texts without ``word``, which every match holds, skip the pattern.
+    """
+    cut = F.split(F.regexp_replace(text, pattern, CUT + "$0" + CUT), CUT)
+    return F.when(F.contains(text, F.lit(word)), cut).otherwise(F.array(text))
 
-def _paragraph(block: Column) -> Column:
-    lines = F.split(block, "\n")
+
+def _paragraph(lines: Column) -> Column:
     head, rest = F.element_at(lines, 1), F.slice(lines, 2, 1 << 30)
     items = F.filter(rest, lambda x: x.rlike(ITEM))
     return F.struct(
@@ -44,22 +47,35 @@ def _paragraph(block: Column) -> Column:
     )
 
 
-def _article(block: Column, header: str) -> Column:
-    lines = F.split(block, "\n")
+def _without_break(block: Column) -> Column:
+    return F.regexp_replace(block, r"\n$", "")
+
+
+def _article(lines: Column, header: str) -> Column:
     head = F.element_at(lines, 1)
     body = F.array_join(F.slice(lines, 2, 1 << 30), "\n")
     parts = F.split(F.regexp_replace(body, "(?m)" + PARAGRAPH, INNER + "$0"), INNER)
-    before = F.filter(F.split(F.element_at(parts, 1), "\n"), lambda x: x != "")
-    paragraphs = F.transform(F.slice(parts, 2, 1 << 30), lambda p: _paragraph(F.regexp_replace(p, r"\n$", "")))
-    loose = F.concat(before, F.flatten(F.transform(paragraphs, lambda p: p["loose"])))
-    return F.struct(
-        F.regexp_extract(head, header, 1).alias("number"),
-        F.regexp_extract(head, header, 2).alias("title"),
-        F.concat_ws("", F.transform(loose, lambda x: F.concat(x, F.lit("\n")))).alias("content"),
-        F.transform(
-            paragraphs, lambda p: F.struct(p["marker"].alias("marker"), p["text"].alias("text"), p["items"].alias("items"))
-        ).alias("paragraphs"),
-    )
+
+    def from_parts(parts):
+        before = F.filter(F.split(F.element_at(parts, 1), "\n"), lambda x: x != "")
+        paragraphs = F.transform(
+            F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.split(_without_break(p), "\n")), _paragraph
+        )
+        return let(F.struct(before.alias("before"), paragraphs.alias("paragraphs")), finish)
+
+    def finish(r):
+        loose = F.concat(r["before"], F.flatten(F.transform(r["paragraphs"], lambda p: p["loose"])))
+        return F.struct(
+            F.regexp_extract(head, header, 1).alias("number"),
+            F.regexp_extract(head, header, 2).alias("title"),
+            F.concat_ws("", F.transform(loose, lambda x: F.concat(x, F.lit("\n")))).alias("content"),
+            F.transform(
+                r["paragraphs"],
+                lambda p: F.struct(p["marker"].alias("marker"), p["text"].alias("text"), p["items"].alias("items")),
+            ).alias("paragraphs"),
+        )
+
+    return let(parts, from_parts)
 
 
 def articles(text: Column, article: str = ARTICLE) -> Column:
@@ -67,7 +83,8 @@ def articles(text: Column, article: str = ARTICLE) -> Column:
     header = ARTICLE_HEADER % article
     body = F.array_join(_lines(text), "\n")
     blocks = F.split(F.regexp_replace(body, "(?m)" + header, CUT + "$0"), CUT)
-    return F.transform(F.slice(blocks, 2, 1 << 30), lambda b: _article(F.regexp_replace(b, r"\n$", ""), header))
+    lines = F.transform(F.slice(blocks, 2, 1 << 30), lambda b: F.split(_without_break(b), "\n"))
+    return F.transform(lines, lambda x: _article(x, header))
 
 
 def article_rows(docs: DataFrame, text: str = "text", article: str = ARTICLE) -> DataFrame:
@@ -77,23 +94,29 @@ def article_rows(docs: DataFrame, text: str = "text", article: str = ARTICLE) ->
     return rows.select(*keep, (F.col("article_no") + 1).alias("article_no"), "a.*")
 
 
-def appendices(text: Column, pattern: str = APPENDIX, limit: int = 50000) -> Column:
+def appendices(text: Column, pattern: str = APPENDIX, limit: int = 50000, word: str = "별표") -> Column:
     """Appendix name, start page (first page mark inside, else 0) and trimmed content cut at ``limit`` characters."""
-    parts = _pieces(text, pattern)
-    count = F.floor((F.size(parts) - 1) / 2).cast("int")
 
-    def one(i):
-        content = F.element_at(parts, i * 2 + 1)
-        page = F.regexp_extract(content, PAGE_MARK, 1).try_cast("int")
+    def one(pair):
+        page = F.regexp_extract(pair["content"], PAGE_MARK, 1).try_cast("int")
         return F.struct(
-            strip(F.element_at(parts, i * 2)).alias("name"),
+            strip(pair["name"]).alias("name"),
             F.coalesce(page, F.lit(0)).alias("start_page"),
-            F.substring(strip(content), 1, limit).alias("content"),
+            F.substring(strip(pair["content"]), 1, limit).alias("content"),
         )
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), one)).otherwise(
-        F.array().cast("array<struct<name:string,start_page:int,content:string>>")
-    )
+    def all_of(parts):
+        return F.transform(_pairs(parts), one)
+
+    return let(_pieces(text, pattern, word), all_of)
+
+
+def _pairs(parts: Column) -> Column:
+    """(name, content) for every match: the match and the text after it."""
+    named = F.transform(parts, lambda p, i: F.struct(p.alias("name"), i.alias("i")))
+    after = F.filter(F.slice(parts, 2, 1 << 30), lambda p, i: i % 2 == 1)
+    names_ = F.transform(F.filter(named, lambda x: x["i"] % 2 == 1), lambda x: x["name"])
+    return F.transform(F.arrays_zip(names_.alias("name"), after.alias("content")), lambda z: F.struct(z["name"].alias("name"), z["content"].alias("content")))
 
 
 def appendix_rows(docs: DataFrame, text: str = "text", pattern: str = APPENDIX, limit: int = 50000) -> DataFrame:
@@ -102,30 +125,31 @@ def appendix_rows(docs: DataFrame, text: str = "text", pattern: str = APPENDIX,
     return rows.select(*keep, (F.col("pos") + 1).alias("pos"), "a.*")
 
 
-def chunks(text: Column, size: int = 8000, pattern: str = BENEFIT) -> Column:
+def chunks(text: Column, size: int = 8000, pattern: str = BENEFIT, word: str = "특약") -> Column:
     """Text by rider title: long parts in fixed cuts titled '(part k)', others trimmed, blank ones dropped."""
-    parts = _pieces(text, pattern)
-    kind = "struct<title:string,content:string,char_count:int>"
-
-    def one(i):
-        content = F.element_at(parts, i * 2 + 1)
-        title = F.when(i == 0, F.lit(names.MAIN_TERMS)).otherwise(F.element_at(parts, F.greatest(i * 2, F.lit(1))))
-        trimmed = strip(content)
-        whole = F.array(F.struct(title.alias("title"), trimmed.alias("content"), F.length(trimmed).alias("char_count")))
+    kind = "array<struct<title:string,content:string,char_count:int>>"
+
+    def one(pair):
+        title, content = pair["name"], pair["content"]
         cuts = F.transform(
             F.sequence(F.lit(1), F.ceil(F.length(content) / F.lit(size)).cast("int")),
-            lambda k: F.struct(
-                F.concat(title, F.lit(" (part "), k.cast("string"), F.lit(")")).alias("title"),
-                F.substring(content, (k - 1) * size + 1, F.lit(size)).alias("content"),
-                F.length(F.substring(content, (k - 1) * size + 1, F.lit(size))).alias("char_count"),
+            lambda k: let(
+                F.substring(content, (k - 1) * size + 1, F.lit(size)),
+                lambda cut: F.struct(
+                    F.concat(title, F.lit(" (part "), k.cast("string"), F.lit(")")).alias("title"),
+                    cut.alias("content"), F.length(cut).alias("char_count"),
+                ),
             ),
         )
-        return F.when(F.length(content) > size, cuts.cast(f"array<{kind}>")).when(
-            trimmed != "", whole.cast(f"array<{kind}>")
-        ).otherwise(F.array().cast(f"array<{kind}>"))
+        whole = let(strip(content), lambda t: F.struct(title.alias("title"), t.alias("content"), F.length(t).alias("char_count")))
+        short = F.filter(F.array(whole), lambda c: c["char_count"] > 0)
+        return F.when(F.length(content) > size, cuts.cast(kind)).otherwise(short.cast(kind))
+
+    def all_of(parts):
+        main = F.array(F.struct(F.lit(names.MAIN_TERMS).alias("name"), F.element_at(parts, 1).alias("content")))
+        return F.flatten(F.transform(F.concat(main, _pairs(parts)), one))
 
-    count = F.ceil(F.size(parts) / F.lit(2)).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), one))
+    return let(_pieces(text, pattern, word), all_of)
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", size: int = 8000, pattern: str = BENEFIT) -> DataFrame:
