@@ -56,7 +56,7 @@ def rate_text(rate: Column, op: Column, operand: Column, percent: Column) -> Col
     shown = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
         F.format_string("%.1f", value)
     )
-    return F.concat(shown, F.coalesce(percent, F.lit("")))
+    return F.when(rate.isNotNull(), F.concat(shown, F.coalesce(percent, F.lit(""))))
 
 
 def progress(step: Column, total: int) -> Column:

@@ -1 +1,74 @@
-"""Bindings."""
+"""Streams over files of the driver tables; each run reads all files that are there and ends."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .. import names
+from ..session import scratch
+from ..streaming import monitor
+from .handoff import NEW_SQL, OLD_SQL, master
+from .registry import query, table
+from .results import QUEUE_SQL, decisions, queue
+
+
+def streamed(spark, d, name) -> DataFrame:
+    folder = d.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # a glob, so that the table may be one file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def _handoff(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit("x").alias(c) for c in names.EXPORT_COLUMNS])
+
+
+_KEYS = ", ".join(names.KEY_FIELDS)
+
+
+@query("st1", f"WITH {OLD_SQL}, {NEW_SQL} SELECT {_KEYS}, diagnosis_code, coverage_period FROM (SELECT * FROM old UNION ALL SELECT {_KEYS}, {', '.join(f'trim({f}) AS {f}' for f in names.COMPARE_FIELDS)} FROM new ANTI JOIN old USING ({_KEYS})) WHERE true")
+def st1(spark, d):
+    """Directory monitor: files checked, the valid ones merged; a file with blank product codes is refused.
+
+    The first delivery is the master, the second brings the new keys.
+    """
+    old, new = master(spark, d)
+    incoming, target, out, check = (scratch(spark, n) for n in ("incoming", "master", "received", "check"))
+    _handoff(old).write.option("header", True).csv(incoming)
+    monitor.monitor(spark, incoming, target, out, check).awaitTermination()
+    fresh = new.join(old.select(*names.KEY_FIELDS), names.KEY_FIELDS, "left_anti")
+    trimmed = fresh.select(*names.KEY_FIELDS, *[F.trim(f).alias(f) for f in names.COMPARE_FIELDS])
+    _handoff(trimmed).write.mode("append").option("header", True).csv(incoming)
+    refused = table(spark, d, "customer").select(F.lit(" ").alias("product_code"), F.col("c_name").alias("benefit_code"))
+    _handoff(refused).write.mode("append").option("header", True).csv(incoming)
+    monitor.monitor(spark, incoming, target, out, check).awaitTermination()
+    schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
+    return monitor.master_view(spark, target, schema).select(*names.KEY_FIELDS, "diagnosis_code", "coverage_period")
+
+
+@query("st2", "SELECT event_id, event_type, user_id, props FROM events")
+def st2(spark, d):
+    """Event log appended by a stream."""
+    path = scratch(spark, "log")
+    events = streamed(spark, d, "events").select("event_id", "event_type", "user_id", "props")
+    monitor.append_log(events, path, scratch(spark, "check")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("st3", f"WITH {QUEUE_SQL} SELECT review_id, pos, action, reviewer FROM good")
+def st3(spark, d):
+    """First applicable decision per review."""
+    path = scratch(spark, "decisions")
+    source = scratch(spark, "arrivals")
+    decisions(spark, d).write.parquet(source)
+    arrivals = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    monitor.first_decision_stream(arrivals, queue(spark, d), path, scratch(spark, "check")).awaitTermination()
+    return spark.read.parquet(f"{path}/closed").select("review_id", "pos", "action", "reviewer")
+
+
+@query("st4", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st4(spark, d):
+    """Status counts kept by a stream."""
+    path = scratch(spark, "counts")
+    monitor.count_stream(streamed(spark, d, "events"), F.col("event_type"), path, scratch(spark, "check")).awaitTermination()
+    return monitor.current_counts(spark, path)

@@ -167,10 +167,10 @@ def relative_path(path: Column, folder: str) -> Column:
 META_SCHEMA = "product_code string, product_name string, product_type string, version string, stored_at string"
 
 
-def read_meta(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+def read_meta(spark: SparkSession, folder: str, pattern: str = "*.json", multi_line: bool = False) -> DataFrame:
     """All metadata objects below a folder, broken ones skipped, newest first."""
     reader = spark.read.schema(META_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", multi_line)
-    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder).orderBy(F.desc("stored_at"), "product_code")
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder).orderBy(F.desc("stored_at"), "product_code")
 
 
 def reshape_mapping(lines: DataFrame, value: str, pos: str, header_pos: int = 0) -> DataFrame:
