@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from .. import names
 
-BLANKS_AT_ENDS = r"(?U)^\s+|\s+$"
+# Fixed value: the characters that count as blank at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use) -> Column:
@@ -18,7 +19,7 @@ def let(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every Unicode blank, not only spaces."""
-    return F.regexp_replace(c, BLANKS_AT_ENDS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def text_or_empty(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import tags, text as tx
+from ..session import shared_folder
 from .lookups import category_lookup
 from .ordered import BLOCK, first_per_key, next_filled, number_in_order
 
@@ -110,9 +111,58 @@ def section_ends(
     comments: DataFrame, doc: str, pos: str, start: str, text: str, width: int = BLOCK,
     markers: list[str] = names.SECTION_MARKERS,
 ) -> DataFrame:
-    """``section_end`` = start of the next comment with a section marker, null without one."""
+    """``section_end`` = start of the next comment that holds a section marker and is a different section.
+
+    A marker comment whose text contains the row's own text is the same section and is passed over. Markers are linked
+    to the next marker with another text; one jump settles nearly all rows, the few left jump again until none is.
+    """
+    shared_folder(comments.sparkSession)
     marked = tx.any_of([F.contains(F.col(text), F.lit(m)) for m in markers])
-    return next_filled(comments, [doc], pos, F.when(marked, F.col(start)), "section_end", width)
+    at = F.struct(F.col(pos).alias("pos"), F.col(start).alias("start"), F.col(text).alias("text"))
+    rows = next_filled(comments, [doc], pos, F.when(marked, at), "__m", width)
+
+    marks = comments.filter(marked).select(doc, pos, start, text).withColumn("__back", -F.col(pos))
+    marks = next_filled(marks, [doc], "__back", F.col(text), "__prev", width)
+    opens = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(text)), at)
+    links = next_filled(marks, [doc], pos, opens, "__next", width).select(
+        F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), "__next"
+    )
+    same = F.coalesce(F.contains(F.col("__m.text"), F.col(text)), F.lit(False))
+
+    def jump(df):
+        on = (F.col(doc) == F.col("__doc")) & (F.when(same, F.col("__m.pos")) == F.col("__pos"))
+        moved = df.join(links, on, "left").withColumn("__m", F.when(same, F.col("__next")).otherwise(F.col("__m")))
+        return moved.drop("__doc", "__pos", "__next")
+
+    rows = jump(rows)
+    left = rows.filter(same).select(doc, pos, text, "__m").checkpoint()
+    settled = None
+    while not left.isEmpty():
+        moved = jump(left).checkpoint()
+        done = moved.filter(~same).select(doc, pos, F.col("__m").alias("__late"))
+        settled = done if settled is None else settled.unionByName(done)
+        left = moved.filter(same)
+    if settled is None:
+        return rows.withColumn("section_end", F.col("__m.start")).drop("__m")
+    rows = rows.withColumn("__open", same).join(settled, [doc, pos], "left")
+    return rows.withColumn("section_end", F.when(F.col("__open"), F.col("__late.start")).otherwise(F.col("__m.start"))).drop(
+        "__m", "__late", "__open"
+    )
+
+
+def nearest_section(text: Column, start: Column, markers: list[str] = names.SECTION_MARKERS) -> Column:
+    """End of a pasted clause when its own end is lost: start of the nearest later line that holds a marker, else the end.
+
+    ``start`` counts from 0. For each marker only its first occurrence at or after ``start`` is looked at, and it counts
+    only when its line starts after ``start``.
+    """
+    ends = []
+    for marker in markers:
+        at = F.position(F.lit(marker), text, start + 1)
+        head = F.substring(text, F.lit(1), at - 1)
+        line = F.length(head) - F.length(F.substring_index(head, "\n", -1))
+        ends.append(F.when((at > 0) & (line > start), line))
+    return F.least(F.length(text), *ends)
 
 
 def copy_once(clauses: DataFrame, title: str, pos: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 1 << 20
-_BLOCK = "__block"
+_KEY, _BLOCK = "__key", "__block"
 
 
 def _rest(df: DataFrame, keys: list[str]) -> list[str]:
@@ -32,88 +32,84 @@ def last_per_key(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return best.select(*keys, "__row.*").select(*df.columns)
 
 
-def _blocked(df: DataFrame, pos: str, width: int) -> DataFrame:
-    return df.withColumn(_BLOCK, F.floor(F.col(pos) / F.lit(width)))
+def _blocked(df: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
+    """Adds the key as one struct (null keys compare equal there) and the first position of the row's block."""
+    key = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({_KEY: key, _BLOCK: F.col(pos) - F.pmod(F.col(pos), F.lit(width))})
 
 
-def _inside(keys: list[str], pos: str):
-    return Window.partitionBy(*keys, _BLOCK).orderBy(pos)
+def _inside(pos: str):
+    return Window.partitionBy(_KEY, _BLOCK).orderBy(pos)
 
 
-def _carry(blocked: DataFrame, keys: list[str], summary: Column, carry) -> DataFrame:
+def _carry(blocked: DataFrame, summary: Column, carry) -> DataFrame:
     """One row per key and block with ``carry(window over the blocks of a key)`` of the block summaries."""
-    blocks = blocked.groupBy(*keys, _BLOCK).agg(summary.alias("__sum"))
-    return blocks.select(*keys, _BLOCK, carry(Window.partitionBy(*keys).orderBy(_BLOCK)).alias("__carry"))
+    blocks = blocked.groupBy(_KEY, _BLOCK).agg(summary.alias("__sum"))
+    return blocks.select(_KEY, _BLOCK, carry(Window.partitionBy(_KEY).orderBy(_BLOCK)).alias("__carry"))
 
 
-def _attach(blocked: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the carried value back; null keys meet null keys."""
-    on = [*keys, _BLOCK]
-    right = carried.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)], "__carry")
-    cond = None
-    for i, k in enumerate(on):
-        test = blocked[k].eqNullSafe(right[f"__k{i}"])
-        cond = test if cond is None else cond & test
-    return blocked.join(right, cond, "left").drop(*[f"__k{i}" for i in range(len(on))])
+def _attach(local: DataFrame, carried: DataFrame) -> DataFrame:
+    """Join the carried value back; the rows stay where the window inside the blocks put them."""
+    return local.join(carried, [_KEY, _BLOCK], "left")
 
 
 def number_in_order(df: DataFrame, keys: list[str], pos: str, out: str, width: int = BLOCK) -> DataFrame:
     """Row number from 1 within the key, by position."""
-    blocked = _blocked(df, pos, width)
+    blocked = _blocked(df, keys, pos, width)
     carried = _carry(
-        blocked, keys, F.count("*"),
+        blocked, F.count("*"),
         lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    local = blocked.withColumn("__local", F.row_number().over(_inside(keys, pos)))
-    joined = _attach(local, carried, keys)
-    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _BLOCK)
+    local = blocked.withColumn("__local", F.row_number().over(_inside(pos)))
+    joined = _attach(local, carried)
+    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _KEY, _BLOCK)
 
 
 def running_before(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, width: int = BLOCK
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the key, 0 for the first."""
-    blocked = _blocked(df.withColumn("__value", value), pos, width)
+    blocked = _blocked(df.withColumn("__value", value), keys, pos, width)
     carried = _carry(
-        blocked, keys, F.coalesce(F.sum("__value"), F.lit(0)),
+        blocked, F.coalesce(F.sum("__value"), F.lit(0)),
         lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    before = _inside(keys, pos).rowsBetween(Window.unboundedPreceding, -1)
+    before = _inside(pos).rowsBetween(Window.unboundedPreceding, -1)
     local = blocked.withColumn("__local", F.coalesce(F.sum("__value").over(before), F.lit(0)))
-    joined = _attach(local, carried, keys)
-    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__value", "__local", "__carry", _BLOCK)
+    joined = _attach(local, carried)
+    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__value", "__local", "__carry", _KEY, _BLOCK)
 
 
 def last_filled(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, width: int = BLOCK
 ) -> DataFrame:
     """Last non-null ``value`` at or before the row (forward fill)."""
-    blocked = _blocked(df.withColumn("__value", value), pos, width)
+    blocked = _blocked(df.withColumn("__value", value), keys, pos, width)
     newest = F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), F.col(pos)))
     carried = _carry(
-        blocked, keys, newest,
+        blocked, newest,
         lambda w: F.last("__sum", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    upto = _inside(keys, pos).rowsBetween(Window.unboundedPreceding, 0)
+    upto = _inside(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumn("__local", F.last("__value", True).over(upto))
-    joined = _attach(local, carried, keys)
-    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__value", "__local", "__carry", _BLOCK)
+    joined = _attach(local, carried)
+    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__value", "__local", "__carry", _KEY, _BLOCK)
 
 
 def next_filled(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, width: int = BLOCK
 ) -> DataFrame:
     """First non-null ``value`` after the row; with a never-null value this is the next row's."""
-    blocked = _blocked(df.withColumn("__value", value), pos, width)
+    blocked = _blocked(df.withColumn("__value", value), keys, pos, width)
     oldest = F.min_by(F.col("__value"), F.when(F.col("__value").isNotNull(), F.col(pos)))
     carried = _carry(
-        blocked, keys, oldest,
+        blocked, oldest,
         lambda w: F.first("__sum", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     )
-    after = _inside(keys, pos).rowsBetween(1, Window.unboundedFollowing)
+    after = _inside(pos).rowsBetween(1, Window.unboundedFollowing)
     local = blocked.withColumn("__local", F.first("__value", True).over(after))
-    joined = _attach(local, carried, keys)
-    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__value", "__local", "__carry", _BLOCK)
+    joined = _attach(local, carried)
+    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__value", "__local", "__carry", _KEY, _BLOCK)
 
 
 def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -125,14 +121,15 @@ def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     from ..session import shared_folder
 
     shared_folder(df.sparkSession)
-    ranged = df.repartitionByRange(*keys, *order).withColumn(_BLOCK, F.spark_partition_id().cast("long")).checkpoint()
+    key = F.struct(*keys) if keys else F.lit(0)
+    ranged = df.repartitionByRange(*keys, *order).withColumns({_KEY: key, _BLOCK: F.spark_partition_id()}).checkpoint()
     carried = _carry(
-        ranged, keys, F.count("*"),
+        ranged, F.count("*"),
         lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, _BLOCK).orderBy(*order)))
-    joined = _attach(local, carried, keys)
-    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _BLOCK)
+    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy(_KEY, _BLOCK).orderBy(*order)))
+    joined = _attach(local, carried)
+    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _KEY, _BLOCK)
 
 
 def batches(df: DataFrame, pos: str, size: int, keys: list[str] | None = None, width: int = BLOCK) -> DataFrame:

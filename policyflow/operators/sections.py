@@ -8,11 +8,11 @@ from .. import names
 from ..functions.tags import CUT
 from ..functions.text import let, strip
 
-# Headers of the document format, one line each.
+# Headers of the document format, one line each. (?dmU): only \n ends a line, ^ at every line, Unicode classes.
 ARTICLE = r"제\d+조(?:의\d+)?"
-ARTICLE_HEADER = r"^(%s)[^\S\n]*[\(（](.+?)[\)）]"
-PARAGRAPH = r"^([①②③④⑤⑥⑦⑧⑨⑩])[^\S\n]*(.+)"
-ITEM = r"^[^\S\n]*(\d+)\.[^\S\n]+(.+)"
+ARTICLE_HEADER = r"(?dmU)^(%s)[^\S\n]*[\(（](.+?)[\)）]"
+PARAGRAPH = r"(?dmU)^([①②③④⑤⑥⑦⑧⑨⑩])[^\S\n]*(.+)"
+ITEM = r"(?dU)^[^\S\n]*(\d+)\.[^\S\n]+(.+)"
 APPENDIX = r"(?U)(별표\s*[\[【\(]?\s*(?:질병관련|수술관련|상해관련|보장관련)?\s*\d*\s*[\]】\)]?)"
 BENEFIT = r"(?U)((?:무배당\s+)?(?:\S+)\s*특약\s*약관|(?:제\d+관)\s+(?:\S+)\s+특약)"
 PAGE_MARK = r"<!-- Page (\d+) -->"
@@ -54,7 +54,7 @@ def _without_break(block: Column) -> Column:
 def _article(lines: Column, header: str) -> Column:
     head = F.element_at(lines, 1)
     body = F.array_join(F.slice(lines, 2, 1 << 30), "\n")
-    parts = F.split(F.regexp_replace(body, "(?m)" + PARAGRAPH, INNER + "$0"), INNER)
+    parts = F.split(F.regexp_replace(body, PARAGRAPH, INNER + "$0"), INNER)
 
     def from_parts(parts):
         before = F.filter(F.split(F.element_at(parts, 1), "\n"), lambda x: x != "")
@@ -82,7 +82,7 @@ def articles(text: Column, article: str = ARTICLE) -> Column:
     """Articles with their content, paragraphs and items; lines before the first article are dropped."""
     header = ARTICLE_HEADER % article
     body = F.array_join(_lines(text), "\n")
-    blocks = F.split(F.regexp_replace(body, "(?m)" + header, CUT + "$0"), CUT)
+    blocks = F.split(F.regexp_replace(body, header, CUT + "$0"), CUT)
     lines = F.transform(F.slice(blocks, 2, 1 << 30), lambda b: F.split(_without_break(b), "\n"))
     return F.transform(lines, lambda x: _article(x, header))
 

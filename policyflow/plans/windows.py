@@ -30,11 +30,26 @@ def w3(spark, d):
     return assembly.comment_ranges(comments(spark, d), "user_id", "event_id", "start")
 
 
-@query("w4", f"""WITH {COMMENTS_SQL} SELECT *, first_value(CASE WHEN contains(comment, '관련 특별약관') OR contains(comment, '별표') THEN start END IGNORE NULLS)
-  OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS section_end FROM c""")
+@query("w4", f"""WITH {COMMENTS_SQL},
+m AS (SELECT user_id, event_id, start, comment FROM c WHERE contains(comment, '관련 특별약관') OR contains(comment, '별표'))
+SELECT c.user_id, c.event_id, c.start, c.comment, min(m.start) AS section_end
+FROM c LEFT JOIN m ON m.user_id = c.user_id AND m.event_id > c.event_id AND NOT contains(m.comment, c.comment) GROUP BY ALL""")
 def w4(spark, d):
-    """Next section marker."""
-    return assembly.section_ends(comments(spark, d), "user_id", "event_id", "start", "comment")
+    """Next section marker of a different section."""
+    return assembly.section_ends(comments(spark, d), "user_id", "event_id", "start", "comment", width=4096)
+
+
+@query("w4_text", """
+WITH t AS (SELECT doc_id, replace(replace(text, ' the ', ' 별표 '), ' de ', ' 제도성 특별약관 ') AS text, CAST(n_chars % 50 AS INT) AS start FROM documents),
+a AS (SELECT *, strpos(substr(text, start + 1), '별표') AS p1, strpos(substr(text, start + 1), '제도성 특별약관') AS p2 FROM t),
+b AS (SELECT *, CASE WHEN p1 > 0 THEN length(regexp_extract(substr(text, 1, start + p1 - 1), '(?s)^(.*\n)', 1)) END AS l1,
+  CASE WHEN p2 > 0 THEN length(regexp_extract(substr(text, 1, start + p2 - 1), '(?s)^(.*\n)', 1)) END AS l2 FROM a)
+SELECT doc_id, CAST(least(length(text), CASE WHEN l1 > start THEN l1 END, CASE WHEN l2 > start THEN l2 END) AS INT) AS section_end FROM b""")
+def w4_text(spark, d):
+    """Nearest later section marker in a text, else its end."""
+    text = F.replace(F.replace("text", F.lit(" the "), F.lit(" 별표 ")), F.lit(" de "), F.lit(" 제도성 특별약관 "))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("text"), (F.col("n_chars") % 50).cast("int").alias("start"))
+    return docs.select("doc_id", assembly.nearest_section(F.col("text"), F.col("start")).alias("section_end"))
 
 
 @query("w5", "SELECT props AS title, min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id FROM events GROUP BY 1")
