@@ -104,30 +104,41 @@ def render_phrases(text: Column, phrases: Column) -> Column:
     return map_matches(text, PHRASE_TAG, lambda p: F.coalesce(F.try_element_at(phrases, p), F.lit("")))
 
 
-def name_answer(tag: Column, sub_names: Column) -> Column:
-    name = numbers.pick(sub_names, F.regexp_extract(tag, NAME_TAG, 1).cast("int"))
+def name_answer(tag: Column, name_of) -> Column:
+    """``name_of(n)`` gives the n-th sub-coverage name."""
+    name = name_of(F.regexp_extract(tag, NAME_TAG, 1).cast("int"))
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("「"), name, F.lit("」"))).otherwise("")
 
 
-def period_answer(tag: Column, periods: Column) -> Column:
-    group = numbers.pick(periods, F.regexp_extract(tag, PERIOD_TAG, 1).cast("int"))
+def period_answer(tag: Column, periods_of) -> Column:
+    """``periods_of(n)`` gives the reduction periods of the n-th reduced sub-coverage."""
+    group = periods_of(F.regexp_extract(tag, PERIOD_TAG, 1).cast("int"))
     days = numbers.kth_smallest(group, F.regexp_extract(tag, PERIOD_TAG, 2).cast("int"))
     return F.coalesce(numbers.period_text(days), F.lit("NA"))
 
 
-def rate_answer(tag: Column, codes: Column, rates: Column) -> Column:
+def rate_answer(tag: Column, rates_of) -> Column:
+    """``rates_of(n, m)`` gives the pay rates of sub-coverage m of the n-th representative code."""
     part = [F.regexp_extract(tag, RATE_TAG, i) for i in range(7)]
-    code = numbers.pick(codes, part[1].cast("int"))
-    group = numbers.pick(F.try_element_at(rates, code), part[2].cast("int"))
+    group = rates_of(part[1].cast("int"), part[2].cast("int"))
     rate = numbers.kth_smallest(group, part[3].cast("int"))
     return F.coalesce(numbers.rate_text(rate, part[4], part[5], part[6]), F.lit(""))
 
 
-def render_model(text: Column, ctx: Column) -> Column:
+def context_getters(ctx: Column) -> dict:
+    """Getters over the arrays of a context struct."""
+    return {
+        "name_of": lambda n: numbers.pick(ctx["names"], n),
+        "periods_of": lambda n: numbers.pick(ctx["periods"], n),
+        "rates_of": lambda n, m: numbers.pick(F.try_element_at(ctx["rates"], numbers.pick(ctx["codes"], n)), m),
+    }
+
+
+def render_model(text: Column, name_of, periods_of, rates_of) -> Column:
     """Sub-coverage names, reduction periods and pay rates."""
-    text = map_matches(text, NAME_TAG, lambda p: name_answer(p, ctx["names"]))
-    text = map_matches(text, PERIOD_TAG, lambda p: period_answer(p, ctx["periods"]))
-    return map_matches(text, RATE_TAG, lambda p: rate_answer(p, ctx["codes"], ctx["rates"]))
+    text = map_matches(text, NAME_TAG, lambda p: name_answer(p, name_of))
+    text = map_matches(text, PERIOD_TAG, lambda p: period_answer(p, periods_of))
+    return map_matches(text, RATE_TAG, lambda p: rate_answer(p, rates_of))
 
 
 def cleanup(text: Column) -> Column:
@@ -135,10 +146,10 @@ def cleanup(text: Column) -> Column:
 
 
 def render(text: Column, ctx: Column, phrases: Column) -> Column:
-    """Control tags, phrase tags, model tags, cleanup."""
+    """Control tags, phrase tags, model tags, cleanup; texts without braces stay."""
     out = render_control(text, attribute_truth(ctx))
     out = render_phrases(out, phrases)
-    out = render_model(out, ctx)
+    out = render_model(out, **context_getters(ctx))
     return F.when(F.contains(text, F.lit("{")), cleanup(out)).otherwise(text)
 
 

@@ -79,13 +79,16 @@ def phrase_maps(clauses: DataFrame, index: DataFrame, id_column: str, text: str,
     return joined.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("written", "phrase"))).alias("phrases"))
 
 
-def render_clauses(clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str, out: str = "rendered") -> DataFrame:
-    """Full rendering of every text with its context."""
+def render_clauses(
+    clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str, out: str = "rendered", getters: dict | None = None
+) -> DataFrame:
+    """Full rendering of every text with its context; ``getters`` replace the arrays of the context."""
+    getters = getters or tags.context_getters(F.col(ctx))
     controlled = clauses.withColumn("__text", tags.render_control(F.col(text), tags.attribute_truth(F.col(ctx))))
     maps = phrase_maps(controlled, index, id_column, "__text", ctx)
     joined = controlled.join(maps, id_column, "left")
     phrases = F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA))
-    body = tags.cleanup(tags.render_model(tags.render_phrases(F.col("__text"), phrases), F.col(ctx)))
+    body = tags.cleanup(tags.render_model(tags.render_phrases(F.col("__text"), phrases), **getters))
     plain = ~F.contains(F.col(text), F.lit("{"))
     return joined.withColumn(out, F.when(plain, F.col(text)).otherwise(body)).drop("__text", "phrases")
 
@@ -95,8 +98,9 @@ def replacements(text: Column, ctx: Column, phrases: Column) -> Column:
     entry = lambda t, v: F.struct(t.alias("key"), v.alias("value"))
     all_of = lambda pattern: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     phrase = F.transform(all_of(tags.PHRASE_TAG), lambda t: entry(t, F.coalesce(F.try_element_at(phrases, t), F.lit(""))))
-    named = F.transform(all_of(tags.NAME_TAG), lambda t: entry(t, tags.name_answer(t, ctx["names"])))
-    periods = F.transform(all_of(tags.PERIOD_TAG), lambda t: entry(t, tags.period_answer(t, ctx["periods"])))
+    get = tags.context_getters(ctx)
+    named = F.transform(all_of(tags.NAME_TAG), lambda t: entry(t, tags.name_answer(t, get["name_of"])))
+    periods = F.transform(all_of(tags.PERIOD_TAG), lambda t: entry(t, tags.period_answer(t, get["periods_of"])))
     known = F.filter(periods, lambda e: e["value"] != "NA")
     return F.map_from_entries(F.concat(phrase, named, known))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 ANY = "*"
 
@@ -65,12 +66,12 @@ def match_responses(
         *by, F.col("__b").alias(benefit), F.col("__t").alias(template)
     ).distinct()
     clean = responses.withColumns({c: tx.strip(tx.text_or_empty(F.col(c))) for c in (benefit, template)})
-    answers = clean.groupBy(*pair).agg(
+    # both are read by several branches
+    answers = cut(clean.groupBy(*pair).agg(
         F.min(pos).alias("__ord"), F.max_by(F.struct(*values), F.col(pos)).alias("__hit")
-    )
-
+    ))
     exact = wanted.join(answers, pair).select(*pair, "__ord")
-    rest = wanted.join(answers, pair, "left_anti")
+    rest = cut(wanted.join(answers, pair, "left_anti"))
     keys = answers.select(
         *by, "__ord",
         F.explode(F.array(F.concat(F.lit("="), F.col(benefit)), F.lit(ANY))).alias("__kb"),

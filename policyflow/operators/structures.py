@@ -44,14 +44,15 @@ def model_row(coverages: DataFrame, model: DataFrame, code: str, pos: str, kind:
 def structure_chain(
     coverages: DataFrame, model: DataFrame, structure: DataFrame, multiple: DataFrame, product: Column,
     code: str = "coverage_code", expansion: str = "expansion", key: str = "key", pos: str = "row_no",
-    sequence: str = "sequence", multiple_key: str = "multiple_key", width: int = BLOCK,
+    sequence: str = "sequence", multiple_key: str = "multiple_key", width: int = BLOCK, with_header: bool = False,
 ) -> DataFrame:
-    """Coverage, its run of sub-coverages and the first multiple row of each."""
+    """Coverage, its run of sub-coverages (with the header row if asked for) and the first multiple row of each."""
     chosen = model_row(coverages, model.select(code, pos, expansion), code, pos)
     chosen = chosen.withColumn(key, F.concat_ws("_", product, F.col(expansion)))
-    run = ascending_run(structure, key, pos, sequence, width).filter("sub_no > 0")
+    run = ascending_run(structure, key, pos, sequence, width)
+    run = run if with_header else run.filter("sub_no > 0")
     benefits = first_per_key(multiple, [multiple_key], pos).drop(pos)
-    subs = run.join(benefits, multiple_key, "left").drop(pos)
+    subs = run.drop(pos).join(benefits, multiple_key, "left")
     return chosen.join(subs, key)
 
 
@@ -104,11 +105,23 @@ def ordered_group_rows(coverages: DataFrame, group: str, fallback: str, code: st
     return number_sorted(rows, [group], [code, pos], "name_no")
 
 
-def tag_lists(subs: DataFrame, keys: list[str], order: str, wanted: DataFrame) -> DataFrame:
-    """Period and rate lists per coverage, restricted to the sub-coverage numbers its clause asks for.
+def reduced_rows(subs: DataFrame, keys: list[str], order: str, days: str, days2: str) -> DataFrame:
+    """Sub-coverages with a reduction period, numbered from 1 in order: ``no`` and ``periods``."""
+    periods, _ = period_and_rate(days, days2, days)
+    rows = subs.select(*keys, order, periods).filter(F.size("periods") > 0)
+    return number_in_order(rows, keys, order, "no").select(*keys, F.col("no").cast("int").alias("no"), "periods")
 
-    ``wanted`` holds (keys, order): what is collected per coverage is bounded by the tags of one clause. Entries are
-    (number, periods, rates) structs in order.
+
+def wanted_lists(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, ``out``): the entries a clause asks for as an array of (no, value).
+
+    ``rows`` and ``wanted`` hold (keys, no). What is collected per clause is bounded by the tags of its text.
     """
-    needed = subs.join(wanted.select(*keys, order).distinct(), [*keys, order], "left_semi")
-    return needed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "periods", "rates"))).alias("subs"))
+    needed = rows.join(wanted.select(*keys, "no").distinct(), [*keys, "no"])
+    return needed.groupBy(*keys).agg(F.collect_list(F.struct("no", F.col(value).alias("value"))).alias(out))
+
+
+def entry(entries: Column, no: Column) -> Column:
+    """Value of the entry with that number, null when there is none."""
+    hit = F.filter(entries, lambda e: e["no"] == no)
+    return F.try_element_at(hit, F.lit(1))["value"]

@@ -50,6 +50,10 @@ def _control_sql():
     return " || ".join(parts)
 
 
+def get() -> dict:
+    return tags.context_getters(F.col("ctx"))
+
+
 def tagged(spark, d, text) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.alias("text"), context().alias("ctx"))
 
@@ -150,7 +154,7 @@ def g4(spark, d):
 def g5(spark, d):
     """Sub-coverage names by number, '' out of range."""
     rows = tagged(spark, d, F.lit("x{세부보장2}y{세부보장10}z{세부보장1}"))
-    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.NAME_TAG, lambda t: tags.name_answer(t, F.col("ctx.names"))).alias("rendered"))
+    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.NAME_TAG, lambda t: tags.name_answer(t, get()["name_of"])).alias("rendered"))
 
 
 PERIOD_SQL = "CASE WHEN {0} = 0 THEN '' WHEN {0} < 30 THEN {0} || '일' WHEN {0} < 365 THEN CASE WHEN {0} % 30 = 0 THEN ({0} // 30) || '개월' ELSE {0} || '일' END WHEN {0} % 365 = 0 THEN ({0} // 365) || '년' ELSE {0} || '일' END"
@@ -160,14 +164,14 @@ PERIOD_SQL = "CASE WHEN {0} = 0 THEN '' WHEN {0} < 30 THEN {0} || '일' WHEN {0}
 def g6(spark, d):
     """k-th smallest reduction period, NA out of range."""
     rows = tagged(spark, d, F.lit("{감액기간1-1}/{감액기간1-2}/{감액기간2-1}/{감액기간2-2}/{감액기간2-3}/{감액기간5-1}"))
-    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.PERIOD_TAG, lambda t: tags.period_answer(t, F.col("ctx.periods"))).alias("rendered"))
+    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.PERIOD_TAG, lambda t: tags.period_answer(t, get()["periods_of"])).alias("rendered"))
 
 
 @query("g7", """SELECT p_partkey, CAST(p_size * 2 AS VARCHAR) || '%|' || CASE WHEN p_size % 3 = 0 THEN CAST(p_size // 3 AS VARCHAR) ELSE printf('%.1f', p_size / 3.0::DOUBLE) END || '|' || CAST(p_size AS VARCHAR) || '|50|100%|' AS rendered FROM part""")
 def g7(spark, d):
     """Pay rates with arithmetic."""
     rows = tagged(spark, d, F.lit("{지급률1-1-1}*2%|{지급률1-1-1}/3|{지급률1-1-1}|{지급률1-2-1}|{지급률1-2-2}%|{지급률2-1-1}"))
-    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.RATE_TAG, lambda t: tags.rate_answer(t, F.col("ctx.codes"), F.col("ctx.rates"))).alias("rendered"))
+    return rows.select("p_partkey", tags.map_matches(F.col("text"), tags.RATE_TAG, lambda t: tags.rate_answer(t, get()["rates_of"])).alias("rendered"))
 
 
 @query("g8", "SELECT p_partkey, p_name || '' || p_type || '{other}' AS cleaned FROM part")
