@@ -8,8 +8,11 @@ CODE = r"^([A-Z]+)(\d+(?:\.\d+)?)"
 
 
 def alpha(code: Column) -> Column:
-    """Letters of an upper-case code; the whole text when it is no code."""
-    return F.when(code.rlike(CODE), F.regexp_extract(code, CODE, 1)).otherwise(code)
+    """Letters of an upper-case code; the whole text when it is no code, '' for null.
+
+    Never null, so that a join on it adds no test that Spark would push to every row below a distinct.
+    """
+    return F.coalesce(F.when(code.rlike(CODE), F.regexp_extract(code, CODE, 1)).otherwise(code), F.lit(""))
 
 
 def number(code: Column, whole: bool = False) -> Column:

@@ -85,7 +85,8 @@ def render_clauses(
     """Full rendering of every text with its context; ``getters`` replace the arrays of the context."""
     getters = getters or tags.context_getters(F.col(ctx))
     controlled = clauses.withColumn("__text", tags.render_control(F.col(text), tags.attribute_truth(F.col(ctx))))
-    maps = phrase_maps(controlled, index, id_column, "__text", ctx)
+    # the tags of the text before its sections are dropped include those after
+    maps = phrase_maps(clauses, index, id_column, text, ctx)
     joined = controlled.join(maps, id_column, "left")
     phrases = F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA))
     body = tags.cleanup(tags.render_model(tags.render_phrases(F.col("__text"), phrases), **getters))

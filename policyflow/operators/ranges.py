@@ -33,7 +33,7 @@ def find_code_columns(columns: list[str]) -> list[str]:
 def _letter(text: Column) -> Column:
     """0 below A, 1..26 for A..Z, 27 above: grows with the text."""
     at = F.ascii(F.substring(text, 1, 1))
-    return F.greatest(F.lit(0), F.least(at - 64, F.lit(27)))
+    return F.coalesce(F.greatest(F.lit(0), F.least(at - 64, F.lit(27))), F.lit(0))
 
 
 def _level(low: Column, high: Column) -> Column:
@@ -47,7 +47,7 @@ def _cell(value: Column, level: Column) -> Column:
     chain = F
     for i, cell in enumerate(_CELLS):
         chain = chain.when(level == i, F.floor(value / cell))
-    return chain.otherwise(F.lit(0).cast("bigint"))
+    return F.coalesce(chain.otherwise(F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def _rules(table: DataFrame, low: str, high: str, code: str, whole: bool) -> DataFrame:
@@ -66,12 +66,15 @@ def _rules(table: DataFrame, low: str, high: str, code: str, whole: bool) -> Dat
 def matches(
     wanted: DataFrame, table: DataFrame, low: str, high: str, code: str, mode: str = "reference", whole: bool = False
 ) -> DataFrame:
-    """(``probe``, ``code``, ``from``, ``to``) for every distinct value of the single column of ``wanted``."""
+    """(``probe``, ``code``, ``from``, ``to``) for every distinct value of the single column of ``wanted``, as written.
+
+    Values are made distinct before they are trimmed and parsed, so that work is done once per code, not per row.
+    """
     if mode not in ("reference", "ordered"):
         raise ValueError(f"unknown mode {mode!r}")
-    probe = F.upper(tx.strip(F.col(wanted.columns[0])))
-    points = wanted.select(probe.alias("probe")).filter("probe is not null and probe <> ''").distinct()
-    points = points.select("probe", codes.alpha(F.col("probe")).alias("a"), codes.number(F.col("probe"), whole).alias("x"))
+    points = wanted.toDF("probe").distinct()
+    parsed = F.upper(tx.strip(F.col("probe")))
+    points = points.select("probe", codes.alpha(parsed).alias("a"), codes.number(parsed, whole).alias("x"))
     rules = _rules(table, low, high, code, whole)
     out = ["probe", "code", "from", "to"]
 
@@ -112,8 +115,7 @@ def map_codes(
 ) -> DataFrame:
     """Input rows with each matching ``code``, ``from``, ``to`` and ``match_type``."""
     found = matches(df.select(on), table, low, high, code, mode, whole)
-    probe = df.withColumn("__probe", F.upper(tx.strip(F.col(on))))
-    joined = probe.join(found, F.col("__probe") == F.col("probe"), how).drop("__probe", "probe")
+    joined = df.join(found, F.col(on) == F.col("probe"), how).drop("probe")
     return joined.withColumn("match_type", F.when(F.col("code").isNotNull(), F.lit("range")))
 
 

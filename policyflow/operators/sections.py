@@ -14,7 +14,8 @@ ARTICLE_HEADER = r"(?dmU)^(%s)[^\S\n]*[\(（](.+?)[\)）]"
 PARAGRAPH = r"(?dmU)^([①②③④⑤⑥⑦⑧⑨⑩])[^\S\n]*(.+)"
 ITEM = r"(?dU)^[^\S\n]*(\d+)\.[^\S\n]+(.+)"
 APPENDIX = r"(?U)(별표\s*[\[【\(]?\s*(?:질병관련|수술관련|상해관련|보장관련)?\s*\d*\s*[\]】\)]?)"
-BENEFIT = r"(?U)((?:무배당\s+)?(?:\S+)\s*특약\s*약관|(?:제\d+관)\s+(?:\S+)\s+특약)"
+# A title of the first kind can only start where a word does, or right after the title before: tested first, as \S+ is slow.
+BENEFIT = r"(?U)((?:(?<!\S)|\G)(?:무배당\s+)?\S+\s*특약\s*약관|제\d+관\s+\S+\s+특약)"
 PAGE_MARK = r"<!-- Page (\d+) -->"
 INNER = "\ufdd1"
 

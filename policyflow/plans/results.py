@@ -34,7 +34,7 @@ def raw_responses(spark, d) -> DataFrame:
         .when(kind == 2, "no array here").when(kind == 3, F.concat(F.lit("["), o, F.lit("]")))
         .when(kind == 4, names.NOTHING_FOUND).when(kind == 5, "").otherwise("[]")
     )
-    return table(spark, d, "events").select("event_id", raw.alias("raw"))
+    return table(spark, d, "events", spread=True).select("event_id", raw.alias("raw"))
 
 
 _FIELDS = ["benefit_name", "template_name", "inferred_code", "confidence"]

@@ -29,7 +29,7 @@ def policies(spark, d) -> DataFrame:
             chain = chain.when(i % 11 == k, head)
         return chain.otherwise(line)
 
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), style), "\n").alias("text"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), style), "\n").alias("text"))
 
 
 X1_SQL = f"""

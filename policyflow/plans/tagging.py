@@ -55,7 +55,7 @@ def get() -> dict:
 
 
 def tagged(spark, d, text) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", text.alias("text"), context().alias("ctx"))
+    return table(spark, d, "part", spread=True).select("p_partkey", text.alias("text"), context().alias("ctx"))
 
 
 @query("g1", f"SELECT p_partkey, {_control_sql()} AS rendered FROM (SELECT *, {FLAGS_SQL} FROM part)")
