@@ -14,20 +14,22 @@ def classify(
     existing: DataFrame, incoming: DataFrame, keys: list[str] = names.KEY_FIELDS, fields: list[str] = names.COMPARE_FIELDS,
 ) -> DataFrame:
     """Incoming rows with ``change_type`` (insert, update, skip) and ``changes``, the fields that differ after trim."""
-    side = lambda c: tx.text_or_empty(tx.strip(F.col(c)))
-    old = existing.select(*keys, F.struct(*[side(f).alias(f) for f in fields]).alias("__old"))
-    joined = incoming.join(old, keys, "left")
+    trimmed = lambda: F.struct(*[tx.text_or_empty(tx.strip(F.col(f))).alias(f) for f in fields])
+    old = existing.select(*keys, trimmed().alias("__old"))
+    joined = incoming.withColumn("__new", trimmed()).join(old, keys, "left")
+    differs = reduce(lambda a, b: a | b, [F.col(f"__old.{f}") != F.col(f"__new.{f}") for f in fields])
+    kind = F.when(F.col("__old").isNull(), "insert").when(differs, "update").otherwise("skip")
+    joined = joined.withColumn("change_type", kind)
+    # the list is built for changed rows only
     diffs = F.filter(
         F.array(*[
-            F.struct(F.lit(f).alias("field"), F.col(f"__old.{f}").alias("old"), side(f).alias("new")) for f in fields
+            F.struct(F.lit(f).alias("field"), F.col(f"__old.{f}").alias("old"), F.col(f"__new.{f}").alias("new")) for f in fields
         ]),
         lambda x: x["old"] != x["new"],
     )
     none = F.array().cast("array<struct<field:string,old:string,new:string>>")
-    known = F.col("__old").isNotNull()
-    changes = F.when(known, diffs).otherwise(none)
-    kind = F.when(~known, "insert").when(F.size(changes) > 0, "update").otherwise("skip")
-    return joined.select(*incoming.columns, kind.alias("change_type"), changes.alias("changes"))
+    changes = F.when(F.col("change_type") == "update", diffs).otherwise(none)
+    return joined.select(*incoming.columns, "change_type", changes.alias("changes"))
 
 
 def merged(existing: DataFrame, incoming: DataFrame, keys: list[str] = names.KEY_FIELDS) -> DataFrame:
