@@ -85,15 +85,17 @@ def phrase_key(tag: Column) -> Column:
     return F.regexp_replace(numbered, r"^\{감액2-\d+\}$", "{감액2}")
 
 
-def phrase_attribute(tag: Column) -> Column:
+def phrase_kind(tag: Column) -> Column:
+    return F.regexp_extract(tag, r"^\{(단체|감액|연장형|부모|예약가입|진단확정)", 1)
+
+
+def phrase_attribute(kind: Column) -> Column:
     """Attribute a phrase must carry; null when any will do."""
-    kind = F.regexp_extract(tag, r"^\{(단체|감액|연장형|부모|예약가입|진단확정)", 1)
     return F.when(kind == "예약가입", F.lit("예약가입연령")).when(kind != "", kind)
 
 
-def phrase_flag(tag: Column, ctx: Column) -> Column:
+def phrase_flag(kind: Column, ctx: Column) -> Column:
     """1 or 0 as the attribute holds, null for a tag without attribute."""
-    kind = F.regexp_extract(tag, r"^\{(단체|감액|연장형|부모|예약가입|진단확정)", 1)
     fields = dict(zip(PHRASE_KINDS, ["team", "reduce", "extend", "parent", "reserve", "confirm"]))
     tests = [F.when(kind == k, (ctx[f] > 0).cast("int")) for k, f in fields.items()]
     return F.coalesce(*tests)

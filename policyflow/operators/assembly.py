@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import tags, text as tx
-from ..session import shared_folder
+from ..session import cut
 from .lookups import category_lookup
 from .ordered import BLOCK, first_per_key, next_filled, number_in_order
 
@@ -58,24 +58,15 @@ def find_phrases(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def phrase_maps(clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str) -> DataFrame:
-    """(id, ``phrases`` map from tag as written to its phrase) for the tags found in each text.
-
-    Texts with the same tag, attribute and flag share one lookup: the join runs on the distinct triples.
-    """
+    """(id, ``phrases`` map from tag as written to its phrase) for the tags found in each text."""
     found = clauses.filter(F.contains(F.col(text), F.lit("{"))).select(
         id_column, ctx, F.explode(tags.found_phrase_tags(F.col(text))).alias("written")
     )
-    asked = found.select(
+    asked = found.withColumn("kind", tags.phrase_kind(F.col("written"))).select(
         id_column, "written", tags.phrase_key(F.col("written")).alias("tag"),
-        tags.phrase_attribute(F.col("written")).alias("attribute"), tags.phrase_flag(F.col("written"), F.col(ctx)).alias("wanted"),
-    )
-    answered = find_phrases(asked.select("tag", "attribute", "wanted").distinct(), index).select(
-        F.col("tag").alias("__t"), F.col("attribute").alias("__a"), F.col("wanted").alias("__w"), "phrase"
-    )
-    joined = asked.join(
-        answered,
-        (F.col("tag") == F.col("__t")) & F.col("attribute").eqNullSafe(F.col("__a")) & F.col("wanted").eqNullSafe(F.col("__w")),
+        tags.phrase_attribute(F.col("kind")).alias("attribute"), tags.phrase_flag(F.col("kind"), F.col(ctx)).alias("wanted"),
     )
+    joined = find_phrases(asked, index)
     return joined.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("written", "phrase"))).alias("phrases"))
 
 
@@ -121,13 +112,12 @@ def section_ends(
     A marker comment whose text contains the row's own text is the same section and is passed over. Markers are linked
     to the next marker with another text; one jump settles nearly all rows, the few left jump again until none is.
     """
-    shared_folder(comments.sparkSession)
     marked = tx.any_of([F.contains(F.col(text), F.lit(m)) for m in markers])
     at = F.struct(F.col(pos).alias("pos"), F.col(start).alias("start"), F.col(text).alias("text"))
     rows = next_filled(comments, [doc], pos, F.when(marked, at), "__m", width)
 
     marks = comments.filter(marked).select(doc, pos, start, text).withColumn("__back", -F.col(pos))
-    marks = next_filled(marks, [doc], "__back", F.col(text), "__prev", width)
+    marks = cut(next_filled(marks, [doc], "__back", F.col(text), "__prev", width))
     opens = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(text)), at)
     links = next_filled(marks, [doc], pos, opens, "__next", width).select(
         F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), "__next"
@@ -139,11 +129,12 @@ def section_ends(
         moved = df.join(links, on, "left").withColumn("__m", F.when(same, F.col("__next")).otherwise(F.col("__m")))
         return moved.drop("__doc", "__pos", "__next")
 
-    rows = jump(rows)
-    left = rows.filter(same).select(doc, pos, text, "__m").checkpoint()
+    # read again below, for the rows left and for the result
+    rows = cut(jump(rows))
+    left = rows.filter(same).select(doc, pos, text, "__m")
     settled = None
     while not left.isEmpty():
-        moved = jump(left).checkpoint()
+        moved = cut(jump(left))
         done = moved.filter(~same).select(doc, pos, F.col("__m").alias("__late"))
         settled = done if settled is None else settled.unionByName(done)
         left = moved.filter(same)

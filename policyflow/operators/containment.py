@@ -35,17 +35,19 @@ def comparable(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def _options(items: DataFrame, responses: DataFrame, by: list[str], column: str) -> DataFrame:
-    """(by, column, ``key``): the response keys whose name is comparable to the item's.
+def _options(items: DataFrame, responses: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, ``side``, ``name``, ``key``): for each name column (the side) the response keys comparable to an item's name.
 
     The empty response name is comparable to every item; the empty item name to every response (key ``*``).
     """
-    left = items.select(*by, F.col(column).alias("name")).distinct()
-    right = responses.select(*by, F.col(column).alias("name")).distinct()
-    named = comparable(left, right, by).select(*by, F.col("left").alias(column), F.concat(F.lit("="), F.col("right")).alias("key"))
-    empty_response = left.filter("name <> ''").select(*by, F.col("name").alias(column), F.lit("=").alias("key"))
-    empty_item = left.filter("name = ''").select(*by, F.col("name").alias(column), F.lit(ANY).alias("key"))
-    return named.unionByName(empty_response).unionByName(empty_item)
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("name")) for c in columns])).alias("s")
+    left = items.select(*by, sides).select(*by, "s.*").distinct()
+    right = responses.select(*by, sides).select(*by, "s.*").distinct()
+    named = comparable(left, right, [*by, "side"]).select(
+        *by, "side", F.col("left").alias("name"), F.concat(F.lit("="), F.col("right")).alias("key")
+    )
+    empty = F.when(F.col("name") == "", F.lit(ANY)).otherwise(F.lit("="))
+    return named.unionByName(left.withColumn("key", empty))
 
 
 def match_responses(
@@ -79,11 +81,11 @@ def match_responses(
     )
     keys = keys.select(*by, "__ord", "__kb", F.explode(F.array("__t0", F.lit(ANY))).alias("__kt"))
     first = keys.groupBy(*by, "__kb", "__kt").agg(F.min("__ord").alias("__ord"))
-    benefits = _options(rest, answers, by, benefit).withColumnRenamed("key", "__kb")
-    templates = _options(rest, answers, by, template).withColumnRenamed("key", "__kt")
+    options = cut(_options(rest, answers, by, [benefit, template]))
+    side = lambda column, key: options.filter(F.col("side") == column).select(*by, F.col("name").alias(column), F.col("key").alias(key))
     near = (
-        rest.join(benefits, [*by, benefit])
-        .join(templates, [*by, template])
+        rest.join(side(benefit, "__kb"), [*by, benefit])
+        .join(side(template, "__kt"), [*by, template])
         .join(first, [*by, "__kb", "__kt"])
         .groupBy(*pair).agg(F.min("__ord").alias("__ord"))
     )

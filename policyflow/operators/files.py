@@ -16,9 +16,8 @@ def by_stem(files: DataFrame, path: str) -> DataFrame:
 def by_folder(files: DataFrame, path: str) -> DataFrame:
     """Files with ``group_key`` = their folder; their stem when all files (more than one) share one folder."""
     folder = tx.folder_name(F.col(path))
-    shape = files.agg((F.min(folder).eqNullSafe(F.max(folder)) & (F.count("*") > 1)).alias("__single"))
-    joined = files.crossJoin(F.broadcast(shape))  # one row
-    return joined.withColumn("group_key", F.when(F.col("__single"), tx.stem(F.col(path))).otherwise(folder)).drop("__single")
+    shape = files.agg(F.min(folder).eqNullSafe(F.max(folder)) & (F.count("*") > 1))
+    return files.withColumn("group_key", F.when(shape.scalar(), tx.stem(F.col(path))).otherwise(folder))
 
 
 def group_sizes(grouped: DataFrame, path: str) -> DataFrame:

@@ -174,9 +174,9 @@ def category_lookup(
 def document_for_category(df: DataFrame, documents: DataFrame, category: str, path: str, pos: str) -> DataFrame:
     """Base document of the category, else the first document of all."""
     own = last_per_key(documents.select(category, path, pos), [category], pos).select(category, F.col(path).alias("__own"))
-    first = documents.agg(F.min_by(path, pos).alias("__first"))
-    joined = df.join(own, category, "left").crossJoin(F.broadcast(first))  # one row
-    return joined.select(*df.columns, F.coalesce("__own", "__first").alias(path))
+    first = documents.agg(F.min_by(path, pos))
+    joined = df.join(own, category, "left")
+    return joined.select(*df.columns, F.coalesce(F.col("__own"), first.scalar()).alias(path))
 
 
 def layout_flags(

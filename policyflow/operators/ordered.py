@@ -140,4 +140,4 @@ def batches(df: DataFrame, pos: str, size: int, keys: list[str] | None = None, w
     numbered = numbered.withColumn("batch_no", F.floor((F.col("row_no") - 1) / F.lit(size)) + 1)
     if keys:
         return numbered.join(totals, keys, "left")
-    return numbered.crossJoin(F.broadcast(totals))  # one row
+    return numbered.withColumn("batch_total", totals.scalar())

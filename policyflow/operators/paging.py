@@ -9,7 +9,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     """One page with the total count of the whole result in ``total``."""
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("total", total.scalar())
 
 
 def newest(df: DataFrame, order: list[Column], n: int, condition: Column | None = None) -> DataFrame:

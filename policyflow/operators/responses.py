@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import text as tx
+from .ordered import batches, running_before
 
 FENCE = r"```(?:json)?"
 
@@ -139,14 +140,28 @@ def values_prompt(attribute: Column, context: Column, logic: Column, items: Colu
     )
 
 
+def batch_prompts(items: DataFrame, config: DataFrame, benefit: str, template: str, pos: str, size: int = 20) -> DataFrame:
+    """(attribute, batch_no, batch_total, prompt): one prompt per attribute and batch of ``size`` items.
+
+    ``config`` holds attribute, attribute_name, context and logic: one row per attribute, of which there are nine. A batch
+    collects ``size`` lines.
+    """
+    numbered = batches(items, pos, size)
+    line = item_line(F.col("row_no"), F.col(benefit), F.col(template))
+    lists = numbered.groupBy("batch_no", "batch_total").agg(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))).alias("__l"))
+    texts = lists.select("batch_no", "batch_total", F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("items"))
+    keys = F.array(*[F.lit(key) for key, _, _ in names.ATTRIBUTES])
+    each = texts.withColumn("attribute", F.explode(keys)).join(config, "attribute")
+    prompt = values_prompt(F.col("attribute_name"), F.col("context"), F.col("logic"), F.col("items"))
+    return each.select("attribute", "batch_no", "batch_total", prompt.alias("prompt"))
+
+
 def budget_text(pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int = 100_000) -> DataFrame:
     """Pieces under '=== name ===' headers up to ``limit`` characters; the last piece is cut, later ones dropped.
 
     A group keeps at most ``limit`` characters plus headers. ``running`` before a piece counts every earlier piece in
     full, which is enough to drop the pieces that start past the limit before anything is collected.
     """
-    from .ordered import running_before
-
     sized = pieces.filter(F.length(content) > 0).withColumn("__len", F.length(content) + F.length(name) + F.lit(11))
     placed = running_before(sized, keys, pos, F.col("__len"), "__before").filter(F.col("__before") < limit)
     open_piece = F.concat(

@@ -43,7 +43,8 @@ def check_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
     """
     firsts = decisions.filter(F.col("action").isin("approve", "reject")).groupBy("review_id").agg(F.min("pos").alias("__first"))
     known = queue.select(F.col("id").alias("review_id"), F.col("status").alias("__status"))
-    joined = decisions.join(known, "review_id", "left").join(firsts, "review_id", "left")
+    # one row per review first: the decisions, which may crowd on one review, are joined once
+    joined = decisions.join(known.join(firsts, "review_id", "left"), "review_id", "left")
     error = (
         F.when(F.col("__status").isNull(), "Review not found")
         .when(F.col("__status") != "pending", "not pending")

@@ -23,7 +23,7 @@ NEW_SQL = "new AS (SELECT 'P' || (o_custkey %% 50) AS product_code, CASE WHEN o_
 
 def master(spark, d):
     k, prio = F.col("o_orderkey"), F.col("o_orderpriority")
-    orders = table(spark, d, "orders")
+    orders = table(spark, d, "orders", spread=True)
     product = F.concat(F.lit("P"), (F.col("o_custkey") % 50).cast("string")).alias("product_code")
     sub = F.col("o_orderstatus").alias("sub_benefit_code")
     old = orders.select(
@@ -202,6 +202,16 @@ def s17(spark, d):
     return back.select("product_code", "benefit_code", "diagnosis_code", "verification_status", "extracted_at", "template_name")
 
 
+@query("s17_log", f"SELECT DISTINCT product_code, product_code || '_20240102_030405.csv' AS filename, true AS has_content, 'outbound' AS direction, 'pending' AS status, 0 AS retry_count FROM ({EXPORT_SQL}) WHERE NOT is_exported AND verification_status <> 'review_needed'")
+def s17_log(spark, d):
+    """Transfer log of an export."""
+    path = scratch(spark, "export")
+    sinks.write_export(exportable(spark, d), path)
+    log = sinks.transfer_log(spark, path, F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    filled = (F.col("file_size") > 0) & (F.length("checksum_sha256") == 64)
+    return log.select("product_code", "filename", filled.alias("has_content"), "direction", "status", "retry_count")
+
+
 @query("s17_flags", f"SELECT id, is_exported OR verification_status <> 'review_needed' AS is_exported FROM ({EXPORT_SQL})")
 def s17_flags(spark, d):
     """Result snapshot after the export."""

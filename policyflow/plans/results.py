@@ -89,6 +89,21 @@ def k4(spark, d):
     return rows.select("p_partkey", "a.attribute", F.length(head).alias("head_chars"), F.contains(prompt, item).alias("has_item"))
 
 
+@query("k4_batches", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+b AS (SELECT (i - 1) // 20 + 1 AS batch_no, string_agg('[' || i || '] 담보명: ' || p_name || ' / 세부담보템플릿명: ' || p_brand, chr(10) ORDER BY i) AS items FROM n GROUP BY 1)
+SELECT attribute, CAST(batch_no AS BIGINT) AS batch_no, (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM part) AS batch_total, md5(items) AS items_hash
+FROM b CROSS JOIN (VALUES %s) v(attribute)""" % ", ".join(f"('{k}')" for k, _, _ in names.ATTRIBUTES))
+def k4_batches(spark, d):
+    """One prompt per attribute and batch of 20 items; the hash is that of its item list."""
+    config = responses.attributes(spark).select(
+        "attribute", "attribute_name", F.lit("tables").alias("context"), F.lit(names.DEFAULT_LOGIC).alias("logic")
+    )
+    prompts = responses.batch_prompts(table(spark, d, "part"), config, "p_name", "p_brand", "p_partkey")
+    listed = F.split_part(F.split_part("prompt", F.lit("\nItems:\n"), F.lit(2)), F.lit("\nAnswer with a JSON array"), F.lit(1))
+    return prompts.select("attribute", "batch_no", "batch_total", F.md5(listed).alias("items_hash"))
+
+
 @query("k4_rules", """SELECT s_suppkey, contains(p, 'reference group (g' || s_suppkey || ')') AS has_group, contains(p, s_name) AS has_context, contains(p, '면책코드 (Exemption Code)') AS has_attribute
 FROM (SELECT s_suppkey, s_name, 'reference group (g' || s_suppkey || ') 면책코드 (Exemption Code) ' || s_name AS p FROM supplier)""")
 def k4_rules(spark, d):
@@ -282,7 +297,7 @@ def a10(spark, d):
     policies = table(spark, d, "part").agg(F.count("*").alias("policies"))
     extractions = results(spark, d).agg(F.count("*").alias("extractions"))
     pending = queue(spark, d).agg(F.count_if(F.col("status") == "pending").alias("pending_reviews"))
-    return policies.crossJoin(extractions).crossJoin(pending)  # one row each
+    return policies.withColumns({"extractions": extractions.scalar(), "pending_reviews": pending.scalar()})
 
 
 @query("a12", "SELECT CAST(p AS VARCHAR) AS product_code, round(coalesce(avg(c), 0), 1) AS overall FROM (SELECT 'P' || (o_custkey % 10) AS p, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 101) * 1.0::DOUBLE END AS c FROM orders) GROUP BY 1")

@@ -263,7 +263,7 @@ def s2(spark, d):
     """CSV with byte order mark, all strings."""
     path = scratch(spark, "handoff")
     part = table(spark, d, "part").select(
-        F.col("p_partkey").alias("﻿p_partkey"), "p_name", F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("p_brand"), "p_size"
+        F.col("p_partkey").alias("\ufeffp_partkey"), "p_name", F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("p_brand"), "p_size"
     )
     part.write.option("header", True).csv(path)
     return src.read_csv(spark, path)
@@ -458,7 +458,7 @@ def p14_first(spark, d):
     """Row number of the first hit, or the miss value."""
     part = table(spark, d, "part")
     hit = project.first_match(part, "p_brand", "Brand#7", "p_partkey")
-    return hit.crossJoin(project.first_match(part, "p_brand", "none", "p_partkey", -999).withColumnRenamed("row_no", "missing"))
+    return hit.withColumn("missing", project.first_match(part, "p_brand", "none", "p_partkey", -999).scalar())
 
 
 _P9_NAMES = "CASE p_partkey % 5 WHEN 0 THEN '1_진단분류코드_' WHEN 1 THEN 'x_edi_' WHEN 2 THEN '병원등급표 ' WHEN 3 THEN 'period ' ELSE 'misc ' END || p_name || '.xlsx'"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import names
 from ..functions import text as tx
 from ..operators.project import confirmed
+from .tables import list_files
 
 
 def export_rows(results: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def export_rows(results: DataFrame) -> DataFrame:
 def write_export(results: DataFrame, path: str) -> None:
     """CSV per product below ``path/product=<code>``; the product also stays a column of the file."""
     rows = export_rows(results).withColumn("product", F.col("product_code"))
-    rows.write.partitionBy("product").option("header", True).option("emptyValue", "").csv(path)
+    # files of even size: a large product is split over several, small ones share a task
+    rows.hint("rebalance", "product").write.partitionBy("product").option("header", True).option("emptyValue", "").csv(path)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +40,19 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return reader.csv(path).select(*names.EXPORT_COLUMNS).na.fill("")
 
 
+def transfer_log(spark: SparkSession, path: str, at: Column) -> DataFrame:
+    """Pending outbound transfer rows for the files of an export, one per product: name, size and checksum of the parts."""
+    files = list_files(spark, path, "*.csv", recursive=True, content=True)
+    product = F.regexp_extract("path", "/product=([^/]*)/", 1)
+    per = files.groupBy(product.alias("product_code")).agg(
+        F.sum("length").alias("file_size"), F.sha2(F.array_join(F.array_sort(F.collect_set("sha")), ""), 256).alias("checksum_sha256")
+    )
+    return per.select(
+        "product_code", F.concat("product_code", F.lit("_"), tx.file_stamp(at), F.lit(".csv")).alias("filename"), "file_size", "checksum_sha256",
+        F.lit("outbound").alias("direction"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"),
+    )
+
+
 def mark_exported(results: DataFrame, at: Column) -> DataFrame:
     """Snapshot of the results after the export."""
     sent = F.col("verification_status").isin(names.CONFIRMED) & ~F.coalesce("is_exported", F.lit(False))
@@ -46,7 +61,7 @@ def mark_exported(results: DataFrame, at: Column) -> DataFrame:
 
 
 def write_by_attribute(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("attribute").parquet(path)
+    rows.hint("rebalance", "attribute").write.partitionBy("attribute").parquet(path)
 
 
 def ack_line(file: Column, valid: Column) -> Column:
@@ -64,4 +79,5 @@ def append_audit(rows: DataFrame, path: str) -> None:
 def write_versions(rows: DataFrame, path: str) -> None:
     """Layout type / safe name / version."""
     safe = rows.withColumn("product_name", tx.safe_name(F.col("product_name")))
-    safe.write.partitionBy("product_type", "product_name", "version").parquet(path)
+    layout = ["product_type", "product_name", "version"]
+    safe.hint("rebalance", *layout).write.partitionBy(*layout).parquet(path)

@@ -47,10 +47,11 @@ def side_checksums(spark: SparkSession, incoming: str, files: list[str]) -> Data
 def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming: str, master: str, out: str) -> None:
     """Check the files of a batch, merge the valid ones, write acknowledgements, messages and an audit row."""
     placed = batch.withColumn("pos", F.monotonically_increasing_id())
-    staged = f"{out}/staged/batch={batch_id}"
-    # the rows of the batch are written once: the checks and the merge read the same positions again
-    number_in_order(placed, ["file"], "pos", "row_no").drop("pos").write.mode("overwrite").parquet(staged)
+    received, staged = f"{out}/received/batch={batch_id}", f"{out}/staged/batch={batch_id}"
+    # positions are fixed by a first write, row numbers by a second: the checks and the merge read the same rows
+    placed.write.mode("overwrite").parquet(received)
     session = batch.sparkSession
+    number_in_order(session.read.parquet(received), ["file"], "pos", "row_no").write.mode("overwrite").parquet(staged)
     rows = session.read.parquet(staged)
     errors = quality.row_errors(rows, "row_no", ["product_code", "benefit_name"], ["file"]).select("file", "message")
     files = rows.select("file").distinct()
@@ -65,8 +66,8 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     good = rows.join(state.filter("valid").select("file"), "file", "left_semi")
     # of several rows with one key the last of the batch counts
     good = last_per_key(
-        good.withColumn("__at", F.struct("file", "row_no")).drop("file", "path", "row_no"), names.KEY_FIELDS, "__at"
-    ).drop("__at").na.fill("")
+        good.drop("file", "path", "row_no"), names.KEY_FIELDS, "pos"
+    ).drop("pos").na.fill("")
     current = master_view(session, master, good.schema, batch_id).join(good.select(*names.KEY_FIELDS), names.KEY_FIELDS, "left_semi")
     changed = merge.classify(current, good).persist()
     changed.filter("change_type <> 'skip'").drop("change_type", "changes").write.mode("overwrite").parquet(f"{master}/changes/batch={batch_id}")
