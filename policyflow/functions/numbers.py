@@ -53,7 +53,7 @@ def rate_text(rate: Column, op: Column, operand: Column, percent: Column) -> Col
     """Rate after an optional '*x' or '/x'; whole numbers lose their decimals, others keep one."""
     x = F.nullif(operand, F.lit("")).try_cast("double")
     value = F.when((op == "*") & x.isNotNull(), rate * x).when((op == "/") & (x != 0), rate / x).otherwise(rate)
-    shown = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
+    shown = F.when(value == F.floor(value), value.try_cast("bigint").cast("string")).otherwise(
         F.format_string("%.1f", value)
     )
     return F.when(rate.isNotNull(), F.concat(shown, F.coalesce(percent, F.lit(""))))

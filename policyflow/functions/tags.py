@@ -108,22 +108,22 @@ def render_phrases(text: Column, phrases: Column) -> Column:
 
 def name_answer(tag: Column, name_of) -> Column:
     """``name_of(n)`` gives the n-th sub-coverage name."""
-    name = name_of(F.regexp_extract(tag, NAME_TAG, 1).cast("int"))
+    name = name_of(F.regexp_extract(tag, NAME_TAG, 1).try_cast("int"))
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("「"), name, F.lit("」"))).otherwise("")
 
 
 def period_answer(tag: Column, periods_of) -> Column:
     """``periods_of(n)`` gives the reduction periods of the n-th reduced sub-coverage."""
-    group = periods_of(F.regexp_extract(tag, PERIOD_TAG, 1).cast("int"))
-    days = numbers.kth_smallest(group, F.regexp_extract(tag, PERIOD_TAG, 2).cast("int"))
+    group = periods_of(F.regexp_extract(tag, PERIOD_TAG, 1).try_cast("int"))
+    days = numbers.kth_smallest(group, F.regexp_extract(tag, PERIOD_TAG, 2).try_cast("int"))
     return F.coalesce(numbers.period_text(days), F.lit("NA"))
 
 
 def rate_answer(tag: Column, rates_of) -> Column:
     """``rates_of(n, m)`` gives the pay rates of sub-coverage m of the n-th representative code."""
     part = [F.regexp_extract(tag, RATE_TAG, i) for i in range(7)]
-    group = rates_of(part[1].cast("int"), part[2].cast("int"))
-    rate = numbers.kth_smallest(group, part[3].cast("int"))
+    group = rates_of(part[1].try_cast("int"), part[2].try_cast("int"))
+    rate = numbers.kth_smallest(group, part[3].try_cast("int"))
     return F.coalesce(numbers.rate_text(rate, part[4], part[5], part[6]), F.lit(""))
 
 

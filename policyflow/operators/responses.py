@@ -51,7 +51,8 @@ def recover_objects(raw: Column, fields: list[str] = names.RESPONSE_FIELDS) -> C
 def parse_response(raw: Column, fields: list[str] = names.RESPONSE_FIELDS) -> Column:
     """Array slice when it parses, recovered objects when not, nothing without an array."""
     empty = F.array().cast("array<%s>" % object_schema(fields))
-    return F.when(array_slice(raw) == "", empty).otherwise(F.coalesce(parse_slice(raw, fields), recover_objects(raw, fields)))
+    marked = F.contains(unfenced(raw), F.lit("[")) & F.contains(unfenced(raw), F.lit("]"))
+    return F.when(marked, F.coalesce(parse_slice(raw, fields), recover_objects(raw, fields))).otherwise(empty)
 
 
 def parse_fenced(raw: Column, fields: list[str]) -> Column:

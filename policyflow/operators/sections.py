@@ -188,9 +188,9 @@ def table_markdown(rows: Column) -> Column:
     """Array of cell arrays to a markdown table; null cells are empty; null unless there is a row below the header."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
     rule = F.concat(
-        F.lit("|"), F.array_join(F.transform(F.element_at(rows, 1), lambda c: F.lit("---")), "|"), F.lit("|")
+        F.lit("|"), F.array_join(F.transform(F.try_element_at(rows, F.lit(1)), lambda c: F.lit("---")), "|"), F.lit("|")
     )
-    body = F.concat(F.array(line(F.element_at(rows, 1)), rule), F.transform(F.slice(rows, 2, 1 << 30), line))
+    body = F.concat(F.array(line(F.try_element_at(rows, F.lit(1))), rule), F.transform(F.slice(rows, 2, 1 << 30), line))
     return F.when(F.size(rows) > 1, F.array_join(body, "\n"))
 
 

@@ -159,6 +159,7 @@ def test_parse_response(spark):
     assert parsed(spark, 'x [{"benefit_name": "a"}, {"benefit_name": bad}, {"benefit_name": "c"},] y') == [("a", None), ("c", None)]
     assert parsed(spark, '{"benefit_name": "a"}') == []
     assert parsed(spark, "[]") == []
+    assert parsed(spark, '] {"benefit_name": "a"} [') == [("a", None)]
     assert value(spark, responses.parse_fenced(F.lit('x [{"benefit_name": "a"}]'), ["benefit_name"])) is None
 
 
@@ -214,6 +215,8 @@ def test_names_and_kth(spark):
     get = lambda n: numbers.pick(names_, n)
     text = tags.map_matches(F.lit("{세부보장1}{세부보장2}{세부보장3}{세부보장10}{세부보장0}"), tags.NAME_TAG, lambda t: tags.name_answer(t, get))
     assert value(spark, text) == "「a」「c」「c」"
+    text = tags.map_matches(F.lit("x{세부보장99999999999}y"), tags.NAME_TAG, lambda t: tags.name_answer(t, get))
+    assert value(spark, text) == "xy"
     periods = F.array(F.array(F.lit(90), F.lit(30)))
     get = lambda n: numbers.pick(periods, n)
     text = tags.map_matches(F.lit("{감액기간1-1}/{감액기간1-2}/{감액기간1-3}"), tags.PERIOD_TAG, lambda t: tags.period_answer(t, get))
