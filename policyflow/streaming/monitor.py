@@ -21,16 +21,43 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def master_view(spark: SparkSession, master: str, schema, before: int | None = None) -> DataFrame:
-    """Current master rows: the last version of each key among the base and the changes of the batches."""
-    if not _exists(spark, f"{master}/changes"):
+def _base(spark: SparkSession, master: str, before: int | None) -> int:
+    """Number of the newest compacted snapshot (older than ``before``), -1 when there is none."""
+    if not _exists(spark, f"{master}/base"):
+        return -1
+    uptos = spark.read.parquet(f"{master}/base").select("upto").distinct()
+    uptos = uptos if before is None else uptos.filter(F.col("upto") < before)
+    return uptos.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+
+
+def master_view(
+    spark: SparkSession, master: str, schema, before: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """Current master rows: the last version of each key among the newest snapshot and the batches after it.
+
+    ``only`` (key columns) restricts the view before the versions are compared.
+    """
+    upto = _base(spark, master, before)
+    parts = []
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{master}/base").filter(F.col("upto") == upto).withColumnRenamed("upto", "batch"))
+    if _exists(spark, f"{master}/changes"):
+        changes = spark.read.parquet(f"{master}/changes").filter(F.col("batch") > upto)
+        parts.append(changes if before is None else changes.filter(F.col("batch") < before))
+    if not parts:
         return spark.createDataFrame([], schema)
-    rows = spark.read.parquet(f"{master}/changes")
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
+    rows = merge.append_all(parts)
+    if only is not None:
+        rows = rows.join(only, names.KEY_FIELDS, "left_semi")
     return last_per_key(rows, names.KEY_FIELDS, "batch").drop("batch")
 
 
+def compact(spark: SparkSession, master: str, upto: int) -> None:
+    """Write the state after batch ``upto`` as a snapshot; later views start from it, older snapshots stay as backup."""
+    schema = spark.read.parquet(f"{master}/changes").drop("batch").schema
+    master_view(spark, master, schema, upto + 1).write.mode("overwrite").parquet(f"{master}/base/upto={upto}")
+
+
 def side_checksums(spark: SparkSession, incoming: str, files: list[str]) -> DataFrame | None:
     """Errors of the files of one batch that come with a '.sha256' side file."""
     found = [f for f in files if _exists(spark, f + ".sha256")]
@@ -68,7 +95,7 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     good = last_per_key(
         good.drop("file", "path", "row_no"), names.KEY_FIELDS, "pos"
     ).drop("pos").na.fill("")
-    current = master_view(session, master, good.schema, batch_id).join(good.select(*names.KEY_FIELDS), names.KEY_FIELDS, "left_semi")
+    current = master_view(session, master, good.schema, batch_id, good.select(*names.KEY_FIELDS))
     changed = merge.classify(current, good).persist()
     changed.filter("change_type <> 'skip'").drop("change_type", "changes").write.mode("overwrite").parquet(f"{master}/changes/batch={batch_id}")
     counts = merge.sync_counts(changed)

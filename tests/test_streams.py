@@ -36,11 +36,17 @@ def test_monitor(spark, tmp_path):
     schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
     now = monitor.master_view(spark, str(tmp_path / "master"), schema)
     assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "new")]
+    monitor.compact(spark, str(tmp_path / "master"), 0)
+    write(incoming, "e.csv", [("P1", "B5", "newer")])
+    run(spark, tmp_path)
+    again = monitor.master_view(spark, str(tmp_path / "master"), schema)
+    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in again.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "newer")]
     acks = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out" / "acks")).collect())
-    assert acks == ["ACK|a.csv|OK", "ACK|b.csv|FAILED", "ACK|c.csv|FAILED", "ACK|d.csv|OK"]
+    assert acks == ["ACK|a.csv|OK", "ACK|b.csv|FAILED", "ACK|c.csv|FAILED", "ACK|d.csv|OK", "ACK|e.csv|OK"]
     audit = [r["details"] for r in spark.read.json(str(tmp_path / "out" / "audit")).orderBy("entity_id").collect()]
     assert audit == [
         '{"inserted":2,"updated":0,"skipped":0,"errors":0}', '{"inserted":1,"updated":1,"skipped":1,"errors":0}',
+        '{"inserted":0,"updated":1,"skipped":0,"errors":0}',
     ]
 
 
