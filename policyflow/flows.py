@@ -1,4 +1,4 @@
-"""The two whole runs: attribute extraction and terms generation."""
+"""Whole runs: attribute extraction, risk items, terms generation."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import names
 from .functions import numbers, tags, text as tx
-from .operators import assembly, containment, lookups, responses, review, structures
+from .operators import assembly, containment, lookups, project, responses, review, structures
+from .operators.ordered import batches
 from .session import cut
 
 
@@ -37,6 +38,27 @@ def extract(items: DataFrame, raw: DataFrame, benefit: str = "benefit_name", tem
     return scored.withColumn("verification_status", review.gate_status(F.col("confidence")))
 
 
+def risk_batches(targets: DataFrame, pos: str, size: int = 5) -> DataFrame:
+    """Distinct risk names in first-seen order, ``size`` of them per batch."""
+    risk = project.find_risk_column(targets.columns)
+    firsts = targets.filter(F.col(f"`{risk}`").isNotNull()).groupBy(F.col(f"`{risk}`").alias("risk")).agg(F.min(pos).alias("first_pos"))
+    return batches(firsts, "first_pos", size)
+
+
+def risk_items(targets: DataFrame, raw: DataFrame, pos: str) -> DataFrame:
+    """Item rows of the answers with the id of the first target row of their risk.
+
+    ``raw`` holds the answer texts in ``raw``; an answer whose array does not parse gives nothing. Columns: id, risk, item
+    columns, reason.
+    """
+    risk = project.find_risk_column(targets.columns)
+    parsed = F.explode(responses.parse_slice(F.col("raw"), names.RISK_FIELDS)).alias("o")
+    items = raw.select(parsed).select(*[F.col(f"o.{c}").alias(risk if c == names.RISK_FIELDS[0] else c) for c in names.RISK_FIELDS])
+    joined = lookups.join_first(project.ensure_columns(items, names.RISK_FIELDS[1:5]), targets, risk, pos)
+    order = project.risk_columns(joined.columns, risk, names.RISK_FIELDS[1:5])
+    return project.ordered_columns(joined, order)
+
+
 def context_struct(coverage_columns: list[str]) -> Column:
     """Context struct from the coverage's own columns and the flags of its structure; missing ones are 0."""
     flag = lambda c: (numbers.lenient_int(F.col(c).cast("string")) if c in coverage_columns else F.lit(0)).alias(c)

@@ -40,6 +40,8 @@ REQUIRED_COLUMNS = [
 RESPONSE_FIELDS = [
     "benefit_name", "template_name", "inferred_code", "confidence", "source", "ref_page", "ref_sentence",
 ]
+# Columns of the risk-item rows: risk name, item category code and name, item value code and name, reason.
+RISK_FIELDS = ["위험률명", "항목구분코드", "항목구분명", "항목값코드", "항목값명", "선정근거"]
 KEY_FIELDS = ["product_code", "benefit_code", "sub_benefit_code"]
 COMPARE_FIELDS = list(ATTRIBUTE_COLUMNS.values())
 CONFIRMED = ["auto_confirmed", "approved"]

@@ -17,9 +17,12 @@ def attribute_columns(results: DataFrame, attribute: str = "attribute", code: st
     return results.select(*[c for c in results.columns if c not in (attribute, code)], *wide)
 
 
-def benefit_rows(results: DataFrame, keys: list[str], attribute: str = "attribute", code: str = "inferred_code") -> DataFrame:
-    """One row per benefit with all nine attributes."""
-    wide = results.groupBy(*keys).pivot(attribute, list(names.ATTRIBUTE_COLUMNS)).agg(F.first(code, True))
+def benefit_rows(
+    results: DataFrame, keys: list[str], pos: str, attribute: str = "attribute", code: str = "inferred_code"
+) -> DataFrame:
+    """One row per benefit with all nine attributes: of several codes the first non-null one by position."""
+    first = F.min_by(F.col(code), F.when(F.col(code).isNotNull(), F.col(pos)))
+    wide = results.groupBy(*keys).pivot(attribute, list(names.ATTRIBUTE_COLUMNS)).agg(first)
     return wide.select(*keys, *[F.col(k).alias(c) for k, c in names.ATTRIBUTE_COLUMNS.items()])
 
 

@@ -98,10 +98,10 @@ def mapping_context(config: DataFrame, tables: DataFrame, name: str, content: st
     return labelled.unionByName(without.select("attribute", F.lit(-1).cast("long").alias("pos"), message.alias("content")))
 
 
-def context_text(context: DataFrame, limit: int = 100_000) -> DataFrame:
-    """One prompt context per attribute, within the character budget of a prompt."""
-    named = context.withColumn("name", F.concat(F.lit("table "), F.col("pos").cast("string")))
-    return budget_text(named, ["attribute"], "pos", "name", "content", limit)
+def context_text(context: DataFrame) -> DataFrame:
+    """One prompt context per attribute: the result row is the prompt's text, whole."""
+    merged = context.groupBy("attribute").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("__t"))
+    return merged.select("attribute", F.array_join(F.transform("__t", lambda t: t["content"]), "\n").alias("context"))
 
 
 def merge_rules(rules: DataFrame, keys: list[str], pos: str, group: str, raw: str, default: str = names.DEFAULT_LOGIC) -> DataFrame:

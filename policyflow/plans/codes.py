@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import codes, numbers, text as tx
-from ..operators import containment, lookups, project, ranges
+from ..functions import codes
+from ..operators import containment, lookups, ranges
 from .registry import query, table
 
 # a code from a whole number: letter and two digits, some with a decimal

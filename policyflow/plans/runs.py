@@ -1,4 +1,4 @@
-"""The two whole runs on the driver tables."""
+"""The whole runs on the driver tables."""
 
 from __future__ import annotations
 
@@ -54,6 +54,39 @@ def extraction(spark, d):
     return out.select("p_partkey", "attribute", "inferred_code", "reason", "verification_status")
 
 
+# --- risk items: part names are the risks, every part is one answer with two items, some of them broken
+
+
+def risk_targets(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("pos"), F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("위험률ID"), F.col("p_name").alias("위험률명")
+    )
+
+
+@query("risk_batches", """
+WITH f AS (SELECT p_name AS risk, min(p_partkey) AS first_pos FROM part GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY first_pos) AS row_no FROM f)
+SELECT risk, first_pos, row_no, CAST((row_no - 1) // 5 + 1 AS BIGINT) AS batch_no, (SELECT CAST(ceil(count(*) / 5.0) AS BIGINT) FROM f) AS batch_total FROM n""")
+def risk_batches(spark, d):
+    """Distinct risks in batches of five."""
+    return flows.risk_batches(risk_targets(spark, d), "pos")
+
+
+@query("risk_items", """
+WITH t AS (SELECT p_name AS name, 'R' || CAST(min(p_partkey) AS VARCHAR) AS id FROM part GROUP BY 1), k AS (SELECT unnest(['보장유형', '지급유형']) AS kind)
+SELECT id AS "위험률ID", name AS "위험률명", p_brand AS "항목구분코드", kind AS "항목구분명", CAST(p_size AS VARCHAR) AS "항목값코드", p_type AS "항목값명", 'why' AS "선정근거"
+FROM part JOIN t ON t.name = p_name CROSS JOIN k WHERE p_size % 5 <> 0""")
+def risk_items(spark, d):
+    """Item rows of the answers with the id of their risk."""
+    part = table(spark, d, "part", spread=True)
+    one = lambda kind: F.to_json(F.struct(
+        F.col("p_name").alias("위험률명"), F.col("p_brand").alias("항목구분코드"), F.lit(kind).alias("항목구분명"),
+        F.col("p_size").alias("항목값코드"), F.col("p_type").alias("항목값명"), F.lit("why").alias("선정근거"),
+    ))
+    broken = F.when(F.col("p_size") % 5 == 0, ", {").otherwise("")
+    raw = part.select(F.concat(F.lit("```json\n["), one("보장유형"), F.lit(", "), one("지급유형"), broken, F.lit("]\n```")).alias("raw"))
+    return flows.risk_items(risk_targets(spark, d), raw, "pos")
+
+
 # --- terms: customers are the coverages, parts the clauses, nations the sections
 
 BODY = "{면책0-1}면책 {면책0-2}{감액있음1-3}전액 {감액있음1-4}{감액기간1-1}/{감액기간2-1}/{지급률1-1-1}%|{지급률1-2-1}*2|{세부보장2}{부모3}."

@@ -398,11 +398,10 @@ def p1(spark, d):
     return project.attribute_columns(long_results(spark, d))
 
 
-@query("p1_benefit", f"WITH {LONG_SQL} SELECT benefit_code, {', '.join(f'''arg_max(inferred_code, inferred_code) FILTER (attribute = '{k}') AS {c}''' for k, c in names.ATTRIBUTE_COLUMNS.items())} FROM (SELECT benefit_code, attribute, max(inferred_code) AS inferred_code FROM long GROUP BY 1, 2) GROUP BY 1")
+@query("p1_benefit", f"WITH {LONG_SQL} SELECT benefit_code, {', '.join(f'''arg_min(inferred_code, o_orderkey) FILTER (attribute = '{k}') AS {c}''' for k, c in names.ATTRIBUTE_COLUMNS.items())} FROM long GROUP BY 1")
 def p1_benefit(spark, d):
     """One row per benefit with all nine attributes."""
-    best = long_results(spark, d).groupBy("benefit_code", "attribute").agg(F.max("inferred_code").alias("inferred_code"))
-    return project.benefit_rows(best, ["benefit_code"])
+    return project.benefit_rows(long_results(spark, d), ["benefit_code"], "o_orderkey")
 
 
 @query("p6", "SELECT n_nationkey, n_name, '' AS confidence, '' AS source, p_partkey FROM nation JOIN part ON n_nationkey = p_size")

@@ -409,10 +409,10 @@ def test_mapping_lines(rows):
 
 
 def test_wide_results(rows):
-    df = rows([("b", "Inferred_EDI_Code", "E1"), ("b", "Inferred_Diagnosis_Code", None)], "benefit_name string, attribute string, inferred_code string")
+    df = rows([("b", "Inferred_EDI_Code", "E1", 1), ("b", "Inferred_Diagnosis_Code", None, 2)], "benefit_name string, attribute string, inferred_code string, pos int")
     wide = project.attribute_columns(df)
     assert [(r["edi_code"], r["diagnosis_code"]) for r in wide.collect()] == [("E1", None), (None, "")]
-    one = project.benefit_rows(df, ["benefit_name"]).first()
+    one = project.benefit_rows(df, ["benefit_name"], "pos").first()
     assert (one["edi_code"], one["diagnosis_code"], one["coverage_period"]) == ("E1", None, None)
 
 
@@ -432,7 +432,8 @@ def test_context(rows):
         got.setdefault(r["attribute"], []).append(r["content"])
     assert got["Inferred_Diagnosis_Code"] == ["t0", "t2"] and got["Inferred_EDI_Code"] == ["t1"]
     assert got["Inferred_Min_Admission"] == [names.NO_MAPPING_TABLE] and got["Inferred_Accident_Type"][0].startswith("[주의]")
-    assert len(got) == 9 and context_text(context).count() == 9
+    texts = {r["attribute"]: r["context"] for r in context_text(context).collect()}
+    assert len(got) == 9 and {k: "\n".join(v) for k, v in got.items()} == texts
 
 
 def test_success_log(rows):
