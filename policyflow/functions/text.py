@@ -117,6 +117,13 @@ def checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def csv_fields(line: Column) -> Column:
+    """Fields of one CSV line, quotes removed."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    inner = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(fields, lambda f: F.when(F.startswith(f, F.lit('"')), inner(f)).otherwise(f))
+
+
 def cut(text: Column, limit: int, marker: str = "") -> Column:
     """First ``limit`` characters; the marker is added only when something was cut."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)

@@ -18,25 +18,36 @@ def header_message(columns: list[str]) -> str | None:
     return f"누락 컬럼: {', '.join(gone)}" if gone else None
 
 
+def header_errors(headers: DataFrame, file: str, required: list[str] = names.REQUIRED_COLUMNS) -> DataFrame:
+    """(file, message) of the files whose ``header`` lacks required columns."""
+    gone = F.filter(F.array(*[F.lit(c) for c in required]), lambda c: ~F.array_contains(F.col("header"), c))
+    missing = headers.select(file, gone.alias("__gone")).filter(F.size("__gone") > 0)
+    return missing.select(file, F.concat(F.lit("누락 컬럼: "), F.array_join("__gone", ", ")).alias("message"))
+
+
 def row_errors(
-    rows: DataFrame, row_no: str, required: list[str], file: list[str] | None = None, limit: int = 20, header_errors: int = 0,
+    rows: DataFrame, row_no: str, required: list[str], file: list[str] | None = None, limit: int = 20,
+    header_errors: str | None = None,
 ) -> DataFrame:
     """Messages (file, row, seq, message) of blank required values.
 
     Reading stops at the row that brings the count above ``limit``: later rows give nothing, and one overflow message
-    follows. A row may give several messages. The running count is taken over the rows with errors only.
+    follows. A row may give several messages. The running count is taken over the rows with errors only. The column
+    ``header_errors`` holds how many errors the file had before its first row.
     """
     file = file or []
+    before = F.col(header_errors) if header_errors else F.lit(0)
     blank = lambda c: tx.strip(tx.text_or_empty(F.col(c))) == ""
     checks = F.array(*[
         F.when(blank(c), F.concat(F.lit("Row "), F.col(row_no).cast("string"), F.lit(f": {c} 누락"))) for c in required
     ])
-    bad = rows.select(*file, row_no, F.array_compact(checks).alias("messages")).filter(F.size("messages") > 0)
+    bad = rows.select(*file, row_no, before.alias("__header"), F.array_compact(checks).alias("messages")).filter(F.size("messages") > 0)
     counted = running_before(bad, file, row_no, F.size("messages"), "__before")
-    kept = counted.filter(F.col("__before") + header_errors <= limit)
+    counted = counted.withColumn("__before", F.col("__before") + F.col("__header"))
+    kept = counted.filter(F.col("__before") <= limit)
     messages = kept.select(*file, row_no, F.posexplode("messages").alias("seq", "message"))
-    total = kept.groupBy(*file).agg(F.max(row_no).alias(row_no), F.sum(F.size("messages")).alias("__n"))
-    over = total.filter(F.col("__n") + header_errors > limit).select(
+    total = kept.groupBy(*file).agg(F.max(row_no).alias(row_no), (F.sum(F.size("messages")) + F.max("__header")).alias("__n"))
+    over = total.filter(F.col("__n") > limit).select(
         *file, row_no, F.lit(len(required)).alias("seq"), F.lit(names.OVERFLOW_MESSAGE).alias("message")
     )
     return messages.unionByName(over)

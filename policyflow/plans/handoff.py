@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import names
 from ..operators import merge, quality, review
+from ..session import cut, scratch
 from ..sources import sinks
-from ..session import scratch
+from ..sources.tables import headed_lines, named_fields
 from .registry import query, table
 
 # existing master rows and an incoming copy with new keys, changed and blank-padded values
@@ -118,6 +119,28 @@ def q1(spark, d):
     return errors(spark, d)
 
 
+@query("q1_header", """
+SELECT 'p' || CAST(p_partkey AS VARCHAR) AS product_code, p_name || ', "x"' AS benefit_name, CASE WHEN p_size % 2 = 0 THEN p_type END AS template_name,
+  CASE WHEN p_size % 2 = 0 THEN '' ELSE '누락 컬럼: template_name, diagnosis_code, confidence, verification_status' END AS message FROM part""")
+def q1_header(spark, d):
+    """Two deliveries with other column orders read by header name, with the message of the one that lacks columns."""
+    path = scratch(spark, "handoff")
+    part = table(spark, d, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("product_code"), F.concat("p_name", F.lit(', "x"')).alias("benefit_name"),
+        F.col("p_type").alias("template_name"), *[F.lit("v").alias(c) for c in ("diagnosis_code", "confidence", "verification_status")], "p_size",
+    )
+    even = F.col("p_size") % 2 == 0
+    write = lambda df: df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    write(part.filter(even).select("confidence", "template_name", "benefit_name", "verification_status", "product_code", "diagnosis_code"))
+    write(part.filter(~even).select("benefit_name", "product_code"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    headers, rows = headed_lines(cut(lines), "file", "pos")
+    messages = quality.header_errors(headers, "file")
+    named = named_fields(rows, ["product_code", "benefit_name", "template_name"])
+    out = named.join(messages, "file", "left")
+    return out.select("product_code", "benefit_name", "template_name", F.coalesce("message", F.lit("")).alias("message"))
+
+
 @query("q1_rows", f"WITH {BAD_SQL}, st AS (SELECT file, row_no AS stop FROM errors WHERE seq = 2) SELECT file, coalesce(any_value(stop), count(*)) AS row_count FROM f LEFT JOIN st USING (file) GROUP BY 1")
 def q1_rows(spark, d):
     """Rows read per file."""

@@ -3,10 +3,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_SCHEMAS: dict[str, StructType] = {}  # so that the file footers are read once per table
 
 
 def query(name: str, sql: str | None = None):
@@ -26,7 +28,10 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A driver table. ``spread`` deals its rows out when it has fewer splits than there are cores: for work per row
     that costs far more than moving the row, on files with a single row group. Large tables are left as they are."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    reader = spark.read.schema(_SCHEMAS[path]) if path in _SCHEMAS else spark.read
+    df = reader.parquet(path)
+    _SCHEMAS[path] = df.schema
     cores = spark.sparkContext.defaultParallelism
     if spread and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

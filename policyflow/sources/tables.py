@@ -44,6 +44,29 @@ def numbered_file(df: DataFrame, out: str = "row_no") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
+def headed_lines(lines: DataFrame, file: str, pos: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lines of CSV files to (headers, rows): one row per file with ``header``, and the other lines with their ``fields``.
+
+    The first line of a file is its header; a byte order mark and blank lines are dropped.
+    """
+    filled = lines.filter(F.trim(value) != "")
+    heads = filled.groupBy(file).agg(F.min_by(value, pos).alias("__head"), F.min(pos).alias("__first"))
+    header = F.transform(tx.csv_fields(F.ltrim(F.replace("__head", F.lit("\ufeff"), F.lit("")))), tx.strip)
+    heads = heads.select(file, "__first", header.alias("header"))
+    rows = filled.join(heads, file).filter(F.col(pos) > F.col("__first"))
+    return heads.drop("__first"), rows.withColumn("fields", tx.csv_fields(F.col(value))).drop("__first", value)
+
+
+def named_fields(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns by name from ``header`` and ``fields``, null when the file has no such column."""
+    def pick(name):
+        at = F.array_position("header", name).cast("int")
+        return F.when(at > 0, F.try_element_at("fields", at)).alias(name)
+
+    keep = [c for c in rows.columns if c not in ("header", "fields")]
+    return rows.select(*keep, *[pick(c) for c in columns])
+
+
 def read_grid(spark: SparkSession, path: str, columns: int, row_no: str = "row_no") -> DataFrame:
     """Header-less sheet: the stored row number and text columns c0..cn."""
     schema = ", ".join([f"{row_no} long", *[f"c{i} string" for i in range(columns)]])

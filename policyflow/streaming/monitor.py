@@ -12,9 +12,7 @@ from .. import names
 from ..functions import text as tx
 from ..operators import merge, quality, review
 from ..operators.ordered import first_per_key, last_per_key, number_in_order
-
-HANDOFF_SCHEMA = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
-
+from ..sources.tables import headed_lines, named_fields
 
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,11 +76,16 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     # positions are fixed by a first write, row numbers by a second: the checks and the merge read the same rows
     placed.write.mode("overwrite").parquet(received)
     session = batch.sparkSession
-    number_in_order(session.read.parquet(received), ["file"], "pos", "row_no").write.mode("overwrite").parquet(staged)
+    headers, lines = headed_lines(session.read.parquet(received), "file", "pos")
+    gone = quality.header_errors(headers, "file")
+    flagged = gone.select("file", F.lit(1).alias("header_errors"))
+    named = named_fields(lines, names.EXPORT_COLUMNS).join(flagged, "file", "left").na.fill(0, ["header_errors"])
+    number_in_order(named, ["file"], "pos", "row_no").write.mode("overwrite").parquet(staged)
     rows = session.read.parquet(staged)
-    errors = quality.row_errors(rows, "row_no", ["product_code", "benefit_name"], ["file"]).select("file", "message")
-    files = rows.select("file").distinct()
-    paths = [r["path"] for r in rows.select("path").distinct().collect()]  # at most the files of one trigger
+    blank = quality.row_errors(rows, "row_no", ["product_code", "benefit_name"], ["file"], header_errors="header_errors")
+    errors = gone.unionByName(blank.select("file", "message"))
+    files = headers.select("file")
+    paths = [r["path"] for r in session.read.parquet(received).select("path").distinct().collect()]  # at most the files of one trigger
     sums = side_checksums(session, incoming, paths)
     errors = (errors if sums is None else errors.unionByName(sums)).persist()
     state = quality.validity(files, errors, "file")
@@ -93,7 +96,7 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     good = rows.join(state.filter("valid").select("file"), "file", "left_semi")
     # of several rows with one key the last of the batch counts
     good = last_per_key(
-        good.drop("file", "path", "row_no"), names.KEY_FIELDS, "pos"
+        good.drop("file", "path", "row_no", "header_errors"), names.KEY_FIELDS, "pos"
     ).drop("pos").na.fill("")
     current = master_view(session, master, good.schema, batch_id, good.select(*names.KEY_FIELDS))
     changed = merge.classify(current, good).persist()
@@ -109,8 +112,7 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
 def monitor(spark: SparkSession, incoming: str, master: str, out: str, checkpoint: str, files_per_trigger: int = 1000):
     """Read every new CSV of a directory and hand it to ``receive_batch``; ends when all files are read."""
     stream = (
-        spark.readStream.schema(HANDOFF_SCHEMA).option("header", True).option("pathGlobFilter", "*.csv")
-        .option("maxFilesPerTrigger", files_per_trigger).csv(incoming)
+        spark.readStream.option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger).text(incoming)
         .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
     )
     return (

@@ -29,23 +29,29 @@ def test_monitor(spark, tmp_path):
     write(incoming, "a.csv", [("P1", "B1", "x"), ("P1", "B2", "y")], "good")
     write(incoming, "b.csv", [("", "B3", "z")])
     write(incoming, "c.csv", [("P1", "B4", "z")], "bad")
+    # columns in another order, with a byte order mark, quotes and a column more
+    text = '\ufeffbenefit_name,confidence,extra,template_name,verification_status,diagnosis_code,sub_benefit_code,benefit_code,product_code\r\n'
+    (incoming / "f.csv").write_text(text + '"n, ""x""",1,e,t,v,"q,1",s,B6,P1\r\n\r\n', encoding="utf-8", newline="")
+    (incoming / "g.csv").write_text("product_code,benefit_name\nP1,n\n", encoding="utf-8")
     run(spark, tmp_path)
     write(incoming, "d.csv", [("P1", "B2", "changed"), ("P1", "B1", " x "), ("P1", "B5", "new")])
     run(spark, tmp_path)
     run(spark, tmp_path)  # nothing new
     schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
     now = monitor.master_view(spark, str(tmp_path / "master"), schema)
-    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "new")]
+    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "new"), ("B6", "q,1")]
     monitor.compact(spark, str(tmp_path / "master"), 0)
     write(incoming, "e.csv", [("P1", "B5", "newer")])
     run(spark, tmp_path)
     again = monitor.master_view(spark, str(tmp_path / "master"), schema)
-    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in again.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "newer")]
+    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in again.collect()) == [("B1", "x"), ("B2", "changed"), ("B5", "newer"), ("B6", "q,1")]
     acks = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out" / "acks")).collect())
-    assert acks == ["ACK|a.csv|OK", "ACK|b.csv|FAILED", "ACK|c.csv|FAILED", "ACK|d.csv|OK", "ACK|e.csv|OK"]
+    assert acks == ["ACK|a.csv|OK", "ACK|b.csv|FAILED", "ACK|c.csv|FAILED", "ACK|d.csv|OK", "ACK|e.csv|OK", "ACK|f.csv|OK", "ACK|g.csv|FAILED"]
+    messages = {r["message"] for r in spark.read.json(str(tmp_path / "out" / "errors")).collect()}
+    assert "Row 1: product_code 누락" in messages and "누락 컬럼: template_name, diagnosis_code, confidence, verification_status" in messages
     audit = [r["details"] for r in spark.read.json(str(tmp_path / "out" / "audit")).orderBy("entity_id").collect()]
     assert audit == [
-        '{"inserted":2,"updated":0,"skipped":0,"errors":0}', '{"inserted":1,"updated":1,"skipped":1,"errors":0}',
+        '{"inserted":3,"updated":0,"skipped":0,"errors":0}', '{"inserted":1,"updated":1,"skipped":1,"errors":0}',
         '{"inserted":0,"updated":1,"skipped":0,"errors":0}',
     ]
 
