@@ -106,6 +106,23 @@ def render_phrases(text: Column, phrases: Column) -> Column:
     return map_matches(text, PHRASE_TAG, lambda p: F.coalesce(F.try_element_at(phrases, p), F.lit("")))
 
 
+def index_key(tag, attribute, wanted) -> str:
+    """Key of a phrase in a map literal."""
+    return f"{tag}|{'' if attribute is None else attribute}|{'' if wanted is None else wanted}"
+
+
+def render_indexed(text: Column, ctx: Column, index: Column) -> Column:
+    """Phrase tags by a map from ``index_key`` to phrase; tags without entry become ''."""
+
+    def answer(tag):
+        kind = phrase_kind(tag)
+        flag = F.coalesce(phrase_flag(kind, ctx).cast("string"), F.lit(""))
+        key = F.concat(phrase_key(tag), F.lit("|"), F.coalesce(phrase_attribute(kind), F.lit("")), F.lit("|"), flag)
+        return F.coalesce(F.try_element_at(index, key), F.lit(""))
+
+    return map_matches(text, PHRASE_TAG, answer)
+
+
 def name_answer(tag: Column, name_of) -> Column:
     """``name_of(n)`` gives the n-th sub-coverage name."""
     name = name_of(F.regexp_extract(tag, NAME_TAG, 1).try_cast("int"))

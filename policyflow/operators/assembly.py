@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
@@ -70,19 +72,36 @@ def phrase_maps(clauses: DataFrame, index: DataFrame, id_column: str, text: str,
     return joined.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("written", "phrase"))).alias("phrases"))
 
 
+def small_index(index: DataFrame, max_rows: int) -> Column | None:
+    """The phrase index as one map literal when it has at most ``max_rows`` rows, else None."""
+    rows = index.limit(max_rows + 1).collect()  # at most max_rows + 1 rows reach the driver
+    if len(rows) > max_rows:
+        return None
+    entries = {tags.index_key(r["tag"], r["attribute"], r["wanted"]): r["phrase"] for r in rows}
+    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), PHRASE_SCHEMA)
+
+
 def render_clauses(
-    clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str, out: str = "rendered", getters: dict | None = None
+    clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str, out: str = "rendered", getters: dict | None = None,
+    literal_rows: int = 1000,
 ) -> DataFrame:
-    """Full rendering of every text with its context; ``getters`` replace the arrays of the context."""
+    """Full rendering of every text with its context; ``getters`` replace the arrays of the context.
+
+    A phrase index of at most ``literal_rows`` rows becomes a map literal, and no text is moved. A larger one is joined to
+    the tags of each text.
+    """
     getters = getters or tags.context_getters(F.col(ctx))
     controlled = clauses.withColumn("__text", tags.render_control(F.col(text), tags.attribute_truth(F.col(ctx))))
-    # the tags of the text before its sections are dropped include those after
-    maps = phrase_maps(clauses, index, id_column, text, ctx)
-    joined = controlled.join(maps, id_column, "left")
-    phrases = F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA))
-    body = tags.cleanup(tags.render_model(tags.render_phrases(F.col("__text"), phrases), **getters))
+    literal = small_index(index, literal_rows)
+    if literal is not None:
+        phrased = tags.render_indexed(F.col("__text"), F.col(ctx), literal)
+    else:
+        # the tags of the text before its sections are dropped include those after
+        controlled = controlled.join(phrase_maps(clauses, index, id_column, text, ctx), id_column, "left")
+        phrased = tags.render_phrases(F.col("__text"), F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA)))
+    body = tags.cleanup(tags.render_model(phrased, **getters))
     plain = ~F.contains(F.col(text), F.lit("{"))
-    return joined.withColumn(out, F.when(plain, F.col(text)).otherwise(body)).drop("__text", "phrases")
+    return controlled.withColumn(out, F.when(plain, F.col(text)).otherwise(body)).drop("__text", "phrases")
 
 
 def replacements(text: Column, ctx: Column, phrases: Column) -> Column:

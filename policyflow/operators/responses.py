@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import text as tx
+from ..session import sized
 from .ordered import batches, running_before
 
 FENCE = r"```(?:json)?"
@@ -157,20 +158,28 @@ def batch_prompts(items: DataFrame, config: DataFrame, benefit: str, template: s
     return each.select("attribute", "batch_no", "batch_total", prompt.alias("prompt"))
 
 
-def budget_text(pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int = 100_000) -> DataFrame:
+def budget_text(
+    pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int = 100_000, broadcast_rows: int = 500_000
+) -> DataFrame:
     """Pieces under '=== name ===' headers up to ``limit`` characters; the last piece is cut, later ones dropped.
 
-    A group keeps at most ``limit`` characters plus headers. ``running`` before a piece counts every earlier piece in
-    full, which is enough to drop the pieces that start past the limit before anything is collected.
+    Only lengths are put in order: an earlier piece counts in full, which is enough to drop the pieces that start past the
+    limit. The few that are left are joined back to their content (without moving the rest of it while they are at most
+    ``broadcast_rows``), so a group collects at most ``limit`` characters plus headers.
     """
-    sized = pieces.filter(F.length(content) > 0).withColumn("__len", F.length(content) + F.length(name) + F.lit(11))
-    placed = running_before(sized, keys, pos, F.col("__len"), "__before").filter(F.col("__before") < limit)
+    at = F.struct(*keys, pos)
+    sizes = pieces.filter(F.length(content) > 0).select(
+        *keys, pos, (F.length(content) + F.length(name) + F.lit(11)).cast("long").alias("__len")
+    )
+    placed = running_before(sizes, keys, pos, F.col("__len"), "__before").filter(F.col("__before") < limit)
+    kept = sized(placed.select(at.alias("__at"), "__before"), broadcast_rows)
+    opened = pieces.withColumn("__at", at).join(kept, "__at")
     open_piece = F.concat(
         F.lit("\n=== "), F.col(name), F.lit(" ===\n"),
         F.substring(F.col(content), F.lit(1), (F.lit(limit) - F.col("__before")).cast("int")), F.lit("\n"),
     )
-    cut = placed.select(*keys, F.struct(F.col(pos).alias("p"), open_piece.alias("t")).alias("__p"))
-    merged = cut.groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__p"))
+    shown = opened.select(*keys, F.struct(F.col(pos).alias("p"), open_piece.alias("t")).alias("__p"))
+    merged = shown.groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__p"))
     return merged.select(*keys, F.array_join(F.transform("__p", lambda r: r["t"]), "").alias("text"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags, text as tx
 from ..operators import assembly
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 # Context of a part: flags from its keys.
 FLAGS_SQL = """p_size % 2 AS exempt, p_size % 3 AS reduce, (p_partkey % 2) AS confirm, (p_partkey % 3) AS parent, (p_partkey % 4) AS reserve, (p_partkey % 5) AS extend,
@@ -191,6 +191,15 @@ def g9(spark, d):
     return assembly.render_clauses(rows, index, "p_partkey", "text", "ctx").select("p_partkey", "rendered")
 
 
+@query("g9_joined", ORACLES["g9"])
+def g9_joined(spark, d):
+    """Full rendering with the phrases joined, as for a large phrase table."""
+    full = F.concat(control_text(), phrase_text(), F.lit("{세부보장1}{지급률1-1-1}%{독립특약9}"))
+    rows = tagged(spark, d, F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(full))
+    index = assembly.phrase_index(assembly.phrase_table(phrase_rows(spark, d), "pos"))
+    return assembly.render_clauses(rows, index, "p_partkey", "text", "ctx", literal_rows=0).select("p_partkey", "rendered")
+
+
 @query("g10", f"""WITH {PHRASES_SQL}, {LOOKUP_SQL}, e AS (
   SELECT p_partkey, '{{단체1}}' AS tag, coalesce(w0.phrase, '') AS repl FROM (SELECT *, {FLAGS_SQL} FROM part) LEFT JOIN w w0 ON w0.tag = '{{단체1}}' AND w0.attribute = '단체' AND w0.wanted = CASE WHEN team > 0 THEN 1 ELSE 0 END
   UNION ALL SELECT p_partkey, '{{세부보장1}}', '「' || split_part(p_name, ' ', 1) || '」' FROM part

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: for a frame that several branches read, worked out once and kept if executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def sized(df: DataFrame, max_rows: int) -> DataFrame:
+    """The frame, checkpointed, and broadcast in its next join only if its counted rows are few enough."""
+    fixed = cut(df)
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
