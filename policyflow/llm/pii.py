@@ -276,9 +276,12 @@ def op5(spark, sf_dir):
     """Counts and digest of the plain spans, and all spans, of every document."""
     found = detect(table(spark, sf_dir, "documents"))
     plain = F.filter("spans", lambda s: s["plain"])
+
+    def count(kind: str):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[count(kind) for kind in KINDS],
         F.sha2(_listed(plain), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(plain)).cast("long").alias("n_disguised"),
     )
