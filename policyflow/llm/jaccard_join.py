@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_batches, query, raw, shingle_sets, slices, table, text_column, word_hashes, written
 
@@ -87,18 +87,18 @@ def _node(keys: np.ndarray) -> int | None:
 
 
 def with_sets(docs: DataFrame, size: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node (of the whole set, null if empty), shown (its first keys)."""
+    """doc_id, mark, n_shingles, node (of the whole set, null if empty), shown (its first keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for first, last, sets in _sets_of(batch, size, often):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_node, sets)), pa.int64()), _lists([s[: shown_length(len(s), percent)] if len(s) else s for s in sets])],
-                    ["doc_id", "n_shingles", "node", "shown"],
+                    [ids.slice(first, last - first), batch.column("mark").slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_node, sets)), pa.int64()), _lists([s[: shown_length(len(s), percent)] if len(s) else s for s in sets])],
+                    ["doc_id", "mark", "n_shingles", "node", "shown"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, shown array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, shown array<long>")
 
 
 def whole_sets(docs: DataFrame, size: int, often: np.ndarray) -> DataFrame:
@@ -322,14 +322,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, region: int = REGION, shown: int = SHOWN) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text), its mark and the node that names its component.
 
     The words of a text are the runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case; its set are the distinct runs of ``size`` words, or all
     words as one if there are fewer. Texts are linked whose sets agree by ``percent`` of their union; the component of a row is the smallest doc_id that links
     reach. Null and empty texts have no shingles and are linked with nothing. Rows of one id are joined each by its text. Rows without an id are
     not joined; their component is null. Repeated rows stay repeated, other columns are ignored."""
     bounded_batches(docs.sparkSession)
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", "text", _mark(docs).alias("mark"))
     often = frequent(base, size)
     sets = written(with_sets(base, size, percent, often), "sets")
     nodes = written(sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
@@ -340,13 +340,30 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, region: int
     found = components(links(base, chosen, size, percent, often, region, shown))
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("least"))
-    named = placed.join(least, "component").select(F.col("node").alias("its"), "least")
+    named = placed.join(least, "component").select(F.col("node").alias("its"), "component", "least")
+    joined = F.col("doc_id").isNotNull()
     return sets.join(named, F.col("node") == F.col("its"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(joined, F.coalesce("least", "doc_id")).alias("component_id"),
+        "mark", F.when(joined, F.col("component")).alias("component"),
     )
 
 
+def _mark(docs: DataFrame) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """All columns of the rows of ``docs`` that stay: of each component the document with the smallest id, and every row that is not joined.
+
+    Repeated rows of one id and text are one document and stay or go together; of texts of one id that are linked, one stays."""
+    found = join(docs, size, percent)
+    chosen = found.groupBy("component", F.when(F.col("component").isNull(), F.col("mark")).alias("alone")).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    marks = chosen.select(F.col("first.mark").alias("__mark")).distinct()
+    return docs.join(marks, _mark(docs) == F.col("__mark"), "left_semi")
+
+
 @query("op3_metric_regions")
 def op3(spark, sf_dir):
     """The near-duplicate group of every document."""
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

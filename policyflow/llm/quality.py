@@ -174,13 +174,14 @@ def learn(docs: DataFrame, labels: DataFrame, at_most: int = LEARN_DOCS) -> Atte
     return Attention().fit(x, np.array([float(r["quality"]) for r in rows]))
 
 
-def score(docs: DataFrame, model: Attention | None, keep: bool = False) -> DataFrame:
-    """Score from 0 to 1 of every row of docs (doc_id, text), from its whole text: doc_id, score; with ``keep``, all columns and score.
+def score(docs: DataFrame, model: Attention | None, keep: bool = False, into: str = "score") -> DataFrame:
+    """Score from 0 to 1 of every row of docs (doc_id, text), from its whole text: doc_id, score; with ``keep``, all columns and score,
+    which is named ``into``.
 
     Null texts are empty, and an empty text is a bag of one passage of zeros; without a model every score is 0.5. Null ids and repeated
-    rows are kept. With ``keep`` a column of the name score is replaced."""
+    rows are kept. With ``keep`` a column of the name ``into`` is replaced."""
     bounded_batches(docs.sparkSession)
-    chosen = docs.drop("score") if keep else docs.select("doc_id", "text")
+    chosen = docs.drop(into) if keep else docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,10 +192,10 @@ def score(docs: DataFrame, model: Attention | None, keep: bool = False) -> DataF
                 found.append(np.full(last - first, 0.5) if model is None else model.scores(x, at))
             columns = batch.columns if keep else [batch.column("doc_id")]
             names = batch.schema.names if keep else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], [*names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema) if keep else "doc_id long"
-    return chosen.mapInArrow(run, f"{schema}, score double")
+    return chosen.mapInArrow(run, f"{schema}, `{into}` double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Attention | None:
