@@ -225,6 +225,21 @@ def s17(spark, d):
     return back.select("product_code", "benefit_code", "diagnosis_code", "verification_status", "extracted_at", "template_name")
 
 
+ODD_SQL = "' b' || id || ' says \"x, y\"' || chr(10) || ' '"
+
+
+@query("s17_quoted", f"SELECT product_code, 'B' || id AS benefit_code, {ODD_SQL} AS benefit_name, verification_status FROM ({EXPORT_SQL}) WHERE NOT is_exported AND verification_status <> 'review_needed'")
+def s17_quoted(spark, d):
+    """Export of cells with quotes, commas, outer blanks and line breaks, read back cell for cell."""
+    path = scratch(spark, "export")
+    sinks.write_export(odd_names(exportable(spark, d)), path)
+    return sinks.read_export(spark, path).select("product_code", "benefit_code", "benefit_name", "verification_status")
+
+
+def odd_names(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("benefit_name", F.concat(F.lit(" b"), F.col("id").cast("string"), F.lit(' says "x, y"\n ')))
+
+
 @query("s17_log", f"SELECT DISTINCT product_code, product_code || '_20240102_030405.csv' AS filename, true AS has_content, 'outbound' AS direction, 'pending' AS status, 0 AS retry_count FROM ({EXPORT_SQL}) WHERE NOT is_exported AND verification_status <> 'review_needed'")
 def s17_log(spark, d):
     """Transfer log of an export."""

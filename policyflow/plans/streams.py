@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import names
 from ..session import scratch
+from ..sources import sinks
 from ..streaming import monitor
-from .handoff import NEW_SQL, OLD_SQL, master
+from .handoff import EXPORT_SQL, NEW_SQL, ODD_SQL, OLD_SQL, exportable, master, odd_names
 from .registry import query, table
 from .results import QUEUE_SQL, decisions, queue
 
@@ -46,6 +47,16 @@ def st1(spark, d):
     return monitor.master_view(spark, target, schema).select(*names.KEY_FIELDS, "diagnosis_code", "coverage_period")
 
 
+@query("st1_quoted", f"SELECT product_code, 'B' || id AS benefit_code, {ODD_SQL} AS benefit_name FROM ({EXPORT_SQL}) WHERE NOT is_exported AND verification_status <> 'review_needed'")
+def st1_quoted(spark, d):
+    """The library's own export, with quotes, commas, blanks and line breaks in its cells, through its own monitor."""
+    incoming, target, out, check = (scratch(spark, n) for n in ("incoming", "master", "received", "check"))
+    sinks.write_export(odd_names(exportable(spark, d)), incoming)
+    monitor.monitor(spark, incoming, target, out, check).awaitTermination()
+    schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
+    return monitor.master_view(spark, target, schema).select("product_code", "benefit_code", "benefit_name")
+
+
 @query("st2", "SELECT event_id, event_type, user_id, props FROM events")
 def st2(spark, d):
     """Event log appended by a stream."""

@@ -8,7 +8,7 @@ from .. import names
 from ..functions import codes, numbers, text as tx
 from ..operators import project, responses
 from ..session import scratch
-from ..sources import tables as src
+from ..sources import sinks, tables as src
 from .registry import query, table
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -258,6 +258,31 @@ def s1(spark, d):
     return src.read_csv_guessing(spark, path)
 
 
+@query("s1_late", "SELECT CAST(c_custkey AS VARCHAR) AS code, CASE WHEN c_custkey % 97 = 50 THEN '담보코드 ' || c_custkey ELSE c_mktsegment END AS name FROM customer")
+def s1_late(spark, d):
+    """Delimited scan of files whose Korean text stands in late rows only: all of a file decides on its encoding."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    path = scratch(spark, "mapping")
+    key = F.col("c_custkey")
+    name = F.when(key % 97 == 50, F.concat(F.lit("담보코드 "), key.cast("string"))).otherwise(F.col("c_mktsegment"))
+    rows = table(spark, d, "customer").select(key.cast("string").alias("code"), name.alias("name"))
+    rows.write.option("header", True).option("sep", "\t").option("encoding", "MS949").csv(path)
+    return src.read_csv_guessing(spark, path)
+
+
+_ODD_CELL = lambda name: F.concat(F.lit(" "), F.col(name), F.lit(' say "hi", ok\n, '))
+_ODD_CELL_SQL = """' ' || {} || ' say "hi", ok' || chr(10) || ', '"""
+
+
+@query("s2_quoted", f"SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, {_ODD_CELL_SQL.format('p_name')} AS p_name, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS p_brand FROM part")
+def s2_quoted(spark, d):
+    """CSV with byte order mark whose cells hold quotes, commas, outer blanks and line breaks."""
+    path = scratch(spark, "handoff")
+    brand = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand"))
+    sinks.write_csv(table(spark, d, "part").select("p_partkey", _ODD_CELL("p_name").alias("p_name"), brand.alias("p_brand")), path)
+    return src.read_csv(spark, path)
+
+
 @query("s2", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part")
 def s2(spark, d):
     """CSV with byte order mark, all strings."""

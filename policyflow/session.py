@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.legacy.javaCharsets": "true",  # Korean charsets of mapping files
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import names
 from ..functions import text as tx
 from ..operators.project import confirmed
-from .tables import list_files
+from .tables import csv_reader, list_files
 
 
 def export_rows(results: DataFrame) -> DataFrame:
@@ -27,17 +27,25 @@ def export_rows(results: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
+def write_csv(rows: DataFrame, path: str, partition: str | None = None, mode: str = "errorifexists") -> None:
+    """CSV records with a header that starts with a byte order mark: doubled quotes, blanks and line breaks kept."""
+    named = [c for c in rows.columns if c != partition]
+    marked = rows.withColumnRenamed(named[0], "\ufeff" + named[0])
+    writer = marked.write.mode(mode).option("header", True).option("emptyValue", "").option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    (writer.partitionBy(partition) if partition else writer).csv(path)
+
+
 def write_export(results: DataFrame, path: str) -> None:
     """CSV per product below ``path/product=<code>``; the product also stays a column of the file."""
     rows = export_rows(results).withColumn("product", F.col("product_code"))
     # files of even size: a large product is split over several, small ones share a task
-    rows.hint("rebalance", "product").write.partitionBy("product").option("header", True).option("emptyValue", "").csv(path)
+    write_csv(rows.hint("rebalance", "product"), path, "product")
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return reader.csv(path).select(*names.EXPORT_COLUMNS).na.fill("")
+    """Rows of an export, cell for cell as they were written."""
+    return csv_reader(spark).csv(path).select(*names.EXPORT_COLUMNS).na.fill("")
 
 
 def transfer_log(spark: SparkSession, path: str, at: Column) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
 from ..functions import text as tx
 
@@ -12,29 +13,58 @@ SEPARATORS = ["\t", ","]
 REPLACEMENT = "\ufffd"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """All columns as text, empty cells as ''. Files are split by lines, UTF-16 ones are read whole."""
+def csv_reader(spark: SparkSession, sep: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool = True) -> DataFrameReader:
+    """Reader of CSV records: doubled quotes, blanks kept, an unquoted empty cell is null; a quoted cell may hold line breaks.
+
+    With ``multi_line`` a file is one split. Turn it off for large files without line breaks in cells; UTF-16 needs it.
+    """
     reader = spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("multiLine", encoding.startswith("UTF-16"))
-    return reader.option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "\ufdd0").csv(path)
+    reader = reader.option("multiLine", multi_line or encoding.startswith("UTF-16")).option("quote", '"').option("escape", '"')
+    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    return reader.option("emptyValue", "").option("nullValue", "\ufdd0").option("maxCharsPerColumn", -1)
+
+
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool = True
+) -> DataFrame:
+    """All columns as text, empty cells as ''."""
+    return csv_reader(spark, sep, encoding, header, multi_line).csv(path).na.fill("")
 
 
-def read_csv_guessing(spark: SparkSession, path: str) -> DataFrame:
-    """First encoding and separator that give more than one column, at least one row and a readable header.
+def decodes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether every line of the files decodes. UTF-16 lines cannot be told apart before decoding, so their cells are looked at instead.
 
-    The Korean charsets need ``spark.sql.legacy.javaCharsets``, which is set for the session here. Only the header and
-    one row of each candidate are read.
+    All other encodings tried keep line feeds apart from other characters.
+    """
+    try:
+        if encoding.startswith("UTF-16"):
+            cells = read_csv(spark, path, "\ufdd0", encoding, header=False)
+            broken = cells.filter(tx.any_of([F.contains(F.col(c), F.lit(REPLACEMENT)) for c in cells.columns]))
+            return broken.isEmpty()
+        line = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
+        if encoding == "UTF-8":
+            return line.filter(~F.is_valid_utf8(F.col("value").cast("string"))).isEmpty()
+        line.agg(F.max(F.length(F.decode("value", encoding)))).collect()  # one row; a byte that does not decode is an error
+        return True
+    except PySparkException as e:
+        if "MALFORMED_CHARACTER_CODING" in str(e):
+            return False
+        raise
+
+
+def read_csv_guessing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """First encoding that decodes all of the files and first separator that gives more than one column and at least one row.
+
+    The Korean charsets need ``spark.sql.legacy.javaCharsets``, as ``session.build_session`` sets it. Each encoding tried reads the files once.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+        raise ValueError("set spark.sql.legacy.javaCharsets to true, or use build_session")
     for encoding in ENCODINGS:
+        if not decodes(spark, path, encoding):
+            continue
         for sep in SEPARATORS:
-            try:
-                df = read_csv(spark, path, sep, encoding)
-                row = df.first()
-            except Exception:  # a charset that cannot read the file
-                continue
-            seen = "".join(df.columns) + "".join(str(v) for v in (row or []))
-            if row is not None and len(df.columns) > 1 and REPLACEMENT not in seen:
+            df = read_csv(spark, path, sep, encoding, multi_line=multi_line)
+            if len(df.columns) > 1 and not df.isEmpty():
                 return df
     raise ValueError(f"no encoding and separator fit {path}")
 

@@ -6,26 +6,47 @@ its own output. The checkpoint remembers which files were read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import names
 from ..functions import text as tx
 from ..operators import merge, quality, review
 from ..operators.ordered import first_per_key, last_per_key, number_in_order
-from ..sources.tables import headed_lines, named_fields
+from ..sources.tables import csv_reader
+
+
+#: Batches between two snapshots of the master, and buckets of keys that a snapshot is stored in.
+COMPACT_EVERY, BUCKETS = 20, 64
+# Fixed value: the columns of Spark's binary file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the finished ``name=<number>`` folders, by a listing of names."""
+    if not _exists(spark, folder):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(f.getPath().getName()) for f in files.listStatus(hadoop)]
+    numbers = [int(f.split("=")[1]) for f in found if f.startswith(f"{name}=")]
+    return sorted(n for n in numbers if _exists(spark, f"{folder}/{name}={n}/_SUCCESS"))
+
+
 def _base(spark: SparkSession, master: str, before: int | None) -> int:
     """Number of the newest compacted snapshot (older than ``before``), -1 when there is none."""
-    if not _exists(spark, f"{master}/base"):
-        return -1
-    uptos = spark.read.parquet(f"{master}/base").select("upto").distinct()
-    uptos = uptos if before is None else uptos.filter(F.col("upto") < before)
-    return uptos.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    return max((n for n in _numbers(spark, f"{master}/base", "upto") if before is None or n < before), default=-1)
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
 def master_view(
@@ -38,10 +59,14 @@ def master_view(
     upto = _base(spark, master, before)
     parts = []
     if upto >= 0:
-        parts.append(spark.read.parquet(f"{master}/base").filter(F.col("upto") == upto).withColumnRenamed("upto", "batch"))
-    if _exists(spark, f"{master}/changes"):
-        changes = spark.read.parquet(f"{master}/changes").filter(F.col("batch") > upto)
-        parts.append(changes if before is None else changes.filter(F.col("batch") < before))
+        base = spark.read.option("basePath", f"{master}/base").parquet(f"{master}/base/upto={upto}").withColumnRenamed("upto", "batch")
+        if only is not None:
+            wanted = [r["bucket"] for r in only.select(_bucket(names.KEY_FIELDS).alias("bucket")).distinct().collect()]  # at most BUCKETS
+            base = base.filter(F.col("bucket").isin(wanted))
+        parts.append(base.drop("bucket"))
+    later = [n for n in _numbers(spark, f"{master}/changes", "batch") if n > upto and (before is None or n < before)]
+    if later:
+        parts.append(spark.read.option("basePath", f"{master}/changes").parquet(*[f"{master}/changes/batch={n}" for n in later]))
     if not parts:
         return spark.createDataFrame([], schema)
     rows = merge.append_all(parts)
@@ -51,9 +76,21 @@ def master_view(
 
 
 def compact(spark: SparkSession, master: str, upto: int) -> None:
-    """Write the state after batch ``upto`` as a snapshot; later views start from it, older snapshots stay as backup."""
+    """Write the state after batch ``upto`` as a snapshot in buckets of keys; later views start from it, older snapshots stay as backup."""
     schema = spark.read.parquet(f"{master}/changes").drop("batch").schema
-    master_view(spark, master, schema, upto + 1).write.mode("overwrite").parquet(f"{master}/base/upto={upto}")
+    now = master_view(spark, master, schema, upto + 1).withColumn("bucket", _bucket(names.KEY_FIELDS))
+    now.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{master}/base/upto={upto}")
+
+
+def _decoded(path: Column) -> Column:
+    """The path of a file from its address in ``_metadata``."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _below(path: Column, folder: str) -> Column:
+    """Path below a folder: the name of a delivered file, unique in its directory tree."""
+    plain = re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/"))
+    return F.regexp_extract(path, rf"^.*{re.escape(plain)}/(.*)$", 1)
 
 
 def side_checksums(spark: SparkSession, incoming: str, files: list[str]) -> DataFrame | None:
@@ -62,30 +99,62 @@ def side_checksums(spark: SparkSession, incoming: str, files: list[str]) -> Data
     if not found:
         return None
     read = spark.read.format("binaryFile")
-    sums = read.load(found).select(tx.file_name(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha"))
+    sums = read.load(found).select(_below(F.col("path"), incoming).alias("path"), F.sha2("content", 256).alias("sha"))
     side = read.load([f + ".sha256" for f in found]).select(
-        F.regexp_replace(tx.file_name(F.col("path")), r"\.sha256$", "").alias("path"), F.col("content").cast("string").alias("expected")
+        F.regexp_replace(_below(F.col("path"), incoming), r"\.sha256$", "").alias("path"), F.col("content").cast("string").alias("expected")
     )
     return quality.checksum_errors(sums, side).filter("error <> ''").select(F.col("path").alias("file"), F.col("error").alias("message"))
 
 
-def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming: str, master: str, out: str) -> None:
-    """Check the files of a batch, merge the valid ones, write acknowledgements, messages and an audit row."""
-    placed = batch.withColumn("pos", F.monotonically_increasing_id())
+def file_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Column names of each CSV file, without byte order mark and outer blanks; one row per file reaches the driver."""
+    lines = spark.read.text(paths).select(_decoded(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("pos"), "value")
+    first = lines.filter(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "pos").alias("head"))
+    header = F.transform(tx.csv_fields(F.ltrim(F.replace("head", F.lit("\ufeff"), F.lit("")))), tx.strip)
+    return {r["path"]: r["header"] for r in first.select("path", header.alias("header")).collect()}
+
+
+def read_deliveries(spark: SparkSession, headers: dict[str, list[str]], columns: list[str], folder: str) -> DataFrame:
+    """CSV records of files by column name: (file, pos, the columns as text), null where a file has no such column.
+
+    Files of one header are read together. A quoted cell may hold line breaks; positions grow with file order.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, header in sorted(headers.items()):
+        groups.setdefault(tuple(header), []).append(path)
+    parts = []
+    for header, paths in groups.items():
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
+        rows = csv_reader(spark).option("enforceSchema", True).schema(schema).csv(paths)
+        named = [F.col(f"c{header.index(c)}").alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns]
+        parts.append(rows.select(_below(_decoded(F.col("_metadata.file_path")), folder).alias("file"), F.monotonically_increasing_id().alias("pos"), *named))
+    return merge.append_all(parts)
+
+
+def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming: str, master: str, out: str, compact_every: int = COMPACT_EVERY) -> None:
+    """Check the files of a batch, merge the valid ones, write acknowledgements, messages and an audit row.
+
+    Every ``compact_every`` batches the master is compacted, so that a batch reads one snapshot and a bounded number of change folders.
+    """
+    session = batch.sparkSession
     received, staged = f"{out}/received/batch={batch_id}", f"{out}/staged/batch={batch_id}"
+    paths = [r["path"] for r in batch.select("path").distinct().collect()]  # at most the files of one trigger
+    found = file_headers(session, paths)
+    if not found:
+        return
     # positions are fixed by a first write, row numbers by a second: the checks and the merge read the same rows
-    placed.write.mode("overwrite").parquet(received)
-    session = batch.sparkSession
-    headers, lines = headed_lines(session.read.parquet(received), "file", "pos")
+    read_deliveries(session, found, names.EXPORT_COLUMNS, incoming).write.mode("overwrite").parquet(received)
+    lines = session.read.parquet(received).drop("batch")
+    headers = session.createDataFrame(list(found.items()), "path string, header array<string>")
+    headers = headers.select(_below(F.col("path"), incoming).alias("file"), "header")
     gone = quality.header_errors(headers, "file")
     flagged = gone.select("file", F.lit(1).alias("header_errors"))
-    named = named_fields(lines, names.EXPORT_COLUMNS).join(flagged, "file", "left").na.fill(0, ["header_errors"])
+    named = lines.join(flagged, "file", "left").na.fill(0, ["header_errors"])
     number_in_order(named, ["file"], "pos", "row_no").write.mode("overwrite").parquet(staged)
     rows = session.read.parquet(staged)
     blank = quality.row_errors(rows, "row_no", ["product_code", "benefit_name"], ["file"], header_errors="header_errors")
     errors = gone.unionByName(blank.select("file", "message"))
     files = headers.select("file")
-    paths = [r["path"] for r in session.read.parquet(received).select("path").distinct().collect()]  # at most the files of one trigger
     sums = side_checksums(session, incoming, paths)
     errors = (errors if sums is None else errors.unionByName(sums)).persist()
     state = quality.validity(files, errors, "file")
@@ -96,7 +165,7 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     good = rows.join(state.filter("valid").select("file"), "file", "left_semi")
     # of several rows with one key the last of the batch counts
     good = last_per_key(
-        good.drop("file", "path", "row_no", "header_errors"), names.KEY_FIELDS, "pos"
+        good.drop("file", "row_no", "header_errors"), names.KEY_FIELDS, "pos"
     ).drop("pos").na.fill("")
     current = master_view(session, master, good.schema, batch_id, good.select(*names.KEY_FIELDS))
     changed = merge.classify(current, good).persist()
@@ -107,17 +176,20 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     ).write.mode("overwrite").json(f"{out}/audit/batch={batch_id}")
     changed.unpersist()
     errors.unpersist()
+    if (batch_id + 1) % compact_every == 0:
+        compact(session, master, batch_id)
 
 
-def monitor(spark: SparkSession, incoming: str, master: str, out: str, checkpoint: str, files_per_trigger: int = 1000):
+def monitor(spark: SparkSession, incoming: str, master: str, out: str, checkpoint: str, files_per_trigger: int = 1000, compact_every: int = COMPACT_EVERY):
     """Read every new CSV of a directory and hand it to ``receive_batch``; ends when all files are read."""
+    # only the names come from the stream; the files of a batch are read as CSV records
     stream = (
-        spark.readStream.option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger).text(incoming)
-        .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger)
+        .load(incoming).select("path")
     )
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, n: receive_batch(spark, df, n, incoming, master, out)).start()
+        .foreachBatch(lambda df, n: receive_batch(spark, df, n, incoming, master, out, compact_every)).start()
     )
 
 
@@ -135,11 +207,16 @@ def first_decision_stream(stream: DataFrame, queue: DataFrame, path: str, checkp
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         checked = review.check_decisions(batch, queue).filter("error = ''")
-        firsts = first_per_key(checked, ["review_id"], "pos")
-        if _exists(session, f"{path}/closed"):
-            closed = session.read.parquet(f"{path}/closed").filter(F.col("batch") < batch_id)
-            firsts = firsts.join(closed.select("review_id"), "review_id", "left_anti")
-        firsts.write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
+        firsts = first_per_key(checked, ["review_id"], "pos").withColumn("bucket", _bucket(["review_id"])).persist()
+        earlier = [n for n in _numbers(session, f"{path}/closed", "batch") if n < batch_id]
+        kept = firsts
+        if earlier:
+            # only the buckets that the batch touches are read; at most BUCKETS numbers reach the driver
+            wanted = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]
+            closed = session.read.option("basePath", f"{path}/closed").parquet(*[f"{path}/closed/batch={n}" for n in earlier])
+            kept = firsts.join(closed.filter(F.col("bucket").isin(wanted)).select("review_id"), "review_id", "left_anti")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/closed/batch={batch_id}")
+        firsts.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
@@ -158,6 +235,6 @@ def count_stream(stream: DataFrame, key: Column, path: str, checkpoint: str):
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    runs = spark.read.parquet(path)
-    newest = runs.agg(F.max("batch").alias("batch"))
-    return runs.join(newest, "batch", "left_semi").drop("batch", "run")
+    """The counts of the newest run; no other run is read."""
+    newest = _numbers(spark, path, "run")[-1]
+    return spark.read.parquet(f"{path}/run={newest}").drop("batch")

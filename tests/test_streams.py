@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from policyflow import names
 from policyflow.streaming import monitor
 
@@ -56,6 +58,26 @@ def test_monitor(spark, tmp_path):
     ]
 
 
+def test_own_export_comes_back(spark, tmp_path):
+    """Quotes, blanks, separators and line breaks written by the export and read by the monitor, over compacted batches."""
+    from policyflow.sources import sinks
+
+    incoming = str(tmp_path / "in")
+    cells = ['say "hi", ok', " pad ", "two\nlines", "a,b", "back\\slash", 'end"', "x\r\ny"]
+    paths = [str(tmp_path / p) for p in ("in", "master", "out", "check")]
+    for n, cell in enumerate(cells):
+        rows = [(f"P{k}", f"B{n}", "s", cell, "approved", False) for k in range(2)]
+        frame = spark.createDataFrame(rows, "product_code string, benefit_code string, sub_benefit_code string, benefit_name string, verification_status string, is_exported boolean")
+        sinks.write_csv(sinks.export_rows(frame).withColumn("product", F.col("product_code")), incoming, "product", mode="append")
+        monitor.monitor(spark, *paths, compact_every=3).awaitTermination()
+    schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
+    now = monitor.master_view(spark, paths[1], schema).collect()
+    assert sorted((r["product_code"], r["benefit_code"], r["benefit_name"]) for r in now) == sorted((f"P{k}", f"B{n}", c) for k in range(2) for n, c in enumerate(cells))
+    assert monitor._numbers(spark, paths[1] + "/base", "upto") == [2, 5]
+    acks = [r["value"] for r in spark.read.text(paths[2] + "/acks").collect()]
+    assert len(acks) == len(set(acks)) and all(a.endswith("|OK") for a in acks)
+
+
 def test_first_decisions_close_over_runs(spark, tmp_path):
     source, out, check = (str(tmp_path / p) for p in ("src", "out", "check"))
     schema = "pos long, review_id long, action string, reviewer string"
