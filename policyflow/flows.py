@@ -119,5 +119,5 @@ def generate_terms(
         "rates_of": lambda n, m: F.when(numbers.pick(codes, n) == F.col("code"), structures.entry(F.col("rates"), m)),
     }
     index = assembly.phrase_index(assembly.phrase_table(phrases, "pos"))
-    rendered = assembly.render_clauses(full, index, pos, "body", "ctx", "rendered", getters)
+    rendered = assembly.render_clauses(full, index, "body", "ctx", "rendered", getters)
     return rendered.select("section_no", "line_no", "title", F.col("rendered").alias("body"))

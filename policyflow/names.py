@@ -63,13 +63,18 @@ OTHER_CATEGORY = "기타"
 LOOKUP_ERROR = "찾기에러"
 NOTHING_FOUND = "관련 내용 없음"
 UNMATCHED = "[미매칭: API 응답에서 해당 담보를 찾지 못함]"
+MAPPING_NOT_FOUND = ("[주의] '", "' 관련 매핑 파일을 찾지 못했습니다.")
 NO_MAPPING_TABLE = "해당 속성에 대한 매핑 테이블이 없습니다."
 DEFAULT_LOGIC = "추출된 로직 없음. 표준 보험/의료 지식 활용."
-DEFAULT_RISK_LOGIC = "기본 로직: 약관의 목차와 표를 참고하여 보장 항목을 식별하고, 매핑 테이블과 대조하여 코드를 부여한다."
 OVERFLOW_MESSAGE = "... (오류 20개 초과, 중단)"
 MAIN_TERMS = "메인 약관"
 SECTION_SUFFIX = "관련 특별약관"
 SECTION_MARKERS = ["관련 특별약관", "제도성 특별약관", "별표"]
+# limits of the format, for callers that want them; nothing is limited unless asked
+APPENDIX_CHARACTERS = 50_000
+BUDGET_CHARACTERS = 100_000
+ERRORS_PER_FILE = 20
+
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮"
 
 SOURCE_LABELS = {

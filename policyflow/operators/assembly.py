@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import tags, text as tx
-from ..session import cut
 from .lookups import category_lookup
-from .ordered import BLOCK, first_per_key, next_filled, number_in_order
+from .ordered import BLOCK, first_per_key, first_row, next_filled, number_in_order
 
 PHRASE_SCHEMA = "map<string,string>"
 
@@ -59,49 +56,34 @@ def find_phrases(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select(*wanted.columns, F.coalesce("phrase", F.lit("")).alias("phrase"))
 
 
-def phrase_maps(clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str) -> DataFrame:
-    """(id, ``phrases`` map from tag as written to its phrase) for the tags found in each text."""
+def phrase_maps(clauses: DataFrame, index: DataFrame, id_columns: list[str], text: str, ctx: str) -> DataFrame:
+    """(ids, ``phrases`` map from tag as written to its phrase) for the tags found in each text; the ids tell texts and contexts apart."""
     found = clauses.filter(F.contains(F.col(text), F.lit("{"))).select(
-        id_column, ctx, F.explode(tags.found_phrase_tags(F.col(text))).alias("written")
+        *id_columns, ctx, F.explode(tags.found_phrase_tags(F.col(text))).alias("written")
     )
     asked = found.withColumn("kind", tags.phrase_kind(F.col("written"))).select(
-        id_column, "written", tags.phrase_key(F.col("written")).alias("tag"),
+        *id_columns, "written", tags.phrase_key(F.col("written")).alias("tag"),
         tags.phrase_attribute(F.col("kind")).alias("attribute"), tags.phrase_flag(F.col("kind"), F.col(ctx)).alias("wanted"),
-    )
+    ).distinct()
     joined = find_phrases(asked, index)
-    return joined.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("written", "phrase"))).alias("phrases"))
-
-
-def small_index(index: DataFrame, max_rows: int) -> Column | None:
-    """The phrase index as one map literal when it has at most ``max_rows`` rows, else None."""
-    rows = index.limit(max_rows + 1).collect()  # at most max_rows + 1 rows reach the driver
-    if len(rows) > max_rows:
-        return None
-    entries = {tags.index_key(r["tag"], r["attribute"], r["wanted"]): r["phrase"] for r in rows}
-    return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), PHRASE_SCHEMA)
+    return joined.groupBy(*id_columns).agg(F.map_from_entries(F.collect_list(F.struct("written", "phrase"))).alias("phrases"))
 
 
 def render_clauses(
-    clauses: DataFrame, index: DataFrame, id_column: str, text: str, ctx: str, out: str = "rendered", getters: dict | None = None,
-    literal_rows: int = 1000,
+    clauses: DataFrame, index: DataFrame, text: str, ctx: str, out: str = "rendered", getters: dict | None = None,
 ) -> DataFrame:
     """Full rendering of every text with its context; ``getters`` replace the arrays of the context.
 
-    A phrase index of at most ``literal_rows`` rows becomes a map literal, and no text is moved. A larger one is joined to
-    the tags of each text.
+    The phrases are joined to the tags of each distinct text and context; Spark broadcasts a small phrase table. Texts without tags are not moved for it.
     """
     getters = getters or tags.context_getters(F.col(ctx))
-    controlled = clauses.withColumn("__text", tags.render_control(F.col(text), tags.attribute_truth(F.col(ctx))))
-    literal = small_index(index, literal_rows)
-    if literal is not None:
-        phrased = tags.render_indexed(F.col("__text"), F.col(ctx), literal)
-    else:
-        # the tags of the text before its sections are dropped include those after
-        controlled = controlled.join(phrase_maps(clauses, index, id_column, text, ctx), id_column, "left")
-        phrased = tags.render_phrases(F.col("__text"), F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA)))
+    keyed = clauses.withColumn("__id", F.when(F.contains(F.col(text), F.lit("{")), F.xxhash64(F.col(text), F.to_json(F.col(ctx)))))
+    controlled = keyed.withColumn("__text", tags.render_control(F.col(text), tags.attribute_truth(F.col(ctx))))
+    # the tags of the text before its sections are dropped include those after
+    controlled = controlled.join(phrase_maps(keyed, index, ["__id"], text, ctx), "__id", "left")
+    phrased = tags.render_phrases(F.col("__text"), F.coalesce("phrases", F.create_map().cast(PHRASE_SCHEMA)))
     body = tags.cleanup(tags.render_model(phrased, **getters))
-    plain = ~F.contains(F.col(text), F.lit("{"))
-    return controlled.withColumn(out, F.when(plain, F.col(text)).otherwise(body)).drop("__text", "phrases")
+    return controlled.withColumn(out, F.when(F.col("__id").isNull(), F.col(text)).otherwise(body)).drop("__id", "__text", "phrases")
 
 
 def replacements(text: Column, ctx: Column, phrases: Column) -> Column:
@@ -128,41 +110,25 @@ def section_ends(
 ) -> DataFrame:
     """``section_end`` = start of the next comment that holds a section marker and is a different section.
 
-    A marker comment whose text contains the row's own text is the same section and is passed over. Markers are linked
-    to the next marker with another text; one jump settles nearly all rows, the few left jump again until none is.
+    A marker comment whose text contains the row's own text is the same section and is passed over. The next marker of all settles nearly
+    all rows. For the texts whose next marker is of their own section, the markers of other sections in their document are laid beside them, once per
+    distinct text, and the next one is taken; blank texts stand in every section and have no end.
     """
     marked = tx.any_of([F.contains(F.col(text), F.lit(m)) for m in markers])
-    at = F.struct(F.col(pos).alias("pos"), F.col(start).alias("start"), F.col(text).alias("text"))
+    at = F.struct(F.col(start).alias("start"), F.col(text).alias("text"))
     rows = next_filled(comments, [doc], pos, F.when(marked, at), "__m", width)
-
-    marks = comments.filter(marked).select(doc, pos, start, text).withColumn("__back", -F.col(pos))
-    marks = cut(next_filled(marks, [doc], "__back", F.col(text), "__prev", width))
-    opens = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(text)), at)
-    links = next_filled(marks, [doc], pos, opens, "__next", width).select(
-        F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), "__next"
-    )
     same = F.coalesce(F.contains(F.col("__m.text"), F.col(text)), F.lit(False))
-
-    def jump(df):
-        on = (F.col(doc) == F.col("__doc")) & (F.when(same, F.col("__m.pos")) == F.col("__pos"))
-        moved = df.join(links, on, "left").withColumn("__m", F.when(same, F.col("__next")).otherwise(F.col("__m")))
-        return moved.drop("__doc", "__pos", "__next")
-
-    # read again below, for the rows left and for the result
-    rows = cut(jump(rows))
-    left = rows.filter(same).select(doc, pos, text, "__m")
-    settled = None
-    while not left.isEmpty():
-        moved = cut(jump(left))
-        done = moved.filter(~same).select(doc, pos, F.col("__m").alias("__late"))
-        settled = done if settled is None else settled.unionByName(done)
-        left = moved.filter(same)
-    if settled is None:
-        return rows.withColumn("section_end", F.col("__m.start")).drop("__m")
-    rows = rows.withColumn("__open", same).join(settled, [doc, pos], "left")
-    return rows.withColumn("section_end", F.when(F.col("__open"), F.col("__late.start")).otherwise(F.col("__m.start"))).drop(
-        "__m", "__late", "__open"
+    asking = rows.filter(same & (F.col(text) != "")).select(doc, pos, F.col(text).alias("__own"))
+    marks = comments.filter(marked).select(doc, pos, start, text)
+    others = (
+        asking.select(doc, "__own").distinct().join(marks.select(doc, text).distinct(), doc).filter(~F.contains(F.col(text), F.col("__own")))
+        .join(marks, [doc, text]).select(doc, "__own", pos, F.col(start).alias("__start"))
     )
+    beside = asking.withColumn("__start", F.lit(None).cast(others.schema["__start"].dataType)).unionByName(others)
+    found = next_filled(beside, [doc, "__own"], pos, F.col("__start"), "__late", width).filter(F.col("__start").isNull())
+    late = found.select(F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), "__late")
+    joined = rows.join(late, (F.col(doc) == F.col("__doc")) & (F.col(pos) == F.col("__pos")), "left")
+    return joined.withColumn("section_end", F.when(same, F.col("__late")).otherwise(F.col("__m.start"))).drop("__m", "__doc", "__pos", "__late")
 
 
 def nearest_section(text: Column, start: Column, markers: list[str] = names.SECTION_MARKERS) -> Column:
@@ -182,7 +148,7 @@ def nearest_section(text: Column, start: Column, markers: list[str] = names.SECT
 
 def copy_once(clauses: DataFrame, title: str, pos: str) -> DataFrame:
     """First clause per title in coverage order."""
-    return first_per_key(clauses, [title], pos)
+    return first_row(clauses, [title], pos)
 
 
 def section_title(module: Column, category: Column) -> Column:
@@ -200,9 +166,13 @@ def assemble_rows(
     Each coverage takes its clause range (own category first), a title already copied is skipped, an empty range adds
     nothing, and the clause goes to the end of its section. ``line_no`` numbers the clauses of a section.
     """
-    found = category_lookup(coverages, ranges, code, category, list(values), "comment_no").filter(F.col(values[0]).isNotNull())
-    once = copy_once(found, values[0], pos)
-    kept = once.filter(F.col(values[1]) != "")
+    title, *others = values
+    # titles and places decide; the other values are joined to the clauses that are left
+    found = category_lookup(coverages, ranges.withColumn("__clause", F.col("comment_no")), code, category, [title, "__clause"], "comment_no")
+    once = copy_once(found.filter(F.col(title).isNotNull()), title, pos)
+    rows = ranges.select(F.col(code).alias("__code"), F.col("comment_no").alias("__pos"), *others)
+    kept = once.join(rows, (F.col(code) == F.col("__code")) & (F.col("__clause") == F.col("__pos"))).filter(F.col(others[0]) != "")
+    kept = kept.drop("__code", "__pos", "__clause")
     targets = first_per_key(sections.select("section", section_pos), ["section"], section_pos)
     placed = kept.withColumn("section", section_title(F.col(module), F.col(category))).join(targets, "section")
     return number_in_order(placed, [section_pos], pos, "line_no", width)
@@ -212,7 +182,7 @@ def replace_appendices(
     targets: DataFrame, base: DataFrame, category: str, name: str, body: str, pos: str
 ) -> DataFrame:
     """Target appendix bodies replaced by the base body of their category and name; ``replaced`` tells which."""
-    own = first_per_key(base.select(category, name, pos, F.col(body).alias("__base")), [category, name], pos).drop(pos)
+    own = first_row(base.select(category, name, pos, F.col(body).alias("__base")), [category, name], pos).drop(pos)
     joined = targets.join(own, [category, name], "left")
     return joined.select(
         *[F.coalesce("__base", F.col(body)).alias(body) if c == body else F.col(c) for c in targets.columns],
@@ -237,5 +207,7 @@ def cross_reference(text: Column) -> Column:
 
 
 def circled(number: Column) -> Column:
+    """The circled number, in brackets where there is none; null for null."""
     marks = F.array(*[F.lit(m) for m in names.CIRCLED])
-    return F.try_element_at(marks, number.cast("int"))
+    plain = F.concat(F.lit("("), number.cast("int").cast("string"), F.lit(")"))
+    return F.when(number.cast("int").between(1, len(names.CIRCLED)), F.try_element_at(marks, number.cast("int"))).otherwise(plain)

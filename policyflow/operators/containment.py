@@ -25,7 +25,7 @@ def inside(short: DataFrame, long: DataFrame, by: list[str]) -> DataFrame:
     pieces = sizes.select(
         *by, "long", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("long"), i, F.col("n"))))).alias("short")
     )
-    return pieces.join(short.hint("merge"), [*by, "short"]).select(*by, "short", "long")
+    return pieces.join(short, [*by, "short"]).select(*by, "short", "long")
 
 
 def comparable(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -50,6 +50,37 @@ def _options(items: DataFrame, responses: DataFrame, by: list[str], columns: lis
     return named.unionByName(left.withColumn("key", empty))
 
 
+def _related(a: Column, b: Column) -> Column:
+    """One name contains the other; an empty name is contained in all."""
+    return F.contains(a, b) | F.contains(b, a)
+
+
+def _nearest(rest: DataFrame, answers: DataFrame, options: DataFrame, by: list[str], benefit: str, template: str) -> DataFrame:
+    """The first answer of each pair whose two names are both comparable.
+
+    Each pair looks its answers up by the name that fewer answers are comparable to; the other name is tested on what is found. Answers with
+    one name in common keep only the first of each other name, so the rows formed are at most the answers that the better name allows.
+    """
+    first = answers.groupBy(*by, benefit, template).agg(F.min("__ord").alias("__ord"))
+    names_of = {}
+    for own, other in ((benefit, template), (template, benefit)):
+        keyed = first.select(
+            *by, F.explode(F.array(F.concat(F.lit("="), F.col(own)), F.lit(ANY))).alias("key"), F.col(other).alias("__other"), "__ord"
+        ).groupBy(*by, "key", "__other").agg(F.min("__ord").alias("__ord"))
+        mine = options.filter(F.col("side") == own).select(*by, F.col("name").alias(own), "key")
+        weight = mine.join(keyed.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("__n")), [*by, "key"])
+        names_of[own] = (keyed, mine, weight.groupBy(*by, own).agg(F.sum("__n").alias(f"__n_{own}")))
+    weighed = rest
+    for own in (benefit, template):
+        weighed = weighed.join(names_of[own][2], [*by, own])  # a name without answers has no match
+    found = []
+    for own, other, mine_first in ((benefit, template, F.col(f"__n_{benefit}") <= F.col(f"__n_{template}")), (template, benefit, F.col(f"__n_{benefit}") > F.col(f"__n_{template}"))):
+        keyed, mine, _ = names_of[own]
+        rows = weighed.filter(mine_first).select(*by, benefit, template).join(mine, [*by, own]).join(keyed, [*by, "key"])
+        found.append(rows.filter(_related(F.col(other), F.col("__other"))).select(*by, benefit, template, "__ord"))
+    return found[0].unionByName(found[1]).groupBy(*by, benefit, template).agg(F.min("__ord").alias("__ord"))
+
+
 def match_responses(
     items: DataFrame, responses: DataFrame, benefit: str, template: str, values: list[str], pos: str,
     by: list[str] | None = None,
@@ -74,21 +105,8 @@ def match_responses(
     ))
     exact = wanted.join(answers, pair).select(*pair, "__ord")
     rest = cut(wanted.join(answers, pair, "left_anti"))
-    keys = answers.select(
-        *by, "__ord",
-        F.explode(F.array(F.concat(F.lit("="), F.col(benefit)), F.lit(ANY))).alias("__kb"),
-        F.concat(F.lit("="), F.col(template)).alias("__t0"),
-    )
-    keys = keys.select(*by, "__ord", "__kb", F.explode(F.array("__t0", F.lit(ANY))).alias("__kt"))
-    first = keys.groupBy(*by, "__kb", "__kt").agg(F.min("__ord").alias("__ord"))
-    options = cut(_options(rest, answers, by, [benefit, template]))
-    side = lambda column, key: options.filter(F.col("side") == column).select(*by, F.col("name").alias(column), F.col("key").alias(key))
-    near = (
-        rest.join(side(benefit, "__kb"), [*by, benefit])
-        .join(side(template, "__kt"), [*by, template])
-        .join(first, [*by, "__kb", "__kt"])
-        .groupBy(*pair).agg(F.min("__ord").alias("__ord"))
-    )
+    options = _options(rest, answers, by, [benefit, template])
+    near = _nearest(rest, answers, options, by, benefit, template)
     chosen = exact.unionByName(near).join(answers.select(*by, "__ord", "__hit"), [*by, "__ord"])
     chosen = chosen.select(*by, F.col(benefit).alias("__b"), F.col(template).alias("__t"), "__hit")
     joined = probe.join(chosen, [*by, "__b", "__t"], "left")

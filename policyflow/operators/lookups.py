@@ -156,19 +156,24 @@ def join_first(df: DataFrame, table: DataFrame, on: str, pos: str) -> DataFrame:
     return df.join(first_per_key(table, [on], pos).drop(pos), on, "left")
 
 
+def category_positions(df: DataFrame, table: DataFrame, code: str, category: str, pos: str, out: str) -> DataFrame:
+    """``out``: position of the row of (code, category), the last one; else of the first category seen for the code."""
+    per = table.groupBy(code, category).agg(F.max(pos).alias("__exact"), F.min(pos).alias("__seen"))
+    fallback = per.groupBy(code).agg(F.min_by("__exact", "__seen").alias("__any"))
+    joined = df.join(per.drop("__seen"), [code, category], "left").join(fallback, code, "left")
+    return joined.select(*df.columns, F.coalesce("__exact", "__any").alias(out))
+
+
 def category_lookup(
     df: DataFrame, table: DataFrame, code: str, category: str, values: list[str], pos: str
 ) -> DataFrame:
-    """Row of (code, category), the last comment winning; else that of the first category seen for the code."""
-    rows = table.select(code, category, pos, *values)
-    per = rows.groupBy(code, category).agg(
-        F.max_by(F.struct(*values), F.col(pos)).alias("__hit"), F.min(pos).alias("__seen")
-    )
-    exact = per.select(code, category, F.col("__hit").alias("__exact"))
-    fallback = per.groupBy(code).agg(F.min_by("__hit", "__seen").alias("__any"))
-    joined = df.join(exact, [code, category], "left").join(fallback, code, "left")
-    joined = joined.withColumn("__use", F.coalesce("__exact", "__any"))
-    return joined.select(*df.columns, *[F.col(f"__use.{v}").alias(v) for v in values])
+    """Row of (code, category), the last comment winning; else that of the first category seen for the code.
+
+    Positions are chosen first; the values are joined to them."""
+    placed = category_positions(df, table, code, category, pos, "__at")
+    rows = table.select(F.col(code).alias("__code"), F.col(pos).alias("__pos"), *[F.col(v).alias(f"__{v}") for v in values])
+    joined = placed.join(rows, (F.col(code) == F.col("__code")) & (F.col("__at") == F.col("__pos")), "left")
+    return joined.select(*df.columns, *[F.col(f"__{v}").alias(v) for v in values])
 
 
 def document_for_category(df: DataFrame, documents: DataFrame, category: str, path: str, pos: str) -> DataFrame:

@@ -32,6 +32,18 @@ def last_per_key(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return best.select(*keys, "__row.*").select(*df.columns)
 
 
+def first_row(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """As ``first_per_key`` for wide rows: only keys and positions are aggregated, and the rows are kept by a semi join.
+
+    The frame is read twice, the first time for its keys and positions. Positions are unique within a key.
+    """
+    least = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(pos).alias("__at"))
+    same = F.col("__at") == F.col(pos)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"__k{i}").eqNullSafe(F.col(k))
+    return df.join(least, same, "left_semi")
+
+
 def _blocked(df: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
     """Adds the key as one struct (null keys compare equal there) and the first position of the row's block."""
     key = F.struct(*keys) if keys else F.lit(0)

@@ -26,12 +26,12 @@ def header_errors(headers: DataFrame, file: str, required: list[str] = names.REQ
 
 
 def row_errors(
-    rows: DataFrame, row_no: str, required: list[str], file: list[str] | None = None, limit: int = 20,
+    rows: DataFrame, row_no: str, required: list[str], file: list[str] | None = None, limit: int | None = None,
     header_errors: str | None = None,
 ) -> DataFrame:
     """Messages (file, row, seq, message) of blank required values.
 
-    Reading stops at the row that brings the count above ``limit``: later rows give nothing, and one overflow message
+    With a ``limit`` reading stops at the row that brings the count above it: later rows give nothing, and one overflow message
     follows. A row may give several messages. The running count is taken over the rows with errors only. The column
     ``header_errors`` holds how many errors the file had before its first row.
     """
@@ -41,16 +41,15 @@ def row_errors(
     checks = F.array(*[
         F.when(blank(c), F.concat(F.lit("Row "), F.col(row_no).cast("string"), F.lit(f": {c} 누락"))) for c in required
     ])
-    bad = rows.select(*file, row_no, before.alias("__header"), F.array_compact(checks).alias("messages")).filter(F.size("messages") > 0)
-    counted = running_before(bad, file, row_no, F.size("messages"), "__before")
-    counted = counted.withColumn("__before", F.col("__before") + F.col("__header"))
-    kept = counted.filter(F.col("__before") <= limit)
-    messages = kept.select(*file, row_no, F.posexplode("messages").alias("seq", "message"))
-    total = kept.groupBy(*file).agg(F.max(row_no).alias(row_no), (F.sum(F.size("messages")) + F.max("__header")).alias("__n"))
-    over = total.filter(F.col("__n") > limit).select(
-        *file, row_no, F.lit(len(required)).alias("seq"), F.lit(names.OVERFLOW_MESSAGE).alias("message")
-    )
-    return messages.unionByName(over)
+    numbered = F.transform(F.array_compact(checks), lambda m, i: F.struct(i.alias("seq"), m.alias("message")))
+    bad = rows.select(*file, row_no, before.alias("__header"), numbered.alias("messages")).filter(F.size("messages") > 0)
+    if limit is not None:
+        count = F.col("__before") + F.col("__header")
+        bad = running_before(bad, file, row_no, F.size("messages"), "__before").filter(count <= limit)
+        # the row that passes the limit is the last one read
+        over = F.array(F.struct(F.lit(len(required)).alias("seq"), F.lit(names.OVERFLOW_MESSAGE).alias("message")))
+        bad = bad.withColumn("messages", F.when(count + F.size("messages") > limit, F.concat("messages", over)).otherwise(F.col("messages")))
+    return bad.select(*file, row_no, F.explode("messages").alias("__m")).select(*file, row_no, "__m.seq", "__m.message")
 
 
 def rows_read(rows: DataFrame, errors: DataFrame, row_no: str, file: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import text as tx
-from ..session import sized
 from .ordered import batches, running_before
 
 FENCE = r"```(?:json)?"
@@ -93,7 +92,7 @@ def mapping_context(config: DataFrame, tables: DataFrame, name: str, content: st
         for key, _, patterns in names.ATTRIBUTES if patterns
     ])
     labelled = tables.select(F.explode(F.array_compact(hits)).alias("attribute"), F.col(pos).alias("pos"), F.col(content).alias("content"))
-    missing = F.concat(F.lit("[주의] '"), F.col("attribute_name"), F.lit("' 관련 매핑 파일을 찾지 못했습니다."))
+    missing = F.concat(F.lit(names.MAPPING_NOT_FOUND[0]), F.col("attribute_name"), F.lit(names.MAPPING_NOT_FOUND[1]))
     message = F.when(F.size("patterns") == 0, names.NO_MAPPING_TABLE).otherwise(missing)
     without = config.join(labelled.select("attribute").distinct(), "attribute", "left_anti")
     return labelled.unionByName(without.select("attribute", F.lit(-1).cast("long").alias("pos"), message.alias("content")))
@@ -120,23 +119,33 @@ def item_line(number: Column, benefit: Column, template: Column) -> Column:
     )
 
 
-def rules_prompt(attribute: Column, group: Column, context: Column) -> Column:
+def _section(title: str, text: Column | None) -> list[Column]:
+    """A titled block, left out where the text is missing or empty."""
+    if text is None:
+        return []
+    return [F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{title}:\n"), text, F.lit("\n"))).otherwise("")]
+
+
+def rules_prompt(attribute: Column, group: Column, context: Column, instructions: Column | None = None, example: Column | None = None) -> Column:
     """Phase 1: ask for the inference rules of one attribute from one reference group."""
     return F.concat(
         F.lit("Role: insurance terms analyst.\nGoal: from the reference group ("), group,
-        F.lit(") derive the rules that lead to '"), attribute,
-        F.lit("'.\nMapping tables:\n"), context,
-        F.lit("\nAnswer with one JSON object: attribute, appendix_refs[], context_clues[], "
+        F.lit(") derive the rules that lead to '"), attribute, F.lit("'.\n"), *_section("Instructions", instructions),
+        F.lit("Mapping tables:\n"), context, F.lit("\n"), *_section("Example", example),
+        F.lit("Answer with one JSON object: attribute, appendix_refs[], context_clues[], "
               "rules[{template_pattern, code, kcd_range, exclusions[], note}]; leave rules empty when there are none."),
     )
 
 
-def values_prompt(attribute: Column, context: Column, logic: Column, items: Column) -> Column:
+def values_prompt(
+    attribute: Column, context: Column, logic: Column, items: Column, instructions: Column | None = None, example: Column | None = None
+) -> Column:
     """Phase 2: ask for the value of one attribute for a batch of items."""
     fields = ", ".join(names.RESPONSE_FIELDS)
     return F.concat(
-        F.lit("Task: infer '"), attribute, F.lit("' for every item.\nMapping tables:\n"), context,
-        F.lit("\nRules:\n"), logic, F.lit("\nItems:\n"), items,
+        F.lit("Task: infer '"), attribute, F.lit("' for every item.\n"), *_section("Instructions", instructions),
+        F.lit("Mapping tables:\n"), context, F.lit("\nRules:\n"), logic, F.lit("\n"), *_section("Example", example),
+        F.lit("Items:\n"), items,
         F.lit(f"\nAnswer with a JSON array of objects with the fields {fields}. "
               "An empty inferred_code needs its reason in ref_sentence."),
     )
@@ -145,41 +154,42 @@ def values_prompt(attribute: Column, context: Column, logic: Column, items: Colu
 def batch_prompts(items: DataFrame, config: DataFrame, benefit: str, template: str, pos: str, size: int = 20) -> DataFrame:
     """(attribute, batch_no, batch_total, prompt): one prompt per attribute and batch of ``size`` items.
 
-    ``config`` holds attribute, attribute_name, context and logic: one row per attribute, of which there are nine. A batch
-    collects ``size`` lines.
+    ``config`` holds attribute, attribute_name, context and logic, and if wanted instructions and a worked example: one row per
+    attribute, of which there are nine. A batch collects ``size`` lines.
     """
+    extra = [F.col(c) if c in config.columns else None for c in ("instructions", "example")]
     numbered = batches(items, pos, size)
     line = item_line(F.col("row_no"), F.col(benefit), F.col(template))
     lists = numbered.groupBy("batch_no", "batch_total").agg(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))).alias("__l"))
     texts = lists.select("batch_no", "batch_total", F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("items"))
     keys = F.array(*[F.lit(key) for key, _, _ in names.ATTRIBUTES])
     each = texts.withColumn("attribute", F.explode(keys)).join(config, "attribute")
-    prompt = values_prompt(F.col("attribute_name"), F.col("context"), F.col("logic"), F.col("items"))
+    prompt = values_prompt(F.col("attribute_name"), F.col("context"), F.col("logic"), F.col("items"), *extra)
     return each.select("attribute", "batch_no", "batch_total", prompt.alias("prompt"))
 
 
-def budget_text(
-    pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int = 100_000, broadcast_rows: int = 500_000
-) -> DataFrame:
-    """Pieces under '=== name ===' headers up to ``limit`` characters; the last piece is cut, later ones dropped.
+def budget_rows(pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int | None = None) -> DataFrame:
+    """Non-empty pieces under '=== name ===' headers in order: (keys, pos, ``before``, ``piece``).
 
-    Only lengths are put in order: an earlier piece counts in full, which is enough to drop the pieces that start past the
-    limit. The few that are left are joined back to their content (without moving the rest of it while they are at most
-    ``broadcast_rows``), so a group collects at most ``limit`` characters plus headers.
+    ``before`` counts the characters of the earlier pieces in full, headers included. With a ``limit`` the piece that passes it is cut and
+    later ones are left out; without one nothing is. Only lengths are put in order, the contents are joined back.
     """
     at = F.struct(*keys, pos)
     sizes = pieces.filter(F.length(content) > 0).select(
         *keys, pos, (F.length(content) + F.length(name) + F.lit(11)).cast("long").alias("__len")
     )
-    placed = running_before(sizes, keys, pos, F.col("__len"), "__before").filter(F.col("__before") < limit)
-    kept = sized(placed.select(at.alias("__at"), "__before"), broadcast_rows)
-    opened = pieces.withColumn("__at", at).join(kept, "__at")
-    open_piece = F.concat(
-        F.lit("\n=== "), F.col(name), F.lit(" ===\n"),
-        F.substring(F.col(content), F.lit(1), (F.lit(limit) - F.col("__before")).cast("int")), F.lit("\n"),
-    )
-    shown = opened.select(*keys, F.struct(F.col(pos).alias("p"), open_piece.alias("t")).alias("__p"))
-    merged = shown.groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__p"))
+    placed = running_before(sizes, keys, pos, F.col("__len"), "before")
+    kept = placed if limit is None else placed.filter(F.col("before") < limit)
+    opened = pieces.withColumn("__at", at).join(kept.select(at.alias("__at"), "before"), "__at")
+    body = F.col(content) if limit is None else F.substring(F.col(content), F.lit(1), (F.lit(limit) - F.col("before")).cast("int"))
+    piece = F.concat(F.lit("\n=== "), F.col(name), F.lit(" ===\n"), body, F.lit("\n"))
+    return opened.select(*keys, pos, "before", piece.alias("piece"))
+
+
+def budget_text(pieces: DataFrame, keys: list[str], pos: str, name: str, content: str, limit: int) -> DataFrame:
+    """The pieces of ``budget_rows`` as one text per key: a group collects at most ``limit`` characters plus headers."""
+    shown = budget_rows(pieces, keys, pos, name, content, limit)
+    merged = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("piece").alias("t")))).alias("__p"))
     return merged.select(*keys, F.array_join(F.transform("__p", lambda r: r["t"]), "").alias("text"))
 
 

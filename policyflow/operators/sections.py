@@ -95,15 +95,16 @@ def article_rows(docs: DataFrame, text: str = "text", article: str = ARTICLE) ->
     return rows.select(*keep, (F.col("article_no") + 1).alias("article_no"), "a.*")
 
 
-def appendices(text: Column, pattern: str = APPENDIX, limit: int = 50000, word: str = "별표") -> Column:
-    """Appendix name, start page (first page mark inside, else 0) and trimmed content cut at ``limit`` characters."""
+def appendices(text: Column, pattern: str = APPENDIX, limit: int | None = None, word: str = "별표") -> Column:
+    """Appendix name, start page (first page mark inside, else 0) and trimmed content, cut at ``limit`` characters if one is given."""
 
     def one(pair):
         page = F.regexp_extract(pair["content"], PAGE_MARK, 1).try_cast("int")
+        content = strip(pair["content"])
         return F.struct(
             strip(pair["name"]).alias("name"),
             F.coalesce(page, F.lit(0)).alias("start_page"),
-            F.substring(strip(pair["content"]), 1, limit).alias("content"),
+            (content if limit is None else F.substring(content, 1, limit)).alias("content"),
         )
 
     def all_of(parts):
@@ -120,7 +121,7 @@ def _pairs(parts: Column) -> Column:
     return F.transform(F.arrays_zip(names_.alias("name"), after.alias("content")), lambda z: F.struct(z["name"].alias("name"), z["content"].alias("content")))
 
 
-def appendix_rows(docs: DataFrame, text: str = "text", pattern: str = APPENDIX, limit: int = 50000) -> DataFrame:
+def appendix_rows(docs: DataFrame, text: str = "text", pattern: str = APPENDIX, limit: int | None = None) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.posexplode(appendices(F.col(text), pattern, limit)).alias("pos", "a"))
     return rows.select(*keep, (F.col("pos") + 1).alias("pos"), "a.*")
@@ -159,14 +160,14 @@ def chunk_rows(docs: DataFrame, text: str = "text", size: int = 8000, pattern: s
     return rows.select(*keep, (F.col("part_no") + 1).alias("part_no"), "c.*")
 
 
-def preprocess(docs: DataFrame, text: str = "text", size: int = 8000) -> DataFrame:
-    """Structure, appendices, chunks and counts of each document; an empty text gives an error row."""
+def preprocess(docs: DataFrame, text: str = "text", size: int = 8000, appendix_limit: int | None = None) -> DataFrame:
+    """Structure, appendices (cut at ``appendix_limit`` characters if given), chunks and counts of each document; an empty text gives an error row."""
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     body = docs.select(
         *docs.columns,
         F.when(empty, "empty text").alias("error"),
         F.when(~empty, articles(F.col(text))).alias("articles"),
-        F.when(~empty, appendices(F.col(text))).alias("appendices"),
+        F.when(~empty, appendices(F.col(text), limit=appendix_limit)).alias("appendices"),
         F.when(~empty, chunks(F.col(text), size)).alias("chunks"),
     )
     return body.select(

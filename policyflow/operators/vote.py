@@ -40,17 +40,21 @@ def vote(primary: Column, secondary: Column) -> dict[str, Column]:
     }
 
 
-def vote_batch(
-    primary: DataFrame, secondary: DataFrame, keys: list[str], pos: str, fields: list[str] = FIELDS
-) -> DataFrame:
-    """One decision per primary row; the last secondary row of a key takes part, a missing one counts as empty."""
+def with_secondary(primary: DataFrame, secondary: DataFrame, keys: list[str], pos: str, fields: list[str]) -> DataFrame:
+    """Primary rows with the last secondary row of their trimmed key as the struct ``__s``, null where there is none."""
     probe = primary.withColumns({f"__{k}": tx.strip(tx.text_or_empty(F.col(k))) for k in keys})
     probe_keys = [f"__{k}" for k in keys]
     other = secondary.select(
-        *[tx.strip(tx.text_or_empty(F.col(k))).alias(f"__{k}") for k in keys], pos, F.struct(*fields).alias("__s")
+        *[tx.strip(tx.text_or_empty(F.col(k))).alias(f"__{k}") for k in keys], F.col(pos).alias("__pos"), F.struct(*fields).alias("__s")
     )
-    other = last_per_key(other, probe_keys, pos).drop(pos)
-    joined = probe.withColumn("__p", F.struct(*fields)).join(other, probe_keys, "left")
+    return probe.join(last_per_key(other, probe_keys, "__pos").drop("__pos"), probe_keys, "left").drop(*probe_keys)
+
+
+def vote_batch(
+    primary: DataFrame, secondary: DataFrame, keys: list[str], pos: str, fields: list[str] = FIELDS
+) -> DataFrame:
+    """One decision per primary row; the last secondary row of a key takes part, a missing one counts as empty."""
+    joined = with_secondary(primary.withColumn("__p", F.struct(*fields)), secondary, keys, pos, fields)
     decided = vote(F.col("__p"), F.col("__s"))
     keep = [c for c in primary.columns if c not in fields]
     return joined.select(*keep, *[e.alias(n) for n, e in decided.items()])

@@ -110,6 +110,13 @@ def incoming(spark, d) -> DataFrame:
 
 
 def errors(spark, d) -> DataFrame:
+    return quality.row_errors(incoming(spark, d), "row_no", ["product_code", "benefit_name"], ["file"], names.ERRORS_PER_FILE)
+
+
+@query("q1_all", """SELECT o_orderpriority AS file, o_orderkey AS row_no, 0 AS seq, 'Row ' || o_orderkey || CASE WHEN o_orderkey % 17 = 0 THEN ': product_code 누락' ELSE ': benefit_name 누락' END AS message FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 13 = 0
+UNION ALL SELECT o_orderpriority, o_orderkey, 1, 'Row ' || o_orderkey || ': benefit_name 누락' FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 13 = 0""")
+def q1_all(spark, d):
+    """Messages of all blank required values."""
     return quality.row_errors(incoming(spark, d), "row_no", ["product_code", "benefit_name"], ["file"])
 
 

@@ -73,20 +73,25 @@ def p5(spark, d):
     return raw_responses(spark, d).filter(responses.useful(F.col("raw")))
 
 
+_PROMPT_TAIL = f"Answer with a JSON array of objects with the fields {', '.join(names.RESPONSE_FIELDS)}. An empty inferred_code needs its reason in ref_sentence."
+
+
 @query("k4", """
 WITH a AS (SELECT * FROM (VALUES %s) v(attribute, attribute_name))
-SELECT p_partkey, attribute, length('Task: infer ''' || attribute_name || ''' for every item.' || chr(10) || 'Mapping tables:' || chr(10) || p_type || chr(10) || 'Rules:' || chr(10) || '추출된 로직 없음. 표준 보험/의료 지식 활용.' || chr(10) || 'Items:' || chr(10)
-  || '[1] 담보명: ' || p_name || ' / 세부담보템플릿명: ' || p_brand) AS head_chars, position('[1] 담보명: ' || p_name || ' / 세부담보템플릿명: ' || p_brand IN
-  'Task: infer ''' || attribute_name || ''' for every item.' || chr(10) || 'Mapping tables:' || chr(10) || p_type || chr(10) || 'Rules:' || chr(10) || '추출된 로직 없음. 표준 보험/의료 지식 활용.' || chr(10) || 'Items:' || chr(10) || '[1] 담보명: ' || p_name || ' / 세부담보템플릿명: ' || p_brand) > 0 AS has_item
-FROM part CROSS JOIN a""" % ", ".join(f"('{k}', '{n}')" for k, n, _ in names.ATTRIBUTES))
+SELECT p_partkey, attribute, md5('Task: infer ''' || attribute_name || ''' for every item.' || chr(10)
+  || CASE WHEN p_size %% 2 = 0 THEN 'Instructions:' || chr(10) || 'Look at ' || p_brand || ' first.' || chr(10) ELSE '' END || 'Mapping tables:' || chr(10) || p_type || chr(10)
+  || 'Rules:' || chr(10) || '추출된 로직 없음. 표준 보험/의료 지식 활용.' || chr(10) || CASE WHEN p_size %% 3 = 0 THEN 'Example:' || chr(10) || p_type || ' -> ' || p_size || chr(10) ELSE '' END
+  || 'Items:' || chr(10) || '[1] 담보명: ' || p_name || ' / 세부담보템플릿명: ' || p_brand || chr(10) || '%s') AS prompt_hash
+FROM part CROSS JOIN a""" % (", ".join(f"('{k}', '{n}')" for k, n, _ in names.ATTRIBUTES), _PROMPT_TAIL))
 def k4(spark, d):
-    """One prompt per item and attribute; the attributes are a fixed list of nine."""
+    """One whole prompt per item and attribute, some with instructions or a worked example; the attributes are a fixed list of nine."""
     nine = F.array(*[F.struct(F.lit(k).alias("attribute"), F.lit(n).alias("attribute_name")) for k, n, _ in names.ATTRIBUTES])
     rows = table(spark, d, "part").select("*", F.explode(nine).alias("a"))
     item = responses.item_line(F.lit(1), F.col("p_name"), F.col("p_brand"))
-    prompt = responses.values_prompt(F.col("a.attribute_name"), F.col("p_type"), F.lit(names.DEFAULT_LOGIC), item)
-    head = F.split_part(prompt, F.lit("\nAnswer with a JSON array"), F.lit(1))
-    return rows.select("p_partkey", "a.attribute", F.length(head).alias("head_chars"), F.contains(prompt, item).alias("has_item"))
+    instructions = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Look at "), "p_brand", F.lit(" first.")))
+    example = F.when(F.col("p_size") % 3 == 0, F.concat("p_type", F.lit(" -> "), F.col("p_size").cast("string")))
+    prompt = responses.values_prompt(F.col("a.attribute_name"), F.col("p_type"), F.lit(names.DEFAULT_LOGIC), item, instructions, example)
+    return rows.select("p_partkey", "a.attribute", F.md5(prompt).alias("prompt_hash"))
 
 
 @query("k4_batches", """
@@ -104,16 +109,15 @@ def k4_batches(spark, d):
     return prompts.select("attribute", "batch_no", "batch_total", F.md5(listed).alias("items_hash"))
 
 
-@query("k4_rules", """SELECT s_suppkey, contains(p, 'reference group (g' || s_suppkey || ')') AS has_group, contains(p, s_name) AS has_context, contains(p, '면책코드 (Exemption Code)') AS has_attribute
-FROM (SELECT s_suppkey, s_name, 'reference group (g' || s_suppkey || ') 면책코드 (Exemption Code) ' || s_name AS p FROM supplier)""")
+@query("k4_rules", f"""SELECT s_suppkey, md5('Role: insurance terms analyst.' || chr(10) || 'Goal: from the reference group (g' || s_suppkey || ') derive the rules that lead to ''{names.ATTRIBUTES[1][1]}''.' || chr(10)
+  || CASE WHEN s_nationkey % 2 = 0 THEN 'Instructions:' || chr(10) || 'Nation ' || s_nationkey || chr(10) ELSE '' END || 'Mapping tables:' || chr(10) || s_name || chr(10)
+  || 'Answer with one JSON object: attribute, appendix_refs[], context_clues[], rules[{{template_pattern, code, kcd_range, exclusions[], note}}]; leave rules empty when there are none.') AS prompt_hash FROM supplier""")
 def k4_rules(spark, d):
-    """One rules prompt per reference group."""
+    """One whole rules prompt per reference group."""
     group = F.concat(F.lit("g"), F.col("s_suppkey").cast("string"))
-    prompt = responses.rules_prompt(F.lit(names.ATTRIBUTES[1][1]), group, F.col("s_name"))
-    return table(spark, d, "supplier").select(
-        "s_suppkey", F.contains(prompt, F.concat(F.lit("reference group ("), group, F.lit(")"))).alias("has_group"),
-        F.contains(prompt, F.col("s_name")).alias("has_context"), F.contains(prompt, F.lit(names.ATTRIBUTES[1][1])).alias("has_attribute"),
-    )
+    instructions = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")))
+    prompt = responses.rules_prompt(F.lit(names.ATTRIBUTES[1][1]), group, F.col("s_name"), instructions)
+    return table(spark, d, "supplier").select("s_suppkey", F.md5(prompt).alias("prompt_hash"))
 
 
 @query("u5", """
@@ -188,12 +192,8 @@ def e2(spark, d):
 def j12(spark, d):
     """Primary answers with and without a secondary one; the last secondary row of a pair counts."""
     primary, secondary = model_answers(spark, d)
-    trimmed = secondary.withColumn("benefit_name", F.trim("benefit_name"))
-    from ..operators.ordered import last_per_key
-
-    other = last_per_key(trimmed.select("benefit_name", "template_name", "pos"), ["benefit_name", "template_name"], "pos")
-    joined = primary.join(other, ["benefit_name", "template_name"], "left")
-    return joined.groupBy("benefit_name", "template_name").agg(F.count("*").alias("n"), F.count("pos").alias("n_hit"))
+    joined = vote.with_secondary(primary.drop("pos"), secondary, ["benefit_name", "template_name"], "pos", ["pos"])
+    return joined.groupBy("benefit_name", "template_name").agg(F.count("*").alias("n"), F.count("__s.pos").alias("n_hit"))
 
 
 # --- gate and review

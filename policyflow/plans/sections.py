@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import names
 from ..operators import sections
 from ..session import scratch
 from .registry import query, table
@@ -81,7 +82,13 @@ X2_SQL = f"""ap AS (SELECT doc_id, list_transform(range(1, len(p) // 2 + 1), lam
 
 @query("x2", f"WITH {POLICY_SQL}, {X2_SQL}, u AS (SELECT doc_id, unnest(a) AS e FROM ap) SELECT doc_id, CAST(e.pos AS INT) AS pos, e.name AS name, e.start_page AS start_page, e.content AS content FROM u")
 def x2(spark, d):
-    """Appendices with their start page."""
+    """Appendices with their start page, cut at the format's limit."""
+    return sections.appendix_rows(policies(spark, d), limit=names.APPENDIX_CHARACTERS)
+
+
+@query("x2_whole", f"WITH {POLICY_SQL}, {X2_SQL.replace(', 1, 50000)', ', 1)')}, u AS (SELECT doc_id, unnest(a) AS e FROM ap) SELECT doc_id, CAST(e.pos AS INT) AS pos, e.name AS name, e.start_page AS start_page, e.content AS content FROM u")
+def x2_whole(spark, d):
+    """Appendices with all of their text."""
     return sections.appendix_rows(policies(spark, d))
 
 
@@ -124,7 +131,7 @@ def a14(spark, d):
 def x4(spark, d):
     """The whole preprocessing result; an error text for empty documents."""
     counts = ["total_chars", "article_count", "appendix_count", "chunk_count"]
-    out = sections.preprocess(policies(spark, d))
+    out = sections.preprocess(policies(spark, d), appendix_limit=names.APPENDIX_CHARACTERS)
     joined = F.array_join(F.transform("chunks", lambda c: F.concat(c["title"], c["content"])), "\n")
     return out.select("doc_id", F.md5(joined).alias("chunk_hash"), F.coalesce("error", F.lit("")).alias("error"), *[F.col(c).cast("long").alias(c) for c in counts])
 

@@ -11,7 +11,7 @@ from ..sources import sinks, tables as src
 from .registry import query, table
 
 
-@query("s9", "SELECT c_mktsegment AS folder, 'csv' AS kind FROM customer GROUP BY 1")
+@query("s9", "SELECT c_mktsegment AS folder, 'csv' AS kind, CAST(sum(length(CAST(c_custkey AS VARCHAR)) + length(c_name) + 2) AS BIGINT) AS bytes FROM customer GROUP BY 1")
 def s9(spark, d):
     """Directory listing with name, time and length; temporary names are left out."""
     path = scratch(spark, "tree")
@@ -20,7 +20,7 @@ def s9(spark, d):
     listed = src.list_files(spark, path, "*.csv", recursive=True)
     folder = F.replace(tx.folder_name(F.col("path")), F.lit("segment="), F.lit(""))
     kind = F.replace(tx.extension(F.col("name")), F.lit("."), F.lit(""))
-    return listed.filter("length > 0 and mtime is not null").select(folder.alias("folder"), kind.alias("kind")).distinct()
+    return listed.filter("mtime is not null").groupBy(folder.alias("folder"), kind.alias("kind")).agg(F.sum("length").alias("bytes"))
 
 
 @query("s10", """WITH f AS (SELECT regexp_replace(regexp_extract(url, '^https?://[^/]+/(.*)$', 1), '[?#].*$', '') AS path, page_id FROM pages),

@@ -503,10 +503,15 @@ def p9(spark, d):
     return responses.mapping_context(responses.attributes(spark), tables_, "name", "content", "pos")
 
 
-@query("u3", "SELECT p_partkey, 'template_name,diagnosis_code,verification_status' AS missing FROM part")
+@query("u3", """SELECT p_partkey AS file, '누락 컬럼: ' || concat_ws(', ', CASE WHEN p_size % 2 = 0 THEN 'benefit_name' END, CASE WHEN p_size % 3 = 0 THEN 'template_name' END, 'confidence') AS message
+FROM part WHERE p_size % 5 <> 0""")
 def u3(spark, d):
-    """Required columns that are missing, stated for every row of the file."""
+    """Required columns that are missing, per file; a file that lacks none gives no row."""
     from ..operators import quality
 
-    rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("product_code"), F.col("p_name").alias("benefit_name"), F.lit("").alias("confidence"))
-    return rows.select("p_partkey", F.lit(",".join(quality.missing_columns(rows.columns))).alias("missing"))
+    n = F.col("p_size")
+    has = F.array_compact(F.array(
+        F.lit("product_code"), F.when((n % 2 != 0) | (n % 5 == 0), "benefit_name"), F.when((n % 3 != 0) | (n % 5 == 0), "template_name"),
+        F.lit("diagnosis_code"), F.lit("verification_status"), F.when(n % 5 == 0, "confidence"),
+    ))
+    return quality.header_errors(table(spark, d, "part").select(F.col("p_partkey").alias("file"), has.alias("header")), "file")

@@ -144,7 +144,7 @@ def g4(spark, d):
     """Phrase tags in texts."""
     rows = tagged(spark, d, phrase_text())
     index = assembly.phrase_index(assembly.phrase_table(phrase_rows(spark, d), "pos"))
-    maps = assembly.phrase_maps(rows, index, "p_partkey", "text", "ctx")
+    maps = assembly.phrase_maps(rows, index, ["p_partkey"], "text", "ctx")
     joined = rows.join(maps, "p_partkey", "left")
     phrases = F.coalesce("phrases", F.create_map().cast(assembly.PHRASE_SCHEMA))
     return joined.select("p_partkey", tags.render_phrases(F.col("text"), phrases).alias("rendered"))
@@ -188,16 +188,10 @@ def g9(spark, d):
     full = F.concat(control_text(), phrase_text(), F.lit("{세부보장1}{지급률1-1-1}%{독립특약9}"))
     rows = tagged(spark, d, F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(full))
     index = assembly.phrase_index(assembly.phrase_table(phrase_rows(spark, d), "pos"))
-    return assembly.render_clauses(rows, index, "p_partkey", "text", "ctx").select("p_partkey", "rendered")
+    return assembly.render_clauses(rows, index, "text", "ctx").select("p_partkey", "rendered")
 
 
-@query("g9_joined", ORACLES["g9"])
-def g9_joined(spark, d):
-    """Full rendering with the phrases joined, as for a large phrase table."""
-    full = F.concat(control_text(), phrase_text(), F.lit("{세부보장1}{지급률1-1-1}%{독립특약9}"))
-    rows = tagged(spark, d, F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(full))
-    index = assembly.phrase_index(assembly.phrase_table(phrase_rows(spark, d), "pos"))
-    return assembly.render_clauses(rows, index, "p_partkey", "text", "ctx", literal_rows=0).select("p_partkey", "rendered")
+g9_joined = query("g9_joined", ORACLES["g9"])(g9)
 
 
 @query("g10", f"""WITH {PHRASES_SQL}, {LOOKUP_SQL}, e AS (
@@ -209,7 +203,7 @@ def g10(spark, d):
     """Replacement dictionary of a text; unresolved periods are left out."""
     rows = tagged(spark, d, F.lit("{단체1}{세부보장1}{감액기간2-1}{감액기간9-1}{단체1}"))
     index = assembly.phrase_index(assembly.phrase_table(phrase_rows(spark, d), "pos"))
-    joined = rows.join(assembly.phrase_maps(rows, index, "p_partkey", "text", "ctx"), "p_partkey", "left")
+    joined = rows.join(assembly.phrase_maps(rows, index, ["p_partkey"], "text", "ctx"), "p_partkey", "left")
     entries = F.map_entries(assembly.replacements(F.col("text"), F.col("ctx"), F.col("phrases")))
     return joined.select("p_partkey", F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("entries"))
 
@@ -286,9 +280,9 @@ def x8(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.replace_all(F.col("text"), pairs)).alias("text_hash"))
 
 
-@query("x9", """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'ab' ELSE 'a' || text || 'b' END) AS text_hash, CAST(2 AS INT) AS pairs FROM documents""")
+@query("x9", """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'ab' ELSE 'a' || text || 'b' END) AS text_hash, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS INT) AS pairs FROM documents""")
 def x9(spark, d):
     """Tag pairs deleted with or without content, and counted."""
-    t = F.concat(F.lit("a{갱신1-1}"), "text", F.lit("{갱신1-2}b{갱신2-1}{갱신2-2}"))
+    t = F.concat(F.lit("a{갱신1-1}"), "text", F.lit("{갱신1-2}b"), F.when(F.col("doc_id") % 3 != 0, "{갱신1-1}{갱신1-2}").otherwise(""))
     out = tags.drop_pairs(t, "갱신", 1, 2, F.col("doc_id") % 2 == 1)
     return table(spark, d, "documents").select("doc_id", F.md5(out).alias("text_hash"), tags.pair_count(t, "갱신", 1, 2).alias("pairs"))

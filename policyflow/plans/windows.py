@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import numbers
+from .. import names
 from ..operators import assembly, ordered, paging, responses
 from .registry import query, table
 
@@ -12,7 +13,7 @@ from .registry import query, table
 @query("w1", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
 def w1(spark, d):
     """First row per key."""
-    return ordered.first_per_key(table(spark, d, "events"), ["user_id"], "event_id")
+    return ordered.first_row(table(spark, d, "events"), ["user_id"], "event_id")
 
 
 def comments(spark, d) -> DataFrame:
@@ -90,14 +91,24 @@ FROM (SELECT source, n, chr(10) || '=== ' || name || ' ===' || chr(10) || substr
 def w9(spark, d):
     """Text of a group up to 100,000 characters."""
     docs = table(spark, d, "documents").select("source", "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
-    out = responses.budget_text(docs, ["source"], "doc_id", "name", "text")
+    out = responses.budget_text(docs, ["source"], "doc_id", "name", "text", names.BUDGET_CHARACTERS)
     return out.select("source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_hash"))
 
 
-@query("w11", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮', l_linenumber, 1) AS mark FROM lineitem")
+@query("w9_whole", """
+SELECT source, doc_id, CAST(coalesce(sum(length(text) + length(CAST(doc_id AS VARCHAR)) + 14) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+  md5(chr(10) || '=== doc' || doc_id || ' ===' || chr(10) || text || chr(10)) AS piece_hash FROM documents WHERE length(text) > 0""")
+def w9_whole(spark, d):
+    """Every piece of a group with its place in the group's text, nothing left out."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
+    out = responses.budget_rows(docs, ["source"], "doc_id", "name", "text")
+    return out.select("source", "doc_id", "before", F.md5("piece").alias("piece_hash"))
+
+
+@query("w11", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber * 3 <= 15 THEN substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮', l_linenumber * 3, 1) ELSE '(' || (l_linenumber * 3) || ')' END AS mark FROM lineitem")
 def w11(spark, d):
-    """Circled numbers by position."""
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", assembly.circled(F.col("l_linenumber")).alias("mark"))
+    """Circled numbers by position, in brackets where there is no circled one."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", assembly.circled(F.col("l_linenumber") * 3).alias("mark"))
 
 
 @query("w12", "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 100")

@@ -51,8 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
-
-def sized(df: DataFrame, max_rows: int) -> DataFrame:
-    """The frame, checkpointed, and broadcast in its next join only if its counted rows are few enough."""
-    fixed = cut(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed

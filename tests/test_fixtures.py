@@ -352,7 +352,8 @@ def test_classify(rows):
 def test_row_errors_stop(rows):
     data = [("f", i, "" if i <= 25 else "p", "b") for i in range(1, 31)]
     df = rows(data, "file string, row_no long, product_code string, benefit_name string")
-    out = quality.row_errors(df, "row_no", ["product_code", "benefit_name"], ["file"])
+    assert quality.row_errors(df, "row_no", ["product_code", "benefit_name"], ["file"]).count() == 25
+    out = quality.row_errors(df, "row_no", ["product_code", "benefit_name"], ["file"], 20)
     assert out.count() == 22 and out.filter(F.col("message") == names.OVERFLOW_MESSAGE).count() == 1
     assert pairs(quality.rows_read(df, out, "row_no", ["file"]), "file", "row_count") == [("f", 21)]
     assert pairs(quality.validity(df, out, "file"), "file", "error_count", "valid") == [("f", 22, False)]
