@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import tags, text as tx
+from ..session import cut
 from .lookups import category_lookup
 from .ordered import BLOCK, first_per_key, first_row, next_filled, number_in_order
 
@@ -118,7 +119,8 @@ def section_ends(
     at = F.struct(F.col(start).alias("start"), F.col(text).alias("text"))
     rows = next_filled(comments, [doc], pos, F.when(marked, at), "__m", width)
     same = F.coalesce(F.contains(F.col("__m.text"), F.col(text)), F.lit(False))
-    asking = rows.filter(same & (F.col(text) != "")).select(doc, pos, F.col(text).alias("__own"))
+    # few rows, read by several branches
+    asking = cut(rows.filter(same & (F.col(text) != "")).select(doc, pos, F.col(text).alias("__own")))
     marks = comments.filter(marked).select(doc, pos, start, text)
     others = (
         asking.select(doc, "__own").distinct().join(marks.select(doc, text).distinct(), doc).filter(~F.contains(F.col(text), F.col("__own")))

@@ -65,16 +65,22 @@ def _attach(local: DataFrame, carried: DataFrame) -> DataFrame:
     return local.join(carried, [_KEY, _BLOCK], "left")
 
 
-def number_in_order(df: DataFrame, keys: list[str], pos: str, out: str, width: int = BLOCK) -> DataFrame:
-    """Row number from 1 within the key, by position."""
+def number_in_order(df: DataFrame, keys: list[str], pos: str, out: str, width: int = BLOCK, total: str | None = None) -> DataFrame:
+    """Row number from 1 within the key, by position; ``total`` adds the number of rows of the key."""
     blocked = _blocked(df, keys, pos, width)
+    own = Window.partitionBy(_KEY)
     carried = _carry(
         blocked, F.count("*"),
-        lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        lambda w: F.struct(
+            F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.sum("__sum").over(own).alias("total"),
+        ),
     )
     local = blocked.withColumn("__local", F.row_number().over(_inside(pos)))
-    joined = _attach(local, carried)
-    return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _KEY, _BLOCK)
+    joined = _attach(local, carried).withColumn(out, F.col("__local") + F.col("__carry.before"))
+    if total:
+        joined = joined.withColumn(total, F.col("__carry.total"))
+    return joined.drop("__local", "__carry", _KEY, _BLOCK)
 
 
 def running_before(
@@ -146,10 +152,7 @@ def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) ->
 
 def batches(df: DataFrame, pos: str, size: int, keys: list[str] | None = None, width: int = BLOCK) -> DataFrame:
     """Number rows and put ``size`` of them in a batch: adds ``row_no``, ``batch_no`` and ``batch_total``."""
-    keys = keys or []
-    numbered = number_in_order(df, keys, pos, "row_no", width)
-    totals = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(size)).alias("batch_total"))
-    numbered = numbered.withColumn("batch_no", F.floor((F.col("row_no") - 1) / F.lit(size)) + 1)
-    if keys:
-        return numbered.join(totals, keys, "left")
-    return numbered.withColumn("batch_total", totals.scalar())
+    numbered = number_in_order(df, keys or [], pos, "row_no", width, "batch_total")
+    return numbered.withColumns({
+        "batch_no": F.floor((F.col("row_no") - 1) / F.lit(size)) + 1, "batch_total": F.ceil(F.col("batch_total") / F.lit(size)),
+    })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import cut
 from .ordered import BLOCK, first_per_key, number_in_order, number_sorted
 
 
@@ -16,7 +17,8 @@ def ascending_run(
     The first row is the header (``sub_no`` 0), the second always counts, a later one only while its sequence number is
     above the count so far; the run ends at the first row that is not.
     """
-    numbered = number_in_order(structure, [key], pos, "__rn", width).withColumn("sub_no", F.col("__rn") - 1)
+    # read for the ends of the runs and for their rows, so it is worked out once
+    numbered = cut(number_in_order(structure, [key], pos, "__rn", width).withColumn("sub_no", F.col("__rn") - 1))
     breaks = (F.col("sub_no") >= 2) & ~F.coalesce(F.col(sequence) > F.col("sub_no") - 1, F.lit(False))
     ends = numbered.filter(breaks).groupBy(key).agg(F.min("sub_no").alias("__end"))
     joined = numbered.join(ends, key, "left")
