@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import scratch
 
 #: Rows per Arrow batch, so that a batch of long texts stays small beside an executor's memory.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: Bytes of text that are worked on at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
 

@@ -30,7 +30,7 @@ UNKNOWN, END = 0, 1
 #: The end of a text among the word hashes.
 END_HASH = np.uint64(0x5EED5EED5EED5EED)
 #: Text of a slice, in bytes, and its most documents.
-SLICE, SLICE_DOCS = 8 << 20, 1 << 15
+SLICE, SLICE_DOCS = 3 << 20, 1 << 15
 
 #: Rows between tasks. Of a slice for a bucket: distinct keys, their counts in learning texts, and for each key how many documents hold it, which, and how often.
 SENT = "bucket int, slice long, keys binary, counts binary, holders binary, docs binary, times binary"
