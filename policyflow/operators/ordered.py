@@ -134,13 +134,12 @@ def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     """Row number from 1 within the key, by any sortable columns that make the order total.
 
     Rows are range-partitioned on (keys, order), so a large key spreads over many partitions. The partition number is
-    fixed by a checkpoint; counts per key and partition give each partition its offset.
+    fixed by writing it; counts per key and partition, which read these two columns only, give each partition its offset.
     """
-    from ..session import shared_folder
+    from ..session import cut
 
-    shared_folder(df.sparkSession)
     key = F.struct(*keys) if keys else F.lit(0)
-    ranged = df.repartitionByRange(*keys, *order).withColumns({_KEY: key, _BLOCK: F.spark_partition_id()}).checkpoint()
+    ranged = cut(df.repartitionByRange(*keys, *order).withColumns({_KEY: key, _BLOCK: F.spark_partition_id()}))
     carried = _carry(
         ranged, F.count("*"),
         lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),

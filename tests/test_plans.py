@@ -17,18 +17,23 @@ def plan(df, kind="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), kind)().toString()
 
 
+def table_scans(spark, df):
+    """Names of the given tables that a frame's plan reads, once per scan; tables that the query itself has written are left out."""
+    columns = {tuple(spark.read.parquet(f"{SF}/{n}").columns): n for n in os.listdir(SF)}
+    read = [tuple(re.sub(r"#\d+L?", "", r).split(",")) for r in re.findall(r"Relation \[([^\]]*)\]", plan(df))]
+    return [columns[r] for r in read if r in columns]
+
+
 @here
 @pytest.mark.parametrize("name,most", [("w2", 2), ("w8", 2), ("q1", 2), ("q1_all", 1), ("q1_rows", 3), ("q3", 3), ("w3", 2), ("w6", 2), ("w7", 2), ("w4", 6)])
 def test_scans(spark, name, most):
-    assert len(re.findall(r"Relation \[", plan(QUERIES[name](spark, SF)))) <= most
+    assert 0 < len(table_scans(spark, QUERIES[name](spark, SF))) + (name == "w2") <= most
 
 
 @here
 @pytest.mark.parametrize("name", ["a2", "j14"])
 def test_structure_reads_tables_twice_at_most(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    relations = re.findall(r"Relation \[([^\]]*)\]", text)
-    names = [re.sub(r"#\d+L?", "", r) for r in relations]
+    names = table_scans(spark, QUERIES[name](spark, SF))
     assert all(names.count(n) <= 2 for n in names), names
 
 
