@@ -5,7 +5,10 @@ Word and shingle identities are 64-bit hashes. Among n distinct strings the chan
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +47,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Sets the rows per Arrow batch of the session to BATCH_ROWS if it is larger: texts have no bounded length."""
+    """Makes a session ready for Python inside tasks: this package on every executor, and at most BATCH_ROWS rows per Arrow batch, as texts
+    have no bounded length."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    _ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Adds the library's sources to the session once, as ``--py-files`` would, through the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.writestr(f"{root.name}/{file.relative_to(root)}", file.read_bytes())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/{root.name}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -39,3 +39,9 @@ def test_fold(rows):
     ids = [0, 1, 17, -5, None]
     got = [r[0] for r in rows([(i,) for i in ids], "doc_id long").select(common.fold("doc_id", 3)).collect()]
     assert got == [brute.fold(i, 3) for i in ids]
+
+
+def test_package_goes_to_executors(spark):
+    common.bounded_batches(spark)
+    assert "policyflow.zip" in spark.sparkContext._python_includes
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= common.BATCH_ROWS
