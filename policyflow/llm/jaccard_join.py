@@ -31,11 +31,13 @@ SIZE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Documents sampled for the order, how often a shingle occurs in them to be put last, and how many such shingles are shipped at most.
-SAMPLE, OFTEN, MOST_OFTEN = 8192, 4, 1 << 16
+SAMPLE, OFTEN, MOST_OFTEN = 16384, 3, 1 << 18
 #: Shingles of all members of a region that one task joins; beyond, blocks of so many are joined pairwise.
-REGION = 1 << 19
+REGION = 1 << 20
 #: Shown shingles of all members of a region that are compared together; beyond, blocks of so many.
-SHOWN = 1 << 17
+SHOWN = 1 << 20
+#: Documents to read again whose ids and digests are broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 _LAST = np.int64(1 << 62)
 
 
@@ -87,7 +89,7 @@ def _node(keys: np.ndarray) -> int | None:
 
 
 def with_sets(docs: DataFrame, size: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, mark, n_shingles, node (of the whole set, null if empty), shown (its first keys)."""
+    """doc_id, mark, n_shingles, digest (of the whole set, null if empty), shown (its first keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,22 +97,22 @@ def with_sets(docs: DataFrame, size: int, percent: int, often: np.ndarray) -> Da
             for first, last, sets in _sets_of(batch, size, often):
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, last - first), batch.column("mark").slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_node, sets)), pa.int64()), _lists([s[: shown_length(len(s), percent)] if len(s) else s for s in sets])],
-                    ["doc_id", "mark", "n_shingles", "node", "shown"],
+                    ["doc_id", "mark", "n_shingles", "digest", "shown"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, shown array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest long, shown array<long>")
 
 
 def whole_sets(docs: DataFrame, size: int, often: np.ndarray) -> DataFrame:
-    """(node, keys): all keys of each document that has any."""
+    """(digest, keys): all keys of each document that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, sets in _sets_of(batch, size, often):
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), _lists(sets)], ["node", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), _lists(sets)], ["digest", "keys"])
 
-    return docs.select("text").mapInArrow(run, "node long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "digest long, keys array<long>")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -138,29 +140,30 @@ class Limit:
 def can_link(shown: list[np.ndarray], n: np.ndarray, limit: Limit) -> np.ndarray:
     """For each member, whether another one can be linked with it by the keys both show.
 
-    Up to the smaller of the two last shown keys both sets are known, and what they differ in there, they differ in."""
+    Below the smaller of the two last shown keys both sets are known, and what they differ in there, they differ in. Keys may be
+    shortened as long as their order stays: keys that fall together only lower the difference found."""
     count = len(shown)
     out = np.zeros(count, bool)
     flat = np.concatenate(shown)
     owner = np.repeat(np.arange(count), [len(s) for s in shown])
-    last = np.array([s[-1] for s in shown])
     whole = np.array([len(s) for s in shown]) >= n
-    last = np.where(whole, np.iinfo(np.int64).max, last)
+    last = np.where(whole, np.iinfo(np.int64).max, np.array([int(s[-1]) for s in shown]))
     by_key = np.argsort(flat, kind="stable")
     keys, owners = flat[by_key], owner[by_key]
     for x in range(count):
         if out[x]:
             continue
-        lo, hi = np.searchsorted(keys, shown[x], "left"), np.searchsorted(keys, shown[x], "right")
+        own = np.unique(shown[x])
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
         met = hi - lo > 1
         if not met.any():
             continue
         spans = np.concatenate([owners[a:b] for a, b in zip(lo[met], hi[met])])
         others, both = np.unique(spans[spans != x], return_counts=True)
-        fits = (100 * np.minimum(n[others], n[x]) >= limit.percent * np.maximum(n[others], n[x]))
+        fits = 100 * np.minimum(n[others], n[x]) >= limit.percent * np.maximum(n[others], n[x])
         for y, shared in zip(others[fits].tolist(), both[fits].tolist()):
             upto = min(last[x], last[y])
-            apart = np.searchsorted(shown[x], upto, "right") + np.searchsorted(shown[y], upto, "right") - 2 * shared
+            apart = np.searchsorted(shown[x], upto, "left") + np.searchsorted(shown[y], upto, "left") - 2 * min(shared, len(shown[x]), len(shown[y]))
             if apart <= limit.most_apart(n[x] + n[y]):
                 out[x] = out[y] = True
                 break
@@ -205,56 +208,92 @@ def _groups(*columns: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _dealt(rows: DataFrame, weight: str, block: int, pack: int) -> DataFrame:
-    """Members (owner, band, node, ...) of regions dealt out to groups of bounded weight.
+    """Members (owner, node, ...) of regions dealt out to groups of bounded weight.
 
     A region is cut in blocks of about ``block`` weight, and every two of its blocks i <= j are a group, so that all members meet; a region of one block is one group.
-    Whole groups are dealt out to packs of about ``pack`` weight."""
-    weighed = rows.groupBy("owner", "band").agg(F.sum(weight).alias("weight"))
-    sizes = weighed.select("owner", "band", "weight", F.greatest(F.lit(1), F.ceil(F.col("weight") / block)).cast("int").alias("blocks"))
+    Whole groups are dealt out to packs of at most about ``pack`` weight."""
+    sizes = rows.groupBy("owner").agg(F.sum(weight).alias("weight")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("weight") / block)).cast("int"))
     total = sizes.agg(F.sum(F.col("weight") * F.col("blocks"))).first()[0] or 0
-    placed = rows.join(sizes.drop("weight"), ["owner", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packs = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // pack))
+    placed = rows.join(sizes.drop("weight"), "owner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
-    return placed.withColumn("pack", F.pmod(F.xxhash64("owner", "band", "i", "j"), F.lit(max(1, -(-int(total) // pack)))).cast("int"))
+    return placed.withColumn("pack", F.pmod(F.xxhash64("owner", "i", "j"), F.lit(packs)).cast("int"))
 
 
 def regions(sets: DataFrame, percent: int) -> DataFrame:
-    """(owner, band, node, n): the nodes that meet at an owner's keys, by bands of sizes that can be linked; two members at least."""
-    shown = sets.select("node", "n", F.explode("shown").alias("key"))
-    owners = shown.groupBy("key").agg(F.min("node").alias("owner"), F.max("node").alias("last")).filter("owner < last").select("key", "owner")
-    members = shown.join(owners, "key").select("owner", "node", "n").distinct()
+    """(owner, node, n): the nodes that meet at an owner's keys; members without another one of a size that can be linked are left out."""
+    shown = sets.select("node", F.explode("shown").alias("key"))
+    # a node has a key once, so two rows are two nodes
+    owners = shown.groupBy("key").agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("key", "owner")
+    members = shown.join(owners, "key").select("owner", "node").distinct().join(sets.select("node", "n"), "node")
     # sizes in steps of slightly more than the largest ratio of linked sizes: linked sets lie in the same step or in two that follow
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent + 1e-4))).cast("int")
     placed = members.withColumn("band", F.explode(F.array(step, step + 1)))
     full = placed.groupBy("owner", "band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("owner", "band")
-    return placed.join(full, ["owner", "band"])
+    return placed.join(full, ["owner", "band"]).select("owner", "node", "n").distinct()
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    own = column.combine_chunks()
+    return own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py()
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.ndarray, region: int = REGION, shown: int = SHOWN) -> DataFrame:
-    """(a, b) links of nodes that connect all linked nodes; ``sets`` has node, rep (a document of it), n and shown of each node."""
+    """(a, b) links of nodes that connect all linked nodes; ``sets`` has node (a number), digest, rep (a document of it), n and shown of each node."""
     limit = Limit(percent)
     met = written(regions(sets, percent), "regions")
-    payload = _dealt(met.withColumn("keys_shown", F.col("n") * (100 - percent) / 100 + 1), "keys_shown", shown, 4 * shown).drop("keys_shown")
-    payload = payload.join(sets.select("node", "shown"), "node")
+    payload = _dealt(met.withColumn("weight_shown", F.col("n") * (100 - percent) / 100 + 1), "weight_shown", shown, 2 * shown).drop("weight_shown")
+    # the upper half of a key is enough here
+    short = sets.select("node", F.transform("shown", lambda k: F.shiftright(k, 32).cast("int")).alias("shown"))
+    payload = payload.join(short, "node")
 
     def hopeful(group: pa.Table) -> pa.Table:
-        owner, band, i, j, node, n = (group[c].to_numpy() for c in ("owner", "band", "i", "j", "node", "n"))
-        column = group["shown"].combine_chunks()
-        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        owner, i, j, node, n = (group[c].to_numpy() for c in ("owner", "i", "j", "node", "n"))
+        flat, ends = _ragged(group["shown"])
         keep = np.zeros(len(node), bool)
-        for rows in _groups(j, i, band, owner):
+        for rows in _groups(j, i, owner):
             if len(rows) > 1:
                 keep[rows] = can_link([flat[ends[k] : ends[k + 1]] for k in rows], n[rows], limit)
-        return pa.table({"owner": owner[keep], "band": band[keep], "node": node[keep], "n": n[keep]})
+        return pa.table({"owner": owner[keep], "node": node[keep], "n": n[keep]})
+
+    alive = written(payload.groupBy("pack").applyInArrow(hopeful, "owner long, node long, n long").distinct(), "hopeful")
+    wanted = written(sets.select("node", "digest", "rep").join(alive.select("node").distinct(), "node"), "wanted")
+    ids, digests = wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.select("node", "digest")
+    if wanted.count() <= BROADCAST_IDS:
+        ids, digests = F.broadcast(ids), F.broadcast(digests)
+    texts = docs.join(ids, "doc_id", "left_semi")
+    # of a document in several versions, or repeated, all come along and the digest tells
+    keys = written(whole_sets(texts, size, often).join(digests, "digest").select("node", "keys"), "whole-sets")
+
+    weights = alive.groupBy("owner").agg(F.sum("n").alias("weight"), F.min("node").alias("pivot"))
+    small = alive.join(weights.filter(F.col("weight") <= region).select("owner"), "owner").select("owner", "node", "n")
+    large = weights.filter(F.col("weight") > region)
+    star, rest = None, small
+    if not large.isEmpty():
+        star, window = _first_pivots(alive.join(large, "owner"), keys, limit)
+        rest = small.unionByName(window)
+    members = _dealt(rest, "n", region, region).drop("n").join(keys, "node")
+
+    def joined(group: pa.Table) -> pa.Table:
+        owner, i, j, node = (group[c].to_numpy() for c in ("owner", "i", "j", "node"))
+        flat, ends = _ragged(group["keys"])
+        out = []
+        for rows in _groups(j, i, owner):
+            if len(rows) > 1:
+                own = node[rows]
+                out += [(own[x], own[y]) for x, y in region_links([flat[ends[k] : ends[k + 1]] for k in rows], limit)]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
+
+    found = members.groupBy("pack").applyInArrow(joined, "a long, b long")
+    return (found if star is None else found.unionByName(star)).distinct()
 
-    alive = written(payload.groupBy("pack").applyInArrow(hopeful, "owner long, band int, node long, n long").distinct(), "hopeful")
-    wanted = alive.select("node").distinct()
-    texts = docs.join(sets.join(wanted, "node").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keys = written(whole_sets(texts, size, often).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
 
-    # regions above a task's size: first pivot row by row
-    weights = alive.groupBy("owner", "band").agg(F.sum("n").alias("weight"), F.min("node").alias("pivot"))
-    large = alive.join(weights.filter(F.col("weight") > region), ["owner", "band"])
+def _first_pivots(large: DataFrame, keys: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
+    """Regions above a task's size take their first pivot row by row: links (a, b) of its core, and the members (owner, node, n) that go on.
+
+    Those are the members outside the core, and of the core those in the window of any of them."""
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,37 +304,20 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.n
                 out.append((1 - both / max(1, len(a) + len(b) - both), limit.linked(both, len(a), len(b))))
             columns = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("owner", "band", "node", "n", "pivot")), pa.array(list(columns[0]), pa.float64()), pa.array(list(columns[1]), pa.bool_())],
-                ["owner", "band", "node", "n", "pivot", "d", "core"],
+                [*(batch.column(c) for c in ("owner", "node", "n", "pivot")), pa.array(list(columns[0]), pa.float64()), pa.array(list(columns[1]), pa.bool_())],
+                ["owner", "node", "n", "pivot", "d", "core"],
             )
 
     measured = written(
         large.join(keys, "node").join(keys.select(F.col("node").alias("pivot"), F.col("keys").alias("theirs")), "pivot")
-        .select("owner", "band", "node", "n", "pivot", "keys", "theirs")
-        .mapInArrow(distances, "owner long, band int, node long, n long, pivot long, d double, core boolean"), "first-pivots",
-    )
-    e = (100 - percent) / 100
-    shell = measured.filter((~F.col("core")) & (F.col("d") <= 2 * e + 1e-9)).groupBy("owner", "band").agg(F.min("d").alias("nearest"))
-    window = measured.join(shell, ["owner", "band"], "left").filter(~F.col("core") | (F.col("d") >= F.col("nearest") - e - 1e-9))
-    rest = window.select("owner", "band", "node", "n").unionByName(
-        alive.join(weights.filter(F.col("weight") <= region), ["owner", "band"]).select("owner", "band", "node", "n")
+        .select("owner", "node", "n", "pivot", "keys", "theirs")
+        .mapInArrow(distances, "owner long, node long, n long, pivot long, d double, core boolean"), "first-pivots",
     )
-    members = _dealt(rest, "n", region, 4 * region).drop("n").join(keys, "node")
-
-    def joined(group: pa.Table) -> pa.Table:
-        owner, band, i, j, node = (group[c].to_numpy() for c in ("owner", "band", "i", "j", "node"))
-        column = group["keys"].combine_chunks()
-        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-        out = []
-        for rows in _groups(j, i, band, owner):
-            if len(rows) > 1:
-                own = node[rows]
-                out += [(own[x], own[y]) for x, y in region_links([flat[ends[k] : ends[k + 1]] for k in rows], limit)]
-        found = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
-
+    e = (100 - limit.percent) / 100
+    shell = measured.filter((~F.col("core")) & (F.col("d") <= 2 * e + 1e-9)).groupBy("owner").agg(F.min("d").alias("nearest"))
+    window = measured.join(shell, "owner", "left").filter(~F.col("core") | (F.col("d") >= F.col("nearest") - e - 1e-9))
     star = measured.filter("core AND node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    return members.groupBy("pack").applyInArrow(joined, "a long, b long").unionByName(star).distinct()
+    return star, window.select("owner", "node", "n").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,17 +354,18 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, region: int
     base = docs.select("doc_id", "text", _mark(docs).alias("mark"))
     often = frequent(base, size)
     sets = written(with_sets(base, size, percent, often), "sets")
-    nodes = written(sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
-    chosen = written(
-        sets.join(nodes.withColumnRenamed("node", "its"), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("its")))
-        .select("node", "rep", F.col("n_shingles").alias("n"), "shown").dropDuplicates(["node"]), "node-sets",
+    firsts = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    same = (F.col("doc_id") == F.col("rep")) & (sets["digest"] == F.col("its"))
+    # numbers are fixed by writing them; a repeated row gives a second node of its class, which is linked like any other
+    nodes = written(
+        sets.join(firsts.withColumnRenamed("digest", "its"), same).select("digest", "rep", F.col("n_shingles").alias("n"), "shown", F.monotonically_increasing_id().alias("node")), "nodes",
     )
-    found = components(links(base, chosen, size, percent, often, region, shown))
-    placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = components(links(base, nodes, size, percent, often, region, shown))
+    placed = nodes.select("node", "digest", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("least"))
-    named = placed.join(least, "component").select(F.col("node").alias("its"), "component", "least")
+    named = placed.join(least, "component").groupBy(F.col("digest").alias("its")).agg(F.min("component").alias("component"), F.min("least").alias("least"))
     joined = F.col("doc_id").isNotNull()
-    return sets.join(named, F.col("node") == F.col("its"), "left").select(
+    return sets.join(named, F.col("digest") == F.col("its"), "left").select(
         "doc_id", "n_shingles", F.when(joined, F.coalesce("least", "doc_id")).alias("component_id"),
         "mark", F.when(joined, F.col("component")).alias("component"),
     )
