@@ -30,7 +30,7 @@ UNKNOWN, END = 0, 1
 #: The end of a text among the word hashes.
 END_HASH = np.uint64(0x5EED5EED5EED5EED)
 #: Text of a slice, in bytes, and its most documents.
-SLICE, SLICE_DOCS = 3 << 20, 1 << 15
+SLICE, SLICE_DOCS = 2 << 20, 1 << 15
 
 #: Rows between tasks. Of a slice for a bucket: distinct keys, their counts in learning texts, and for each key how many documents hold it, which, and how often.
 SENT = "bucket int, slice long, keys binary, counts binary, holders binary, docs binary, times binary"
@@ -116,6 +116,11 @@ def about(part: Slice, buckets: int, *more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SENT)], schema=_SENT)
 
 
+def _release() -> None:
+    """Gives back what Arrow keeps for later: an executor's memory is shared by all of its workers."""
+    pa.default_memory_pool().release_unused()
+
+
 def _read(group: pa.Table, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys of each row, the distinct keys of all, and their total counts."""
     keys = [np.frombuffer(x, kind) for x in group["keys"].to_pylist()]
@@ -151,10 +156,12 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
             words, doc = part.tokens()
             yield sent(words, doc, np.array(part.learn), part.number, buckets, "<u8")
             yield about(part, buckets, np.bincount(doc, minlength=len(part.ids)), np.array(part.learn))
+            _release()
 
     def merge(group: pa.Table) -> pa.Table:
         if group["bucket"][0].as_py() < 0:
             return _passed(group)
+        _release()
         places, words, totals = _read(group, "<u8")
         logs, known = np.log10(totals + 0.5), (totals > 0).astype(float)
         seen = totals > 0
@@ -258,10 +265,12 @@ def send_pairs(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
             own = np.bincount(doc, model.in_vocabulary(words), len(part.ids))
             yield sent((context << 16 | symbol).astype(np.uint32), doc, np.array(part.learn), part.number, buckets, "<u4")
             yield about(part, buckets, own, np.bincount(doc, tail, len(part.ids)))
+            _release()
 
     def merge(group: pa.Table) -> pa.Table:
         if group["bucket"][0].as_py() < 0:
             return group
+        _release()
         places, keys, totals = _read(group, "<u4")
         found = keys[totals > 0], totals[totals > 0]
         rows = group.set_column(group.schema.get_field_index("counts"), "counts", pa.array([_bytes(totals[p], "<u4") for p in places], pa.binary()))
