@@ -1,13 +1,13 @@
 """Katz backoff language model over word pairs.
 
-Words and pairs are counted over all learning texts. Pair counts are discounted by Good-Turing, what a context saves goes to the words that it
-was not seen with, in proportion to their unigram probability, and the backoff weight makes each context sum to one exactly. The unigrams back off
-once more: words outside the vocabulary share the unknown symbol, and inside it are weighed by their own counts plus a half, one share being left for
-words never seen. The vocabulary are the words above a count that leaves at most SYMBOLS of them.
-
-Work goes in packed rows. A task turns a slice of documents into sorted distinct keys (words or pairs) with their counts and the documents
-they are in, and sends every hash bucket its share; a key's bucket sees all slices, so it knows the total count, and answers each slice with
-one sum per document. A frequent key costs one entry per slice. Counts, pairs and answers are tables in the shared folder, by bucket.
+Words and pairs are counted over all learning texts; every learned word keeps its own symbol. Pair counts are discounted by Good-Turing, what a
+context saves goes to the words that it was not seen with, in proportion to their unigram probability, and the backoff weight makes each context
+sum to one exactly. The unigrams back off once more, to the unknown symbol of the words that were not learned. A caller may name a largest number
+of symbols; words outside then share the unknown symbol and inside it are weighed by their own counts plus a half.
+
+Documents are put into slices once: a table of distinct words and word numbers. Words, pairs and contexts are tables with one row per key, summed
+by Spark from the sums of each slice. A slice's distinct words and pairs are joined with them, and what is found goes back to the slice in packed
+rows, where it is summed per document. Nothing on the driver or in a broadcast grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -16,25 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, fold, mix, query, raw, slices, table, text_column, word_hashes, written
+from .common import bounded_batches, fold, query, raw, slices, table, text_column, word_hashes, written
 
 #: Counts up to which Good-Turing discounts.
 DISCOUNTED = 5
-#: Most words with symbols of their own; symbols 0 and 1 are the unknown and the end, and one more number is the context at the beginning.
-SYMBOLS = 65_000
-UNKNOWN, END = 0, 1
-#: The end of a text among the word hashes.
-END_HASH = np.uint64(0x5EED5EED5EED5EED)
+#: The end of a text, the beginning and words without a symbol, among the word hashes.
+END_HASH, BEGIN_HASH, UNKNOWN_HASH = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x1BE91BE91BE91BE9), np.uint64(0x2A0C2A0C2A0C2A0C)
 #: Text of a slice, in bytes, and its most documents.
-SLICE, SLICE_DOCS = 2 << 20, 1 << 15
-
-#: Rows between tasks. Of a slice for a bucket: distinct keys, their counts in learning texts, and for each key how many documents hold it, which, and how often.
-SENT = "bucket int, slice long, keys binary, counts binary, holders binary, docs binary, times binary"
-_SENT = pa.schema([("bucket", pa.int32()), ("slice", pa.int64())] + [(c, pa.binary()) for c in ("keys", "counts", "holders", "docs", "times")])
+SLICE, SLICE_DOCS = 8 << 20, 1 << 15
+#: Rows of numbers per Arrow batch, and how many of them are packed together.
+NUMBER_ROWS, PACKED_ROWS = 1 << 16, 1 << 20
+#: Bits by which a pair's key turns its context.
+TURN = 21
 
 
 class Slice:
@@ -44,18 +40,17 @@ class Slice:
         self.number, self.bytes = number, 0
         self.ids: list = []
         self.learn: list[bool] = []
-        self.marks: list[int] = []
         self.words: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes with an end after every document, and the document of each."""
+        """Word hashes with an end after every document, and the number of tokens of each document."""
         sizes = np.concatenate(self.sizes) + 1
         out = np.full(int(sizes.sum()), END_HASH)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(sizes) - 1] = False
         out[inside] = np.concatenate(self.words)
-        return out, np.repeat(np.arange(len(sizes)), sizes)
+        return out, sizes
 
 
 def slices_of(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[Slice]:
@@ -71,7 +66,6 @@ def slices_of(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[
             words, at = word_hashes(own, bounds[first : last + 1] - bounds[first])
             now.ids += ids[first:last]
             now.learn += [bool(x) for x in learn[first:last]]
-            now.marks += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(bounds[first:last].tolist(), bounds[first + 1 : last + 1].tolist())]
             now.words.append(words)
             now.sizes.append(np.diff(at))
             now.bytes += len(own)
@@ -82,97 +76,111 @@ def slices_of(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[
         yield now
 
 
-def _bytes(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
-
-
-def sent(keys: np.ndarray, doc: np.ndarray, learn: np.ndarray, number: int, buckets: int, kind: str) -> pa.RecordBatch:
-    """The rows of one slice: its tokens' keys, by bucket. ``doc`` rises."""
-    order = np.argsort(keys, kind="stable")
-    keys, doc = keys[order], doc[order]
-    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
-    new_pair = new_key | np.concatenate([[True], doc[1:] != doc[:-1]])
-    pair_at, key_at = np.flatnonzero(new_pair), np.flatnonzero(new_key)
-    times = np.diff(np.append(pair_at, len(keys)))
-    distinct = keys[key_at]
-    counts = np.add.reduceat(learn[doc].astype(np.int64), key_at)
-    first = np.searchsorted(pair_at, np.append(key_at, len(keys)))
-    bucket = (mix(distinct.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    rows = []
-    by_bucket = np.argsort(bucket, kind="stable")
-    for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
-        holders = first[part + 1] - first[part]
-        entries = np.repeat(first[part] - np.cumsum(holders) + holders, holders) + np.arange(int(holders.sum()))
-        rows.append((int(bucket[part[0]]), number, _bytes(distinct[part], kind), _bytes(counts[part], "<u4"), _bytes(holders, "<u2"), _bytes(doc[pair_at[entries]], "<u2"), _bytes(times[entries], "<u4")))
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
-
-
-def about(part: Slice, buckets: int, *more: np.ndarray) -> pa.RecordBatch:
-    """A row with what the slice itself knows of its documents; its bucket is negative, so it passes through a group of its own kind."""
-    known = [i is not None for i in part.ids]
-    ids = np.array([i or 0 for i in part.ids], np.int64)
-    fields = [np.array(part.marks, np.uint64).tobytes(), ids.tobytes(), np.array(known, np.uint8).tobytes(), *(m.astype("<f8").tobytes() for m in more)]
-    row = [-1 - part.number % buckets, part.number, *fields, *[None] * (5 - len(fields))]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SENT)], schema=_SENT)
-
-
 def _release() -> None:
     """Gives back what Arrow keeps for later: an executor's memory is shared by all of its workers."""
     pa.default_memory_pool().release_unused()
 
 
-def _read(group: pa.Table, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys of each row, the distinct keys of all, and their total counts."""
-    keys = [np.frombuffer(x, kind) for x in group["keys"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"].to_pylist()])
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return np.split(place, np.cumsum([len(k) for k in keys])[:-1]), distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+#: A slice (its sorted distinct words, the numbers of its tokens among them, and of each document the tokens, id, whether it has one and is learned from), or
+#: what was found for it (keys and their values).
+PACKED = "kind int, slice long, a binary, b binary, c binary, d binary, e binary, f binary"
+_PACKED = pa.schema([("kind", pa.int32()), ("slice", pa.int64())] + [(c, pa.binary()) for c in "abcdef"])
+SLICED, WORDS, PAIRS = 0, 1, 2
 
 
-def _per_document(row: dict, *values: np.ndarray) -> list[bytes]:
-    """Sums over a slice's documents of a value per key, times its occurrences."""
-    holders = np.frombuffer(row["holders"], "<u2")
-    docs, times = np.frombuffer(row["docs"], "<u2").astype(np.int64), np.frombuffer(row["times"], "<u4")
-    return [np.bincount(docs, np.repeat(v, holders) * times).astype("<f8").tobytes() for v in values]
+def _packed(kind: int, number: int, *fields: np.ndarray) -> pa.RecordBatch:
+    row = [kind, number, *(x.tobytes() for x in fields), *[None] * (6 - len(fields))]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PACKED)], schema=_PACKED)
 
 
-#: Rows of counted words (word, n), answers (slice, first and second sum) and what slices know of themselves (the five fields).
-COUNTED = "kind int, word long, n long, slice long, a binary, b binary, c binary, d binary, e binary"
-_COUNTED = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("slice", pa.int64())] + [(c, pa.binary()) for c in "abcde"])
-WORD, ANSWER, ABOUT = 0, 1, 2
+def sliced(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, learn) as slices."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices_of(batches):
+            tokens, sizes = part.tokens()
+            words, numbers = np.unique(tokens, return_inverse=True)
+            ids = np.array([i or 0 for i in part.ids], "<i8")
+            flags = np.array([i is not None for i in part.ids], np.uint8), np.array(part.learn, np.uint8)
+            yield _packed(SLICED, part.number, words.astype("<u8"), numbers.astype("<u4"), sizes.astype("<i8"), ids, *flags)
+            _release()
 
-def _passed(group: pa.Table) -> pa.Table:
-    n = group.num_rows
-    none = pa.nulls(n, pa.int64())
-    return pa.Table.from_arrays([pa.array([ABOUT] * n, pa.int32()), none, none, group["slice"], *(group[c] for c in ("keys", "counts", "holders", "docs", "times"))], schema=_COUNTED)
+    return docs.mapInArrow(run, PACKED)
 
 
-def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """Words with their counts, and for every document of a slice the sum of log10(count + 1/2) and the number of known tokens."""
+class Open:
+    """A slice that is worked on. Numbers of symbols are those of its words, and two more for unknown words and the beginning."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices_of(batches):
-            words, doc = part.tokens()
-            yield sent(words, doc, np.array(part.learn), part.number, buckets, "<u8")
-            yield about(part, buckets, np.bincount(doc, minlength=len(part.ids)), np.array(part.learn))
-            _release()
+    def __init__(self, a, b, c, d, e, f):
+        self.words, self.numbers, self.sizes = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<i8")
+        self.ids, self.known, self.learn = np.frombuffer(d, "<i8"), np.frombuffer(e, np.uint8) > 0, np.frombuffer(f, np.uint8) > 0
+        self.hashes = np.concatenate([self.words, [UNKNOWN_HASH, BEGIN_HASH]]).astype(np.uint64)
 
-    def merge(group: pa.Table) -> pa.Table:
-        if group["bucket"][0].as_py() < 0:
-            return _passed(group)
-        _release()
-        places, words, totals = _read(group, "<u8")
-        logs, known = np.log10(totals + 0.5), (totals > 0).astype(float)
-        seen = totals > 0
-        n = int(seen.sum())
-        answers = [_per_document(row, logs[p], known[p]) for row, p in zip(group.select(["holders", "docs", "times"]).to_pylist(), places)]
-        return pa.concat_tables([
-            pa.Table.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(words[seen].view(np.int64)), pa.array(totals[seen]), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 5], schema=_COUNTED),
-            pa.Table.from_arrays([pa.array(np.full(len(answers), ANSWER, np.int32)), *[pa.nulls(len(answers), pa.int64())] * 2, group["slice"], *(pa.array([a[k] for a in answers], pa.binary()) for k in (0, 1)), *[pa.nulls(len(answers), pa.binary())] * 3], schema=_COUNTED),
-        ])
+    def documents(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def learned(self) -> np.ndarray:
+        return np.repeat(self.learn, self.sizes)
+
+    def pairs(self, own: np.ndarray | None) -> np.ndarray:
+        """Of each token the numbers of its context and of itself, in one. ``own``: the words that have symbols, all if None."""
+        n = len(self.words)
+        symbol = self.numbers if own is None else np.where(own, np.arange(n), n)[self.numbers]
+        context = np.concatenate([[n + 1], symbol[:-1]])
+        context[(np.cumsum(self.sizes) - self.sizes)[1:]] = n + 1
+        return context << 32 | symbol
+
+    def keys(self, pairs: np.ndarray) -> np.ndarray:
+        context = self.hashes[pairs >> 32]
+        return (context << np.uint64(TURN) | context >> np.uint64(64 - TURN)) ^ self.hashes[pairs & 0xFFFFFFFF]
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Open]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column("slice")[k].as_py(), Open(*(batch.column(c)[k].as_py() for c in "abcdef"))
+
+
+def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), NUMBER_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + NUMBER_ROWS]) for c in columns], names)
+    _release()
+
+
+def count_words(parts: DataFrame) -> DataFrame:
+    """(word, n) of all learned words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _opened(batches):
+            n = np.bincount(part.numbers[part.learned()], minlength=len(part.words))
+            yield from _rows(["word", "n"], part.words[n > 0].view(np.int64), n[n > 0])
+
+    return parts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _in(vocabulary: np.ndarray | None, words: np.ndarray) -> np.ndarray | None:
+    """Which words have symbols; ``vocabulary`` is sorted."""
+    if vocabulary is None:
+        return None
+    have = np.zeros(len(words), bool)
+    if len(vocabulary):
+        have = vocabulary[np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)] == words
+    return have | (words == END_HASH)
+
+
+def _dealt(rows: DataFrame, buckets: int | None, key: str) -> DataFrame:
+    return rows.repartition(buckets, key) if buckets else rows
+
+
+def count_pairs(parts: DataFrame, vocabulary: np.ndarray | None, buckets: int | None) -> DataFrame:
+    """(pair, word, n) of all learned pairs; ``word`` is the second."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _opened(batches):
+            pairs, n = np.unique(part.pairs(_in(vocabulary, part.words))[part.learned()], return_counts=True)
+            yield from _rows(["pair", "word", "n"], part.keys(pairs).view(np.int64), part.hashes[pairs & 0xFFFFFFFF].view(np.int64), n)
 
-    return docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(merge, COUNTED)
+    return _dealt(parts.mapInArrow(run, "pair long, word long, n long"), buckets, "pair").groupBy("pair").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
 def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
@@ -187,200 +195,208 @@ def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
     return out
 
 
+def _signed(x: np.uint64) -> int:
+    return int(np.array([x], np.uint64).view(np.int64)[0])
+
+
 class Model:
-    """Unigram probabilities of the symbols, discounts and backoff weights of the contexts: all bounded by the vocabulary."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        order = np.argsort(words)
-        self.words, own = words[order], counts[order]
-        self.ends = int(own[self.words == END_HASH].sum())
-        self.word_counts = own
-        rest = self.words != END_HASH
-        symbol_counts = np.zeros(len(self.words) + 2)
-        symbol_counts[2:][rest] = own[rest]
-        symbol_counts[END] = self.ends
-        tail = tokens - symbol_counts.sum()
-        self.tail_norm = tail + 0.5 * (distinct - int((symbol_counts > 0).sum()) + 1)
-        values, number = np.unique(own, return_counts=True)
-        d = discounts(dict(zip(values.tolist(), number.tolist())))
-        kept = symbol_counts * d[np.minimum(symbol_counts, DISCOUNTED).astype(int) * (symbol_counts <= DISCOUNTED)]
-        spare = tokens - kept.sum()  # what the tail has, and what was saved
-        total = float(tokens)
-        if spare <= 0:
-            spare, total = 1.0, tokens + 1.0
-        self.unigram = kept / total
-        self.unigram[UNKNOWN] += spare / total
-        self.begin = len(self.unigram)
+    """Discounts and unigram probabilities by count: a few numbers, whatever the vocabulary."""
+
+    def __init__(self, tokens: int, distinct: int, ends: int, least: int, own: tuple[int, int], of_counts: dict[int, int]):
+        """``own``: how many words stand above the count ``least``, and their tokens; ``of_counts``: how many of them have each small count."""
+        self.tokens, self.least = tokens, least
+        self.discount = discounts(of_counts)
+        apart = 0 if ends > least else ends  # the end has a symbol in any case
+        tail = tokens - own[1] - apart
+        self.tail_norm = tail + 0.5 * (distinct - own[0] - bool(apart) + 1)
+        # what the tail has, and what was saved
+        spare, self.total = tail + sum(of_counts.get(r, 0) * r * (1 - self.discount[r]) for r in range(1, DISCOUNTED + 1)), float(tokens)
+        if spare <= 1e-12:
+            spare, self.total = 1.0, tokens + 1.0
+        self.unknown = spare / self.total
+        self.end = ends * (self.discount[ends] if least < ends <= DISCOUNTED else 1.0) / self.total
         self.pair_discount = np.ones(DISCOUNTED + 1)
-        self.pair_norm = np.ones(self.begin + 1)
-        self.backoff = np.ones(self.begin + 1)
-
-    def symbols(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.where(words == END_HASH, END, UNKNOWN)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(words == END_HASH, END, np.where(self.words[at] == words, at + 2, UNKNOWN))
-
-    def in_vocabulary(self, words: np.ndarray) -> np.ndarray:
-        """log10(count + 1/2) of words with a symbol of their own, 0 of others."""
-        logs = np.append(np.log10(self.word_counts + 0.5), 0.0)
-        if not len(self.words):
-            return np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, logs[at], 0.0)
-
-    def weigh(self, of_counts: dict[int, int], contexts: dict[str, np.ndarray]) -> None:
-        """Discounts and backoff weights. ``contexts``: for each seen context its number, tokens, keys by count 1 to DISCOUNTED, and the unigram mass of the symbols seen with it."""
-        self.pair_discount = discounts(of_counts)
-        d, r = self.pair_discount[1:], np.arange(1, DISCOUNTED + 1)
-        few = contexts["few"]
-        total = contexts["tokens"].astype(float)
-        kept = total - (few * r * (1 - d)).sum(axis=1)
-        unseen = 1 - contexts["mass"]
-        open_ = unseen > 1e-12
-        # a context that has saved nothing leaves the share of one more token
-        norm = np.where(open_ & (kept >= total), total + 1, np.where(open_, total, kept))
-        at = contexts["context"]
-        self.pair_norm[at] = norm
-        self.backoff[at] = np.where(open_, (1 - kept / norm) / np.where(open_, unseen, 1), 0.0)
-
-    def pair_logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the conditional probability of each pair: its discounted share if it was seen, else the backoff."""
-        context, symbol = keys >> 16, keys & 0xFFFF
-        seen = counts * self.pair_discount[np.where(counts <= DISCOUNTED, counts, 0)] / self.pair_norm[context]
-        backed = self.backoff[context] * self.unigram[symbol]
-        return np.log10(np.where(counts > 0, seen, np.maximum(backed, 1e-300)))
-
-
-def send_pairs(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """Pairs of all documents with their total counts, by bucket and slice, and what slices know of themselves."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices_of(batches):
-            words, doc = part.tokens()
-            symbol = model.symbols(words).astype(np.int64)
-            context = np.concatenate([[model.begin], symbol[:-1]])
-            context[np.concatenate([[True], doc[1:] != doc[:-1]])] = model.begin
-            tail = symbol == UNKNOWN
-            own = np.bincount(doc, model.in_vocabulary(words), len(part.ids))
-            yield sent((context << 16 | symbol).astype(np.uint32), doc, np.array(part.learn), part.number, buckets, "<u4")
-            yield about(part, buckets, own, np.bincount(doc, tail, len(part.ids)))
-            _release()
 
-    def merge(group: pa.Table) -> pa.Table:
-        if group["bucket"][0].as_py() < 0:
-            return group
-        _release()
-        places, keys, totals = _read(group, "<u4")
-        found = keys[totals > 0], totals[totals > 0]
-        rows = group.set_column(group.schema.get_field_index("counts"), "counts", pa.array([_bytes(totals[p], "<u4") for p in places], pa.binary()))
-        # the bucket's own part of the pair table: slice -1
-        whole = [group["bucket"][0].as_py(), -1, _bytes(found[0], "<u4"), _bytes(found[1], "<u4"), None, None, None]
-        return pa.concat_tables([rows.cast(_SENT), pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(whole, _SENT)], schema=_SENT)])
+    def unigram(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        own = counts * np.where(counts <= DISCOUNTED, self.discount[np.minimum(counts, DISCOUNTED)], 1.0) / self.total
+        return np.where(words == END_HASH, self.end, np.where(counts > self.least, own, self.unknown))
+
+    def unigram_column(self, word: Column, n: Column) -> Column:
+        kept = _discounted(n, self.discount)
+        return F.when(word == _signed(END_HASH), F.lit(float(self.end))).when(word == _signed(UNKNOWN_HASH), F.lit(float(self.unknown))).otherwise(kept / float(self.total))
 
-    return docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(merge, SENT)
 
+def _discounted(n: Column, factors: np.ndarray) -> Column:
+    out = n.cast("double")
+    for r in range(1, DISCOUNTED + 1):
+        out = F.when(n == r, F.lit(float(r * factors[r]))).otherwise(out)
+    return out
 
-def context_sums(pairs: DataFrame, model: Model) -> tuple[dict[int, int], dict[str, np.ndarray]]:
-    """How many pairs have each small count, and the sums of each context: at most one row per symbol."""
-    few = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-    unigram = model.unigram
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, counts = np.frombuffer(keys, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64)
-                context, place = np.unique(keys >> 16, return_inverse=True)
-                columns = [context, np.bincount(place, counts, len(context)).astype(np.int64)]
-                columns += [np.bincount(place, counts == r, len(context)).astype(np.int64) for r in range(1, DISCOUNTED + 2)]
-                columns.append(np.bincount(place, unigram[keys & 0xFFFF], len(context)))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "tokens", *few, "mass"])
-
-    schema = f"context long, tokens long, {', '.join(f'{c} long' for c in few)}, mass double"
-    rows = (
-        pairs.filter("slice = -1").select("keys", "counts").mapInArrow(sums, schema)
-        .groupBy("context").agg(*[F.sum(c).alias(c) for c in ("tokens", *few, "mass")]).toPandas().sort_values("context")
+FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
+
+
+def context_sums(pairs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """Of each seen context its tokens, its words by count, and the unigram mass of the words seen with it."""
+    turned = F.col("pair").bitwiseXOR(F.col("word"))
+    second = words.select(F.col("word").alias("its_word"), F.col("n").alias("its_n"))
+    return (
+        pairs.join(second, F.col("word") == F.col("its_word"), "left")
+        .select(F.shiftrightunsigned(turned, TURN).bitwiseOR(F.shiftleft(turned, 64 - TURN)).alias("context"), "n", model.unigram_column(F.col("word"), F.col("its_n")).alias("p"))
+        .groupBy("context").agg(F.sum("n").alias("tokens"), *[F.sum((F.col("n") == r).cast("long")).alias(c) for r, c in enumerate(FEW, 1)], F.sum("p").alias("mass"))
     )
-    contexts = {c: rows[c].to_numpy() for c in ("context", "tokens", "mass")} | {"few": rows[few[:DISCOUNTED]].to_numpy().reshape(len(rows), DISCOUNTED)}
-    contexts["context"] = contexts["context"].astype(np.int64)
-    return {r: int(rows[f"n{r}"].sum()) for r in range(1, DISCOUNTED + 2)}, contexts
 
 
-def answers(pairs: DataFrame, model: Model) -> DataFrame:
-    """For every document of a slice the sum of the log10 probabilities of its pairs; one row per slice and bucket."""
+def weighed(contexts: DataFrame, model: Model) -> DataFrame:
+    """(context, norm, backoff) of each seen context."""
+    total = F.col("tokens").cast("double")
+    saved = sum((F.col(c) * float(r * (1 - model.pair_discount[r])) for r, c in enumerate(FEW[:DISCOUNTED], 1)), F.lit(0.0))
+    unseen = 1 - F.col("mass")
+    # a context that has saved nothing leaves the share of one more token
+    norm = F.when((unseen > 1e-12) & (saved <= 1e-12), total + 1).when(unseen > 1e-12, total).otherwise(total - saved)
+    rows = contexts.select("context", (total - saved).alias("kept"), unseen.alias("unseen"), norm.alias("norm"))
+    return rows.select("context", "norm", F.when(F.col("unseen") > 1e-12, (1 - F.col("kept") / F.col("norm")) / F.col("unseen")).otherwise(0.0).alias("backoff"))
+
+
+def found(rows: DataFrame, kind: int, kinds: list[str]) -> DataFrame:
+    """Rows of a slice, a key and values in packed rows, one per slice and PACKED_ROWS rows of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(1 + len(kinds))]
+            held.clear()
+            order = np.argsort(columns[0], kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(columns[0][order])) + 1):
+                yield _packed(kind, int(columns[0][part[0]]), *(c[part].astype(t) for c, t in zip(columns[1:], kinds)))
+            _release()
+
         for batch in batches:
-            rows = batch.to_pylist()
-            found = []
-            for row in rows:
-                if row["bucket"] < 0:
-                    found.append((ABOUT, row["slice"], *(row[c] for c in ("keys", "counts", "holders", "docs", "times"))))
-                else:
-                    keys, counts = np.frombuffer(row["keys"], "<u4").astype(np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                    found.append((ANSWER, row["slice"], *_per_document(row, model.pair_logs(keys, counts)), None, None, None, None))
-            columns = list(zip(*found)) or [()] * 7
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["kind", "slice", *"abcde"])
-
-    return pairs.filter("slice <> -1").mapInArrow(run, "kind int, slice long, a binary, b binary, c binary, d binary, e binary")
-
-
-def _by_document(rows: DataFrame, names: list[str]) -> DataFrame:
-    """doc_id, mark, two known numbers and the sums of the answers, per document: slices are put together again."""
-    fields = ["doc_id", "mark", *names]
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64())] + [(n, pa.float64()) for n in names])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED_ROWS:
+                yield from give()
+        if held:
+            yield from give()
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def answers(parts: DataFrame, words: DataFrame, pairs: DataFrame, contexts: DataFrame, vocabulary: np.ndarray | None, buckets: int | None) -> DataFrame:
+    """For each slice the counts, norms and backoff weights of its words, and the counts of its pairs, as far as there are any."""
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _opened(batches):
+            yield from _rows(["slice", "word"], np.full(len(part.hashes), number), part.hashes.view(np.int64))
+
+    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _opened(batches):
+            pairs = np.unique(part.pairs(_in(vocabulary, part.words)))
+            yield from _rows(["slice", "pair"], np.full(len(pairs), number), part.keys(pairs).view(np.int64))
+
+    facts = words.join(contexts, F.col("word") == F.col("context"), "full").select(
+        F.coalesce("word", "context").alias("its"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("norm", F.lit(1.0)).alias("norm"), F.coalesce("backoff", F.lit(1.0)).alias("backoff")
+    )
+    of_words = parts.mapInArrow(send_words, "slice long, word long").join(facts, F.col("word") == F.col("its")).select("slice", "word", "n", "norm", "backoff")
+    of_pairs = _dealt(parts.mapInArrow(send_pairs, "slice long, pair long"), buckets, "pair").join(pairs.select("pair", "n"), "pair").select("slice", "pair", "n")
+    return found(of_words, WORDS, ["<i8", "<i8", "<f8", "<f8"]).unionByName(found(of_pairs, PAIRS, ["<i8", "<i8"]))
+
+
+def _joined(rows: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in rows[c].to_pylist())]) for c, t in kinds.items()]
+
+
+def _looked_up(keys: np.ndarray, told: np.ndarray, default: float, values: np.ndarray) -> np.ndarray:
+    """The value of each key, or the default; told keys are distinct."""
+    out = np.full(len(keys), default, values.dtype)
+    if len(told):
+        order = np.argsort(told)
+        at = order[np.minimum(np.searchsorted(told, keys, sorter=order), len(told) - 1)]
+        same = told[at] == keys
+        out[same] = values[at[same]]
+    return out
+
+
+def by_document(rows: DataFrame, model: Model, capped: bool) -> DataFrame:
+    """doc_id, learned, n_tokens, n_known, and the sums of log10(count + 1/2) and of Katz's log10 probabilities, of each document."""
+    names = ["logs", "score"]
+    schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())] + [(n, pa.float64()) for n in names])
 
     def run(group: pa.Table) -> pa.Table:
         kinds = group["kind"].to_numpy()
-        own = group.filter(pa.array(kinds == ABOUT)).to_pylist()[0]
-        marks, ids, known = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int64), np.frombuffer(own["c"], np.uint8)
-        sums = np.zeros((len(names) - 2, len(marks)))
-        told = group.filter(pa.array(kinds == ANSWER))
-        for k, column in zip(range(len(sums)), "ab"):
-            for value in told[column].to_pylist():
-                part = np.frombuffer(value, "<f8")
-                sums[k, : len(part)] += part
-        arrays = [pa.array(ids, mask=known == 0), pa.array(marks), *(pa.array(np.frombuffer(own[c], "<f8")) for c in "de"), *map(pa.array, sums)]
-        return pa.Table.from_arrays(arrays, schema=schema)
+        part = next(_opened(group.filter(pa.array(kinds == SLICED)).to_batches()))[1]
+        told, *facts = _joined(group.filter(pa.array(kinds == WORDS)), dict(zip("abcd", ("<i8", "<i8", "<f8", "<f8"))))
+        pair_keys, pair_counts = _joined(group.filter(pa.array(kinds == PAIRS)), {"a": "<i8", "b": "<i8"})
+        counts, norms, backoffs = (_looked_up(part.hashes.view(np.int64), told, default, v) for default, v in zip((0, 1.0, 1.0), facts))
+        unigrams = model.unigram(part.hashes, counts)
+        n = len(part.words)
+        own = (counts[:n] > model.least) | (part.words == END_HASH) if capped else None
+        tail = (counts[:n] <= model.least) & (part.words != END_HASH)
+        doc = part.documents()
+        pairs, place = np.unique(part.pairs(own), return_inverse=True)
+        context, symbol = pairs >> 32, pairs & 0xFFFFFFFF
+        times = _looked_up(part.keys(pairs).view(np.int64), pair_keys, 0, pair_counts)
+        seen = times * np.where(times <= DISCOUNTED, model.pair_discount[np.minimum(times, DISCOUNTED)], 1.0) / norms[context]
+        logs = np.log10(np.where(times > 0, seen, np.maximum(backoffs[context] * unigrams[symbol], 1e-300)))
+        half = np.log10(counts[:n] + 0.5)
+        inside = np.where(tail, half - np.log10(model.tail_norm), 0.0)
+        size = len(part.sizes)
+        sums = [np.bincount(doc, v, size) for v in (half[part.numbers], logs[place] + inside[part.numbers])]
+        known = np.bincount(doc, counts[part.numbers] > 0, size).astype(np.int64)
+        _release()
+        return pa.Table.from_arrays([pa.array(part.ids, mask=~part.known), pa.array(part.learn), pa.array(part.sizes), pa.array(known), *map(pa.array, sums)], schema=schema)
 
-    return rows.select("kind", "slice", *"abcde").groupBy("slice").applyInArrow(run, ", ".join(f"`{f}` {'long' if f in ('doc_id', 'mark') else 'double'}" for f in fields))
+    return rows.groupBy("slice").applyInArrow(run, "doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double")
 
 
-def score(docs: DataFrame, learn, symbols: int = SYMBOLS, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, learn, symbols: int | None = None, buckets: int | None = None) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), the model being learned from the rows where the Column ``learn`` is true.
 
     doc_id, learn, n_tokens (words and one end), n_known (of words that were learned), train_tokens, base_score (add-half unigrams) and
     score (Katz), both sums of log10 probabilities over all tokens. Words are the runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case.
     Null texts are empty and have an end; a null ``learn`` is false; repeated rows and null ids are kept; other columns are ignored. With nothing
-    learned, every token is unknown."""
+    learned, every token is unknown. ``symbols``: at most so many words have symbols of their own, those above a count; without it all have.
+    ``buckets``: into how many parts pairs are dealt, if not Spark's own number."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    counted = written(count_words(base, buckets), "word-counts")
-    words = counted.filter(F.col("kind") == WORD).select("word", "n")
-    whole = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
-    tokens, distinct = int(whole["tokens"] or 0), int(whole["distinct"])
-    # the least count above which there are at most as many words as symbols
-    least, room = 0, symbols
-    steps = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(symbols + 1).collect()
-    for row in steps:
-        room -= row["words"]
-        if room < 0:
-            least = row["n"]
-            break
-    chosen = words.filter(F.col("n") > least).toPandas()
-    model = Model(chosen["word"].to_numpy().astype(np.int64).view(np.uint64), chosen["n"].to_numpy().astype(np.int64), tokens, distinct)
-    pairs = written(send_pairs(base, model, buckets), "pairs")
-    model.weigh(*context_sums(pairs, model))
-    first = _by_document(counted.filter(F.col("kind") != WORD), ["n_tokens", "learned", "logs", "known"])
-    second = _by_document(answers(pairs, model), ["own_logs", "tail", "pair_logs"]).dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("its"), F.col("mark").alias("its_mark"), "own_logs", "tail", "pair_logs")
-    together = first.join(second, (F.col("mark") == F.col("its_mark")) & F.col("doc_id").eqNullSafe(F.col("its")))
-    return together.select(
-        "doc_id", (F.col("learned") > 0).alias("learn"), F.col("n_tokens").cast("long"), F.col("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (distinct + 1)))).alias("base_score"),
-        (F.col("pair_logs") + F.col("logs") - F.col("own_logs") - F.col("tail") * float(np.log10(model.tail_norm))).alias("score"),
+    parts = written(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows_of_texts = spark.conf.get(key)
+    spark.conf.set(key, str(NUMBER_ROWS))  # from here on rows are numbers, or slices of which a task has few
+    try:
+        return _scored(parts, symbols, buckets)
+    finally:
+        spark.conf.set(key, rows_of_texts)
+
+
+def _scored(parts: DataFrame, symbols: int | None, buckets: int | None) -> DataFrame:
+    words = written(count_words(parts), "words")
+    whole = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("word") == _signed(END_HASH), F.col("n"))).alias("ends")).first()
+    tokens, distinct, ends = (int(whole[c] or 0) for c in ("tokens", "distinct", "ends"))
+    least, vocabulary = 0, None
+    if symbols is not None and distinct > symbols:
+        # the least count above which there are at most as many words as symbols
+        room = symbols
+        for row in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(symbols + 1).collect():
+            room -= row["words"]
+            if room < 0:
+                least = row["n"]
+                break
+        vocabulary = np.sort(words.filter(F.col("n") > least).select("word").toPandas()["word"].to_numpy().astype(np.int64).view(np.uint64))
+    kept = words.filter(F.col("n") > least)
+    own = kept.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).first()
+    of_counts = {r["n"]: r["count"] for r in kept.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect()}
+    model = Model(tokens, distinct, ends, least, (int(own["words"]), int(own["tokens"] or 0)), of_counts)
+    pairs = written(count_pairs(parts, vocabulary, buckets), "pairs")
+    contexts = written(context_sums(pairs, words, model), "contexts")
+    few = contexts.agg(*[F.sum(c).alias(c) for c in FEW]).first()
+    model.pair_discount = discounts({r: int(few[c] or 0) for r, c in enumerate(FEW, 1)})
+    told = answers(parts, words, pairs, weighed(contexts, model), vocabulary, buckets)
+    scored = written(by_document(parts.unionByName(told), model, vocabulary is not None), "scores")
+    return scored.select(
+        "doc_id", "learn", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (distinct + 1)))).alias("base_score"), "score",
     )
 
 

@@ -47,3 +47,18 @@ def test_discounts():
     n = np.array([0, 100, 40, 20, 12, 8])
     assert abs(((1 - d) * np.arange(6) * n).sum() - 100) < 1e-9
     assert np.all(katz.discounts({}) == 1) and np.all(katz.discounts({1: 5, 6: 5}) == 1)
+
+
+def test_every_learned_word_keeps_its_symbol(spark):
+    draw = random.Random(8)
+    # 70,000 words, each learned twice beside the same neighbour: no count is left above which fewer than 65,000 stand
+    rows = [(k, " ".join(f"a{j} b{j}" for j in range(100 * k, 100 * k + 100))) for k in range(350)] * 2
+    rows += [(1000 + k, " ".join(f"b{draw.randrange(35_000)}" for _ in range(5))) for k in range(3)] + [(2000, "a17 b17"), (2001, "a17 b18")]
+    model = brute.Katz([t for i, t in rows if i < 1000], 10**9)
+    from pyspark.sql import functions as F
+
+    out = katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), F.col("doc_id") < 1000)
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    want = {i: model.row(i, t)[5] for i, t in rows[:2] + rows[700:]}
+    assert all(abs(got[i] - want[i]) < 1e-9 * abs(want[i]) for i in want)
+    assert got[2000] > got[2001]
