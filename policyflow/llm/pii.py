@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,13 +147,21 @@ _LAST = "com|org|net|edu|gov|info|biz|example|test|io|co|dev|app|ai|eu|de|fr|es|
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9.-]+(?:(?:\s+dot\s+|{_OPEN}(?:dot|\.){_CLOSE})[A-Za-z0-9-]+)*?(?:\s+dot\s+(?:{_LAST})(?![^\W_])|{_OPEN}(?:dot|\.){_CLOSE}[A-Za-z0-9]))", re.I)
 _AT = re.compile(rf"{_OPEN}(?:at|@|arroba|arobase){_CLOSE}", re.I)
 _DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:dot|point|punto|punkt|\.){_CLOSE}|\s+dot\s+)(?=[A-Za-z0-9])", re.I)
-_HINTS = tuple(b + s + w for b in "[({<" for s in ("", " ") for w in ("at", "@", "dot", ".", "arroba", "arobase", "punto", "punkt", "point"))
+#: What every match of the patterns above has in it.
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|dot|point|punto|punkt|\.)", re.I)
+_SPACED_DOT = re.compile(r"\sdot\s", re.I)
 
 
 def _digit_like(m: re.Match) -> str:
     return "".join("0" if c in "oO" else "1" for c in m.group())
 
 
+def _number(word: str) -> str:
+    """The digit of a number word; without regard to case some letters have a second form."""
+    low = word.lower()
+    return str(NUMBER_WORDS[low if low in NUMBER_WORDS else word.translate({0x17F: "s", 0x130: "i", 0x131: "i"}).lower()])
+
+
 def _is_odd(text: str) -> bool:
     if text.isascii():
         return False
@@ -172,14 +180,13 @@ def normalised(text: str, spelled: bool = True) -> Aligned | None:
         folded = folded.rewrite(_ODD, lambda m: _plain(m.group()))
         spelled = True
     low = folded.text.lower()
-    hints = " dot " in low or any(b in low for b in "[({<") and any(h in low for h in _HINTS)
-    spelled = spelled and _SPELLED.search(low) is not None
+    hints = "dot" in low and _SPACED_DOT.search(folded.text) is not None or _BRACKETED.search(folded.text) is not None
     mixed = _ANY_DIGIT_LIKE.search(folded.text) is not None
-    if not (odd or hints or spelled or mixed):
+    out = folded.rewrite(_DIGIT_LIKE, _digit_like) if mixed else folded
+    spelled = spelled and _SPELLED.search(out.text) is not None
+    plus = "plu" in low and (spelled or _PLUS.search(out.text) is not None)
+    if not (odd or hints or spelled or mixed or plus):
         return None
-    out = folded
-    if mixed:
-        out = out.rewrite(_DIGIT_LIKE, _digit_like)
     if spelled:
         inside = [m.span() for m in _SPELLED.finditer(out.text)]
         begins = np.array([a for a, _ in inside])
@@ -187,9 +194,11 @@ def normalised(text: str, spelled: bool = True) -> Aligned | None:
 
         def digit(m: re.Match) -> str:
             k = int(np.searchsorted(begins, m.start(), "right")) - 1
-            return str(NUMBER_WORDS[m.group(1).lower()]) if k >= 0 and m.start() < ends[k] else m.group()
+            return _number(m.group(1)) if k >= 0 and m.start() < ends[k] else m.group()
 
-        out = out.rewrite(_SPELLED_ONE, digit).rewrite(_PLUS, lambda m: "+")
+        out = out.rewrite(_SPELLED_ONE, digit)
+    if plus:
+        out = out.rewrite(_PLUS, lambda m: "+")
     if hints:
         out = out.rewrite(_BARE_AT, lambda m: "@").rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".")
     return out if out.text != text else None
@@ -213,16 +222,21 @@ def find(text: str, spelled: bool = True) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def _number_hashes() -> np.ndarray:
-    words = [w.encode() for w in NUMBER_WORDS]
-    ends = np.cumsum([len(w) for w in words])
-    return np.sort(span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends))
+def _hashes(words: Iterable[str]) -> np.ndarray:
+    own = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in own])
+    return np.sort(span_hashes(np.frombuffer(b"".join(own), np.uint8), ends - [len(w) for w in own], ends))
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
-def may_spell(texts: pa.Array, at_least: int = 3) -> np.ndarray:
-    """Whether each text has so many number words or digits in a row; other signs may stand between them."""
+def may_spell(texts: pa.Array) -> np.ndarray:
+    """Whether each text may have spelled digits: a number word beside a number word, a digit or a dot, other signs between them or not. True of all
+    texts that are not ASCII, which have more kinds of space and case."""
     data, bounds = raw(texts)
-    numbers, out = _number_hashes(), np.zeros(len(texts), bool)
+    numbers, dots, out = _hashes(NUMBER_WORDS), _hashes(("dot", "point")), np.zeros(len(texts), bool)
     for first, last in slices(bounds):
         own = lowered(data[bounds[first] : bounds[last]])
         cuts = bounds[first : last + 1] - bounds[first]
@@ -232,15 +246,13 @@ def may_spell(texts: pa.Array, at_least: int = 3) -> np.ndarray:
         edge[cuts] = True
         starts, ends = np.flatnonzero(edge[:-1] & inside), np.flatnonzero(edge[1:] & inside) + 1
         keys = span_hashes(own, starts, ends)
-        number = numbers[np.minimum(np.searchsorted(numbers, keys), len(numbers) - 1)] == keys
-        number |= (own[starts] - np.uint8(48)) < 10
-        # "dot" may stand between the numbers of an address, so every third sign in five is enough
-        near = np.convolve(number, np.ones(2 * at_least - 1), "valid") >= at_least if len(number) >= 2 * at_least - 1 else np.zeros(0, bool)
-        hits = np.flatnonzero(near)
-        for shift in range(2 * at_least - 1):  # the window may begin in the text before
-            out[first + np.searchsorted(cuts, starts[hits + shift], "right") - 1] = True
-        short = np.diff(np.searchsorted(starts, cuts)) < 2 * at_least - 1
-        out[first + np.flatnonzero(short)] = True
+        number = _among(keys, numbers)
+        beside = number | _among(keys, dots) | ((own[starts] - np.uint8(48)) < 10)
+        text = np.searchsorted(cuts, starts, "right") - 1
+        near = (number[1:] & beside[:-1] | number[:-1] & beside[1:]) & (text[1:] == text[:-1])
+        out[first + text[1:][near]] = True
+        wide = np.flatnonzero(own >= 128)
+        out[first + np.unique(np.searchsorted(cuts, wide, "right") - 1)] = True
     return out
 
 

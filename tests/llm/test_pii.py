@@ -79,3 +79,29 @@ def test_operator(spark):
     got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in pii.detect(docs).collect()), key=str)
     assert got == sorted(((i, pii.find(t or "")) for i, t in data), key=str)
     assert pii.detect(docs.limit(0)).collect() == []
+
+
+def test_prefilters_skip_nothing():
+    card = "four" + " one" * 15
+    hidden = {
+        "my card is 411111111111111 one please call me back soon": ("card", "411111111111111 one"),
+        "so we took four 111111111111111 from the big list of mine": ("card", "four 111111111111111"),
+        "this is a longer text and\u00a0" + card.replace(" ", "\u00a0") + " ends it here": ("card", card.replace(" ", "\u00a0")),
+        "mein Text hat 16 Ziffern: FÜNF 555555555554444 und noch mehr": ("card", "FÜNF 555555555554444"),
+        "send to john\tat\tmail\tdot\tcom or someone else in there": ("email", "john\tat\tmail\tdot\tcom"),
+        "send to john [  at  ] mail [\tdot\t] com or someone else": ("email", "john [  at  ] mail [\tdot\t] com"),
+        "please call plus 49 151 2345678 today or some time later": ("phone", "plus 49 151 2345678"),
+        "it says 4O1111111111111 one on the front of the card": None,
+    }
+    for t, may in zip(hidden, pii.may_spell(pa.array(list(hidden), pa.large_string())).tolist()):
+        want = [(*hidden[t], False)] if hidden[t] else []
+        assert [(k, t[a:b], p) for k, a, b, p in pii.find(t, may)] == want == [(k, t[a:b], p) for k, a, b, p in pii.find(t)], t
+    assert pii.find("\u017fix one two s\u0130x") == []
+
+
+def test_prefilters_against_all_texts():
+    draw = random.Random(6)
+    parts = ["one", "Two", "fünf", "411111", "1", "dot", "at", "[at]", "( dot )", "plus", "x", "a@b.co", ",", "-", "l", "com", "four"]
+    texts = ["".join(draw.choice(parts) + draw.choice([" ", "  ", "\t", "\u2003", "", "-"]) for _ in range(draw.randint(1, 14))) for _ in range(4000)]
+    for t, may in zip(texts, pii.may_spell(pa.array(texts, pa.large_string())).tolist()):
+        assert pii.find(t, may) == pii.find(t), t
