@@ -205,7 +205,7 @@ def normalised(text: str, spelled: bool = True) -> Aligned | None:
 
 
 def find(text: str, spelled: bool = True) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, plain) of one text, by kind and start; disguised finds that overlap a plain one of their kind are left out."""
+    """(kind, start, end, plain) of one text, by kind and start; disguised finds inside a plain one of their kind are left out."""
     out = []
     rewritten = normalised(text, spelled)
     for kind, detect in DETECTORS.items():
@@ -215,8 +215,8 @@ def find(text: str, spelled: bool = True) -> list[tuple[str, int, int, bool]]:
             taken = sorted(plain)
             starts = [a for a, _ in taken]
             for start, end in (rewritten.source(*s) for s in detect(rewritten.text)):
-                k = int(np.searchsorted(starts, end, "left"))
-                if not (k and taken[k - 1][1] > start):
+                k = int(np.searchsorted(starts, start, "right"))
+                if not (k and taken[k - 1][1] >= end):
                     more.append((start, end))
         out += sorted([(kind, a, b, True) for a, b in plain] + [(kind, a, b, False) for a, b in more], key=lambda s: s[1:3])
     return out

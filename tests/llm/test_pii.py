@@ -105,3 +105,10 @@ def test_prefilters_against_all_texts():
     texts = ["".join(draw.choice(parts) + draw.choice([" ", "  ", "\t", "\u2003", "", "-"]) for _ in range(draw.randint(1, 14))) for _ in range(4000)]
     for t, may in zip(texts, pii.may_spell(pa.array(texts, pa.large_string())).tolist()):
         assert pii.find(t, may) == pii.find(t), t
+
+
+def test_partly_disguised():
+    spans = lambda t: [(k, t[a:b], p) for k, a, b, p in pii.find(t)]
+    assert spans("x john [dot] smith@example.com y") == [("email", "john [dot] smith@example.com", False), ("email", "smith@example.com", True)]
+    assert spans("jane@mail.example [dot] com") == [("email", "jane@mail.example", True), ("email", "jane@mail.example [dot] com", False)]
+    assert spans("a@b.co and c (dot) d") == [("email", "a@b.co", True)]
