@@ -16,8 +16,8 @@ from .common import bounded_batches, fold, lowered, query, raw, slices, span_has
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
-#: Labelled documents learned from, by hash of the id, and passages taken of each of them, evenly spread.
-LEARN_DOCS, LEARN_PASSAGES = 3000, 48
+#: Labelled documents learned from, by hash of the id, and bytes of all their texts; every one of them is learned from whole.
+LEARN_DOCS, LEARN_BYTES = 3000, 128 << 20
 HIDDEN, GATE = 24, 16
 #: Passes over the sample, documents of one step, and the step's size.
 PASSES, STEP_DOCS, RATE, DECAY = 16, 128, 0.01, 1e-4
@@ -143,11 +143,11 @@ class Attention:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, at_most: int = LEARN_DOCS) -> Attention | None:
+def learn(docs: DataFrame, labels: DataFrame, at_most: int = LEARN_DOCS, at_most_bytes: int = LEARN_BYTES) -> Attention | None:
     """A model from docs (doc_id, text) and labels (doc_id, quality 0 or 1); None if there is nothing to learn from.
 
-    Learned from about ``at_most`` labelled documents, chosen by a hash of the id, and at most LEARN_PASSAGES passages of each: a bounded
-    sample, fitted on the driver. Null labels teach nothing; of repeated labels the largest counts."""
+    Learned from all passages of about ``at_most`` labelled documents, the first by a hash of the id; fewer where their texts come to more than
+    ``at_most_bytes``, but one at least: a bounded sample, fitted on the driver. Null labels teach nothing; of repeated labels the largest counts."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -156,6 +156,11 @@ def learn(docs: DataFrame, labels: DataFrame, at_most: int = LEARN_DOCS) -> Atte
     some = known.filter(place < F.lit(min(1.0, at_most / max(n, 1)))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # about at_most rows of two numbers
     bags = docs.filter(place < F.lit(min(1.0, at_most / max(n, 1)))).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    sizes = bags.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("place", place).orderBy("place", "doc_id").toPandas()
+    over = np.flatnonzero(sizes["bytes"].fillna(0).cumsum().to_numpy()[1:] > at_most_bytes)
+    if len(over):
+        last = sizes.iloc[int(over[0])]
+        bags = bags.filter((place < float(last["place"])) | ((place == float(last["place"])) & (F.col("doc_id") <= int(last["doc_id"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, at_most: int = LEARN_DOCS) -> Atte
             for first, last in slices(bounds):
                 x, at = passages(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
                 for a, b in zip(at[:-1], at[1:]):
-                    out.append(x[np.unique(np.linspace(a, b - 1, min(b - a, LEARN_PASSAGES)).astype(int))].astype("<f4").tobytes())
+                    out.append(x[a:b].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "quality", "bag"])
 
     rows = sorted(bags.mapInArrow(run, "doc_id long, quality int, bag binary").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))

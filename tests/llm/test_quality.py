@@ -70,3 +70,14 @@ def test_odd_rows(spark):
     none = quality.learn(docs, labels.limit(0))
     assert none is None and {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).collect() == [] and quality.learn(docs.limit(0), labels) is None
+
+
+def test_learns_from_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, bags, label: seen.append(sorted(map(len, bags))) or self)
+    docs = spark.createDataFrame([(k, "word " * (quality.PASSAGE_WORDS * k)) for k in (1, 60, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (60, 1), (200, 0)], "doc_id long, quality int")
+    quality.learn(docs, labels)
+    assert seen == [[1, 60, 200]]
+    quality.learn(docs, labels, at_most_bytes=1)  # the sample is smaller, its document whole
+    assert len(seen[1]) == 1 and seen[1][0] in (1, 60, 200)
