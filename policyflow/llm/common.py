@@ -210,6 +210,26 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(data, starts, ends), np.searchsorted(starts, bounds)
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the run of ``size`` words that starts at each word; the last words, which have no whole run, have none."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power(_BASE, len(words)), out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _power(_INVERSE, len(words))[:n])
+
+
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` values in a row."""
+    have = 1
+    while have < size and len(values):
+        step = min(have, size - have)
+        values = np.minimum(values[: max(0, len(values) - step)], values[step:])
+        have += step
+    return values
+
+
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
     """The sorted distinct hashes of the word runs of length ``size`` of each text; all of a shorter text is one run."""
     runs = np.zeros(max(0, len(words) - size + 1), np.uint64)
