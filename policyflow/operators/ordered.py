@@ -149,6 +149,28 @@ def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     return joined.withColumn(out, F.col("__local") + F.col("__carry")).drop("__local", "__carry", _KEY, _BLOCK)
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows range-partitioned on (keys, order) and written, with the key as one struct and the number of the range, which rises with the order.
+
+    A key that holds much of the table spreads over many ranges; a window over (key, range) sees one of them."""
+    from ..session import cut
+
+    key = F.struct(*keys) if keys else F.lit(0)
+    return cut(df.repartitionByRange(*keys, *order).withColumns({_KEY: key, _BLOCK: F.spark_partition_id()}))
+
+
+def last_filled_sorted(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """As ``last_filled``, in the order of any sortable columns that make it total; nulls come first."""
+    ranged = in_ranges(df.withColumn("__value", value), keys, order)
+    carried = _carry(
+        ranged, F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), F.struct(*order))),
+        lambda w: F.last("__sum", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    )
+    upto = Window.partitionBy(_KEY, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = _attach(ranged.withColumn("__local", F.last("__value", True).over(upto)), carried)
+    return joined.withColumn(out, F.coalesce("__local", "__carry")).drop("__value", "__local", "__carry", _KEY, _BLOCK)
+
+
 def batches(df: DataFrame, pos: str, size: int, keys: list[str] | None = None, width: int = BLOCK) -> DataFrame:
     """Number rows and put ``size`` of them in a batch: adds ``row_no``, ``batch_no`` and ``batch_total``."""
     numbered = number_in_order(df, keys or [], pos, "row_no", width, "batch_total")
