@@ -44,6 +44,15 @@ def first_row(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.join(least, same, "left_semi")
 
 
+def last_row(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """As ``first_row``, for the largest position."""
+    most = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(pos).alias("__at"))
+    same = F.col("__at") == F.col(pos)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"__k{i}").eqNullSafe(F.col(k))
+    return df.join(most, same, "left_semi")
+
+
 def _blocked(df: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
     """Adds the key as one struct (null keys compare equal there) and the first position of the row's block."""
     key = F.struct(*keys) if keys else F.lit(0)

@@ -1,20 +1,24 @@
 """Streams: incoming directory, event log, review decisions, status counts.
 
 Every micro-batch writes to a folder that carries its batch number, so a batch that is run again after a failure replaces
-its own output. The checkpoint remembers which files were read.
+its own output. The checkpoint remembers which files were read. Folders go as soon as a snapshot holds what is in them, so a batch finds as many
+of them after ten thousand batches as after a hundred. What must be known for ever (closed reviews) is kept by Spark's state store.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import names
 from ..functions import text as tx
 from ..operators import merge, quality, review
-from ..operators.ordered import first_per_key, last_per_key, number_in_order
+from ..operators.ordered import last_row, number_in_order
 from ..sources.tables import csv_reader
 
 
@@ -40,6 +44,11 @@ def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     return sorted(n for n in numbers if _exists(spark, f"{folder}/{name}={n}/_SUCCESS"))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _base(spark: SparkSession, master: str, before: int | None) -> int:
     """Number of the newest compacted snapshot (older than ``before``), -1 when there is none."""
     return max((n for n in _numbers(spark, f"{master}/base", "upto") if before is None or n < before), default=-1)
@@ -72,14 +81,21 @@ def master_view(
     rows = merge.append_all(parts)
     if only is not None:
         rows = rows.join(only, names.KEY_FIELDS, "left_semi")
-    return last_per_key(rows, names.KEY_FIELDS, "batch").drop("batch")
+    return last_row(rows, names.KEY_FIELDS, "batch").drop("batch")
 
 
 def compact(spark: SparkSession, master: str, upto: int) -> None:
-    """Write the state after batch ``upto`` as a snapshot in buckets of keys; later views start from it, older snapshots stay as backup."""
+    """Write the state after batch ``upto`` as a snapshot in buckets of keys; later views start from it.
+
+    The snapshot before it stays with the changes since, as batch ``upto`` may be run again; what is older goes."""
+    before = _base(spark, master, upto)
     schema = spark.read.parquet(f"{master}/changes").drop("batch").schema
     now = master_view(spark, master, schema, upto + 1).withColumn("bucket", _bucket(names.KEY_FIELDS))
     now.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{master}/base/upto={upto}")
+    for name, folder, last in (("batch", f"{master}/changes", before), ("upto", f"{master}/base", before - 1)):
+        for n in _numbers(spark, folder, name):
+            if n <= last:
+                _remove(spark, f"{folder}/{name}={n}")
 
 
 def _decoded(path: Column) -> Column:
@@ -164,9 +180,7 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     ).text(f"{out}/acks/batch={batch_id}")
     good = rows.join(state.filter("valid").select("file"), "file", "left_semi")
     # of several rows with one key the last of the batch counts
-    good = last_per_key(
-        good.drop("file", "row_no", "header_errors"), names.KEY_FIELDS, "pos"
-    ).drop("pos").na.fill("")
+    good = last_row(good.drop("file", "row_no", "header_errors").na.fill("", names.KEY_FIELDS), names.KEY_FIELDS, "pos").drop("pos").na.fill("")
     current = master_view(session, master, good.schema, batch_id, good.select(*names.KEY_FIELDS))
     changed = merge.classify(current, good).persist()
     changed.filter("change_type <> 'skip'").drop("change_type", "changes").write.mode("overwrite").parquet(f"{master}/changes/batch={batch_id}")
@@ -178,6 +192,8 @@ def receive_batch(spark: SparkSession, batch: DataFrame, batch_id: int, incoming
     errors.unpersist()
     if (batch_id + 1) % compact_every == 0:
         compact(session, master, batch_id)
+    for folder in (received, staged):
+        _remove(session, folder)
 
 
 def monitor(spark: SparkSession, incoming: str, master: str, out: str, checkpoint: str, files_per_trigger: int = 1000, compact_every: int = COMPACT_EVERY):
@@ -202,31 +218,42 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
 
 
 def first_decision_stream(stream: DataFrame, queue: DataFrame, path: str, checkpoint: str):
-    """Applicable decisions: the first of each pending review in arrival order; later ones find it closed."""
+    """Applicable decisions: the first of each pending review in arrival order; later ones find it closed.
+
+    Which reviews are closed is one flag a review in Spark's state store; no earlier output is read, whatever has been decided before."""
+    rest = [c for c in stream.columns if c not in ("review_id", "pos")]
+    pending = queue.filter("status = 'pending'").select(F.col("id").alias("review_id"))
+    known = stream.filter(F.col("action").isin("approve", "reject")).join(pending, "review_id", "left_semi")
+    row = StructType([stream.schema[c] for c in rest])
+    firsts = known.select("review_id", "pos", F.to_json(F.struct(*rest), _JSON).alias("row")).groupBy("review_id").applyInPandasWithState(
+        _first_of_review, "review_id long, pos long, row string", "closed boolean", "append", "NoTimeout")
+    out = firsts.withColumn("row", F.from_json("row", row, _JSON)).select(*[F.col(f"row.{c}") if c in rest else F.col(c) for c in stream.columns])
+    return out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(f"{path}/closed")
+
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        checked = review.check_decisions(batch, queue).filter("error = ''")
-        firsts = first_per_key(checked, ["review_id"], "pos").withColumn("bucket", _bucket(["review_id"])).persist()
-        earlier = [n for n in _numbers(session, f"{path}/closed", "batch") if n < batch_id]
-        kept = firsts
-        if earlier:
-            # only the buckets that the batch touches are read; at most BUCKETS numbers reach the driver
-            wanted = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]
-            closed = session.read.option("basePath", f"{path}/closed").parquet(*[f"{path}/closed/batch={n}" for n in earlier])
-            kept = firsts.join(closed.filter(F.col("bucket").isin(wanted)).select("review_id"), "review_id", "left_anti")
-        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/closed/batch={batch_id}")
-        firsts.unpersist()
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+def _first_of_review(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    best = None
+    for part in parts:  # Arrow batches: the decisions of a crowded review are never held together
+        if not state.exists and len(part):
+            own = part.loc[[part["pos"].idxmin()]]
+            best = own if best is None or own["pos"].iloc[0] < best["pos"].iloc[0] else best
+    if best is not None:
+        state.update((True,))
+        yield best
 
 
 def count_stream(stream: DataFrame, key: Column, path: str, checkpoint: str):
-    """Counts per status, the whole result after every batch; the newest folder is the current one."""
+    """Counts per status, the whole result after every batch; the newest folder is the current one, and only the one before it stays beside it."""
     counts = stream.groupBy(key).agg(F.count("*").alias("n"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+        for n in _numbers(batch.sparkSession, path, "run"):
+            if n < batch_id - 1:
+                _remove(batch.sparkSession, f"{path}/run={n}")
 
     return (
         counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)

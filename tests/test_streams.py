@@ -104,3 +104,110 @@ def test_counts_follow_new_files(spark, tmp_path):
         monitor.count_stream(stream, F.col("status"), out, check).awaitTermination()
     got = {r["status"]: r["n"] for r in monitor.current_counts(spark, out).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+def _folders(spark, *paths):
+    return sum(len(monitor._numbers(spark, p, n)) for p, n in paths)
+
+
+def test_monitor_forgets_what_a_snapshot_holds(spark, tmp_path):
+    """Batches far on find as few folders as early ones, and the master stays what it is."""
+    incoming, target, out = (str(tmp_path / p) for p in ("in", "master", "out"))
+    (tmp_path / "in").mkdir()
+    counts = []
+    schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
+    for step, batch in enumerate([*range(5), *range(10_000, 10_004)]):
+        write(tmp_path / "in", f"{step}.csv", [("P1", f"B{step % 4}", f"v{step}")])
+        files = spark.createDataFrame([(f"file:{incoming}/{step}.csv",)], "path string")
+        monitor.receive_batch(spark, files, batch, incoming, target, out, compact_every=2)
+        counts.append(_folders(spark, (f"{target}/changes", "batch"), (f"{target}/base", "upto"), (f"{out}/received", "batch"), (f"{out}/staged", "batch")))
+        if batch in (3, 10_001):  # a batch may run again after it has been compacted
+            monitor.receive_batch(spark, files, batch, incoming, target, out, compact_every=2)
+    assert max(counts) <= 6  # two snapshots, the changes since the older one
+    now = monitor.master_view(spark, target, schema).collect()
+    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now) == [("B0", "v8"), ("B1", "v5"), ("B2", "v6"), ("B3", "v7")]
+
+
+def test_counts_keep_two_runs(spark, tmp_path):
+    source, out, check = (str(tmp_path / p) for p in ("src", "out", "check"))
+    for step in range(5):
+        spark.createDataFrame([("a",)], "status string").write.mode("append").parquet(source)
+        monitor.count_stream(spark.readStream.schema("status string").parquet(source), F.col("status"), out, check).awaitTermination()
+        assert _folders(spark, (out, "run")) <= 2
+    assert monitor.current_counts(spark, out).first()["n"] == 5
+
+
+def test_a_crowded_review_has_one_decision(spark, tmp_path):
+    source, out, check = (str(tmp_path / p) for p in ("src", "out", "check"))
+    schema = "pos long, review_id long, action string, amount long, at timestamp"
+    queue = spark.createDataFrame([(1, "pending"), (2, "pending")], "id long, status string")
+    rows = [(p, 1 if p % 50 else 2, "approve" if p % 3 else "hold", None, None) for p in range(2000, 0, -1)] + [(9, None, "approve", 1, None)]
+    for part in (rows, rows[:10]):
+        spark.createDataFrame(part, schema).repartition(4).write.mode("append").parquet(source)
+        monitor.first_decision_stream(spark.readStream.schema(schema).parquet(source), queue, out, check).awaitTermination()
+    closed = spark.read.parquet(f"{out}/closed")
+    assert closed.columns == ["pos", "review_id", "action", "amount", "at"]
+    assert sorted(tuple(r) for r in closed.collect()) == [(1, 1, "approve", None, None), (50, 2, "approve", None, None)]
+
+
+def test_late_rows_are_accounted_for(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from policyflow.streaming import events
+
+    base, rnd = dt.datetime(2024, 1, 1), random.Random(3)
+    minutes = list(range(600))
+    order = sorted(minutes, key=lambda m: m + (rnd.random() < 0.1) * 200 + rnd.randrange(30))
+    batches = [order[k : k + 150] for k in range(0, 600, 150)]
+    source, path, check, done, check2 = (str(tmp_path / p) for p in ("src", "split", "check", "windows", "check2"))
+    newest, late = None, set()
+    for part in [*batches, [10_000]]:
+        late |= {m for m in part if newest is not None and m < newest - 60}
+        newest = max([*part, *([newest] if newest is not None else [])])
+        rows = [(m, base + dt.timedelta(minutes=m), "hot" if m % 5 else "b") for m in part] + ([(-1, None, "hot")] if part is batches[0] else [])
+        spark.createDataFrame(rows, "id long, t timestamp, k string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, t timestamp, k string").parquet(source)
+        events.intake(stream, "t", 3600, path, check).awaitTermination()
+    assert late and {r["id"] for r in spark.read.parquet(f"{path}/late").collect()} == late | {-1}
+    ontime = spark.readStream.schema("id long, t timestamp, k string").parquet(f"{path}/ontime/batch=*")
+    query = events.window_stream(ontime, "t", ["k"], 3600, 3600, {"n": F.count(F.lit(1))}, done, check2)
+    query.awaitTermination()
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert dropped == 0
+    want = {}
+    for m in minutes:
+        if m not in late:
+            key = base + dt.timedelta(hours=m // 60), "hot" if m % 5 else "b"
+            want[key] = want.get(key, 0) + 1
+    assert {(r["window_start"], r["k"]): r["n"] for r in spark.read.parquet(done).collect()} == want
+
+
+def test_running_status_expires(spark, tmp_path):
+    import datetime as dt
+
+    from policyflow.streaming import events
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    source, path, check = (str(tmp_path / p) for p in ("src", "out", "check"))
+    schema = "k string, s string, t timestamp, n long"
+    for part in ([("a", "new", at(0), 1), ("a", "new", at(1), 2), ("a", "open", at(1), 3), (None, "x", at(1), 4), ("b", "new", at(2), 5)], [("b", "open", at(200), 6)], [("c", "new", at(500), 7)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        events.status_stream(stream, F.col("k"), F.col("s"), "t", "n", 3600, 0, path, check).awaitTermination()
+    got = sorted((r["key"], r["status"], r["before"], r["held_seconds"], r["expired"]) for r in spark.read.parquet(path).fillna("-", ["before"]).fillna(-1.0).collect())
+    assert ("a", "open", "new", 60.0, False) in got and ("a", "new", "-", -1.0, False) in got
+    assert ("a", "open", "open", 0.0, True) in got and len([g for g in got if g[0] == "a"]) == 3
+
+
+def test_repeated_rows_come_once(spark, tmp_path):
+    import datetime as dt
+
+    from policyflow.streaming import events
+
+    source, path, check = (str(tmp_path / p) for p in ("src", "out", "check"))
+    rows = [(i % 20, dt.datetime(2024, 1, 1, 0, i % 20), "x") for i in range(300)] + [(None, dt.datetime(2024, 1, 1), "null")] * 3
+    for part in (rows, rows[:50]):
+        spark.createDataFrame(part, "id long, t timestamp, v string").repartition(3).write.mode("append").parquet(source)
+        events.distinct_stream(spark.readStream.schema("id long, t timestamp, v string").parquet(source), "t", ["id"], 3600, path, check).awaitTermination()
+    assert sorted(str(r["id"]) for r in spark.read.parquet(path).collect()) == sorted(map(str, [*range(20), None]))
