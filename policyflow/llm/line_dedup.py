@@ -1,10 +1,10 @@
-"""Line dedup against the owners of lines.
+"""Line dedup by patience alignment with the owners of shared lines.
 
-Every line that several documents share has an owner: the document with the smallest id. A later document and the owner, aligned again and again
-on what is not marked yet (blocks in crossed order, passages that stand twice), come to agree in every line that the later one has of the owner.
-So each such line is marked directly, whatever its number of occurrences, and no group of copies, however large, is ever paired among itself. A caller may ask for one
-alignment by patience diff instead for lines of few occurrences. Consecutive marked lines of at least MIN_WORDS words are deleted. A line's owner never loses it, so
-one copy of everything stays.
+Every line that several documents share has an owner: the document with the smallest id. A shared line pairs a later document with its owner, whatever its number of occurrences, so a group of copies is
+a star around its owner and is never paired among itself; rare lines find the pairs that overlap in passages, frequent ones add the pair of document and
+owner that they stand for. A pair is aligned by patience diff over the lines that both have and the owner owns, then again over what is not aligned yet, until all is: blocks in crossed order
+and passages that stand twice come in a later round. Consecutive aligned lines of at least MIN_WORDS words are deleted from the later document. A line's owner never
+loses it, so one copy of everything stays.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, query, table, written
+from .common import Tables, bounded_batches, query, table
 
 #: Words that a deleted block has at least.
 MIN_WORDS = 5
+#: Patience diffs of one pair, one after the other.
+ROUNDS = 8
 
 
 def _lis(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -72,34 +75,71 @@ def _line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(F.translate(x, "\t\r", "  ")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(F.translate(x, "\t\r", "  ")))))
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = [[q for _, q in patience(a, b, 0)] for a, b in zip(batch.column("theirs").to_pylist(), batch.column("own").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(marks, pa.list_(pa.int32()))], ["key", "marks"])
+def rounds(theirs: list[int], own: list[int]) -> Iterator[list[int]]:
+    """Places in ``own`` that patience diff aligns with ``theirs``, then those that it aligns of the rest, and so on until all lines that both have are aligned.
 
+    Where no line of the rest is unique in both, or after ROUNDS of it (lines in reversed order align one by one), the runs of the rest go with the first places that they
+    have in ``theirs``."""
+    have = set(theirs)
+    left = [k for k, h in enumerate(own) if h in have]
+    for _ in range(ROUNDS):
+        marks = {left[q] for _, q in patience(theirs, [own[k] for k in left])}
+        if not marks:
+            break
+        yield sorted(marks)
+        left = [k for k in left if k not in marks]
+    if left:
+        yield left
 
-def marked(docs: DataFrame, rare: int = 0) -> DataFrame:
-    """(key, marks): positions of lines that an earlier document has, by the key of a document, xxhash64(doc_id, text).
 
-    ``rare``: lines with up to so many occurrences are marked only where one patience diff aligns them with an owner; 0 for none."""
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document the lines that alignments with the owners of its shared lines find."""
+    for batch in batches:
+        out = []
+        for shared in batch.column("shared").to_pylist():
+            pairs: dict[int, list[dict]] = {}
+            for line in shared:
+                pairs.setdefault(line["owner"], []).append(line)
+            marks: list[int] = []
+            for lines in pairs.values():
+                theirs = [x["h"] for x in sorted(lines, key=lambda x: x["place"])]
+                theirs += [x["h"] for x in lines if x["times"] > 1]  # further places of a line: no anchor
+                own = sorted((q, x["h"]) for x in lines for q in x["places"])
+                for found in rounds(theirs, [h for _, h in own]):
+                    marks += [own[k][0] for k in found]
+            out.append(sorted(marks))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "marks"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, h, place, times, places): the distinct lines of each document, with where and how often they stand."""
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for doc_id, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("own")):
+            hashes = own.values.to_numpy()
+            at = np.flatnonzero(hashes)
+            order = at[np.argsort(hashes[at], kind="stable")].astype(np.int32)
+            h, start, times = np.unique(hashes[order], return_index=True, return_counts=True)
+            for k, column in enumerate((np.full(len(h), doc_id), np.full(len(h), key), h, order[start], times.astype(np.int32), order)):
+                out[k].append(column)
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int32) for c in out]
+        ends = np.concatenate([[0], np.cumsum(columns[4])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:5]), pa.ListArray.from_arrays(pa.array(ends), pa.array(columns[5]))], ["doc_id", "key", "h", "place", "times", "places"])
+
+
+def marked(made: Tables, docs: DataFrame) -> DataFrame:
+    """(key, marks): positions of lines that align with an earlier document's, by the key of a document, xxhash64(doc_id, text)."""
     base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), _line_hashes(F.col("text")).alias("own"))
-    hashes = written(base, "line-hashes")
-    lines = hashes.select("doc_id", "key", F.posexplode("own").alias("pos", "h")).filter("h <> 0")
-    owners = (
-        lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-        .filter("owner < last").select("h", "owner", (F.col("n") <= rare).alias("rare"))
-    )
-    shared = lines.join(owners, "h").filter("doc_id > owner").select("key", "pos", "owner", "rare")
-    if rare <= 0:
-        return shared.groupBy("key").agg(F.collect_set("pos").alias("marks"))
-    shared = written(shared, "shared-lines")
-    pairs = shared.filter("rare").select("key", "owner").distinct()
-    theirs = hashes.select(F.col("doc_id").alias("owner"), F.col("own").alias("theirs"))
-    aligned = (
-        pairs.join(theirs, "owner").join(hashes.select("key", "own"), "key")
-        .mapInArrow(_aligned, "key long, marks array<int>").select("key", F.explode("marks").alias("pos"))
-    )
-    return aligned.unionByName(shared.filter("NOT rare").select("key", "pos")).groupBy("key").agg(F.collect_set("pos").alias("marks"))
+    lines = made.write(base.mapInArrow(_lines, "doc_id long, key long, h long, place int, times int, places array<int>"), "lines")
+    owners = lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place"), F.min_by("times", "doc_id").alias("times"))
+    # as a table, so that the join deals out the rows of a line that stands in very many documents
+    owners = made.write(owners.filter("owner < last").select("h", "owner", "place", "times"), "owners")
+    shared = lines.select("doc_id", "key", "h", "places").join(owners, "h").filter("doc_id > owner")
+    # the same row of documents that stand there twice is one
+    pairs = shared.groupBy("key").agg(F.collect_set(F.struct("owner", "h", "place", "times", "places")).alias("shared"))
+    found = made.write(pairs.mapInArrow(_aligned, "key long, marks array<int>"), "marks")
+    made.drop("lines", "owners")
+    return found
 
 
 def _without(text: str, marks: set[int], min_words: int) -> tuple[str, int, int]:
@@ -125,18 +165,18 @@ def _without(text: str, marks: set[int], min_words: int) -> tuple[str, int, int]
     return ("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text), len(lines), len(gone)
 
 
-def clean(docs: DataFrame, rare: int = 0, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def clean(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, others) with the text cleaned, then the numbers of its lines and of lines
     removed, named by ``counts``; one row per row.
 
     Rows without an id or a text stay as they are (no lines for a null text) and own no lines. Rows with the same id are versions of one document: they are not
     compared among themselves; repeated rows are treated alike. Lines are compared without outer blanks, tabs and carriage returns. A text all of whose lines go becomes
-    empty. Columns with the names of the counts are replaced. ``rare`` as in ``marked``."""
+    empty. Columns with the names of the counts are replaced."""
     bounded_batches(docs.sparkSession)
     own = docs.drop(*counts)
     names = own.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    found = marked(docs, rare).select(F.col("key").alias("__key"), F.col("marks").alias("__marks"))
+    found = marked(Tables(docs.sparkSession), docs).select(F.col("key").alias("__key"), F.col("marks").alias("__marks"))
     rows = own.join(found, F.xxhash64(own["doc_id"], own["text"]) == F.col("__key"), "left").drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,45 +9,53 @@ def key(line):
     return line.replace("\t", " ").replace("\r", " ").strip(" ")
 
 
-def plain(rows, rare, min_words):
-    """Rows (doc_id, text, n_lines, n_removed) without Spark."""
-    documents = {}
+def without(text, marks, min_words=5):
+    """The text without runs of marked lines (and the blank lines inside them) that hold enough words."""
+    lines = text.split("\n")
+    gone, k = set(), 0
+    while k < len(lines):
+        if k in marks:
+            run = [k]
+            while run[-1] + 1 < len(lines) and (run[-1] + 1 in marks or not lines[run[-1] + 1].split()):
+                run.append(run[-1] + 1)
+            k = run[-1]
+            while not lines[run[-1]].split():
+                run.pop()
+            if sum(len(lines[j].split()) for j in run) >= min_words:
+                gone.update(run)
+        k += 1
+    return "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)
+
+
+def plain(rows):
+    """Rows (doc_id, text, n_lines, n_removed) without Spark and without any alignment: a line goes if a smaller document has it."""
+    owner = {}
     for i, t in rows:
-        if i is not None and t is not None:
-            documents[i, t] = [key(x) for x in t.split("\n")]
-    uses = {}
-    for (i, t), lines in documents.items():
-        for k, x in enumerate(lines):
-            if x:
-                uses.setdefault(x, []).append((i, t, k))
-    owner = {x: min(u)[0] for x, u in uses.items()}
-    count = {}
-    for i, t in rows:  # repeated rows count as often as they stand there
-        if i is not None and t is not None:
-            for x in map(key, t.split("\n")):
-                count[x] = count.get(x, 0) + 1
-    marks = {d: set() for d in documents}
-    for (i, t), lines in documents.items():
-        partners = set()
-        for k, x in enumerate(lines):
-            if x and owner[x] < i:
-                if count[x] > rare:
-                    marks[i, t].add(k)
-                else:
-                    partners.add(owner[x])
-        for p in partners:
-            for (j, u), theirs in documents.items():
-                if j == p:
-                    marks[i, t] |= {b for _, b in line_dedup.patience(theirs, lines, "")}
+        for x in t.split("\n") if i is not None and t is not None else ():
+            owner[key(x)] = min(owner.get(key(x), i), i)
     out = []
     for i, t in rows:
         if t is None:
             out.append((i, None, 0, 0))
         else:
-            out.append((i, *line_dedup._without(t, marks.get((i, t), set()), min_words)))
+            marks = {k for k, x in enumerate(t.split("\n")) if i is not None and key(x) and owner[key(x)] < i}
+            out.append((i, *without(t, marks)))
     return sorted(out, key=str)
 
 
+def test_rounds_reach_every_shared_line():
+    draw = random.Random(5)
+    for _ in range(1000):
+        a = [draw.randint(1, 12) for _ in range(draw.randint(0, 20))]
+        b = [draw.randint(1, 12) for _ in range(draw.randint(0, 20))]
+        found = [k for part in line_dedup.rounds(a, b) for k in part]
+        assert sorted(found) == [k for k, h in enumerate(b) if h in a]
+    # in order: one alignment; two crossed blocks: two; a passage twice: the second time in a later round
+    assert [len(x) for x in line_dedup.rounds([1, 2, 3, 4], [9, 1, 2, 8, 3, 4])] == [4]
+    assert [len(x) for x in line_dedup.rounds([1, 2, 3, 4, 5], [4, 5, 1, 2, 3])] == [3, 2]
+    assert len(list(line_dedup.rounds(list(range(1, 3000)), list(range(3000, 0, -1))))) == line_dedup.ROUNDS + 1
+
+
 def test_patience_properties():
     draw = random.Random(3)
     for _ in range(2000):
@@ -82,10 +90,9 @@ def test_against_plain(spark):
         rows.append((i, t))
     rows += [(3, rows[3][1]), (3, "another version\n" + rows[4][1]), (7, None), (None, rows[5][1]), (200, ""), (201, "\n\n \t"), (202, "\r\n".join(lines[:6])), (203, "x " * 20000)]
     frame = spark.createDataFrame([(i, t, "clash", 1.5) for i, t in rows], "doc_id long, text string, n_lines string, marks double")
-    for rare in (32, 3):
-        out = line_dedup.clean(frame, rare=rare)
-        assert out.columns == ["doc_id", "text", "marks", "n_lines", "n_removed"]
-        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()), key=str) == plain(rows, rare, line_dedup.MIN_WORDS)
+    out = line_dedup.clean(frame)
+    assert out.columns == ["doc_id", "text", "marks", "n_lines", "n_removed"]
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()), key=str) == plain(rows)
 
 
 def test_one_copy_stays(spark):
