@@ -97,6 +97,10 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, *names: str) -> DataFrame:
+        """The named tables, all of one kind, as one."""
+        return self.spark.read.parquet(*[self.paths[n] for n in names])
+
     def drop(self, *names: str) -> None:
         """Deletes the named tables, or all."""
         for name in names or list(self.paths):

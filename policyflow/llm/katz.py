@@ -1,13 +1,13 @@
 """Katz backoff language model over word pairs.
 
-Words and pairs are counted over all learning texts; every learned word keeps its own symbol. Pair counts are discounted by Good-Turing, what a
+Words and pairs are counted over all learning texts; every learned word has a symbol of its own. Pair counts are discounted by Good-Turing, what a
 context saves goes to the words that it was not seen with, in proportion to their unigram probability, and the backoff weight makes each context
-sum to one exactly. The unigrams back off once more, to the unknown symbol of the words that were not learned. A caller may name a largest number
-of symbols; words outside then share the unknown symbol and inside it are weighed by their own counts plus a half.
+sum to one exactly. The unigrams back off once more, to the unknown symbol of the words that were not learned.
 
-Documents are put into slices once: a table of distinct words and word numbers. Words, pairs and contexts are tables with one row per key, summed
-by Spark from the sums of each slice. A slice's distinct words and pairs are joined with them, and what is found goes back to the slice in packed
-rows, where it is summed per document. Nothing on the driver or in a broadcast grows with the vocabulary.
+Documents are put into slices once: a table of distinct words and word numbers. A slice gives one row for each distinct word, and for each distinct pair, with its own count; a window over the
+key adds these up (a key has at most one row a slice, however often it occurs), and the slice is told where the total differs from its own count. The first slice that has
+a pair counts it into the sums of its context. Pairs are worked on in ROUNDS parts by their context, always as many, so that only one part of them is under way at once;
+every document's score is the sum of its parts. Nothing on the driver or in a broadcast grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,18 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches, fold, query, raw, slices, table, text_column, word_hashes, written
+from .common import Tables, bounded_batches, fold, query, raw, slices, table, text_column, word_hashes
 
 #: Counts up to which Good-Turing discounts.
 DISCOUNTED = 5
-#: The end of a text, the beginning and words without a symbol, among the word hashes.
-END_HASH, BEGIN_HASH, UNKNOWN_HASH = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x1BE91BE91BE91BE9), np.uint64(0x2A0C2A0C2A0C2A0C)
+#: The end of a text and the beginning, among the word hashes.
+END_HASH, BEGIN_HASH = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x1BE91BE91BE91BE9)
 #: Text of a slice, in bytes, and its most documents.
 SLICE, SLICE_DOCS = 8 << 20, 1 << 15
-#: Rows of numbers per Arrow batch, and how many of them are packed together.
-NUMBER_ROWS, PACKED_ROWS = 1 << 16, 1 << 20
+#: Rows of numbers that a task gives at once, parts that the rows of a slice are packed in, and parts of the contexts.
+NUMBER_ROWS, PACKS, ROUNDS = 1 << 16, 16, 8
 #: Bits by which a pair's key turns its context.
 TURN = 21
 
@@ -81,64 +81,60 @@ def _release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-#: A slice (its sorted distinct words, the numbers of its tokens among them, and of each document the tokens, id, whether it has one and is learned from), or
-#: what was found for it (keys and their values).
-PACKED = "kind int, slice long, a binary, b binary, c binary, d binary, e binary, f binary"
-_PACKED = pa.schema([("kind", pa.int32()), ("slice", pa.int64())] + [(c, pa.binary()) for c in "abcdef"])
-SLICED, WORDS, PAIRS = 0, 1, 2
-
-
-def _packed(kind: int, number: int, *fields: np.ndarray) -> pa.RecordBatch:
-    row = [kind, number, *(x.tobytes() for x in fields), *[None] * (6 - len(fields))]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PACKED)], schema=_PACKED)
+#: A slice: its sorted distinct words, the numbers of its tokens among them, of each document the tokens, id, whether it has one and is learned from, and
+#: the learned counts of its words.
+PACKED = "slice long, words binary, numbers binary, sizes binary, ids binary, known binary, learn binary, counts binary"
+_PACKED = pa.schema([("slice", pa.int64())] + [(c.split()[0], pa.binary()) for c in PACKED.split(", ")[1:]])
+#: What a slice is told: keys with values (a pair's count; a context's norm and backoff weight).
+WORDS, PAIRS, CONTEXTS = 0, 1, 2
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """The documents (doc_id, text, learn) as slices."""
+    """The documents (doc_id, text, learn) as slices; their words' counts are their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_of(batches):
             tokens, sizes = part.tokens()
             words, numbers = np.unique(tokens, return_inverse=True)
             ids = np.array([i or 0 for i in part.ids], "<i8")
-            flags = np.array([i is not None for i in part.ids], np.uint8), np.array(part.learn, np.uint8)
-            yield _packed(SLICED, part.number, words.astype("<u8"), numbers.astype("<u4"), sizes.astype("<i8"), ids, *flags)
+            learn = np.array(part.learn, bool)
+            counts = np.bincount(numbers[np.repeat(learn, sizes)], minlength=len(words))
+            fields = (words.astype("<u8"), numbers.astype("<u4"), sizes.astype("<i8"), ids, np.array([i is not None for i in part.ids], np.uint8), learn.astype(np.uint8), counts.astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([part.number]), *(pa.array([x.tobytes()], pa.binary()) for x in fields)], schema=_PACKED)
             _release()
 
     return docs.mapInArrow(run, PACKED)
 
 
 class Open:
-    """A slice that is worked on. Numbers of symbols are those of its words, and two more for unknown words and the beginning."""
-
-    def __init__(self, a, b, c, d, e, f):
-        self.words, self.numbers, self.sizes = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<i8")
-        self.ids, self.known, self.learn = np.frombuffer(d, "<i8"), np.frombuffer(e, np.uint8) > 0, np.frombuffer(f, np.uint8) > 0
-        self.hashes = np.concatenate([self.words, [UNKNOWN_HASH, BEGIN_HASH]]).astype(np.uint64)
+    """A slice that is worked on. Numbers of symbols are those of its words, and one more for the beginning."""
 
-    def documents(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+    def __init__(self, row: dict):
+        self.number = row["slice"]
+        self.words, self.numbers, self.sizes = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["numbers"], "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+        self.ids, self.known, self.learn = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], np.uint8) > 0, np.frombuffer(row["learn"], np.uint8) > 0
+        self.counts = np.frombuffer(row["counts"], "<i8")
+        self.hashes = np.append(self.words, BEGIN_HASH).astype(np.uint64)
 
     def learned(self) -> np.ndarray:
         return np.repeat(self.learn, self.sizes)
 
-    def pairs(self, own: np.ndarray | None) -> np.ndarray:
-        """Of each token the numbers of its context and of itself, in one. ``own``: the words that have symbols, all if None."""
-        n = len(self.words)
-        symbol = self.numbers if own is None else np.where(own, np.arange(n), n)[self.numbers]
-        context = np.concatenate([[n + 1], symbol[:-1]])
-        context[(np.cumsum(self.sizes) - self.sizes)[1:]] = n + 1
-        return context << 32 | symbol
+    def pairs(self, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens whose context belongs to a round; and the numbers of their contexts and of themselves, in one."""
+        context = np.concatenate([[len(self.words)], self.numbers[:-1]])
+        context[(np.cumsum(self.sizes) - self.sizes)[1:]] = len(self.words)
+        at = np.flatnonzero((self.hashes % np.uint64(rounds) == turn)[context])
+        return at, context[at] << 32 | self.numbers[at]
 
     def keys(self, pairs: np.ndarray) -> np.ndarray:
         context = self.hashes[pairs >> 32]
-        return (context << np.uint64(TURN) | context >> np.uint64(64 - TURN)) ^ self.hashes[pairs & 0xFFFFFFFF]
+        return ((context << np.uint64(TURN) | context >> np.uint64(64 - TURN)) ^ self.hashes[pairs & 0xFFFFFFFF]).view(np.int64)
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Open]]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Open]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column("slice")[k].as_py(), Open(*(batch.column(c)[k].as_py() for c in "abcdef"))
+            yield Open(batch.slice(k, 1).to_pylist()[0])
 
 
 def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -147,40 +143,41 @@ def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     _release()
 
 
-def count_words(parts: DataFrame) -> DataFrame:
-    """(word, n) of all learned words."""
+def word_rows(parts: DataFrame) -> DataFrame:
+    """(slice, word, n): the distinct words of each slice with their learned counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _opened(batches):
-            n = np.bincount(part.numbers[part.learned()], minlength=len(part.words))
-            yield from _rows(["word", "n"], part.words[n > 0].view(np.int64), n[n > 0])
+        for part in _opened(batches):
+            yield from _rows(["slice", "word", "n"], np.full(len(part.words), part.number), part.words.view(np.int64), part.counts)
 
-    return parts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return parts.mapInArrow(run, "slice long, word long, n long")
 
 
-def _in(vocabulary: np.ndarray | None, words: np.ndarray) -> np.ndarray | None:
-    """Which words have symbols; ``vocabulary`` is sorted."""
-    if vocabulary is None:
-        return None
-    have = np.zeros(len(words), bool)
-    if len(vocabulary):
-        have = vocabulary[np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)] == words
-    return have | (words == END_HASH)
+def pair_rows(parts: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """(slice, pair, context, n, of_word): the distinct pairs of each slice with their learned counts there and the count of the second word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _opened(batches):
+            at, own = part.pairs(turn, rounds)
+            pairs, place = np.unique(own, return_inverse=True)
+            n = np.bincount(place[part.learned()[at]], minlength=len(pairs))
+            context = part.hashes[pairs >> 32].view(np.int64)
+            yield from _rows(["slice", "pair", "context", "n", "of_word"], np.full(len(pairs), part.number), part.keys(pairs), context, n, part.counts[pairs & 0xFFFFFFFF])
 
-def _dealt(rows: DataFrame, buckets: int | None, key: str) -> DataFrame:
-    return rows.repartition(buckets, key) if buckets else rows
+    return parts.mapInArrow(run, "slice long, pair long, context long, n long, of_word long")
 
 
-def count_pairs(parts: DataFrame, vocabulary: np.ndarray | None, buckets: int | None) -> DataFrame:
-    """(pair, word, n) of all learned pairs; ``word`` is the second."""
+def totals(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of slices (slice, key, n) with the key's ``total`` and whether the slice is the ``first`` that has it."""
+    of_key = Window.partitionBy(key)
+    return rows.withColumn("total", F.sum("n").over(of_key)).withColumn("first", F.col("slice") == F.min("slice").over(of_key))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _opened(batches):
-            pairs, n = np.unique(part.pairs(_in(vocabulary, part.words))[part.learned()], return_counts=True)
-            yield from _rows(["pair", "word", "n"], part.keys(pairs).view(np.int64), part.hashes[pairs & 0xFFFFFFFF].view(np.int64), n)
 
-    return _dealt(parts.mapInArrow(run, "pair long, word long, n long"), buckets, "pair").groupBy("pair").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+def told(rows: DataFrame, kind: int, key: str, a: str, b: str | None = None) -> DataFrame:
+    """(slice, kind, keys, a, b): keys and values for each slice, packed."""
+    values = F.struct(F.col(key).alias("key"), F.col(a).cast("double").alias("a"), F.col(b or a).cast("double").alias("b"))
+    packs = rows.groupBy("slice", F.pmod(F.xxhash64(key), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
+    return packs.select("slice", F.lit(kind).alias("kind"), F.col("v.key").alias("keys"), F.col("v.a").alias("a"), (F.col("v.b") if b else F.array().cast("array<double>")).alias("b"))
 
 
 def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
@@ -195,35 +192,25 @@ def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
     return out
 
 
-def _signed(x: np.uint64) -> int:
-    return int(np.array([x], np.uint64).view(np.int64)[0])
-
-
 class Model:
     """Discounts and unigram probabilities by count: a few numbers, whatever the vocabulary."""
 
-    def __init__(self, tokens: int, distinct: int, ends: int, least: int, own: tuple[int, int], of_counts: dict[int, int]):
-        """``own``: how many words stand above the count ``least``, and their tokens; ``of_counts``: how many of them have each small count."""
-        self.tokens, self.least = tokens, least
+    def __init__(self, tokens: int, of_counts: dict[int, int]):
+        """``of_counts``: how many words have each small count."""
         self.discount = discounts(of_counts)
-        apart = 0 if ends > least else ends  # the end has a symbol in any case
-        tail = tokens - own[1] - apart
-        self.tail_norm = tail + 0.5 * (distinct - own[0] - bool(apart) + 1)
-        # what the tail has, and what was saved
-        spare, self.total = tail + sum(of_counts.get(r, 0) * r * (1 - self.discount[r]) for r in range(1, DISCOUNTED + 1)), float(tokens)
+        spare, self.total = sum(of_counts.get(r, 0) * r * (1 - self.discount[r]) for r in range(1, DISCOUNTED + 1)), float(tokens)
         if spare <= 1e-12:
             spare, self.total = 1.0, tokens + 1.0
         self.unknown = spare / self.total
-        self.end = ends * (self.discount[ends] if least < ends <= DISCOUNTED else 1.0) / self.total
         self.pair_discount = np.ones(DISCOUNTED + 1)
 
     def unigram(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         own = counts * np.where(counts <= DISCOUNTED, self.discount[np.minimum(counts, DISCOUNTED)], 1.0) / self.total
-        return np.where(words == END_HASH, self.end, np.where(counts > self.least, own, self.unknown))
+        # an end that was never learned is no unknown word: it has no mass
+        return np.where((counts > 0) | (words == END_HASH), own, self.unknown)
 
-    def unigram_column(self, word: Column, n: Column) -> Column:
-        kept = _discounted(n, self.discount)
-        return F.when(word == _signed(END_HASH), F.lit(float(self.end))).when(word == _signed(UNKNOWN_HASH), F.lit(float(self.unknown))).otherwise(kept / float(self.total))
+    def unigram_column(self, n: Column) -> Column:
+        return _discounted(n, self.discount) / float(self.total)
 
 
 def _discounted(n: Column, factors: np.ndarray) -> Column:
@@ -236,15 +223,10 @@ def _discounted(n: Column, factors: np.ndarray) -> Column:
 FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 
 
-def context_sums(pairs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """Of each seen context its tokens, its words by count, and the unigram mass of the words seen with it."""
-    turned = F.col("pair").bitwiseXOR(F.col("word"))
-    second = words.select(F.col("word").alias("its_word"), F.col("n").alias("its_n"))
-    return (
-        pairs.join(second, F.col("word") == F.col("its_word"), "left")
-        .select(F.shiftrightunsigned(turned, TURN).bitwiseOR(F.shiftleft(turned, 64 - TURN)).alias("context"), "n", model.unigram_column(F.col("word"), F.col("its_n")).alias("p"))
-        .groupBy("context").agg(F.sum("n").alias("tokens"), *[F.sum((F.col("n") == r).cast("long")).alias(c) for r, c in enumerate(FEW, 1)], F.sum("p").alias("mass"))
-    )
+def context_sums(pairs: DataFrame, model: Model) -> DataFrame:
+    """Of each seen context its tokens, its words by count, and the unigram mass of the words seen with it; pairs: (context, total, of_word)."""
+    small = [F.sum((F.col("total") == r).cast("long")).alias(c) for r, c in enumerate(FEW, 1)]
+    return pairs.groupBy("context").agg(F.sum("total").alias("tokens"), *small, F.sum(model.unigram_column(F.col("of_word"))).alias("mass"))
 
 
 def weighed(contexts: DataFrame, model: Model) -> DataFrame:
@@ -258,55 +240,6 @@ def weighed(contexts: DataFrame, model: Model) -> DataFrame:
     return rows.select("context", "norm", F.when(F.col("unseen") > 1e-12, (1 - F.col("kept") / F.col("norm")) / F.col("unseen")).otherwise(0.0).alias("backoff"))
 
 
-def found(rows: DataFrame, kind: int, kinds: list[str]) -> DataFrame:
-    """Rows of a slice, a key and values in packed rows, one per slice and PACKED_ROWS rows of a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def give() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(1 + len(kinds))]
-            held.clear()
-            order = np.argsort(columns[0], kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(columns[0][order])) + 1):
-                yield _packed(kind, int(columns[0][part[0]]), *(c[part].astype(t) for c, t in zip(columns[1:], kinds)))
-            _release()
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= PACKED_ROWS:
-                yield from give()
-        if held:
-            yield from give()
-
-    return rows.mapInArrow(run, PACKED)
-
-
-def answers(parts: DataFrame, words: DataFrame, pairs: DataFrame, contexts: DataFrame, vocabulary: np.ndarray | None, buckets: int | None) -> DataFrame:
-    """For each slice the counts, norms and backoff weights of its words, and the counts of its pairs, as far as there are any."""
-
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _opened(batches):
-            yield from _rows(["slice", "word"], np.full(len(part.hashes), number), part.hashes.view(np.int64))
-
-    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _opened(batches):
-            pairs = np.unique(part.pairs(_in(vocabulary, part.words)))
-            yield from _rows(["slice", "pair"], np.full(len(pairs), number), part.keys(pairs).view(np.int64))
-
-    facts = words.join(contexts, F.col("word") == F.col("context"), "full").select(
-        F.coalesce("word", "context").alias("its"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("norm", F.lit(1.0)).alias("norm"), F.coalesce("backoff", F.lit(1.0)).alias("backoff")
-    )
-    of_words = parts.mapInArrow(send_words, "slice long, word long").join(facts, F.col("word") == F.col("its")).select("slice", "word", "n", "norm", "backoff")
-    of_pairs = _dealt(parts.mapInArrow(send_pairs, "slice long, pair long"), buckets, "pair").join(pairs.select("pair", "n"), "pair").select("slice", "pair", "n")
-    return found(of_words, WORDS, ["<i8", "<i8", "<f8", "<f8"]).unionByName(found(of_pairs, PAIRS, ["<i8", "<i8"]))
-
-
-def _joined(rows: pa.Table, kinds: dict[str, str]) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in rows[c].to_pylist())]) for c, t in kinds.items()]
-
-
 def _looked_up(keys: np.ndarray, told: np.ndarray, default: float, values: np.ndarray) -> np.ndarray:
     """The value of each key, or the default; told keys are distinct."""
     out = np.full(len(keys), default, values.dtype)
@@ -318,88 +251,114 @@ def _looked_up(keys: np.ndarray, told: np.ndarray, default: float, values: np.nd
     return out
 
 
-def by_document(rows: DataFrame, model: Model, capped: bool) -> DataFrame:
-    """doc_id, learned, n_tokens, n_known, and the sums of log10(count + 1/2) and of Katz's log10 probabilities, of each document."""
-    names = ["logs", "score"]
-    schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())] + [(n, pa.float64()) for n in names])
-
-    def run(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_numpy()
-        part = next(_opened(group.filter(pa.array(kinds == SLICED)).to_batches()))[1]
-        told, *facts = _joined(group.filter(pa.array(kinds == WORDS)), dict(zip("abcd", ("<i8", "<i8", "<f8", "<f8"))))
-        pair_keys, pair_counts = _joined(group.filter(pa.array(kinds == PAIRS)), {"a": "<i8", "b": "<i8"})
-        counts, norms, backoffs = (_looked_up(part.hashes.view(np.int64), told, default, v) for default, v in zip((0, 1.0, 1.0), facts))
-        unigrams = model.unigram(part.hashes, counts)
-        n = len(part.words)
-        own = (counts[:n] > model.least) | (part.words == END_HASH) if capped else None
-        tail = (counts[:n] <= model.least) & (part.words != END_HASH)
-        doc = part.documents()
-        pairs, place = np.unique(part.pairs(own), return_inverse=True)
-        context, symbol = pairs >> 32, pairs & 0xFFFFFFFF
-        times = _looked_up(part.keys(pairs).view(np.int64), pair_keys, 0, pair_counts)
-        seen = times * np.where(times <= DISCOUNTED, model.pair_discount[np.minimum(times, DISCOUNTED)], 1.0) / norms[context]
-        logs = np.log10(np.where(times > 0, seen, np.maximum(backoffs[context] * unigrams[symbol], 1e-300)))
-        half = np.log10(counts[:n] + 0.5)
-        inside = np.where(tail, half - np.log10(model.tail_norm), 0.0)
+def _keyed(rows: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
+    own = rows.filter(pa.array(rows["kind"].to_numpy() == kind))
+    return [np.concatenate([np.zeros(0, np.int64 if n == "keys" else np.float64), *(x.values.to_numpy() for x in own[n])]) for n in names]
+
+
+def recounted(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """The slices with the counts of their words over all slices."""
+
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        row = own.slice(0, 1).to_pylist()[0]
+        part = Open(row)
+        counts = part.counts.copy()
+        for keys, n in zip(rows["keys"], rows["a"]):
+            counts[np.searchsorted(part.words, keys.values.to_numpy().view(np.uint64))] = n.values.to_numpy().astype(np.int64)
+        row["counts"] = counts.astype("<i8").tobytes()
+        return pa.Table.from_pylist([row], _PACKED)
+
+    return parts.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, PACKED)
+
+
+SUMS = "slice long, place int, doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
+
+
+def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rounds: int) -> DataFrame:
+    """SUMS: of each document the sum of Katz's log10 probabilities over the tokens whose context belongs to a round, and in round 0 its numbers of tokens and the sum of log10(count + 1/2)."""
+    schema = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        part = Open(own.slice(0, 1).to_pylist()[0])
         size = len(part.sizes)
-        sums = [np.bincount(doc, v, size) for v in (half[part.numbers], logs[place] + inside[part.numbers])]
-        known = np.bincount(doc, counts[part.numbers] > 0, size).astype(np.int64)
+        doc = np.repeat(np.arange(size), part.sizes)
+        at, tokens = part.pairs(turn, rounds)
+        pairs, place = np.unique(tokens, return_inverse=True)
+        learned = np.bincount(place[part.learned()[at]], minlength=len(pairs)).astype(np.float64)
+        keys, n = _keyed(rows, PAIRS, "keys", "a")
+        other = _looked_up(part.keys(pairs), keys, -1.0, n)
+        times = np.where(other >= 0, other, learned).astype(np.int64)
+        keys, norm, backoff = _keyed(rows, CONTEXTS, "keys", "a", "b")
+        context = part.hashes[pairs >> 32].view(np.int64)
+        norms, backoffs = (_looked_up(context, keys, 1.0, v) for v in (norm, backoff))
+        word = pairs & 0xFFFFFFFF
+        unigrams = model.unigram(part.words[word], part.counts[word])
+        seen = times * np.where(times <= DISCOUNTED, model.pair_discount[np.minimum(times, DISCOUNTED)], 1.0) / norms
+        logs = np.log10(np.where(times > 0, seen, np.maximum(backoffs * unigrams, 1e-300)))
+        score = np.bincount(doc[at], logs[place], size)
+        half = np.log10(part.counts + 0.5) if turn == 0 else np.zeros(len(part.counts))
+        known = np.bincount(doc, part.counts[part.numbers] > 0, size).astype(np.int64)
+        sums = [part.sizes, known, np.bincount(doc, half[part.numbers], size)] if turn == 0 else [np.zeros(size, np.int64)] * 2 + [np.zeros(size)]
         _release()
-        return pa.Table.from_arrays([pa.array(part.ids, mask=~part.known), pa.array(part.learn), pa.array(part.sizes), pa.array(known), *map(pa.array, sums)], schema=schema)
+        return pa.Table.from_arrays([
+            pa.array(np.full(size, part.number)), pa.array(np.arange(size, dtype=np.int32)), pa.array(part.ids, mask=~part.known), pa.array(part.learn), *map(pa.array, sums), pa.array(score)], schema=schema)
 
-    return rows.groupBy("slice").applyInArrow(run, "doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double")
+    return parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, SUMS)
 
 
-def score(docs: DataFrame, learn, symbols: int | None = None, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, learn, rounds: int = ROUNDS) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), the model being learned from the rows where the Column ``learn`` is true.
 
     doc_id, learn, n_tokens (words and one end), n_known (of words that were learned), train_tokens, base_score (add-half unigrams) and
     score (Katz), both sums of log10 probabilities over all tokens. Words are the runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case.
     Null texts are empty and have an end; a null ``learn`` is false; repeated rows and null ids are kept; other columns are ignored. With nothing
-    learned, every token is unknown. ``symbols``: at most so many words have symbols of their own, those above a count; without it all have.
-    ``buckets``: into how many parts pairs are dealt, if not Spark's own number."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    parts = written(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows_of_texts = spark.conf.get(key)
-    spark.conf.set(key, str(NUMBER_ROWS))  # from here on rows are numbers, or slices of which a task has few
-    try:
-        return _scored(parts, symbols, buckets)
-    finally:
-        spark.conf.set(key, rows_of_texts)
-
-
-def _scored(parts: DataFrame, symbols: int | None, buckets: int | None) -> DataFrame:
-    words = written(count_words(parts), "words")
-    whole = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("word") == _signed(END_HASH), F.col("n"))).alias("ends")).first()
-    tokens, distinct, ends = (int(whole[c] or 0) for c in ("tokens", "distinct", "ends"))
-    least, vocabulary = 0, None
-    if symbols is not None and distinct > symbols:
-        # the least count above which there are at most as many words as symbols
-        room = symbols
-        for row in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(symbols + 1).collect():
-            room -= row["words"]
-            if room < 0:
-                least = row["n"]
-                break
-        vocabulary = np.sort(words.filter(F.col("n") > least).select("word").toPandas()["word"].to_numpy().astype(np.int64).view(np.uint64))
-    kept = words.filter(F.col("n") > least)
-    own = kept.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).first()
-    of_counts = {r["n"]: r["count"] for r in kept.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect()}
-    model = Model(tokens, distinct, ends, least, (int(own["words"]), int(own["tokens"] or 0)), of_counts)
-    pairs = written(count_pairs(parts, vocabulary, buckets), "pairs")
-    contexts = written(context_sums(pairs, words, model), "contexts")
-    few = contexts.agg(*[F.sum(c).alias(c) for c in FEW]).first()
+    learned, every word is unknown. An empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
+    made = Tables(docs.sparkSession)
+    first = made.write(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
+    words = made.write(totals(word_rows(first), "word"), "words")
+    whole = words.filter("first AND total > 0").groupBy(F.least("total", F.lit(DISCOUNTED + 2)).alias("r")).agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
+    tokens, distinct = sum(int(r["tokens"]) for r in whole), sum(int(r["words"]) for r in whole)
+    model = Model(tokens, {r["r"]: int(r["words"]) for r in whole})
+    parts = made.write(recounted(first, told(words.filter("total <> n"), WORDS, "word", "total")), "recounted")
+    made.drop("slices", "words")
+
+    for turn in range(rounds):
+        seen = totals(pair_rows(parts, turn, rounds), "pair").filter("total > 0 AND (first OR total <> n)")
+        seen = made.write(seen.select("slice", "pair", F.when(F.col("first"), F.col("context")).alias("context"), "total", "of_word", (F.col("total") != F.col("n")).alias("tell")), "seen")
+        made.write(context_sums(seen.filter("context IS NOT NULL"), model), f"contexts-{turn}")
+        made.write(told(seen.filter("tell"), PAIRS, "pair", "total"), f"told-{turn}")
+        made.drop("seen")
+    few = made.read(*[f"contexts-{turn}" for turn in range(rounds)]).agg(*[F.sum(c).alias(c) for c in FEW]).first()
     model.pair_discount = discounts({r: int(few[c] or 0) for r, c in enumerate(FEW, 1)})
-    told = answers(parts, words, pairs, weighed(contexts, model), vocabulary, buckets)
-    scored = written(by_document(parts.unionByName(told), model, vocabulary is not None), "scores")
-    return scored.select(
+
+    results = Tables(docs.sparkSession)
+    for turn in range(rounds):
+        weights = weighed(made.read(f"contexts-{turn}"), model)
+        asked = context_rows(parts, turn, rounds).join(weights, "context")
+        facts = made.read(f"told-{turn}").unionByName(told(asked, CONTEXTS, "context", "norm", "backoff"))
+        results.write(by_document(parts, facts, model, turn, rounds), f"scores-{turn}")
+        made.drop(f"contexts-{turn}", f"told-{turn}")
+    made.drop()
+    numbers = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")]
+    sums = results.read(*[f"scores-{turn}" for turn in range(rounds)]).groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("learn").alias("learn"), *numbers)
+    return sums.select(
         "doc_id", "learn", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (distinct + 1)))).alias("base_score"), "score",
     )
 
 
+def context_rows(parts: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """(slice, context): the distinct contexts of each slice that belong to a round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _opened(batches):
+            own = part.hashes[part.hashes % np.uint64(rounds) == turn].view(np.int64)
+            yield from _rows(["slice", "context"], np.full(len(own), part.number), own)
+
+    return parts.mapInArrow(run, "slice long, context long")
+
+
 @query("op10_katz")
 def op10(spark, sf_dir):
     """Log probability of every document under pairs learned from the documents whose fold is not 1."""

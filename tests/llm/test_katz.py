@@ -17,15 +17,15 @@ def corpus():
     return rows + [(7, None), (None, "W1 w2 zz"), (9, ""), (9, ""), (1000, "w1 " * 5000), (1001, "never seen words")]
 
 
-@pytest.mark.parametrize("symbols,buckets", [(65_000, None), (20, 3)])
-def test_against_dictionaries(spark, symbols, buckets):
+@pytest.mark.parametrize("rounds,tasks", [(8, 4), (3, 40)])
+def test_against_dictionaries(spark, rounds, tasks):
     rows = corpus()
-    model = brute.Katz([t for i, t in rows if i is not None and brute.fold(i, 5) != 1], symbols)
+    model = brute.Katz([t for i, t in rows if i is not None and brute.fold(i, 5) != 1], 10**9)
     for context in list(model.after)[:20]:
         assert abs(sum(model.p(context, w) for w in model.unigram) - 1) < 1e-9
     want = sorted((model.row(i, t) for i, t in rows), key=str)
-    frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, learn string, slice int").repartition(4)
-    out = katz.score(frame, fold("doc_id", 5) != 1, symbols, buckets)
+    frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, learn string, slice int").repartition(tasks)  # each a slice
+    out = katz.score(frame, fold("doc_id", 5) != 1, rounds)
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.collect()), key=str)
     assert [x[:4] for x in got] == [x[:4] for x in want]
     assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-9, atol=1e-9)
