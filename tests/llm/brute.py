@@ -74,7 +74,7 @@ def items_in(docs, items, rate=0.2, run=3):
         for k, item in items:
             need = plain_words(item)
             most = int(rate * len(need)) if len(need) >= 2 * run else 0
-            if len(need) >= run and (d := edit_inside(need, own)) <= most:
+            if need and (d := edit_inside(need, own)) <= most:
                 out.append((i, k, d))
     return sorted(out, key=str)
 

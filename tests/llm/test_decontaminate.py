@@ -55,7 +55,7 @@ def test_against_all_places(spark):
     benchmark = [*items, (None, "no id here at all"), (70, None), (71, ""), items[0]]
     frame = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, item_id string")
     held = spark.createDataFrame([(k, t, 1) for k, t in benchmark], "item_id long, text string, doc_id int")
-    want = brute.items_in(docs[:-1], items) + [(502, 2, 0)]
+    want = brute.items_in(docs[:-1], items) + brute.items_in([(502, items[2][1])], items)
     for blocks in (20_000, 7):
         got = [(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.find(frame, held, blocks).collect()]
         assert set(got) <= set(want) and len(set(got) & set(want)) >= 0.97 * len(set(want))
@@ -83,6 +83,28 @@ def test_recall_of_edited_items():
     assert np.mean(hits) >= 0.97
 
 
+def test_recall_at_mixed_lengths():
+    """Many short items beside few long ones, from 1 to 400 words."""
+    draw = random.Random(7)
+    words = lambda n: [np.uint64(draw.getrandbits(62)) for _ in range(n)]
+    lengths = [8] * 400 + [12] * 200 + [1, 2, 3, 4, 5, 6, 7, 20, 40, 60, 80, 120, 160, 200, 200, 200, 250, 300, 350, 400, 400]
+    items = [(k, np.array(words(n), np.uint64)) for k, n in enumerate(lengths)]
+    tables = decontaminate.Tables(items)
+    assert all(0 <= w <= decontaminate.MOST_WALKS for w in tables.walks.values()) and tables.walks[3] == 1
+    hits = {"short": [], "long": []}
+    for k, item in items[::40] + items[600:]:
+        for _ in range(3):
+            copy = list(item)
+            for _ in range(decontaminate.most_edits(len(item))):
+                p, kind = draw.randrange(len(copy)), draw.randrange(3)
+                copy[p : p + 1] = [[], words(1), [*words(1), copy[p]]][kind]
+            text = np.array(words(30) + copy + words(30), np.uint64)
+            found = decontaminate.matches([text], tables)[0]
+            assert all(i == k for i, _, _ in found)
+            hits["long" if len(item) > 50 else "short"].append(bool(found))
+    assert np.mean(hits["short"]) >= 0.97 and np.mean(hits["long"]) >= 0.97
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
