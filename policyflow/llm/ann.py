@@ -5,8 +5,9 @@ scalars: the length of the centred vector and the inner product of its direction
 a vector is estimated from the packed bits; the estimate's error bound holds with a chance set by ERROR_FACTOR. Vectors whose upper bound
 reaches the K-th best lower bound are ranked again by the exact inner product of the original vectors.
 
-Queries meet all vectors in blocks of bounded size: a pair of a query block and a vector block is one group, and gives at most
-K rows per query.
+Queries meet the codes of all vectors in blocks of bounded size: a pair of a query block and a vector block is one group, which tells for each query the rows that may
+be among its K nearest, with both bounds. A query's rows are cut by the K-th best lower bound over all blocks, and only for those that are left the original vectors
+are fetched, by a join. So originals are moved once for the join and for the candidates, whatever the number of query blocks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import query, table
+from .common import Tables, bounded_batches, query, table
 
 #: Neighbours of each query.
 K = 20
-#: Vectors and queries of a block.
-VECTORS, QUERIES_PER_BLOCK = 16384, 512
+#: Vectors and queries of a block at most; vectors of a block at least, and blocks that small inputs are dealt out to.
+VECTORS, QUERIES_PER_BLOCK, LEAST_VECTORS, BLOCKS = 1 << 16, 8192, 4096, 12
 #: Deviations of the estimate that the bound allows for.
 ERROR_FACTOR = 3.0
 SEED = 7
@@ -68,71 +69,94 @@ def index(vectors: DataFrame, dim: int, centre: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<double>, code binary, length double, own double")
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("reranked", pa.int64())])
+_FOUND = pa.schema([("query_row", pa.int64()), ("row", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
 
-def search_block(queries: pa.Table, block: pa.Table, dim: int, centre: np.ndarray, k: int, error_factor: float) -> pa.Table:
-    """The k best vectors of the block for each query of the other block."""
-    ids, v = block["vec_id"].to_numpy(), _matrix(block["v"])
-    query_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"])
+def search_block(queries: pa.Table, block: pa.Table, dim: int, turn: np.ndarray, centre: np.ndarray, k: int, error_factor: float) -> pa.Table:
+    """The rows of the block that may be among the k nearest of each query of the other block, with the bounds of their inner products."""
+    rows, ids = block["row"].to_numpy(), block["vec_id"].to_numpy()
+    query_rows, query_ids, q = queries["query_row"].to_numpy(), queries["query_id"].to_numpy(), _matrix(queries["q"])
     packed = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
     signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
     length, own = block["length"].to_numpy(), block["own"].to_numpy()
-    turned = (q @ rotation(dim)).astype(np.float32)
+    turned = (q @ turn).astype(np.float32)
     q_length = np.linalg.norm(q, axis=1)
     safe = np.where(own > 0, own, 1)
     # an estimate is off by about sqrt((1 - own^2) / own^2 / (dim - 1)) times both lengths
     spread = np.where(own > 0, length * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(dim - 1, 1)), 0)
     scale = np.where(own > 0, length / safe, 0) / np.sqrt(dim)
     base = q @ centre
-    order = np.argsort(ids, kind="stable")
-    ids, v, signs, scale, spread = ids[order], v[order], signs[order], scale[order], spread[order]
     out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(query_ids), 64):
-        estimates = (turned[at : at + 64] @ signs.T).astype(np.float64) * scale + base[at : at + 64, None]
+    for at in range(0, len(query_ids), 32):
+        estimates = (turned[at : at + 32] @ signs.T).astype(np.float64) * scale + base[at : at + 32, None]
         for row, estimate in enumerate(estimates):
             me = at + row
             error = spread * (q_length[me] * error_factor) + 1e-5 * (q_length[me] * scale * dim + abs(base[me]))
-            low = np.where(ids == query_ids[me], -np.inf, estimate - error)
+            low, high = estimate - error, estimate + error
+            low[ids == query_ids[me]] = high[ids == query_ids[me]] = -np.inf
             limit = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            near = np.flatnonzero((estimate + error >= limit) & (ids != query_ids[me]))
-            score = (v[near] * q[me]).sum(axis=1)
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append((np.full(len(best), query_ids[me]), ids[near][best], score[best], np.full(len(best), len(near))))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64)]
+            near = np.flatnonzero((high >= limit) & (high > -np.inf))
+            out.append((np.full(len(near), query_rows[me]), rows[near], low[near], high[near]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
+def dealt(indexed: DataFrame, n: int, q: int, query_modulus: int, vectors_per_block: int, queries_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and codes (no originals) with the pairs of blocks that they belong to."""
+    n_blocks = max(1, -(-n // vectors_per_block), min(BLOCKS, n // LEAST_VECTORS))
+    n_query_blocks = max(1, -(-q // queries_per_block))
+    codes = indexed.select("row", "vec_id", "code", "length", "own").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
+    codes = codes.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
+    asked = indexed.filter(F.col("vec_id") % query_modulus == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_row", F.lit(SEED)), F.lit(n_query_blocks)).cast("int"))
+    return asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), codes
+
+
+def candidates(asked: DataFrame, codes: DataFrame, dim: int, centre: np.ndarray, k: int, error_factor: float) -> DataFrame:
+    """(query_row, row): the rows whose upper bound reaches the k-th best lower bound of the query."""
+    turn = rotation(dim)
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        return search_block(left, right, dim, turn, centre, k, error_factor)
+
+    found = asked.groupBy("block", "query_block").cogroup(codes.groupBy("block", "query_block")).applyInArrow(pair, "query_row long, row long, low double, high double")
+    best = Window.partitionBy("query_row")
+    placed = found.withColumn("n", F.row_number().over(best.orderBy(F.desc("low"), "row")))
+    limit = F.max(F.when(F.col("n") == k, F.col("low"))).over(best)
+    return placed.withColumn("limit", limit).filter(F.col("limit").isNull() | (F.col("high") >= F.col("limit"))).select("query_row", "row")
+
+
 def search(vectors: DataFrame, query_modulus: int = 20, k: int = K, error_factor: float = ERROR_FACTOR,
            vectors_per_block: int = VECTORS, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """For every vector whose id is divisible by ``query_modulus``, its k nearest others by inner product: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding (an array of numbers); the most frequent size is taken as the dimension. Null ids and vectors that are null, zero, of
-    another size, or hold null or non-finite components take no part. Ties go to the smaller id. Repeated rows each take part, as
-    queries too; a query finds no row of its own id. Other columns are ignored.
+    another size, or hold null or non-finite components take no part. Ties go to the smaller id. Repeated rows each take part, and as queries each has
+    an answer of its own; a query finds no row of its own id. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
+    made = Tables(spark)
     sizes = vectors.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = int(sizes["d"]) if sizes and sizes["d"] > 0 else 1
     base = usable(vectors, dim)
     means = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % query_modulus == 0).alias("q"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)]).first()
     centre = np.array([means[f"m{i}"] or 0.0 for i in range(dim)])
-    n_blocks, n_query_blocks = max(1, -(-means["n"] // vectors_per_block)), max(1, -(-means["q"] // queries_per_block))
-    indexed = index(base, dim, centre).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    blocks = indexed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = base.filter(F.col("vec_id") % query_modulus == 0).withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(n_query_blocks)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _FOUND.empty_table()
-        return search_block(left, right, dim, centre, k, error_factor)
-
-    found = asked.groupBy("block", "query_block").cogroup(blocks.groupBy("block", "query_block")).applyInArrow(
-        pair, "query_id long, vec_id long, score double, reranked long"
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # rows get their numbers by being written
+    indexed = made.write(index(base, dim, centre).withColumn("row", F.monotonically_increasing_id()), "index")
+    asked, codes = dealt(indexed, means["n"], means["q"], query_modulus, vectors_per_block, queries_per_block)
+    near = made.write(candidates(asked, codes, dim, centre, k, error_factor), "candidates")
+    originals = indexed.select("row", "vec_id", "v")
+    queries = indexed.filter(F.col("vec_id") % query_modulus == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    score = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    ranked = near.join(originals, "row").join(queries, "query_row").select("query_row", "query_id", "row", "vec_id", score.alias("score"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = Tables(spark).write(ranked, "nearest")
+    made.drop()
+    return out
 
 
 @query("op2_rotated_codes")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from policyflow.llm import ann
 
@@ -49,6 +50,30 @@ def test_few_and_none(spark):
     assert found(frame.filter("vec_id = 20")) == {}
 
 
+def test_repeated_queries_have_answers_of_their_own(spark):
+    rows = [(i, [1.0 + i % 7, 1.0 * (i % 5)]) for i in range(1, 60)] + [(20, [3.0, 1.0]), (20, [1.0, 3.0]), (20, [3.0, 1.0])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 20").collect()
+    assert sorted(r["rank"] for r in out) == sorted(list(range(1, 21)) * 4)
+    assert all(r["vec_id"] != 20 for r in out)
+
+
+def test_what_is_moved_grows_with_the_vectors(spark):
+    """Rows dealt out to pairs of blocks, and candidates, over three sizes."""
+    draw = np.random.default_rng(4)
+    moved = []
+    for n in (500, 1000, 2000):
+        rows = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((n, 32)))]
+        base = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 32)
+        indexed = ann.index(base, 32, np.zeros(32)).withColumn("row", F.monotonically_increasing_id()).cache()
+        asked, codes = ann.dealt(indexed, n, n // 20, 20, ann.VECTORS, ann.QUERIES_PER_BLOCK)
+        assert "v" not in codes.columns
+        near = ann.candidates(asked, codes, 32, np.zeros(32), 20, ann.ERROR_FACTOR)
+        moved.append((asked.count() + codes.count(), near.count() / (n // 20)))
+        indexed.unpersist()
+    assert moved[1][0] <= 2.1 * moved[0][0] and moved[2][0] <= 2.1 * moved[1][0]
+    assert moved[2][1] <= 2000 * 0.6  # the bounds leave out rows
+
+
 def test_recall_on_given_vectors(spark):
     import os
 
