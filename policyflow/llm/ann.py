@@ -5,9 +5,9 @@ scalars: the length of the centred vector and the inner product of its direction
 a vector is estimated from the packed bits; the estimate's error bound holds with a chance set by ERROR_FACTOR. Vectors whose upper bound
 reaches the K-th best lower bound are ranked again by the exact inner product of the original vectors.
 
-Queries meet the codes of all vectors in blocks of bounded size: a pair of a query block and a vector block is one group, which tells for each query the rows that may
-be among its K nearest, with both bounds. A query's rows are cut by the K-th best lower bound over all blocks, and only for those that are left the original vectors
-are fetched, by a join. So originals are moved once for the join and for the candidates, whatever the number of query blocks.
+Vectors are written once with their codes and stay where they are. Queries come to them in blocks of bounded size, which are broadcast: every task estimates a
+block's inner products from the codes of its vectors, ranks those again that the bounds leave, and keeps the K best of each query, whose last one
+is the limit for what follows. So all that is moved are queries and K rows for each query and task.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Tables, bounded_batches, query, table
 
 #: Neighbours of each query.
 K = 20
-#: Vectors and queries of a block at most; vectors of a block at least, and blocks that small inputs are dealt out to.
-VECTORS, QUERIES_PER_BLOCK, LEAST_VECTORS, BLOCKS = 1 << 16, 8192, 4096, 12
+#: Vectors of a task, at least and at most, and tasks that small inputs are dealt out to; queries that are broadcast together.
+LEAST_VECTORS, VECTORS, TASKS, QUERIES_PER_BLOCK = 4096, 1 << 16, 12, 4096
+#: Vectors that are estimated together.
+STEP = 8192
 #: Deviations of the estimate that the bound allows for.
 ERROR_FACTOR = 3.0
 SEED = 7
@@ -69,67 +72,80 @@ def index(vectors: DataFrame, dim: int, centre: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<double>, code binary, length double, own double")
 
 
-_FOUND = pa.schema([("query_row", pa.int64()), ("row", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
-
-
-def search_block(queries: pa.Table, block: pa.Table, dim: int, turn: np.ndarray, centre: np.ndarray, k: int, error_factor: float) -> pa.Table:
-    """The rows of the block that may be among the k nearest of each query of the other block, with the bounds of their inner products."""
-    rows, ids = block["row"].to_numpy(), block["vec_id"].to_numpy()
-    query_rows, query_ids, q = queries["query_row"].to_numpy(), queries["query_id"].to_numpy(), _matrix(queries["q"])
-    packed = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
-    length, own = block["length"].to_numpy(), block["own"].to_numpy()
-    turned = (q @ turn).astype(np.float32)
-    q_length = np.linalg.norm(q, axis=1)
-    safe = np.where(own > 0, own, 1)
-    # an estimate is off by about sqrt((1 - own^2) / own^2 / (dim - 1)) times both lengths
-    spread = np.where(own > 0, length * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(dim - 1, 1)), 0)
-    scale = np.where(own > 0, length / safe, 0) / np.sqrt(dim)
-    base = q @ centre
-    out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(query_ids), 32):
-        estimates = (turned[at : at + 32] @ signs.T).astype(np.float64) * scale + base[at : at + 32, None]
-        for row, estimate in enumerate(estimates):
-            me = at + row
-            error = spread * (q_length[me] * error_factor) + 1e-5 * (q_length[me] * scale * dim + abs(base[me]))
-            low, high = estimate - error, estimate + error
-            low[ids == query_ids[me]] = high[ids == query_ids[me]] = -np.inf
-            limit = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            near = np.flatnonzero((high >= limit) & (high > -np.inf))
-            out.append((np.full(len(near), query_rows[me]), rows[near], low[near], high[near]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64)]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
-
-
-def dealt(indexed: DataFrame, n: int, q: int, query_modulus: int, vectors_per_block: int, queries_per_block: int) -> tuple[DataFrame, DataFrame]:
-    """Queries and codes (no originals) with the pairs of blocks that they belong to."""
-    n_blocks = max(1, -(-n // vectors_per_block), min(BLOCKS, n // LEAST_VECTORS))
-    n_query_blocks = max(1, -(-q // queries_per_block))
-    codes = indexed.select("row", "vec_id", "code", "length", "own").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
-    codes = codes.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = indexed.filter(F.col("vec_id") % query_modulus == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_row", F.lit(SEED)), F.lit(n_query_blocks)).cast("int"))
-    return asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), codes
-
-
-def candidates(asked: DataFrame, codes: DataFrame, dim: int, centre: np.ndarray, k: int, error_factor: float) -> DataFrame:
-    """(query_row, row): the rows whose upper bound reaches the k-th best lower bound of the query."""
-    turn = rotation(dim)
+_FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+class Search:
+    """The k best vectors of each query of a block, among the vectors shown so far."""
+
+    def __init__(self, queries: dict[str, np.ndarray], dim: int, centre: np.ndarray, k: int, error_factor: float):
+        self.rows, self.ids, self.q = queries["row"], queries["vec_id"], queries["v"]
+        self.dim, self.k, self.factor = dim, k, error_factor
+        self.turned = (self.q @ rotation(dim)).astype(np.float32)
+        self.length = np.linalg.norm(self.q, axis=1)
+        self.base = self.q @ centre
+        self.best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.ids)  # score, id, row
+        self.reranked = 0
+
+    def show(self, block: pa.Table) -> None:
+        rows, ids, v = block["row"].to_numpy(), block["vec_id"].to_numpy(), _matrix(block["v"])
+        packed = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        signs = np.unpackbits(packed, axis=1, count=self.dim).astype(np.float32) * 2 - 1
+        length, own = block["length"].to_numpy(), block["own"].to_numpy()
+        safe = np.where(own > 0, own, 1)
+        # an estimate is off by about sqrt((1 - own^2) / own^2 / (dim - 1)) times both lengths
+        spread = np.where(own > 0, length * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(self.dim - 1, 1)), 0) * self.factor
+        scale = np.where(own > 0, length / safe, 0) / np.sqrt(self.dim)
+        rough = 1e-5 * scale * self.dim
+        for at in range(0, len(self.ids), 64):
+            estimates = (self.turned[at : at + 64] @ signs.T).astype(np.float64) * scale + self.base[at : at + 64, None]
+            for me, estimate in enumerate(estimates, at):
+                error = (spread + rough) * self.length[me] + 1e-5 * abs(self.base[me])
+                other = ids != self.ids[me]
+                have = self.best[me]
+                limit = have[0][-1] if len(have[0]) == self.k else -np.inf
+                if limit == -np.inf and len(ids) > 2 * self.k:  # the best by estimate first: their scores are a limit for the rest
+                    some = np.argpartition(-np.where(other, estimate, -np.inf), 2 * self.k)[: 2 * self.k]
+                    limit = self._rank(me, some[other[some]], v, ids, rows)
+                    other[some] = False
+                self._rank(me, np.flatnonzero(other & (estimate + error >= limit)), v, ids, rows)
+
+    def _rank(self, me: int, near: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> float:
+        """Takes the vectors in by their exact scores; returns the limit."""
+        self.reranked += len(near)
+        score, own, row = (np.concatenate(x) for x in zip(self.best[me], ((v[near] * self.q[me]).sum(axis=1), ids[near], rows[near])))
+        order = np.lexsort((row, own, -score))[: self.k]
+        self.best[me] = score[order], own[order], row[order]
+        return score[order[-1]] if len(order) == self.k else -np.inf
+
+    def found(self) -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in self.best]
+        if not sizes:
+            return pa.RecordBatch.from_pylist([], schema=_FOUND)
+        score, ids, rows = (np.concatenate(c) for c in zip(*self.best))
+        columns = np.repeat(self.rows, sizes), np.repeat(self.ids, sizes), rows, ids, score
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+
+
+def visited(indexed: DataFrame, queries: Broadcast, dim: int, centre: np.ndarray, k: int, error_factor: float) -> DataFrame:
+    """The k best of each query among the vectors of each task."""
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _FOUND.empty_table()
-        return search_block(left, right, dim, turn, centre, k, error_factor)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(queries.value, dim, centre, k, error_factor)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= STEP:
+                search.show(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            search.show(pa.Table.from_batches(held))
+        yield search.found()
 
-    found = asked.groupBy("block", "query_block").cogroup(codes.groupBy("block", "query_block")).applyInArrow(pair, "query_row long, row long, low double, high double")
-    best = Window.partitionBy("query_row")
-    placed = found.withColumn("n", F.row_number().over(best.orderBy(F.desc("low"), "row")))
-    limit = F.max(F.when(F.col("n") == k, F.col("low"))).over(best)
-    return placed.withColumn("limit", limit).filter(F.col("limit").isNull() | (F.col("high") >= F.col("limit"))).select("query_row", "row")
+    return indexed.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score double")
 
 
-def search(vectors: DataFrame, query_modulus: int = 20, k: int = K, error_factor: float = ERROR_FACTOR,
-           vectors_per_block: int = VECTORS, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, query_modulus: int = 20, k: int = K, error_factor: float = ERROR_FACTOR, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """For every vector whose id is divisible by ``query_modulus``, its k nearest others by inner product: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding (an array of numbers); the most frequent size is taken as the dimension. Null ids and vectors that are null, zero, of
@@ -144,19 +160,22 @@ def search(vectors: DataFrame, query_modulus: int = 20, k: int = K, error_factor
     base = usable(vectors, dim)
     means = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % query_modulus == 0).alias("q"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)]).first()
     centre = np.array([means[f"m{i}"] or 0.0 for i in range(dim)])
+    tasks = max(1, -(-means["n"] // VECTORS), min(TASKS, means["n"] // LEAST_VECTORS))
     # rows get their numbers by being written
-    indexed = made.write(index(base, dim, centre).withColumn("row", F.monotonically_increasing_id()), "index")
-    asked, codes = dealt(indexed, means["n"], means["q"], query_modulus, vectors_per_block, queries_per_block)
-    near = made.write(candidates(asked, codes, dim, centre, k, error_factor), "candidates")
-    originals = indexed.select("row", "vec_id", "v")
-    queries = indexed.filter(F.col("vec_id") % query_modulus == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    score = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    ranked = near.join(originals, "row").join(queries, "query_row").select("query_row", "query_id", "row", "vec_id", score.alias("score"))
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    ranked = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    out = Tables(spark).write(ranked, "nearest")
+    indexed = made.write(index(base.repartition(tasks), dim, centre).withColumn("row", F.monotonically_increasing_id()), "index")
+    blocks = max(1, -(-means["q"] // queries_per_block))
+    asked = indexed.filter(F.col("vec_id") % query_modulus == 0).select("row", "vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
+    out = Tables(spark)
+    for block in range(blocks):
+        rows = asked.filter(F.col("block") == block).toPandas()  # about queries_per_block of them
+        own = {"row": rows["row"].to_numpy(np.int64), "vec_id": rows["vec_id"].to_numpy(np.int64), "v": np.array(rows["v"].tolist(), np.float64).reshape(len(rows), dim)}
+        queries = spark.sparkContext.broadcast(own)
+        best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+        found = visited(indexed, queries, dim, centre, k, error_factor).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        out.write(found.select("query_id", "rank", "vec_id", "score"), f"nearest-{block}")
+        queries.unpersist()
     made.drop()
-    return out
+    return out.read(*out.paths)
 
 
 @query("op2_rotated_codes")

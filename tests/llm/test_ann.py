@@ -25,7 +25,7 @@ def found(frame, **more):
     return out
 
 
-@pytest.mark.parametrize("blocks", [{}, {"vectors_per_block": 50, "queries_per_block": 3}])
+@pytest.mark.parametrize("blocks", [{}, {"queries_per_block": 3}])
 def test_against_all_products(spark, blocks):
     draw = np.random.default_rng(1)
     centres = draw.standard_normal((5, 16))
@@ -58,20 +58,22 @@ def test_repeated_queries_have_answers_of_their_own(spark):
 
 
 def test_what_is_moved_grows_with_the_vectors(spark):
-    """Rows dealt out to pairs of blocks, and candidates, over three sizes."""
+    """Rows that tasks give, over three sizes; and codes that spare most of the exact products of vectors in clusters."""
     draw = np.random.default_rng(4)
-    moved = []
+    moved, spared = [], []
     for n in (500, 1000, 2000):
-        rows = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((n, 32)))]
-        base = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 32)
-        indexed = ann.index(base, 32, np.zeros(32)).withColumn("row", F.monotonically_increasing_id()).cache()
-        asked, codes = ann.dealt(indexed, n, n // 20, 20, ann.VECTORS, ann.QUERIES_PER_BLOCK)
-        assert "v" not in codes.columns
-        near = ann.candidates(asked, codes, 32, np.zeros(32), 20, ann.ERROR_FACTOR)
-        moved.append((asked.count() + codes.count(), near.count() / (n // 20)))
+        centres = draw.standard_normal((20, 64))
+        own = centres[np.arange(n) % 20] + 0.3 * draw.standard_normal((n, 64))
+        base = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<double>").repartition(3), 64)
+        indexed = ann.index(base, 64, np.zeros(64)).withColumn("row", F.monotonically_increasing_id()).cache()
+        asked = {"row": np.arange(n // 20), "vec_id": np.arange(0, n, 20), "v": own[::20]}
+        moved.append(ann.visited(indexed, spark.sparkContext.broadcast(asked), 64, np.zeros(64), 20, ann.ERROR_FACTOR).count())
+        one = ann.Search(asked, 64, np.zeros(64), 20, ann.ERROR_FACTOR)
+        one.show(indexed.toArrow())
+        spared.append(one.reranked / (n * len(asked["row"])))
         indexed.unpersist()
-    assert moved[1][0] <= 2.1 * moved[0][0] and moved[2][0] <= 2.1 * moved[1][0]
-    assert moved[2][1] <= 2000 * 0.6  # the bounds leave out rows
+    assert moved == [3 * 20 * n // 20 for n in (500, 1000, 2000)]
+    assert spared[-1] < 0.25
 
 
 def test_recall_on_given_vectors(spark):
