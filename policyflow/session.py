@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.javaCharsets": "true",  # Korean charsets of mapping files
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # shuffle files go with the statement that made them
 }
 
 
@@ -50,6 +54,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds the library's sources to the session once, as ``--py-files`` would, through the shared folder: Python code inside tasks needs them on every executor."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.writestr(f"{root.name}/{file.relative_to(root)}", file.read_bytes())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/{root.name}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+    _SHIPPED.add(context.applicationId)
+
+
 def remove_scratch(spark: SparkSession) -> int:
     """Delete the folders that ``scratch`` has named in this process, once their frames are no longer needed."""
     removed = 0
