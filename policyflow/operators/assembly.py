@@ -112,27 +112,45 @@ def section_ends(
     """``section_end`` = start of the next comment that holds a section marker and is a different section.
 
     A marker comment whose text contains the row's own text is the same section and is passed over. The next marker of all settles nearly
-    all rows. For the texts whose next marker is of their own section, the markers of other sections in their document are laid beside them, once per
-    distinct text, and the next one is taken; blank texts stand in every section and have no end.
+    all rows. For the texts whose next marker is of their own section, the markers that contain them are found by the first characters of the text, an equi join with the
+    pieces of the marker texts; those that follow each other without a gap are one stretch, and the marker after the stretch is the end. Work is in proportion to the
+    comments and to the markers that contain a text. Blank texts stand in every section and have no end.
     """
     marked = tx.any_of([F.contains(F.col(text), F.lit(m)) for m in markers])
-    at = F.struct(F.col(start).alias("start"), F.col(text).alias("text"))
-    rows = next_filled(comments, [doc], pos, F.when(marked, at), "__m", width)
+    marks = cut(number_in_order(comments.filter(marked).select(doc, pos, start, text), [doc], pos, "__n", width))
+    numbers = marks.select(F.struct(doc).alias("__d"), F.col(pos).alias("__p"), "__n")
+    at = F.struct(F.col(start).alias("start"), F.col(text).alias("text"), F.col("__n").alias("n"))
+    known = comments.join(numbers, (F.struct(doc) == F.col("__d")) & (F.col(pos) == F.col("__p")), "left").drop("__d", "__p")
+    rows = next_filled(known, [doc], pos, F.when(F.col("__n").isNotNull(), at), "__m", width).drop("__n")
     same = F.coalesce(F.contains(F.col("__m.text"), F.col(text)), F.lit(False))
     # few rows, read by several branches
-    asking = cut(rows.filter(same & (F.col(text) != "")).select(doc, pos, F.col(text).alias("__own")))
-    marks = comments.filter(marked).select(doc, pos, start, text)
-    others = (
-        asking.select(doc, "__own").distinct().join(marks.select(doc, text).distinct(), doc).filter(~F.contains(F.col(text), F.col("__own")))
-        .join(marks, [doc, text]).select(doc, "__own", pos, F.col(start).alias("__start"))
-    )
-    beside = asking.withColumn("__start", F.lit(None).cast(others.schema["__start"].dataType)).unionByName(others)
-    found = next_filled(beside, [doc, "__own"], pos, F.col("__start"), "__late", width).filter(F.col("__start").isNull())
-    late = found.select(F.col(doc).alias("__doc"), F.col(pos).alias("__pos"), "__late")
+    asking = cut(rows.filter(same & (F.col(text) != "")).select(doc, F.col(pos).alias("__pos"), F.col(text).alias("__own"), F.col("__m.n").alias("__n")))
+
+    long = F.coalesce(*[F.when(F.length("__own") >= n, F.lit(n)) for n in _FIRSTS])
+    own = asking.select(doc, "__own").distinct().withColumn("__size", long).withColumn("__piece", F.substring(F.col("__own"), F.lit(1), F.col("__size")))
+    texts = marks.select(doc, text).distinct()
+
+    def pieces(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.struct(F.lit(n).alias("__size"), F.substring(F.col(text), i, F.lit(n)).alias("__piece")))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<struct<__size:int,__piece:string>>"))
+
+    cells = texts.select(doc, text, F.explode(F.array_distinct(F.concat(*map(pieces, _FIRSTS)))).alias("c")).select(doc, text, "c.*")
+    inside = own.join(cells, [doc, "__size", "__piece"]).filter(F.contains(F.col(text), F.col("__own"))).select(doc, "__own", text)
+
+    held = inside.join(marks.select(doc, text, "__n"), [doc, text]).select(doc, "__own", "__n")
+    stretch = number_in_order(held, [doc, "__own"], "__n", "__k", width).withColumn("__stretch", F.col("__n") - F.col("__k"))
+    ends = stretch.groupBy(doc, "__own", "__stretch").agg((F.max("__n") + 1).alias("__end"))
+    after = asking.join(stretch.select(doc, "__own", "__n", "__stretch"), [doc, "__own", "__n"]).join(ends, [doc, "__own", "__stretch"])
+    late = after.join(marks.select(doc, F.col("__n").alias("__end"), F.col(start).alias("__late")), [doc, "__end"])
+    late = late.select(F.col(doc).alias("__doc"), "__pos", "__late")
     joined = rows.join(late, (F.col(doc) == F.col("__doc")) & (F.col(pos) == F.col("__pos")), "left")
     return joined.withColumn("section_end", F.when(same, F.col("__late")).otherwise(F.col("__m.start"))).drop("__m", "__doc", "__pos", "__late")
 
 
+#: First characters of a text that a marker must hold, the most that the text has.
+_FIRSTS = (8, 4, 2, 1)
+
+
 def nearest_section(text: Column, start: Column, markers: list[str] = names.SECTION_MARKERS) -> Column:
     """End of a pasted clause when its own end is lost: start of the nearest later line that holds a marker, else the end.
 

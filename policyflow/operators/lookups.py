@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import names
 from ..functions import text as tx
-from .ordered import first_per_key, last_per_key
+from .ordered import first_row, last_per_key
 
 
 def _keyed(table: DataFrame, key: Column, values: list[str], pos: str, last: bool = False) -> DataFrame:
@@ -152,8 +152,8 @@ def describe_code(df: DataFrame, table: DataFrame, on: str, key: str, value: str
 
 
 def join_first(df: DataFrame, table: DataFrame, on: str, pos: str) -> DataFrame:
-    """Left join with the first row per key of the right side."""
-    return df.join(first_per_key(table, [on], pos).drop(pos), on, "left")
+    """Left join with the first row per key of the right side; only keys and positions are aggregated, the rows are not."""
+    return df.join(first_row(table, [on], pos).drop(pos), on, "left")
 
 
 def category_positions(df: DataFrame, table: DataFrame, code: str, category: str, pos: str, out: str) -> DataFrame:

@@ -11,12 +11,14 @@ from ..functions import text as tx
 ENCODINGS = ["UTF-8", "UTF-16", "UTF-16LE", "MS949", "EUC-KR"]
 SEPARATORS = ["\t", ","]
 REPLACEMENT = "\ufffd"
+# The two bytes of a character outside ASCII in either Korean charset, each byte as the character of its number.
+PAIRS = {"MS949": r"[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe]", "EUC-KR": r"[\xa1-\xfe][\xa1-\xfe]"}
 
 
 def csv_reader(spark: SparkSession, sep: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool = True) -> DataFrameReader:
     """Reader of CSV records: doubled quotes, blanks kept, an unquoted empty cell is null; a quoted cell may hold line breaks.
 
-    With ``multi_line`` a file is one split. Turn it off for large files without line breaks in cells; UTF-16 needs it.
+    With ``multi_line`` a file is one split. UTF-16 needs it; ``needs_whole_files`` tells whether others do.
     """
     reader = spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
     reader = reader.option("multiLine", multi_line or encoding.startswith("UTF-16")).option("quote", '"').option("escape", '"')
@@ -24,46 +26,67 @@ def csv_reader(spark: SparkSession, sep: str = ",", encoding: str = "UTF-8", hea
     return reader.option("emptyValue", "").option("nullValue", "\ufdd0").option("maxCharsPerColumn", -1)
 
 
+def told(spark: SparkSession, path: str) -> dict[str, bool]:
+    """What one pass over the lines of the files tells, in splits: which encodings all of them fit, whether they hold zero bytes, and whether a record may go on
+    over a line break (a line with an odd number of quotes, or a carriage return inside)."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b"))
+    line = F.decode("b", "ISO-8859-1")  # a character for each byte
+    fits = {e: ~F.regexp_replace(F.col("line"), pair, "").rlike(r"[\x80-\xff]") for e, pair in PAIRS.items()}
+    tests = {
+        "UTF-8": F.bool_and(F.is_valid_utf8(F.col("b").cast("string"))), **{e: F.bool_and(test) for e, test in fits.items()},
+        "zeros": F.bool_or(F.contains(F.col("line"), F.lit("\x00"))),
+        "goes_on": F.bool_or(((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1) | F.col("line").rlike(r"\r(?!$)")),
+    }
+    row = raw.withColumn("line", line).agg(*[c.alias(n) for n, c in tests.items()]).first()
+    return {n: bool(row[n]) if row[n] is not None else n in ENCODINGS for n in tests}
+
+
+def needs_whole_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether the files must be read whole, as a record may go on over a line break; else they are read in splits."""
+    return encoding.startswith("UTF-16") or told(spark, path)["goes_on"]
+
+
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
-    """All columns as text, empty cells as ''."""
-    return csv_reader(spark, sep, encoding, header, multi_line).csv(path).na.fill("")
-
+    """All columns as text, empty cells as ''. Files are read in splits where a pass over their lines finds that no record goes on over a line break; ``multi_line`` says so without it."""
+    whole = needs_whole_files(spark, path, encoding) if multi_line is None else multi_line
+    return csv_reader(spark, sep, encoding, header, whole).csv(path).na.fill("")
 
-def decodes(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether every line of the files decodes. UTF-16 lines cannot be told apart before decoding, so their cells are looked at instead.
 
-    All other encodings tried keep line feeds apart from other characters.
+def decodes(spark: SparkSession, path: str, encoding: str, lines: dict[str, bool] | None = None) -> bool:
+    """Whether all of the files decode. ``lines``: what ``told`` says of them. UTF-16 lines cannot be told apart before decoding, so their cells are looked at, and only where there are
+    zero bytes, as every line break has one.
     """
+    lines = lines or told(spark, path)
+    if not encoding.startswith("UTF-16"):
+        return lines[encoding]
+    if not lines["zeros"]:
+        return False
     try:
-        if encoding.startswith("UTF-16"):
-            cells = read_csv(spark, path, "\ufdd0", encoding, header=False)
-            broken = cells.filter(tx.any_of([F.contains(F.col(c), F.lit(REPLACEMENT)) for c in cells.columns]))
-            return broken.isEmpty()
-        line = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
-        if encoding == "UTF-8":
-            return line.filter(~F.is_valid_utf8(F.col("value").cast("string"))).isEmpty()
-        line.agg(F.max(F.length(F.decode("value", encoding)))).collect()  # one row; a byte that does not decode is an error
-        return True
+        cells = read_csv(spark, path, "\ufdd0", encoding, header=False, multi_line=True)
+        broken = cells.filter(tx.any_of([F.contains(F.col(c), F.lit(REPLACEMENT)) for c in cells.columns]))
+        return broken.isEmpty()
     except PySparkException as e:
         if "MALFORMED_CHARACTER_CODING" in str(e):
             return False
         raise
 
 
-def read_csv_guessing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_guessing(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """First encoding that decodes all of the files and first separator that gives more than one column and at least one row.
 
-    The Korean charsets need ``spark.sql.legacy.javaCharsets``, as ``session.build_session`` sets it. Each encoding tried reads the files once.
+    The Korean charsets need ``spark.sql.legacy.javaCharsets``, as ``session.build_session`` sets it. One pass over the lines tells the encodings, and whether the files can be read in splits.
     """
     if spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
         raise ValueError("set spark.sql.legacy.javaCharsets to true, or use build_session")
+    lines = told(spark, path)
+    whole = lines["goes_on"] if multi_line is None else multi_line
     for encoding in ENCODINGS:
-        if not decodes(spark, path, encoding):
+        if not decodes(spark, path, encoding, lines):
             continue
         for sep in SEPARATORS:
-            df = read_csv(spark, path, sep, encoding, multi_line=multi_line)
+            df = read_csv(spark, path, sep, encoding, multi_line=whole or encoding.startswith("UTF-16"))
             if len(df.columns) > 1 and not df.isEmpty():
                 return df
     raise ValueError(f"no encoding and separator fit {path}")

@@ -441,3 +441,29 @@ def test_success_log(rows):
     df = rows([("별표1", 0, "A", True), ("별표1", 1, "B", False), ("별표1", 2, "C", True)], "name string, pos long, product string, ok boolean")
     row = assembly.success_log(df, ["name"], "product", F.col("ok"), "pos").first()
     assert (row["success_log"], row["failure_log"]) == (" A수정, C수정,", " B:해당별표없음,")
+
+
+def test_csv_is_read_in_splits_where_records_end_with_lines(spark, tmp_path):
+    plain, odd, cr = (tmp_path / n for n in ("plain", "odd", "cr"))
+    for folder in (plain, odd, cr):
+        folder.mkdir()
+    lines = [f'{i},"a, ""b"" {i}",x{i}' for i in range(20_000)]
+    (plain / "a.csv").write_text("\ufeffid,text,c\r\n" + "\r\n".join(lines) + "\r\n", encoding="utf-8", newline="")
+    (odd / "a.csv").write_text('id,text\n1,"two\nlines"\n2,x\n', encoding="utf-8", newline="")
+    (cr / "a.csv").write_text('id,text\n1,"a\rb"\n', encoding="utf-8", newline="")
+    assert [src.needs_whole_files(spark, str(f)) for f in (plain, odd, cr)] == [False, True, True]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = src.read_csv_guessing(spark, str(plain))
+        assert df.rdd.getNumPartitions() > 1
+        assert sorted((int(r[0]), r[1], r[2]) for r in df.collect()) == [(i, f'a, "b" {i}', f"x{i}") for i in range(20_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r) for r in src.read_csv(spark, str(odd)).collect()] == [("1", "two\nlines"), ("2", "x")]
+    told = src.told(spark, str(plain))
+    assert told["UTF-8"] and not told["zeros"] and not told["goes_on"]
+    (cr / "k.csv").write_bytes("코드,이름\n1,한글\n".encode("cp949"))
+    assert not src.told(spark, str(cr / "k.csv"))["UTF-8"] and src.told(spark, str(cr / "k.csv"))["MS949"]
+    assert [tuple(r) for r in src.read_csv_guessing(spark, str(cr / "k.csv")).collect()] == [("1", "한글")]

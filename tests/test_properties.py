@@ -107,6 +107,22 @@ def test_section_ends_are_the_brute_force(spark):
     assert got == {p: end(d, p, t) for d, p, _, t in data}
 
 
+def test_section_ends_of_a_crowded_document(spark):
+    """10,000 comments, half of them markers of many sections, in one document: what is joined are pieces and answers, not comments by markers."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(10_000):
+        section = i // 40
+        rows.append(("d", i, i * 10, rnd.choice([f"{section} 관련 특별약관", f"갑{section % 7} 별표"]) if i % 2 else rnd.choice([f"{section} 관련 특별약관", "별표", f"{section}", "text"])))
+    df = spark.createDataFrame(rows, "doc string, pos long, start long, text string").repartition(4)
+    got = {r["pos"]: r["section_end"] for r in assembly.section_ends(df, "doc", "pos", "start", "text", width=512).collect()}
+    markers = [(p, s, t) for _, p, s, t in rows if "관련 특별약관" in t or "별표" in t]
+    for _, pos, _, text in rows[::97]:
+        assert got[pos] == next((s for p, s, t in markers if p > pos and text not in t), None)
+    plan = assembly.section_ends(df, "doc", "pos", "start", "text", width=512)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__piece" in plan and "Cartesian" not in plan
+
+
 def test_rendering_keeps_plain_texts(spark):
     ctx = F.struct(
         *[F.lit(1).alias(c) for c in ("exempt", "reduce", "confirm", "parent", "reserve", "extend", "team", "renew", "no_renew", "independent")],
