@@ -1,7 +1,7 @@
 """Name containment as equi joins.
 
-"x stands inside y" for two sets of names is found by cutting every distinct y into its pieces of the lengths that occur
-among the x and joining the pieces to the x by equality. No pair is tested that does not match.
+"x stands inside y" for two sets of names is an equi join. Every distinct y is cut into its pieces of at most SEED characters, in proportion to its length; a short x
+is joined by itself, a longer one by its rarest piece of SEED characters, and stands inside y if the rest agrees too.
 """
 
 from __future__ import annotations
@@ -14,18 +14,28 @@ from ..session import cut
 ANY = "*"
 
 
+#: Characters of the piece that a longer name is looked up by.
+SEED = 8
+
+
+def _pieces(name: str, n: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(F.col(name), i, n)))
+
+
 def inside(short: DataFrame, long: DataFrame, by: list[str]) -> DataFrame:
     """(by, ``short``, ``long``) for non-empty ``short.name`` contained in ``long.name``, both columns ``by`` + ``name``."""
     short = short.select(*by, F.col("name").alias("short")).filter("short <> ''").distinct()
     long = long.select(*by, F.col("name").alias("long")).filter("long <> ''").distinct()
-    # at most as many rows as the longest name has characters
-    lengths = F.broadcast(short.select(F.length("short").alias("n")).distinct())
-    sizes = long.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("long")))).join(lengths, "n", "left_semi")
-    starts = F.sequence(F.lit(1), F.length("long") - F.col("n") + 1)
-    pieces = sizes.select(
-        *by, "long", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("long"), i, F.col("n"))))).alias("short")
-    )
-    return pieces.join(short, [*by, "short"]).select(*by, "short", "long")
+    # of pieces that many names share the least shared one, so that names with one beginning do not meet there
+    parts = short.filter(F.length("short") > SEED).select(*by, "short", F.explode(_pieces("short", F.lit(SEED))).alias("piece"))
+    shared = parts.groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(shared, [*by, "piece"]).groupBy(*by, "short").agg(F.min(F.struct("n", "piece")).alias("p")).select(*by, "short", "p.piece")
+    keyed = short.filter(F.length("short") <= SEED).withColumn("piece", F.col("short")).unionByName(rarest)
+    # at most SEED rows
+    lengths = F.broadcast(short.select(F.least(F.length("short"), F.lit(SEED)).alias("n")).distinct())
+    sizes = long.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.length("long"), F.lit(SEED))))).join(lengths, "n", "left_semi")
+    cells = sizes.select(*by, "long", F.explode(_pieces("long", F.col("n"))).alias("piece"))
+    return cells.join(keyed, [*by, "piece"]).filter(F.contains(F.col("long"), F.col("short"))).select(*by, "short", "long")
 
 
 def comparable(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

@@ -91,6 +91,19 @@ def test_matching_is_the_brute_force(spark):
     assert {r["id"]: r["code"] for r in out.collect()} == {i: find(b, t) for i, b, t in items}
 
 
+def test_containment_of_long_names(spark):
+    """Names of 2,000 characters give pieces in proportion to their length; names with one beginning meet by their rarest piece."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    long = [text(2000) for _ in range(20)] + ["same beginning of all " + text(30) for _ in range(50)] + ["ab", "", "x" * 400]
+    short = [x[k : k + n] for x in long[:20] for k, n in ((0, 9), (700, 300), (5, 1))] + ["same beginning of all " + x[22:30] for x in long[20:70]] + ["", "x" * 50, "zz", text(8)]
+    frame = lambda names: spark.createDataFrame([("g", n) for n in names], "k string, name string")
+    got = sorted(tuple(r) for r in containment.inside(frame(short), frame(long), ["k"]).select("short", "long").collect())
+    assert got == sorted({(s, x) for s in short for x in long if s and s in x})
+    cells = frame(long).select(F.size(containment._pieces("name", F.lit(containment.SEED))).alias("n")).filter("n > 0")
+    assert cells.agg(F.max("n")).first()[0] <= 2000
+
+
 def test_section_ends_are_the_brute_force(spark):
     rnd = random.Random(4)
     texts = ["별표", "상해 별표", "질병 상해 별표", "제도성 특별약관", "말", "상해관련 특별약관"]
