@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordered import number_sorted
 from .common import query, table
 
 #: Consecutive turn numbers that share a row.
@@ -32,16 +33,17 @@ def rotate(turns: DataFrame, speaker: str = "role", part_turns: int = PART_TURNS
     the role assistant, all others the role user and the speaker as name. ``masks`` are the spans (start, end exclusive, in
     characters of the row's text) to learn from: the assistant's texts with their end markers.
 
-    A part holds the turn numbers from part * part_turns on; null and negative turns come first, in part 0. Turns with the same
-    number are ordered by speaker and text, and stay in one part; repeated rows stay repeated. Null speakers are ``unknown``, null texts
+    Turns are counted in the order of their numbers (null ones first), those with the same number in that of speaker and text, and each ``part_turns`` of them are a part, so
+    a dialogue without turn numbers has parts like any other; repeated rows stay repeated. Null speakers are ``unknown``, null texts
     empty, a null conv_id is a dialogue of its own. Other columns are ignored.
     """
     clean = turns.select(
         "conv_id", F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
         F.coalesce(F.col(speaker), F.lit(NOBODY)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"),
     )
+    numbered = number_sorted(clean, ["conv_id"], ["turn", "speaker", "text"], "no")
     parts = (
-        clean.groupBy("conv_id", F.floor(F.greatest("turn", F.lit(0)) / part_turns).cast("long").alias("part"))
+        numbered.groupBy("conv_id", F.floor((F.col("no") - 1) / part_turns).cast("long").alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     )
     participants = clean.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("own_id"), F.col("speaker").alias("perspective")).distinct()
@@ -74,10 +76,11 @@ def rotate(turns: DataFrame, speaker: str = "role", part_turns: int = PART_TURNS
 @query("op4_perspectives", f"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '{NOBODY}') AS speaker, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'),
-s AS (SELECT t.conv_id, p.perspective, CAST(floor(greatest(turn, 0) / {PART_TURNS}) AS BIGINT) AS part, turn, speaker, t.text,
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, text) - 1) // {PART_TURNS} AS part FROM t),
+s AS (SELECT t.conv_id, p.perspective, part, turn, speaker, t.text,
   '{BEGIN}' || CASE WHEN speaker = p.perspective THEN 'assistant' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user name=' || replace(speaker, '<|', '< |') END || chr(10) AS head,
   replace(t.text, '<|', '< |') || '{END}' AS body, speaker = p.perspective AS learn
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM n t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 r AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS upto FROM s)
 SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, text) AS text,
   coalesce(string_agg(CAST(CAST(upto - 1 - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY turn, speaker, text) FILTER (learn), '') AS masks
