@@ -5,16 +5,13 @@ Word and shingle identities are 64-bit hashes. Among n distinct strings the chan
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch
+from ..session import scratch, ship
 
 #: Rows per Arrow batch, so that a batch of long texts stays small beside an executor's memory.
 BATCH_ROWS = 128
@@ -54,28 +51,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
     # what a job has shuffled goes with it: its result is a table by then
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    _ship(spark)
-
-
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Adds the library's sources to the session once, as ``--py-files`` would, through the shared folder."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.writestr(f"{root.name}/{file.relative_to(root)}", file.read_bytes())
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/{root.name}.zip")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
-    context.addPyFile(path.toString())
-    _shipped.add(context.applicationId)
+    ship(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
