@@ -18,13 +18,14 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric, so a pivot p bounds
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, query, raw, shingle_sets, slices, table, text_column, word_hashes, written
+from .common import Tables, bounded_batches, query, raw, shingle_sets, slices, table, text_column, word_hashes
 
 #: Words of a shingle.
 SIZE = 5
@@ -239,10 +240,10 @@ def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py()
 
 
-def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.ndarray, region: int = REGION, shown: int = SHOWN) -> DataFrame:
+def links(made: Tables, docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.ndarray, region: int = REGION, shown: int = SHOWN) -> DataFrame:
     """(a, b) links of nodes that connect all linked nodes; ``sets`` has node (a number), digest, rep (a document of it), n and shown of each node."""
     limit = Limit(percent)
-    met = written(regions(sets, percent), "regions")
+    met = made.write(regions(sets, percent), "regions")
     payload = _dealt(met.withColumn("weight_shown", F.col("n") * (100 - percent) / 100 + 1), "weight_shown", shown, 2 * shown).drop("weight_shown")
     # the upper half of a key is enough here
     short = sets.select("node", F.transform("shown", lambda k: F.shiftright(k, 32).cast("int")).alias("shown"))
@@ -257,21 +258,23 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.n
                 keep[rows] = can_link([flat[ends[k] : ends[k + 1]] for k in rows], n[rows], limit)
         return pa.table({"owner": owner[keep], "node": node[keep], "n": n[keep]})
 
-    alive = written(payload.groupBy("pack").applyInArrow(hopeful, "owner long, node long, n long").distinct(), "hopeful")
-    wanted = written(sets.select("node", "digest", "rep").join(alive.select("node").distinct(), "node"), "wanted")
+    alive = made.write(payload.groupBy("pack").applyInArrow(hopeful, "owner long, node long, n long").distinct(), "hopeful")
+    made.drop("regions")
+    wanted = made.write(sets.select("node", "digest", "rep").join(alive.select("node").distinct(), "node"), "wanted")
     ids, digests = wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.select("node", "digest")
     if wanted.count() <= BROADCAST_IDS:
         ids, digests = F.broadcast(ids), F.broadcast(digests)
     texts = docs.join(ids, "doc_id", "left_semi")
     # of a document in several versions, or repeated, all come along and the digest tells
-    keys = written(whole_sets(texts, size, often).join(digests, "digest").select("node", "keys"), "whole-sets")
+    keys = made.write(whole_sets(texts, size, often).join(digests, "digest").select("node", "keys"), "whole-sets")
+    made.drop("wanted")
 
     weights = alive.groupBy("owner").agg(F.sum("n").alias("weight"), F.min("node").alias("pivot"))
     small = alive.join(weights.filter(F.col("weight") <= region).select("owner"), "owner").select("owner", "node", "n")
     large = weights.filter(F.col("weight") > region)
     star, rest = None, small
     if not large.isEmpty():
-        star, window = _first_pivots(alive.join(large, "owner"), keys, limit)
+        star, window = _first_pivots(made, alive.join(large, "owner"), keys, limit)
         rest = small.unionByName(window)
     members = _dealt(rest, "n", region, region).drop("n").join(keys, "node")
 
@@ -287,10 +290,12 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, often: np.n
         return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
 
     found = members.groupBy("pack").applyInArrow(joined, "a long, b long")
-    return (found if star is None else found.unionByName(star)).distinct()
+    out = made.write((found if star is None else found.unionByName(star)).distinct(), "links")
+    made.drop("hopeful", "whole-sets", *(["first-pivots"] if star is not None else []))
+    return out
 
 
-def _first_pivots(large: DataFrame, keys: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
+def _first_pivots(made: Tables, large: DataFrame, keys: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
     """Regions above a task's size take their first pivot row by row: links (a, b) of its core, and the members (owner, node, n) that go on.
 
     Those are the members outside the core, and of the core those in the window of any of them."""
@@ -308,7 +313,7 @@ def _first_pivots(large: DataFrame, keys: DataFrame, limit: Limit) -> tuple[Data
                 ["owner", "node", "n", "pivot", "d", "core"],
             )
 
-    measured = written(
+    measured = made.write(
         large.join(keys, "node").join(keys.select(F.col("node").alias("pivot"), F.col("keys").alias("theirs")), "pivot")
         .select("owner", "node", "n", "pivot", "keys", "theirs")
         .mapInArrow(distances, "owner long, node long, n long, pivot long, d double, core boolean"), "first-pivots",
@@ -320,14 +325,14 @@ def _first_pivots(large: DataFrame, keys: DataFrame, limit: Limit) -> tuple[Data
     return star, window.select("owner", "node", "n").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(made: Tables, edges: DataFrame) -> DataFrame:
     """(node, component) of all ends of edges (a, b): the smallest end that can be reached.
 
     Rounds of large and small stars: every node hands its larger, then its smaller neighbours to the smallest one it knows, until
     all edges are stars. A node's neighbours are never gathered; only their minimum is."""
-    now = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges")
+    now = made.write(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges-0")
     before = None
-    while True:
+    for turn in itertools.count(1):
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == (state["n"], state["s"]):
             break
@@ -337,9 +342,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
-        now = written(
-            small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).filter("u < v").distinct(), "edges"
+        now = made.write(
+            small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).filter("u < v").distinct(), f"edges-{turn}"
         )
+        made.drop(f"edges-{turn - 1}")
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
 
@@ -353,17 +359,24 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, region: int
     bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text", _mark(docs).alias("mark"))
     often = frequent(base, size)
-    sets = written(with_sets(base, size, percent, often), "sets")
+    made, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    wide = made.write(with_sets(base, size, percent, often), "wide")
+    sets = kept.write(wide.drop("shown"), "sets")
     firsts = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = (F.col("doc_id") == F.col("rep")) & (sets["digest"] == F.col("its"))
+    same = (F.col("doc_id") == F.col("rep")) & (wide["digest"] == F.col("its"))
     # numbers are fixed by writing them; a repeated row gives a second node of its class, which is linked like any other
-    nodes = written(
-        sets.join(firsts.withColumnRenamed("digest", "its"), same).select("digest", "rep", F.col("n_shingles").alias("n"), "shown", F.monotonically_increasing_id().alias("node")), "nodes",
+    nodes = made.write(
+        wide.join(firsts.withColumnRenamed("digest", "its"), same).select("digest", "rep", F.col("n_shingles").alias("n"), "shown", F.monotonically_increasing_id().alias("node")), "nodes",
     )
-    found = components(links(base, nodes, size, percent, often, region, shown))
-    placed = nodes.select("node", "digest", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    made.drop("wide")
+    reps = made.write(nodes.select("node", "digest", "rep"), "reps")
+    edges = links(made, base, nodes, size, percent, often, region, shown)
+    made.drop("nodes")
+    found = components(made, edges)
+    placed = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("least"))
-    named = placed.join(least, "component").groupBy(F.col("digest").alias("its")).agg(F.min("component").alias("component"), F.min("least").alias("least"))
+    named = kept.write(placed.join(least, "component").groupBy(F.col("digest").alias("its")).agg(F.min("component").alias("component"), F.min("least").alias("least")), "named")
+    made.drop()
     joined = F.col("doc_id").isNotNull()
     return sets.join(named, F.col("digest") == F.col("its"), "left").select(
         "doc_id", "n_shingles", F.when(joined, F.coalesce("least", "doc_id")).alias("component_id"),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from policyflow.llm import jaccard_join
+from policyflow.llm.common import Tables
 from tests.llm import brute
 
 
@@ -99,6 +100,6 @@ def test_components(spark):
         lo, hi = sorted((root(a), root(b)))
         parent[hi] = lo
     frame = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
-    got = {r["node"]: r["component"] for r in jaccard_join.components(frame).collect()}
+    got = {r["node"]: r["component"] for r in jaccard_join.components(Tables(spark), frame).collect()}
     want = {x: root(x) for x in list(parent)}
     assert {x: c for x, c in got.items()} == {x: c for x, c in want.items() if x != c}
