@@ -81,12 +81,12 @@ def _release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-#: A slice: its sorted distinct words, the numbers of its tokens among them, of each document the tokens, id, whether it has one and is learned from, and
-#: the learned counts of its words.
-PACKED = "slice long, words binary, numbers binary, sizes binary, ids binary, known binary, learn binary, counts binary"
+#: A slice: its distinct words, frequent ones first, the numbers of its tokens among them (lower and upper halves, so that most bytes are alike), of each document the tokens,
+#: id, whether it has one and is learned from, and the learned counts of its words.
+PACKED = "slice long, words binary, low binary, high binary, sizes binary, ids binary, known binary, learn binary, counts binary"
 _PACKED = pa.schema([("slice", pa.int64())] + [(c.split()[0], pa.binary()) for c in PACKED.split(", ")[1:]])
 #: What a slice is told: keys with values (a pair's count; a context's norm and backoff weight).
-WORDS, PAIRS, CONTEXTS = 0, 1, 2
+PAIRS, CONTEXTS = 0, 1
 
 
 def sliced(docs: DataFrame) -> DataFrame:
@@ -95,11 +95,15 @@ def sliced(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_of(batches):
             tokens, sizes = part.tokens()
-            words, numbers = np.unique(tokens, return_inverse=True)
+            words, numbers, uses = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words, numbers = words[order], rank[numbers]
             ids = np.array([i or 0 for i in part.ids], "<i8")
             learn = np.array(part.learn, bool)
             counts = np.bincount(numbers[np.repeat(learn, sizes)], minlength=len(words))
-            fields = (words.astype("<u8"), numbers.astype("<u4"), sizes.astype("<i8"), ids, np.array([i is not None for i in part.ids], np.uint8), learn.astype(np.uint8), counts.astype("<i8"))
+            fields = (words.astype("<u8"), (numbers & 0xFFFF).astype("<u2"), (numbers >> 16).astype("<u2"), sizes.astype("<i8"), ids, np.array([i is not None for i in part.ids], np.uint8), learn.astype(np.uint8), counts.astype("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array([part.number]), *(pa.array([x.tobytes()], pa.binary()) for x in fields)], schema=_PACKED)
             _release()
 
@@ -111,7 +115,8 @@ class Open:
 
     def __init__(self, row: dict):
         self.number = row["slice"]
-        self.words, self.numbers, self.sizes = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["numbers"], "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+        self.words, self.sizes = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["sizes"], "<i8")
+        self.numbers = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], "<u2").astype(np.int64) << 16
         self.ids, self.known, self.learn = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], np.uint8) > 0, np.frombuffer(row["learn"], np.uint8) > 0
         self.counts = np.frombuffer(row["counts"], "<i8")
         self.hashes = np.append(self.words, BEGIN_HASH).astype(np.uint64)
@@ -176,7 +181,7 @@ def totals(rows: DataFrame, key: str) -> DataFrame:
 def told(rows: DataFrame, kind: int, key: str, a: str, b: str | None = None) -> DataFrame:
     """(slice, kind, keys, a, b): keys and values for each slice, packed."""
     values = F.struct(F.col(key).alias("key"), F.col(a).cast("double").alias("a"), F.col(b or a).cast("double").alias("b"))
-    packs = rows.groupBy("slice", F.pmod(F.xxhash64(key), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
+    packs = rows.groupBy("slice", F.pmod(F.col(key), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
     return packs.select("slice", F.lit(kind).alias("kind"), F.col("v.key").alias("keys"), F.col("v.a").alias("a"), (F.col("v.b") if b else F.array().cast("array<double>")).alias("b"))
 
 
@@ -257,15 +262,15 @@ def _keyed(rows: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
 
 
 def recounted(parts: DataFrame, words: DataFrame) -> DataFrame:
-    """The slices with the counts of their words over all slices."""
+    """The slices with the counts of their words over all slices; words: (slice, word, total) where that is not the slice's own."""
 
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
         row = own.slice(0, 1).to_pylist()[0]
         part = Open(row)
-        counts = part.counts.copy()
-        for keys, n in zip(rows["keys"], rows["a"]):
-            counts[np.searchsorted(part.words, keys.values.to_numpy().view(np.uint64))] = n.values.to_numpy().astype(np.int64)
+        counts, order = part.counts.copy(), np.argsort(part.words)
+        counts[order[np.searchsorted(part.words, rows["word"].to_numpy().view(np.uint64), sorter=order)]] = rows["total"].to_numpy()
         row["counts"] = counts.astype("<i8").tobytes()
+        _release()
         return pa.Table.from_pylist([row], _PACKED)
 
     return parts.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, PACKED)
@@ -316,12 +321,13 @@ def score(docs: DataFrame, learn, rounds: int = ROUNDS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     made = Tables(docs.sparkSession)
     first = made.write(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
-    words = made.write(totals(word_rows(first), "word"), "words")
-    whole = words.filter("first AND total > 0").groupBy(F.least("total", F.lit(DISCOUNTED + 2)).alias("r")).agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
+    words = word_rows(first)
+    counts = words.groupBy("word").agg(F.sum("n").alias("total")).filter("total > 0")
+    whole = counts.groupBy(F.least("total", F.lit(DISCOUNTED + 2)).alias("r")).agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
     tokens, distinct = sum(int(r["tokens"]) for r in whole), sum(int(r["words"]) for r in whole)
     model = Model(tokens, {r["r"]: int(r["words"]) for r in whole})
-    parts = made.write(recounted(first, told(words.filter("total <> n"), WORDS, "word", "total")), "recounted")
-    made.drop("slices", "words")
+    parts = made.write(recounted(first, totals(words, "word").filter("total <> n").select("slice", "word", "total")), "recounted")
+    made.drop("slices")
 
     for turn in range(rounds):
         seen = totals(pair_rows(parts, turn, rounds), "pair").filter("total > 0 AND (first OR total <> n)")
