@@ -11,13 +11,14 @@ only keeps a window longer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Tables, bounded_batches, gathered, lowered, mix, query, raw, span_hashes, table, text_column
+from .common import Tables, bounded_batches, gathered, lowered, mix, query, raw, slices, span_hashes, table, text_column
 
 #: Words of the longest phrase.
 ORDER = 4
@@ -28,7 +29,7 @@ SCALE = 2_000_000
 #: Bits of the bitmap of frequent pairs (16 MB).
 BITS = 1 << 27
 #: Text of a task that is counted together, in bytes.
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Parts of a language's candidates that are ranked apart first.
 PARTS = 64
 #: Stands in the columns behind the end of a window; no word is empty.
@@ -59,21 +60,33 @@ class Words:
     def __init__(self, part: pa.Table):
         data, bounds = raw(text_column(part))
         self.data = lowered(data)
-        self.starts, self.ends, self.follows = words_of(self.data, bounds)
         langs = part.column("lang").combine_chunks().cast(pa.large_string())
         langs = pa.concat_arrays(langs.chunks) if isinstance(langs, pa.ChunkedArray) else langs
         codes = langs.dictionary_encode()
         self.names = codes.dictionary.to_pylist()
-        names = raw(codes.dictionary)
-        of_lang = span_hashes(names[0], names[1][:-1], names[1][1:]) if self.names else np.zeros(0, np.uint64)
+        names, at = raw(codes.dictionary)
+        of_lang = span_hashes(names, at[:-1], at[1:])
         number = codes.indices.to_numpy(zero_copy_only=False)
-        self.lang = number[np.searchsorted(bounds, self.starts, "right") - 1] if len(self.starts) else np.zeros(0, np.int64)
-        self.keys = mix(span_hashes(self.data, self.starts, self.ends) + of_lang[self.lang] * _ODD)
+        found = []
+        for first, last in slices(bounds):  # hashing takes many times the text's memory
+            own, inner = self.data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+            starts, ends, follows = words_of(own, inner)
+            lang = number[first + np.searchsorted(inner, starts, "right") - 1] if len(starts) else np.zeros(0, number.dtype)
+            keys = mix(span_hashes(own, starts, ends) + of_lang[lang] * _ODD)
+            found.append((starts + bounds[first], ends + bounds[first], follows, lang, keys))
+        self.starts, self.ends, self.follows, self.lang, self.keys = map(np.concatenate, zip(*found))
 
     def pairs(self) -> np.ndarray:
-        """Keys of the pairs led by each word; without meaning where no word follows."""
-        out = np.zeros(len(self.keys), np.uint64)
-        out[:-1] = mix(self.keys[:-1] * _ODD + self.keys[1:])
+        """Keys of the pairs led by each word but the last; without meaning where no word follows."""
+        return mix(self.keys[:-1] * _ODD + self.keys[1:])
+
+    def runs(self, bits: np.ndarray) -> list[np.ndarray]:
+        """For each number of words up to ORDER, which words lead such a run whose pairs all have their bits set."""
+        bit = (self.pairs().view(np.int64) % (len(bits) * 8)).astype(np.int64)
+        pair = self.follows[:-1] & ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
+        out = [np.ones(len(self.keys), bool), pair]
+        while len(out) < ORDER:
+            out.append(out[-1][:-1] & pair[len(out) - 1 :])
         return out
 
 
@@ -83,9 +96,11 @@ def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, SLICE):
             own = Words(part)
-            keys, n = np.unique(own.pairs()[own.follows], return_counts=True)
-            for k in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 17)].view(np.int64)), pa.array(n[k : k + (1 << 17)])], ["pair", "n"])
+            if len(own.keys) > 1:
+                keys, n = np.unique(own.pairs()[own.follows[:-1]], return_counts=True)
+                for k in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["pair", "n"])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair")
 
@@ -100,40 +115,35 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _window_rows(own: Words, alive: np.ndarray) -> pa.RecordBatch:
-    """(lang, w1, ..., n): distinct windows, each cut before its first pair that is not alive."""
+def _window_rows(own: Words, alive: list[np.ndarray]) -> pa.RecordBatch:
+    """(lang, w1, ..., n): distinct windows, each as long as its run is alive."""
     _, first, word = np.unique(own.keys, return_index=True, return_inverse=True)
-    size = len(word)
-    columns = np.zeros((ORDER, size), np.int64)  # 0 is the pad
-    columns[0] = word + 1
-    on = np.ones(size, bool)
-    for k in range(1, ORDER):
-        on[: size - k + 1] &= alive[k - 1 :]
-        on[size - k + 1 :] = False
-        columns[k, : size - k] = np.where(on[: size - k], word[k:] + 1, 0)
+    columns = np.zeros((ORDER, len(word)), np.int64)  # 0 is the pad
+    for k in range(min(ORDER, len(word))):
+        columns[k, : len(word) - k] = np.where(alive[k][: len(word) - k], word[k:] + 1, 0)
     key = columns[0]
     for k in range(1, ORDER):  # ranks of pairs, of triples, ... are smaller than the number of words: no product passes 64 bits
         key = np.unique(key * (len(first) + 1) + columns[k], return_inverse=True)[1]
     _, at, n = np.unique(key, return_index=True, return_counts=True)
-    texts = pa.array([own.data[a:b].tobytes() for a, b in zip(own.starts[first].tolist(), own.ends[first].tolist())], pa.binary()).cast(pa.string())
-    texts = pa.concat_arrays([pa.array([PAD], pa.string()), texts])
+    used, place = np.unique(columns[:, at], return_inverse=True)
+    texts = [PAD.encode()] if len(used) and used[0] == 0 else []
+    texts += [own.data[own.starts[k] : own.ends[k]].tobytes() for k in first[used[used > 0] - 1].tolist()]
+    texts = pa.array(texts, pa.binary()).cast(pa.string())
     langs = pa.array(own.names, pa.string()).take(pa.array(own.lang[at]))
-    return pa.RecordBatch.from_arrays([langs, *(texts.take(pa.array(c[at])) for c in columns), pa.array(n)], ["lang", *_WORDS, "n"])
+    return pa.RecordBatch.from_arrays([langs, *(texts.take(pa.array(c)) for c in place.reshape(ORDER, -1)), pa.array(n)], ["lang", *_WORDS, "n"])
 
 
 _WORDS = [f"w{k}" for k in range(1, ORDER + 1)]
 
 
-def windows(docs: DataFrame, pairs: Broadcast) -> DataFrame:
+def windows(docs: DataFrame, bits: Broadcast) -> DataFrame:
     """(lang, w1, ..., n) of the longest windows of each slice, padded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = pairs.value
         for part in gathered(batches, SLICE):
             own = Words(part)
             if len(own.keys):
-                bit = (own.pairs().view(np.int64) % (len(bits) * 8)).astype(np.int64)
-                rows = _window_rows(own, own.follows & ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0))
+                rows = _window_rows(own, own.runs(bits.value))
                 for k in range(0, rows.num_rows, 1 << 15):
                     yield rows.slice(k, 1 << 15)
             pa.default_memory_pool().release_unused()
@@ -142,13 +152,21 @@ def windows(docs: DataFrame, pairs: Broadcast) -> DataFrame:
 
 
 def phrases(counted: DataFrame, least: int) -> DataFrame:
-    """(lang, words, f) of all phrases of up to ORDER words with ``least`` occurrences, and of each language as the phrase without words."""
-    sums = counted.rollup("lang", *_WORDS).agg(F.sum("n").alias("f"))
-    padded = F.lit(False)
-    for w in _WORDS:
-        padded = padded | (F.coalesce(F.col(w), F.lit("x")) == PAD)
-    kept = F.col("lang").isNotNull() & ~padded & ((F.col("f") >= least) | F.col("w1").isNull())
-    return sums.filter(kept).select("lang", F.array_compact(F.array(*_WORDS)).alias("words"), "f")
+    """(lang, words, f) of all phrases of up to ORDER words with ``least`` occurrences, and of each language as the phrase without words.
+
+    ROLLUP runs over the windows of each length by itself, so that no group holds pads; what windows of several lengths lead is added up."""
+    filled = [F.col(w) != PAD for w in _WORDS[1:]]
+    parts = []
+    for size in range(1, ORDER + 1):
+        own = counted
+        for k, full in enumerate(filled, 2):
+            own = own.filter(full if k <= size else ~full)
+        own = own.filter(F.col("w1") != PAD).rollup("lang", *_WORDS[:size]).agg(F.sum("n").alias("f")).filter(F.col("lang").isNotNull())
+        if size == ORDER:  # only windows of this length have as many words
+            own = own.filter(F.col(_WORDS[-1]).isNull() | (F.col("f") >= least))
+        parts.append(own.select("lang", *(F.col(w) if k < size else F.lit(None).cast("string").alias(w) for k, w in enumerate(_WORDS)), "f"))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("lang", *_WORDS).agg(F.sum("f").alias("f"))
+    return sums.filter((F.col("f") >= least) | F.col("w1").isNull()).select("lang", F.array_compact(F.array(*_WORDS)).alias("words"), "f")
 
 
 def _joined(words: Column) -> Column:
@@ -190,10 +208,13 @@ def mine(docs: DataFrame, least: int = LEAST, best: int = BEST, cover: int = COV
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = spark.sparkContext.broadcast(bitmap(frequent_pairs(own, least)))
+    bits = spark.sparkContext.broadcast(bitmap(frequent_pairs(own, least)))
     made = Tables(spark)
-    grams = made.write(phrases(windows(own, pairs), least), "phrases")
-    pairs.unpersist()
+    # each window once before ROLLUP expands them
+    counted = made.write(windows(own, bits).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n")), "windows")
+    bits.unpersist()
+    grams = Tables(spark).write(phrases(counted, least), "phrases")
+    made.drop()
     hidden = covered(grams)
     found = scored(grams).join(hidden, ["lang", "words"], "left").filter(F.col("most").isNull() | (100 * F.col("most").cast("decimal(30,0)") < cover * F.col("a").cast("decimal(30,0)")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
