@@ -116,16 +116,16 @@ def test_monitor_forgets_what_a_snapshot_holds(spark, tmp_path):
     (tmp_path / "in").mkdir()
     counts = []
     schema = ", ".join(f"{c} string" for c in names.EXPORT_COLUMNS)
-    for step, batch in enumerate([*range(5), *range(10_000, 10_004)]):
+    for step, batch in enumerate([*range(3), *range(10_000, 10_003)]):
         write(tmp_path / "in", f"{step}.csv", [("P1", f"B{step % 4}", f"v{step}")])
         files = spark.createDataFrame([(f"file:{incoming}/{step}.csv",)], "path string")
         monitor.receive_batch(spark, files, batch, incoming, target, out, compact_every=2)
         counts.append(_folders(spark, (f"{target}/changes", "batch"), (f"{target}/base", "upto"), (f"{out}/received", "batch"), (f"{out}/staged", "batch")))
-        if batch in (3, 10_001):  # a batch may run again after it has been compacted
+        if batch in (1, 10_001):  # a batch may run again after it has been compacted
             monitor.receive_batch(spark, files, batch, incoming, target, out, compact_every=2)
     assert max(counts) <= 6  # two snapshots, the changes since the older one
     now = monitor.master_view(spark, target, schema).collect()
-    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now) == [("B0", "v8"), ("B1", "v5"), ("B2", "v6"), ("B3", "v7")]
+    assert sorted((r["benefit_code"], r["diagnosis_code"]) for r in now) == [("B0", "v4"), ("B1", "v5"), ("B2", "v2"), ("B3", "v3")]
 
 
 def test_counts_keep_two_runs(spark, tmp_path):
