@@ -3,14 +3,14 @@
 A window is led by every word: the word and up to three that follow it in its piece, padded at the end of the piece. Only these longest windows are
 counted; ROLLUP sums them to the counts of all shorter phrases (a phrase's count is the sum over the windows that it leads), up to the words of a language.
 
-A phrase that is frequent has frequent pairs of neighbours only, so a window may end before its first rare pair without a change of any count that is used. Pairs
-are counted by 64-bit keys for that, and the frequent ones become a bitmap of fixed size, which is broadcast. A key that falls on another one's bit
+A phrase that is frequent has frequent pairs and triples of neighbours only, so a window may end before its first rare one without a change of any count that is used. Pairs,
+and then the triples of frequent pairs, are counted by 64-bit keys for that, and the frequent ones become a bitmap of fixed size, which is broadcast. A key that falls on another one's bit
 only keeps a window longer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,7 +26,7 @@ ORDER = 4
 LEAST, BEST, COVERED = 30, 2000, 80
 #: A phrase of which all occurrences of both parts are its own scores half of this.
 SCALE = 2_000_000
-#: Bits of the bitmap of frequent pairs (16 MB).
+#: Bits of the bitmap of frequent pairs and triples (16 MB).
 BITS = 1 << 27
 #: Text of a task that is counted together, in bytes.
 SLICE = 4 << 20
@@ -80,34 +80,59 @@ class Words:
         """Keys of the pairs led by each word but the last; without meaning where no word follows."""
         return mix(self.keys[:-1] * _ODD + self.keys[1:])
 
+    def triples(self) -> np.ndarray:
+        """Keys of the triples led by each word but the last two; without meaning where no two words follow."""
+        return mix(self.pairs()[:-1] * _ODD + self.keys[2:])
+
+    def paired(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words lead a pair that has its bit set, and which of them a triple of two such pairs."""
+        pair = self.follows[:-1] & _has_bit(bits, self.pairs())
+        return pair, pair[:-1] & pair[1:]
+
     def runs(self, bits: np.ndarray) -> list[np.ndarray]:
-        """For each number of words up to ORDER, which words lead such a run whose pairs all have their bits set."""
-        bit = (self.pairs().view(np.int64) % (len(bits) * 8)).astype(np.int64)
-        pair = self.follows[:-1] & ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
-        out = [np.ones(len(self.keys), bool), pair]
+        """For each number of words up to ORDER, which words lead such a run whose pairs and triples all have their bits set."""
+        pair, triple = self.paired(bits)
+        out = [np.ones(len(self.keys), bool), pair, triple]
+        where = np.flatnonzero(triple)
+        triple[where] = _has_bit(bits, self.triples()[where])
         while len(out) < ORDER:
-            out.append(out[-1][:-1] & pair[len(out) - 1 :])
+            out.append(out[-1][:-1] & triple[len(out) - 2 :])
         return out
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """Keys of all pairs of neighbours that occur ``least`` times."""
+def _has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = (keys.view(np.int64) % (len(bits) * 8)).astype(np.int64)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def _frequent(docs: DataFrame, keys_of: Callable[[Words], np.ndarray], least: int) -> DataFrame:
+    """The keys that occur ``least`` times, each slice's own counted in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, SLICE):
             own = Words(part)
             if len(own.keys) > 1:
-                keys, n = np.unique(own.pairs()[own.follows[:-1]], return_counts=True)
+                keys, n = np.unique(keys_of(own), return_counts=True)
                 for k in range(0, len(keys), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["pair", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["key", "n"])
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair")
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+
+
+def frequent_pairs(docs: DataFrame, least: int) -> DataFrame:
+    """Keys of all pairs of neighbours that occur ``least`` times."""
+    return _frequent(docs, lambda own: own.pairs()[own.follows[:-1]], least)
+
+
+def frequent_triples(docs: DataFrame, bits: Broadcast, least: int) -> DataFrame:
+    """Keys of the triples of neighbours that occur ``least`` times, of those whose two pairs have their bits set."""
+    return _frequent(docs, lambda own: own.triples()[own.paired(bits.value)[1]], least)
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """Bytes in which the bit of each key (modulo ``bits``) is set: at most bits / 8 bytes reach the driver."""
-    bit = F.pmod("pair", F.lit(bits))
+    bit = F.pmod("key", F.lit(bits))
     rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("own"))
     out = np.zeros(max(bits // 8, 4096), np.uint8)
     for row in rows.collect():
@@ -208,7 +233,12 @@ def mine(docs: DataFrame, least: int = LEAST, best: int = BEST, cover: int = COV
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    bits = spark.sparkContext.broadcast(bitmap(frequent_pairs(own, least)))
+    pairs = bitmap(frequent_pairs(own, least))
+    bits = spark.sparkContext.broadcast(pairs)
+    # one bitmap for both: a triple on a pair's bit only keeps windows longer
+    both = pairs | bitmap(frequent_triples(own, bits, least))
+    bits.unpersist()
+    bits = spark.sparkContext.broadcast(both)
     made = Tables(spark)
     # each window once before ROLLUP expands them
     counted = made.write(windows(own, bits).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n")), "windows")

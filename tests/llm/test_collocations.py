@@ -84,3 +84,13 @@ def test_wide_products(spark):
     grams = spark.createDataFrame([("en", ["a"], 3 * big), ("en", ["b"], 2 * big), ("en", ["a", "b"], big + 1)], "lang string, words array<string>, f long")
     row = collocations.scored(grams).first()
     assert (row["score"], row["l"], row["r"]) == (2_000_000 * (big + 1) // (5 * big), 3 * big, 2 * big)
+
+
+def test_windows_end_before_rare_triples(spark, monkeypatch):
+    """Every pair is frequent and no triple is: no window of three words is kept, and what is counted stays the same."""
+    draw = random.Random(4)
+    rows = [("en", " ".join(f"w{draw.randrange(12)}" for _ in range(400))) for _ in range(30)]
+    kept, phrases = [], collocations.phrases
+    monkeypatch.setattr(collocations, "phrases", lambda counted, least: kept.append(counted.filter("w3 <> ''").count()) or phrases(counted, least))
+    assert mined(spark, rows) == plain(rows, 30, 2000, 80)
+    assert kept == [0]
