@@ -13,6 +13,8 @@ from ..functions import codes, text as tx
 
 _CELLS = [10.0, 1000.0, 1000000.0]
 _FIT = 8
+#: Tasks per core that codes are dealt to. Few codes can stand for very many rows, so their bytes say nothing about the work.
+_TASKS = 8
 
 
 def find_range_columns(columns: list[str]) -> dict[str, str] | None:
@@ -50,6 +52,11 @@ def _cell(value: Column, level: Column) -> Column:
     return F.coalesce(chain.otherwise(F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out by ``probe`` to a number of tasks that Spark does not lower when the rows are few bytes."""
+    return df.repartition(_TASKS * df.sparkSession.sparkContext.defaultParallelism, "probe")
+
+
 def _rules(table: DataFrame, low: str, high: str, code: str, whole: bool) -> DataFrame:
     f = F.upper(tx.strip(F.col(low).cast("string")))
     t = F.coalesce(tx.non_blank(F.upper(tx.strip(F.col(high).cast("string")))), f)
@@ -72,7 +79,7 @@ def matches(
     """
     if mode not in ("reference", "ordered"):
         raise ValueError(f"unknown mode {mode!r}")
-    points = wanted.toDF("probe").distinct()
+    points = _spread(wanted.toDF("probe").distinct())
     parsed = F.upper(tx.strip(F.col("probe")))
     points = points.select("probe", codes.alpha(parsed).alias("a"), codes.number(parsed, whole).alias("x"))
     rules = _rules(table, low, high, code, whole)
@@ -114,7 +121,8 @@ def map_codes(
     mode: str = "reference", whole: bool = False, how: str = "inner",
 ) -> DataFrame:
     """Input rows with each matching ``code``, ``from``, ``to`` and ``match_type``."""
-    found = matches(df.select(on), table, low, high, code, mode, whole)
+    # each match becomes a row for every input row with its code
+    found = _spread(matches(df.select(on), table, low, high, code, mode, whole))
     joined = df.join(found, F.col(on) == F.col("probe"), how).drop("probe")
     return joined.withColumn("match_type", F.when(F.col("code").isNotNull(), F.lit("range")))
 

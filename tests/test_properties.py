@@ -181,3 +181,13 @@ def test_wanted_lists_hold_only_what_is_asked(spark):
     out = structures.wanted_lists(subs, wanted, ["id"], "value", "list")
     got = out.select(structures.entry(F.col("list"), F.lit(5)), structures.entry(F.col("list"), F.lit(6)), F.size("list")).first()
     assert tuple(got) == ("v5", None, 1)
+
+
+def test_rows_of_few_codes_come_from_many_tasks(spark):
+    """A few codes with very many rows: their matches are few bytes, yet no task makes most of the rows."""
+    points = spark.range(8000).select(F.col("id"), F.concat(F.lit("A"), F.lpad((F.col("id") % 80).cast("string"), 2, "0")).alias("c"))
+    table = spark.range(50).select(F.lit("A00").alias("f"), F.lit("A99").alias("t"), F.col("id").cast("string").alias("r"))
+    for mode in ("reference", "ordered"):
+        out = ranges.map_codes(points, "c", table, "f", "t", "r", mode)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 8000 * 50 and len(sizes) > 8 and max(sizes) < sum(sizes) / 4
