@@ -4,9 +4,10 @@ Words and pairs are counted over all learning texts; every learned word has a sy
 context saves goes to the words that it was not seen with, in proportion to their unigram probability, and the backoff weight makes each context
 sum to one exactly. The unigrams back off once more, to the unknown symbol of the words that were not learned.
 
-Documents are put into slices once: a table of distinct words and word numbers. A slice gives one row for each distinct word, and for each distinct pair, with its own count; a window over the
-key adds these up (a key has at most one row a slice, however often it occurs), and the slice is told where the total differs from its own count. The first slice that has
-a pair counts it into the sums of its context. Pairs are worked on in ROUNDS parts by their context, always as many, so that only one part of them is under way at once;
+Documents are put into slices once: a table of distinct words and word numbers. A slice gives one row for each distinct word with its own count; a window over the
+word adds these up, and the slice is told where the total differs from its own count. Of its distinct pairs a slice gives a packed row to each group of pairs, of which there are as many as the
+tokens need; a group adds up the counts of all slices, gives each slice its totals in the order in which it asked, and sums of its contexts (a frequent context is split over
+groups by its pairs, and its sums are added up). A pair has at most one entry a slice, however often it occurs. Pairs are worked on in ROUNDS parts by their context, always as many, so that only one part of them is under way at once;
 every document's score is the sum of its parts. Nothing on the driver or in a broadcast grows with the vocabulary.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Tables, bounded_batches, fold, query, raw, slices, table, text_column, word_hashes
+from .common import Tables, bounded_batches, fold, mix, query, raw, slices, table, text_column, word_hashes
 
 #: Counts up to which Good-Turing discounts.
 DISCOUNTED = 5
@@ -31,6 +32,8 @@ SLICE, SLICE_DOCS = 8 << 20, 1 << 15
 NUMBER_ROWS, PACKS, ROUNDS = 1 << 16, 16, 8
 #: Bits by which a pair's key turns its context.
 TURN = 21
+#: Tokens whose pairs make one group, and occurrences of a context that are not split over groups.
+GROUP, SPLIT = 1 << 20, 1 << 18
 
 
 class Slice:
@@ -85,7 +88,7 @@ def _release() -> None:
 #: id, whether it has one and is learned from, and the learned counts of its words.
 PACKED = "slice long, words binary, low binary, high binary, sizes binary, ids binary, known binary, learn binary, counts binary"
 _PACKED = pa.schema([("slice", pa.int64())] + [(c.split()[0], pa.binary()) for c in PACKED.split(", ")[1:]])
-#: What a slice is told: keys with values (a pair's count; a context's norm and backoff weight).
+#: What a slice is told: the counts of the pairs that it asked a group for; keys of contexts with norm and backoff weight.
 PAIRS, CONTEXTS = 0, 1
 
 
@@ -131,6 +134,17 @@ class Open:
         at = np.flatnonzero((self.hashes % np.uint64(rounds) == turn)[context])
         return at, context[at] << 32 | self.numbers[at]
 
+    def asked(self, pairs: np.ndarray, groups: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that may have been learned, as both of their words were, in the order of their groups; and the groups. Contexts with more uses than ``most`` are split."""
+        # as many texts begin as end
+        uses = np.append(self.counts, self.counts[self.words == END_HASH])
+        own = np.flatnonzero((uses[pairs >> 32] > 0) & (self.counts[pairs & 0xFFFFFFFF] > 0))
+        context = pairs[own] >> 32
+        split = mix(self.keys(pairs[own]).view(np.uint64)) % (uses[context] // most + 1).astype(np.uint64)
+        group = (mix(mix(self.hashes[context]) + split) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        return own[order], group[order]
+
     def keys(self, pairs: np.ndarray) -> np.ndarray:
         context = self.hashes[pairs >> 32]
         return ((context << np.uint64(TURN) | context >> np.uint64(64 - TURN)) ^ self.hashes[pairs & 0xFFFFFFFF]).view(np.int64)
@@ -158,18 +172,69 @@ def word_rows(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "slice long, word long, n long")
 
 
-def pair_rows(parts: DataFrame, turn: int, rounds: int) -> DataFrame:
-    """(slice, pair, context, n, of_word): the distinct pairs of each slice with their learned counts there and the count of the second word."""
+ASKED = "slice long, part int, keys binary, contexts binary, runs binary, n binary, of_word binary"
+
+
+def asked_pairs(parts: DataFrame, turn: int, rounds: int, groups: int, most: int) -> DataFrame:
+    """ASKED: for each slice and group the keys of the pairs, their contexts (each once, with the pairs that it has), learned counts in the slice and the counts of the second words."""
+    schema = pa.schema([("slice", pa.int64()), ("part", pa.int32())] + [(c.split()[0], pa.binary()) for c in ASKED.split(", ")[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _opened(batches):
             at, own = part.pairs(turn, rounds)
             pairs, place = np.unique(own, return_inverse=True)
             n = np.bincount(place[part.learned()[at]], minlength=len(pairs))
-            context = part.hashes[pairs >> 32].view(np.int64)
-            yield from _rows(["slice", "pair", "context", "n", "of_word"], np.full(len(pairs), part.number), part.keys(pairs), context, n, part.counts[pairs & 0xFFFFFFFF])
+            places, group = part.asked(pairs, groups, most)
+            keys, context = part.keys(pairs[places]), part.hashes[pairs[places] >> 32]
+            n, of_word = n[places], part.counts[pairs[places] & 0xFFFFFFFF]
+            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else np.zeros(0, np.int64)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                begins = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1]))
+                fields = (keys[a:b].astype("<i8"), context[a:b][begins].astype("<u8"), np.diff(begins, append=b - a).astype("<u4"), n[a:b].astype("<u4"), of_word[a:b].astype("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([part.number]), pa.array([group[a]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in fields)], schema=schema)
+            _release()
+
+    return parts.mapInArrow(run, ASKED)
+
+
+FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
+#: Rows of slices (slice, part, totals: the counts of the pairs that were asked for) and of contexts (the other columns).
+COUNTED = ", ".join(["slice long, part int, totals binary, context long, tokens long", *(f"{c} long" for c in FEW), "mass double"])
+
+
+def counted(asked: DataFrame, model: Model) -> DataFrame:
+    """COUNTED: the counts of pairs over all slices, and of each context its tokens, its words by count, and the unigram mass of the words seen with it; a context that is split has a row for each of its groups."""
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * (len(names) - 4), pa.float64()]
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, contexts, runs, n, of_word = (
+            [np.frombuffer(x.as_buffer(), t) for x in rows[c]] for c, t in (("keys", "<i8"), ("contexts", "<u8"), ("runs", "<u4"), ("n", "<u4"), ("of_word", "<i8")))
+        sizes = [len(x) for x in keys]
+        context = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
+        keys, n, of_word = np.concatenate(keys), np.concatenate(n).astype(np.int64), np.concatenate(of_word)
+        order = np.argsort(keys)
+        keys = keys[order]
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(n[order], begins)
+        totals = np.empty(len(keys), "<i8")
+        totals[order] = np.repeat(total, np.diff(begins, append=len(keys)))
+        one = order[begins][total > 0]
+        total = total[total > 0]
+        own, place = np.unique(context[one], return_inverse=True)
+        size = len(own)
+        sums = [np.bincount(place, total, size).astype(np.int64), *(np.bincount(place[total == r], minlength=size).astype(np.int64) for r in range(1, DISCOUNTED + 2))]
+        sums.append(np.bincount(place, model.unigram(context[one], of_word[one]), size))
+        at = np.cumsum(sizes) - sizes
+        packed = [totals[a : a + k].astype("<u4" if not k or totals[a : a + k].max() < 1 << 32 else "<i8") for a, k in zip(at.tolist(), sizes)]
+        packed = [x.dtype.str[-1].encode() + x.tobytes() for x in packed]
+        slots = len(sizes)
+        columns = [pa.concat_arrays([rows["slice"].combine_chunks(), pa.nulls(size, pa.int64())]), pa.concat_arrays([rows["part"].combine_chunks(), pa.nulls(size, pa.int32())]), pa.array(packed + [None] * size, pa.binary())]
+        columns += [pa.concat_arrays([pa.nulls(slots, t), pa.array(x, t)]) for t, x in zip(types[3:], [own.view(np.int64), *sums])]
+        _release()
+        return pa.Table.from_arrays(columns, schema=pa.schema(list(zip(names, types))))
 
-    return parts.mapInArrow(run, "slice long, pair long, context long, n long, of_word long")
+    return asked.groupBy("part").applyInArrow(run, COUNTED)
 
 
 def totals(rows: DataFrame, key: str) -> DataFrame:
@@ -178,11 +243,11 @@ def totals(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("total", F.sum("n").over(of_key)).withColumn("first", F.col("slice") == F.min("slice").over(of_key))
 
 
-def told(rows: DataFrame, kind: int, key: str, a: str, b: str | None = None) -> DataFrame:
-    """(slice, kind, keys, a, b): keys and values for each slice, packed."""
-    values = F.struct(F.col(key).alias("key"), F.col(a).cast("double").alias("a"), F.col(b or a).cast("double").alias("b"))
-    packs = rows.groupBy("slice", F.pmod(F.col(key), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
-    return packs.select("slice", F.lit(kind).alias("kind"), F.col("v.key").alias("keys"), F.col("v.a").alias("a"), (F.col("v.b") if b else F.array().cast("array<double>")).alias("b"))
+def told(rows: DataFrame) -> DataFrame:
+    """Contexts for each slice, packed; rows: (slice, context, norm, backoff)."""
+    values = F.struct(F.col("context").alias("key"), "norm", "backoff")
+    packs = rows.groupBy("slice", F.pmod(F.col("context"), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
+    return packs.select("slice", F.lit(CONTEXTS).alias("kind"), F.col("v.key").alias("keys"), F.col("v.norm").alias("a"), F.col("v.backoff").alias("b"))
 
 
 def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
@@ -214,24 +279,10 @@ class Model:
         # an end that was never learned is no unknown word: it has no mass
         return np.where((counts > 0) | (words == END_HASH), own, self.unknown)
 
-    def unigram_column(self, n: Column) -> Column:
-        return _discounted(n, self.discount) / float(self.total)
-
-
-def _discounted(n: Column, factors: np.ndarray) -> Column:
-    out = n.cast("double")
-    for r in range(1, DISCOUNTED + 1):
-        out = F.when(n == r, F.lit(float(r * factors[r]))).otherwise(out)
-    return out
-
-
-FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-
 
-def context_sums(pairs: DataFrame, model: Model) -> DataFrame:
-    """Of each seen context its tokens, its words by count, and the unigram mass of the words seen with it; pairs: (context, total, of_word)."""
-    small = [F.sum((F.col("total") == r).cast("long")).alias(c) for r, c in enumerate(FEW, 1)]
-    return pairs.groupBy("context").agg(F.sum("total").alias("tokens"), *small, F.sum(model.unigram_column(F.col("of_word"))).alias("mass"))
+def context_sums(rows: DataFrame) -> DataFrame:
+    """Each seen context once; rows: COUNTED."""
+    return rows.filter("context IS NOT NULL").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("tokens", *FEW, "mass")])
 
 
 def weighed(contexts: DataFrame, model: Model) -> DataFrame:
@@ -279,7 +330,7 @@ def recounted(parts: DataFrame, words: DataFrame) -> DataFrame:
 SUMS = "slice long, place int, doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rounds: int) -> DataFrame:
+def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rounds: int, groups: int, most: int) -> DataFrame:
     """SUMS: of each document the sum of Katz's log10 probabilities over the tokens whose context belongs to a round, and in round 0 its numbers of tokens and the sum of log10(count + 1/2)."""
     schema = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
@@ -289,10 +340,11 @@ def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rou
         doc = np.repeat(np.arange(size), part.sizes)
         at, tokens = part.pairs(turn, rounds)
         pairs, place = np.unique(tokens, return_inverse=True)
-        learned = np.bincount(place[part.learned()[at]], minlength=len(pairs)).astype(np.float64)
-        keys, n = _keyed(rows, PAIRS, "keys", "a")
-        other = _looked_up(part.keys(pairs), keys, -1.0, n)
-        times = np.where(other >= 0, other, learned).astype(np.int64)
+        times = np.zeros(len(pairs), np.int64)
+        told = rows.filter(pa.array(rows["kind"].to_numpy() == PAIRS)).sort_by("part")
+        if told.num_rows:
+            packed = [x.as_py() for x in told["totals"]]
+            times[part.asked(pairs, groups, most)[0]] = np.concatenate([np.frombuffer(x, "<u4" if x[:1] == b"4" else "<i8", offset=1) for x in packed])
         keys, norm, backoff = _keyed(rows, CONTEXTS, "keys", "a", "b")
         context = part.hashes[pairs >> 32].view(np.int64)
         norms, backoffs = (_looked_up(context, keys, 1.0, v) for v in (norm, backoff))
@@ -311,13 +363,13 @@ def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rou
     return parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, SUMS)
 
 
-def score(docs: DataFrame, learn, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, learn, rounds: int = ROUNDS, group: int = GROUP, split: int = SPLIT) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), the model being learned from the rows where the Column ``learn`` is true.
 
     doc_id, learn, n_tokens (words and one end), n_known (of words that were learned), train_tokens, base_score (add-half unigrams) and
     score (Katz), both sums of log10 probabilities over all tokens. Words are the runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case.
     Null texts are empty and have an end; a null ``learn`` is false; repeated rows and null ids are kept; other columns are ignored. With nothing
-    learned, every word is unknown. An empty table gives no rows."""
+    learned, every word is unknown. An empty table gives no rows. ``group`` and ``split`` bound the groups of pairs, whatever they are the scores are the same."""
     bounded_batches(docs.sparkSession)
     made = Tables(docs.sparkSession)
     first = made.write(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
@@ -329,22 +381,23 @@ def score(docs: DataFrame, learn, rounds: int = ROUNDS) -> DataFrame:
     parts = made.write(recounted(first, totals(words, "word").filter("total <> n").select("slice", "word", "total")), "recounted")
     made.drop("slices")
 
+    # at most as many pairs as tokens
+    size = parts.agg(F.sum(F.octet_length("low")).alias("bytes")).first()["bytes"] or 0
+    groups = int(size // 2 // rounds // group) + 1
     for turn in range(rounds):
-        seen = totals(pair_rows(parts, turn, rounds), "pair").filter("total > 0 AND (first OR total <> n)")
-        seen = made.write(seen.select("slice", "pair", F.when(F.col("first"), F.col("context")).alias("context"), "total", "of_word", (F.col("total") != F.col("n")).alias("tell")), "seen")
-        made.write(context_sums(seen.filter("context IS NOT NULL"), model), f"contexts-{turn}")
-        made.write(told(seen.filter("tell"), PAIRS, "pair", "total"), f"told-{turn}")
-        made.drop("seen")
-    few = made.read(*[f"contexts-{turn}" for turn in range(rounds)]).agg(*[F.sum(c).alias(c) for c in FEW]).first()
+        made.write(counted(asked_pairs(parts, turn, rounds, groups, split), model), f"counted-{turn}")
+    few = made.read(*[f"counted-{turn}" for turn in range(rounds)]).agg(*[F.sum(c).alias(c) for c in FEW]).first()
     model.pair_discount = discounts({r: int(few[c] or 0) for r, c in enumerate(FEW, 1)})
 
     results = Tables(docs.sparkSession)
     for turn in range(rounds):
-        weights = weighed(made.read(f"contexts-{turn}"), model)
-        asked = context_rows(parts, turn, rounds).join(weights, "context")
-        facts = made.read(f"told-{turn}").unionByName(told(asked, CONTEXTS, "context", "norm", "backoff"))
-        results.write(by_document(parts, facts, model, turn, rounds), f"scores-{turn}")
-        made.drop(f"contexts-{turn}", f"told-{turn}")
+        rows = made.read(f"counted-{turn}")
+        weights = weighed(context_sums(rows), model)
+        facts = told(context_rows(parts, turn, rounds).join(weights, "context"))
+        replies = rows.filter("slice IS NOT NULL").select("slice", F.lit(PAIRS).alias("kind"), "part", "totals")
+        facts = facts.unionByName(replies, allowMissingColumns=True)
+        results.write(by_document(parts, facts, model, turn, rounds, groups, split), f"scores-{turn}")
+        made.drop(f"counted-{turn}")
     made.drop()
     numbers = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")]
     sums = results.read(*[f"scores-{turn}" for turn in range(rounds)]).groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("learn").alias("learn"), *numbers)

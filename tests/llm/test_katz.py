@@ -62,3 +62,15 @@ def test_every_learned_word_keeps_its_symbol(spark):
     want = {i: model.row(i, t)[5] for i, t in rows[:2] + rows[700:]}
     assert all(abs(got[i] - want[i]) < 1e-9 * abs(want[i]) for i in want)
     assert got[2000] > got[2001]
+
+
+def test_many_groups_and_split_contexts(spark):
+    """Pairs are counted in groups that stay small; a frequent context lies in several, and its sums are added up."""
+    rows = corpus()
+    frame = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(7)
+    model = brute.Katz([t for i, t in rows if i is not None and brute.fold(i, 5) != 1], 10**9)
+    want = sorted((model.row(i, t) for i, t in rows), key=str)
+    out = katz.score(frame, fold("doc_id", 5) != 1, rounds=2, group=300, split=20)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.collect()), key=str)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-9, atol=1e-9)
