@@ -4,21 +4,23 @@ Words and pairs are counted over all learning texts; every learned word has a sy
 context saves goes to the words that it was not seen with, in proportion to their unigram probability, and the backoff weight makes each context
 sum to one exactly. The unigrams back off once more, to the unknown symbol of the words that were not learned.
 
-Documents are put into slices once: a table of distinct words and word numbers. A slice gives one row for each distinct word with its own count; a window over the
-word adds these up, and the slice is told where the total differs from its own count. Of its distinct pairs a slice gives a packed row to each group of pairs, of which there are as many as the
-tokens need; a group adds up the counts of all slices, gives each slice its totals in the order in which it asked, and sums of its contexts (a frequent context is split over
-groups by its pairs, and its sums are added up). A pair has at most one entry a slice, however often it occurs. Pairs are worked on in ROUNDS parts by their context, always as many, so that only one part of them is under way at once;
-every document's score is the sum of its parts. Nothing on the driver or in a broadcast grows with the vocabulary.
+Documents are put into slices once: a table of distinct words and word numbers, which moves only twice, a share of the slices at a time: when the slices
+are told the counts of their words over all slices, and when they are scored. Of its distinct words, and later of its distinct pairs, a slice gives a packed row to each
+group, of which there are as many as the tokens need; a group adds up the counts of all slices and gives each slice its totals in the order in which it asked, and for pairs
+also the sums of the contexts. A context that is very frequent is split over groups by its pairs; its sums are added up over the groups, and there are at most
+MOST_SPLIT of them. A word or pair has at most one entry a slice, however often it occurs. Pairs are worked on in ROUNDS parts by their context, so that only one part of
+them is under way at once. Nothing on the driver or in a broadcast grows with the vocabulary.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Tables, bounded_batches, fold, mix, query, raw, slices, table, text_column, word_hashes
 
@@ -28,12 +30,12 @@ DISCOUNTED = 5
 END_HASH, BEGIN_HASH = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x1BE91BE91BE91BE9)
 #: Text of a slice, in bytes, and its most documents.
 SLICE, SLICE_DOCS = 8 << 20, 1 << 15
-#: Rows of numbers that a task gives at once, parts that the rows of a slice are packed in, and parts of the contexts.
-NUMBER_ROWS, PACKS, ROUNDS = 1 << 16, 16, 8
+#: Parts of the contexts, and of the slices.
+ROUNDS, SHARES = 4, 4
 #: Bits by which a pair's key turns its context.
 TURN = 21
-#: Tokens whose pairs make one group, and occurrences of a context that are not split over groups.
-GROUP, SPLIT = 1 << 20, 1 << 18
+#: Tokens whose pairs make one group, occurrences of a context that are not split over groups, and most contexts that are.
+GROUP, SPLIT, MOST_SPLIT = 1 << 20, 1 << 18, 1 << 13
 
 
 class Slice:
@@ -80,16 +82,29 @@ def slices_of(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[
 
 
 def _release() -> None:
-    """Gives back what Arrow keeps for later: an executor's memory is shared by all of its workers."""
+    """Gives back what Arrow and the allocator keep for later: an executor's memory is shared by all of its workers."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-#: A slice: its distinct words, frequent ones first, the numbers of its tokens among them (lower and upper halves, so that most bytes are alike), of each document the tokens,
-#: id, whether it has one and is learned from, and the learned counts of its words.
-PACKED = "slice long, words binary, low binary, high binary, sizes binary, ids binary, known binary, learn binary, counts binary"
-_PACKED = pa.schema([("slice", pa.int64())] + [(c.split()[0], pa.binary()) for c in PACKED.split(", ")[1:]])
-#: What a slice is told: the counts of the pairs that it asked a group for; keys of contexts with norm and backoff weight.
-PAIRS, CONTEXTS = 0, 1
+#: A slice: its share and numbers of tokens and distinct words; its distinct words, frequent ones first, the numbers of its tokens among them (lower and upper halves, so that
+#: most bytes are alike), of each document the tokens, id, whether it has one and is learned from, and the learned counts of its words.
+PACKED = "slice long, share int, n_tokens long, n_words long, words binary, low binary, high binary, sizes binary, ids binary, known binary, learn binary, counts binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in map(str.split, columns.split(", "))])
+
+
+def share_of(number: int) -> int:
+    return (number >> 32) % SHARES
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
 
 
 def sliced(docs: DataFrame) -> DataFrame:
@@ -107,9 +122,10 @@ def sliced(docs: DataFrame) -> DataFrame:
             learn = np.array(part.learn, bool)
             counts = np.bincount(numbers[np.repeat(learn, sizes)], minlength=len(words))
             fields = (words.astype("<u8"), (numbers & 0xFFFF).astype("<u2"), (numbers >> 16).astype("<u2"), sizes.astype("<i8"), ids, np.array([i is not None for i in part.ids], np.uint8), learn.astype(np.uint8), counts.astype("<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([part.number]), *(pa.array([x.tobytes()], pa.binary()) for x in fields)], schema=_PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array([part.number]), pa.array([share_of(part.number)], pa.int32()), pa.array([len(tokens)]), pa.array([len(words)]), *map(_binary, fields)], schema=schema)
             _release()
 
+    schema = _schema(PACKED)
     return docs.mapInArrow(run, PACKED)
 
 
@@ -124,6 +140,10 @@ class Open:
         self.counts = np.frombuffer(row["counts"], "<i8")
         self.hashes = np.append(self.words, BEGIN_HASH).astype(np.uint64)
 
+    def uses(self) -> np.ndarray:
+        """How often each symbol was learned as a context: as often as itself, as every text has an end; and as many texts begin as end."""
+        return np.append(self.counts, self.counts[self.words == END_HASH])
+
     def learned(self) -> np.ndarray:
         return np.repeat(self.learn, self.sizes)
 
@@ -134,16 +154,23 @@ class Open:
         at = np.flatnonzero((self.hashes % np.uint64(rounds) == turn)[context])
         return at, context[at] << 32 | self.numbers[at]
 
-    def asked(self, pairs: np.ndarray, groups: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs that may have been learned, as both of their words were, in the order of their groups; and the groups. Contexts with more uses than ``most`` are split."""
-        # as many texts begin as end
-        uses = np.append(self.counts, self.counts[self.words == END_HASH])
-        own = np.flatnonzero((uses[pairs >> 32] > 0) & (self.counts[pairs & 0xFFFFFFFF] > 0))
+    def asked_words(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words in the order of their groups; and the groups."""
+        group = (mix(self.words) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        return order, group[order]
+
+    def asked(self, pairs: np.ndarray, groups: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs whose context was learned, in the order of their groups; the groups; and where the runs of pairs of one context and group begin. Contexts with more uses than ``most`` are split."""
+        uses = self.uses()
+        own = np.flatnonzero(uses[pairs >> 32] > 0)
         context = pairs[own] >> 32
         split = mix(self.keys(pairs[own]).view(np.uint64)) % (uses[context] // most + 1).astype(np.uint64)
         group = (mix(mix(self.hashes[context]) + split) % np.uint64(groups)).astype(np.int32)
         order = np.argsort(group, kind="stable")
-        return own[order], group[order]
+        context, group = context[order], group[order]
+        begins = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (group[1:] != group[:-1]))[: len(group)])
+        return own[order], group, begins
 
     def keys(self, pairs: np.ndarray) -> np.ndarray:
         context = self.hashes[pairs >> 32]
@@ -156,98 +183,133 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Open]:
             yield Open(batch.slice(k, 1).to_pylist()[0])
 
 
-def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(columns[0]), NUMBER_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + NUMBER_ROWS]) for c in columns], names)
-    _release()
+ASKED_WORDS = "slice long, part int, keys binary, n binary"
+ASKED = "slice long, part int, keys binary, contexts binary, split binary, runs binary, n binary, of_word binary"
 
 
-def word_rows(parts: DataFrame) -> DataFrame:
-    """(slice, word, n): the distinct words of each slice with their learned counts there."""
+def _bounds(group: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal groups."""
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist() if len(group) else []
+    return list(zip(edges[:-1], edges[1:]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _opened(batches):
-            yield from _rows(["slice", "word", "n"], np.full(len(part.words), part.number), part.words.view(np.int64), part.counts)
 
-    return parts.mapInArrow(run, "slice long, word long, n long")
+def asked_words(parts: DataFrame, groups: int) -> DataFrame:
+    """ASKED_WORDS: for each slice and group the words with their learned counts in the slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _opened(batches):
+            order, group = part.asked_words(groups)
+            words, n = part.words[order], part.counts[order].astype("<u4")
+            for a, b in _bounds(group):
+                yield pa.RecordBatch.from_arrays([pa.array([part.number]), pa.array([group[a]], pa.int32()), _binary(words[a:b]), _binary(n[a:b])], schema=schema)
+            _release()
 
-ASKED = "slice long, part int, keys binary, contexts binary, runs binary, n binary, of_word binary"
+    schema = _schema(ASKED_WORDS)
+    return parts.mapInArrow(run, ASKED_WORDS)
 
 
 def asked_pairs(parts: DataFrame, turn: int, rounds: int, groups: int, most: int) -> DataFrame:
-    """ASKED: for each slice and group the keys of the pairs, their contexts (each once, with the pairs that it has), learned counts in the slice and the counts of the second words."""
-    schema = pa.schema([("slice", pa.int64()), ("part", pa.int32())] + [(c.split()[0], pa.binary()) for c in ASKED.split(", ")[2:]])
+    """ASKED: for each slice and group the keys of the pairs, their contexts (each once, whether it is split, and the pairs that it has), learned counts in the slice and the counts of the second words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _opened(batches):
             at, own = part.pairs(turn, rounds)
             pairs, place = np.unique(own, return_inverse=True)
             n = np.bincount(place[part.learned()[at]], minlength=len(pairs))
-            places, group = part.asked(pairs, groups, most)
-            keys, context = part.keys(pairs[places]), part.hashes[pairs[places] >> 32]
-            n, of_word = n[places], part.counts[pairs[places] & 0xFFFFFFFF]
-            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else np.zeros(0, np.int64)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                begins = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1]))
-                fields = (keys[a:b].astype("<i8"), context[a:b][begins].astype("<u8"), np.diff(begins, append=b - a).astype("<u4"), n[a:b].astype("<u4"), of_word[a:b].astype("<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array([part.number]), pa.array([group[a]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in fields)], schema=schema)
+            places, group, begins = part.asked(pairs, groups, most)
+            pairs, n = pairs[places], n[places].astype("<u4")
+            keys, of_word = part.keys(pairs), part.counts[pairs & 0xFFFFFFFF]
+            context, split = part.hashes[pairs[begins] >> 32], (part.uses()[pairs[begins] >> 32] > most).astype(np.uint8)
+            runs = np.diff(begins, append=len(pairs)).astype("<u4")
+            for a, b in _bounds(group):
+                c, d = np.searchsorted(begins, [a, b])
+                fields = (keys[a:b], context[c:d], split[c:d], runs[c:d], n[a:b], of_word[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([part.number]), pa.array([turn * groups + group[a]], pa.int32()), *map(_binary, fields)], schema=schema)
             _release()
 
+    schema = _schema(ASKED)
     return parts.mapInArrow(run, ASKED)
 
 
 FEW = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-#: Rows of slices (slice, part, totals: the counts of the pairs that were asked for) and of contexts (the other columns).
-COUNTED = ", ".join(["slice long, part int, totals binary, context long, tokens long", *(f"{c} long" for c in FEW), "mass double"])
+#: Rows of slices (slice, part, totals: the counts of the keys that were asked for; sums: of the contexts, the pairs by small count and the unigram mass of the words seen
+#: with them), of split contexts (context, its pairs by small count and its mass in the group) and of groups (keys by small count, all learned keys and their tokens).
+COUNTED = ", ".join(["slice long, part int, totals binary, sums binary, context long", *(f"{c} long" for c in FEW), "mass double, keys long, tokens long"])
 
 
-def counted(asked: DataFrame, model: Model) -> DataFrame:
-    """COUNTED: the counts of pairs over all slices, and of each context its tokens, its words by count, and the unigram mass of the words seen with it; a context that is split has a row for each of its groups."""
-    names = [c.split()[0] for c in COUNTED.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * (len(names) - 4), pa.float64()]
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The total of each key; a place of each learned key, and its total."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    total = np.add.reduceat(n[order], begins)
+    totals = np.empty(len(keys), np.int64)
+    totals[order] = np.repeat(total, np.diff(begins, append=len(keys)))
+    return totals, order[begins][total > 0], total[total > 0]
+
+
+def _arrays(rows: pa.Table, column: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in rows[column]]
+
+
+def _counted(asked: pa.Table, totals: np.ndarray, learned: np.ndarray, sizes: list[int], sums: list[bytes] | None, of_split: dict) -> pa.Table:
+    """COUNTED: rows of a group."""
+    packed = []
+    for k, size in zip(np.cumsum(sizes).tolist(), sizes):
+        own = totals[k - size : k]
+        packed.append((b"4" + own.astype("<u4").tobytes()) if own.max(initial=0) < 1 << 32 else (b"8" + own.astype("<i8").tobytes()))
+    schema, slots, split = _schema(COUNTED), len(sizes), len(of_split.get("context", []))
+    few = {c: int((learned == r).sum()) for r, c in enumerate(FEW, 1)} | {"keys": len(learned), "tokens": int(learned.sum())}
+    own = {"slice": asked["slice"].combine_chunks(), "part": asked["part"].combine_chunks(), "totals": pa.array(packed, pa.binary()), "sums": pa.array(sums or [None] * slots, pa.binary())}
+    columns = []
+    for name, kind in zip(schema.names, schema.types):
+        of_contexts = pa.array(of_split[name], kind) if name in of_split else pa.nulls(split, kind)
+        columns.append(pa.concat_arrays([own.get(name, pa.nulls(slots, kind)), of_contexts, pa.array([few.get(name)], kind)]))
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+def counted_words(asked: DataFrame) -> DataFrame:
+    """COUNTED: the counts of words over all slices."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, contexts, runs, n, of_word = (
-            [np.frombuffer(x.as_buffer(), t) for x in rows[c]] for c, t in (("keys", "<i8"), ("contexts", "<u8"), ("runs", "<u4"), ("n", "<u4"), ("of_word", "<i8")))
-        sizes = [len(x) for x in keys]
-        context = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
-        keys, n, of_word = np.concatenate(keys), np.concatenate(n).astype(np.int64), np.concatenate(of_word)
-        order = np.argsort(keys)
-        keys = keys[order]
-        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        total = np.add.reduceat(n[order], begins)
-        totals = np.empty(len(keys), "<i8")
-        totals[order] = np.repeat(total, np.diff(begins, append=len(keys)))
-        one = order[begins][total > 0]
-        total = total[total > 0]
-        own, place = np.unique(context[one], return_inverse=True)
-        size = len(own)
-        sums = [np.bincount(place, total, size).astype(np.int64), *(np.bincount(place[total == r], minlength=size).astype(np.int64) for r in range(1, DISCOUNTED + 2))]
-        sums.append(np.bincount(place, model.unigram(context[one], of_word[one]), size))
-        at = np.cumsum(sizes) - sizes
-        packed = [totals[a : a + k].astype("<u4" if not k or totals[a : a + k].max() < 1 << 32 else "<i8") for a, k in zip(at.tolist(), sizes)]
-        packed = [x.dtype.str[-1].encode() + x.tobytes() for x in packed]
-        slots = len(sizes)
-        columns = [pa.concat_arrays([rows["slice"].combine_chunks(), pa.nulls(size, pa.int64())]), pa.concat_arrays([rows["part"].combine_chunks(), pa.nulls(size, pa.int32())]), pa.array(packed + [None] * size, pa.binary())]
-        columns += [pa.concat_arrays([pa.nulls(slots, t), pa.array(x, t)]) for t, x in zip(types[3:], [own.view(np.int64), *sums])]
+        keys = _arrays(rows, "keys", "<u8")
+        totals, _, learned = _added(np.concatenate(keys), np.concatenate(_arrays(rows, "n", "<u4")).astype(np.int64))
+        out = _counted(rows, totals, learned, [len(x) for x in keys], None, {})
         _release()
-        return pa.Table.from_arrays(columns, schema=pa.schema(list(zip(names, types))))
+        return out
 
     return asked.groupBy("part").applyInArrow(run, COUNTED)
 
 
-def totals(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of slices (slice, key, n) with the key's ``total`` and whether the slice is the ``first`` that has it."""
-    of_key = Window.partitionBy(key)
-    return rows.withColumn("total", F.sum("n").over(of_key)).withColumn("first", F.col("slice") == F.min("slice").over(of_key))
+def counted(asked: DataFrame, model: Model) -> DataFrame:
+    """COUNTED: the counts of pairs over all slices, and of each context its pairs by count and the unigram mass of the words seen with it; a context that is split has a row for each of its groups."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, contexts, runs = _arrays(rows, "keys", "<i8"), _arrays(rows, "contexts", "<u8"), np.concatenate(_arrays(rows, "runs", "<u4"))
+        totals, one, learned = _added(np.concatenate(keys), np.concatenate(_arrays(rows, "n", "<u4")).astype(np.int64))
+        context, place = np.unique(np.concatenate(contexts), return_inverse=True)
+        of_pair, size = np.repeat(place.astype(np.int32), runs)[one], len(context)
+        of_word = np.concatenate(_arrays(rows, "of_word", "<i8"))[one]
+        few = [np.bincount(of_pair[learned == r], minlength=size) for r in range(1, DISCOUNTED + 2)]
+        mass = np.bincount(of_pair, model.unigram(context[of_pair], of_word), size)
+        split = np.zeros(size, bool)
+        split[place] = np.concatenate(_arrays(rows, "split", "u1")) > 0
+        sums = []
+        for k, x in zip(np.cumsum([len(x) for x in contexts]).tolist(), contexts):
+            own = place[k - len(x) : k]
+            sums.append(b"".join(f[own].astype("<u4").tobytes() for f in few[:DISCOUNTED]) + mass[own].astype("<f8").tobytes())
+        of_split = {"context": context[split].view(np.int64), "mass": mass[split], **{c: f[split] for c, f in zip(FEW, few)}}
+        out = _counted(rows, totals, learned, [len(x) for x in keys], sums, of_split)
+        _release()
+        return out
+
+    return asked.groupBy("part").applyInArrow(run, COUNTED)
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """Contexts for each slice, packed; rows: (slice, context, norm, backoff)."""
-    values = F.struct(F.col("context").alias("key"), "norm", "backoff")
-    packs = rows.groupBy("slice", F.pmod(F.col("context"), F.lit(PACKS)).alias("pack")).agg(F.collect_list(values).alias("v"))
-    return packs.select("slice", F.lit(CONTEXTS).alias("kind"), F.col("v.key").alias("keys"), F.col("v.norm").alias("a"), F.col("v.backoff").alias("b"))
+def _totals(rows: pa.Table) -> np.ndarray:
+    """The counts that a slice asked for; rows: COUNTED, in the order of their groups."""
+    packed = [x.as_buffer() for x in rows["totals"]]
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u4" if bytes(x[:1]) == b"4" else "<i8", offset=1) for x in packed)])
 
 
 def discounts(of_counts: dict[int, int], upto: int = DISCOUNTED) -> np.ndarray:
@@ -280,87 +342,85 @@ class Model:
         return np.where((counts > 0) | (words == END_HASH), own, self.unknown)
 
 
-def context_sums(rows: DataFrame) -> DataFrame:
-    """Each seen context once; rows: COUNTED."""
-    return rows.filter("context IS NOT NULL").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("tokens", *FEW, "mass")])
-
-
-def weighed(contexts: DataFrame, model: Model) -> DataFrame:
-    """(context, norm, backoff) of each seen context."""
-    total = F.col("tokens").cast("double")
-    saved = sum((F.col(c) * float(r * (1 - model.pair_discount[r])) for r, c in enumerate(FEW[:DISCOUNTED], 1)), F.lit(0.0))
-    unseen = 1 - F.col("mass")
+def weighed(tokens: np.ndarray, few: list[np.ndarray], mass: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Norm and backoff weight of each context that was learned: of its tokens, its pairs by small count and the unigram mass of its words."""
+    total, unseen = tokens.astype(np.float64), 1 - mass
+    saved = sum((n * float(r * (1 - model.pair_discount[r])) for r, n in enumerate(few, 1)), np.zeros(len(total)))
     # a context that has saved nothing leaves the share of one more token
-    norm = F.when((unseen > 1e-12) & (saved <= 1e-12), total + 1).when(unseen > 1e-12, total).otherwise(total - saved)
-    rows = contexts.select("context", (total - saved).alias("kept"), unseen.alias("unseen"), norm.alias("norm"))
-    return rows.select("context", "norm", F.when(F.col("unseen") > 1e-12, (1 - F.col("kept") / F.col("norm")) / F.col("unseen")).otherwise(0.0).alias("backoff"))
-
-
-def _looked_up(keys: np.ndarray, told: np.ndarray, default: float, values: np.ndarray) -> np.ndarray:
-    """The value of each key, or the default; told keys are distinct."""
-    out = np.full(len(keys), default, values.dtype)
-    if len(told):
-        order = np.argsort(told)
-        at = order[np.minimum(np.searchsorted(told, keys, sorter=order), len(told) - 1)]
-        same = told[at] == keys
-        out[same] = values[at[same]]
-    return out
-
-
-def _keyed(rows: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
-    own = rows.filter(pa.array(rows["kind"].to_numpy() == kind))
-    return [np.concatenate([np.zeros(0, np.int64 if n == "keys" else np.float64), *(x.values.to_numpy() for x in own[n])]) for n in names]
+    norm = np.where(unseen > 1e-12, np.where(saved <= 1e-12, total + 1, total), total - saved)
+    return norm, np.where(unseen > 1e-12, (1 - (total - saved) / norm) / np.where(unseen > 1e-12, unseen, 1.0), 0.0)
 
 
-def recounted(parts: DataFrame, words: DataFrame) -> DataFrame:
-    """The slices with the counts of their words over all slices; words: (slice, word, total) where that is not the slice's own."""
+def recounted(parts: DataFrame, replies: DataFrame, groups: int) -> DataFrame:
+    """The slices with the counts of their words over all slices; replies: COUNTED."""
 
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
-        row = own.slice(0, 1).to_pylist()[0]
-        part = Open(row)
-        counts, order = part.counts.copy(), np.argsort(part.words)
-        counts[order[np.searchsorted(part.words, rows["word"].to_numpy().view(np.uint64), sorter=order)]] = rows["total"].to_numpy()
-        row["counts"] = counts.astype("<i8").tobytes()
+        part = Open(own.to_pylist()[0])
+        counts = np.empty(len(part.words), "<i8")
+        counts[part.asked_words(groups)[0]] = _totals(rows.sort_by("part"))
+        out = own.set_column(own.column_names.index("counts"), "counts", _binary(counts)).cast(_schema(PACKED))
         _release()
-        return pa.Table.from_pylist([row], _PACKED)
+        return out
 
-    return parts.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, PACKED)
+    return parts.groupBy("slice").cogroup(replies.select("slice", "part", "totals").groupBy("slice")).applyInArrow(run, PACKED)
 
 
-SUMS = "slice long, place int, doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
+class Frequent:
+    """Pairs by small count and mass of the contexts that are split, at most MOST_SPLIT."""
 
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["context"])
+        self.contexts = np.array([r["context"] for r in rows], np.int64)
+        self.few = np.array([[r[c] for c in FEW[:DISCOUNTED]] for r in rows], np.float64).reshape(len(rows), DISCOUNTED).T
+        self.mass = np.array([r["mass"] for r in rows], np.float64)
 
-def by_document(parts: DataFrame, facts: DataFrame, model: Model, turn: int, rounds: int, groups: int, most: int) -> DataFrame:
-    """SUMS: of each document the sum of Katz's log10 probabilities over the tokens whose context belongs to a round, and in round 0 its numbers of tokens and the sum of log10(count + 1/2)."""
-    schema = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
+SCORES = "doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
+
+
+def by_document(parts: DataFrame, replies: DataFrame, model: Model, frequent: Frequent, rounds: int, groups: int, most: int) -> DataFrame:
+    """SCORES: of each document its numbers of tokens, the sum of log10(count + 1/2) and that of Katz's log10 probabilities; replies: COUNTED of all rounds."""
 
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
-        part = Open(own.slice(0, 1).to_pylist()[0])
-        size = len(part.sizes)
-        doc = np.repeat(np.arange(size), part.sizes)
-        at, tokens = part.pairs(turn, rounds)
-        pairs, place = np.unique(tokens, return_inverse=True)
-        times = np.zeros(len(pairs), np.int64)
-        told = rows.filter(pa.array(rows["kind"].to_numpy() == PAIRS)).sort_by("part")
-        if told.num_rows:
-            packed = [x.as_py() for x in told["totals"]]
-            times[part.asked(pairs, groups, most)[0]] = np.concatenate([np.frombuffer(x, "<u4" if x[:1] == b"4" else "<i8", offset=1) for x in packed])
-        keys, norm, backoff = _keyed(rows, CONTEXTS, "keys", "a", "b")
-        context = part.hashes[pairs >> 32].view(np.int64)
-        norms, backoffs = (_looked_up(context, keys, 1.0, v) for v in (norm, backoff))
-        word = pairs & 0xFFFFFFFF
-        unigrams = model.unigram(part.words[word], part.counts[word])
-        seen = times * np.where(times <= DISCOUNTED, model.pair_discount[np.minimum(times, DISCOUNTED)], 1.0) / norms
-        logs = np.log10(np.where(times > 0, seen, np.maximum(backoffs * unigrams, 1e-300)))
-        score = np.bincount(doc[at], logs[place], size)
-        half = np.log10(part.counts + 0.5) if turn == 0 else np.zeros(len(part.counts))
+        part = Open(own.to_pylist()[0])
+        size, uses = len(part.sizes), part.uses()
+        doc = np.repeat(np.arange(size, dtype=np.int32), part.sizes)
+        score = np.zeros(size)
+        rows = rows.sort_by("part")
+        round_of = rows["part"].to_numpy() // groups
+        for turn in range(rounds):
+            at, tokens = part.pairs(turn, rounds)
+            pairs, place = np.unique(tokens, return_inverse=True)
+            places, _, begins = part.asked(pairs, groups, most)
+            context = pairs[places[begins]] >> 32
+            first, last = np.searchsorted(round_of, [turn, turn + 1])
+            told = rows.slice(first, last - first)
+            times = np.zeros(len(pairs), np.int64)
+            times[places] = _totals(told)
+            few, mass = [np.zeros((DISCOUNTED, 0))], [np.zeros(0)]
+            for x in told["sums"]:
+                packed = x.as_buffer()
+                n = len(packed) // (4 * DISCOUNTED + 8)
+                few.append(np.frombuffer(packed, "<u4", n * DISCOUNTED).reshape(DISCOUNTED, n))
+                mass.append(np.frombuffer(packed, "<f8", n, 4 * DISCOUNTED * n))
+            few, mass = np.concatenate(few, 1), np.concatenate(mass)
+            split = np.flatnonzero(uses[context] > most)
+            of_split = np.searchsorted(frequent.contexts, part.hashes[context[split]].view(np.int64))
+            few[:, split], mass[split] = frequent.few[:, of_split], frequent.mass[of_split]
+            norms, backoffs = np.ones(len(uses)), np.ones(len(uses))
+            norms[context], backoffs[context] = weighed(uses[context], list(few), mass, model)
+            context, word = pairs >> 32, pairs & 0xFFFFFFFF
+            seen = times * np.where(times <= DISCOUNTED, model.pair_discount[np.minimum(times, DISCOUNTED)], 1.0) / norms[context]
+            logs = np.log10(np.where(times > 0, seen, np.maximum(backoffs[context] * model.unigram(part.words[word], part.counts[word]), 1e-300)))
+            score += np.bincount(doc[at], logs[place], size)
         known = np.bincount(doc, part.counts[part.numbers] > 0, size).astype(np.int64)
-        sums = [part.sizes, known, np.bincount(doc, half[part.numbers], size)] if turn == 0 else [np.zeros(size, np.int64)] * 2 + [np.zeros(size)]
+        logs = np.bincount(doc, np.log10(part.counts + 0.5)[part.numbers], size)
+        out = pa.Table.from_arrays([pa.array(part.ids, mask=~part.known), pa.array(part.learn), pa.array(part.sizes), pa.array(known), pa.array(logs), pa.array(score)], schema=schema)
         _release()
-        return pa.Table.from_arrays([
-            pa.array(np.full(size, part.number)), pa.array(np.arange(size, dtype=np.int32)), pa.array(part.ids, mask=~part.known), pa.array(part.learn), *map(pa.array, sums), pa.array(score)], schema=schema)
+        return out
 
-    return parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, SUMS)
+    schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+    return parts.groupBy("slice").cogroup(replies.select("slice", "part", "totals", "sums").groupBy("slice")).applyInArrow(run, SCORES)
 
 
 def score(docs: DataFrame, learn, rounds: int = ROUNDS, group: int = GROUP, split: int = SPLIT) -> DataFrame:
@@ -372,52 +432,40 @@ def score(docs: DataFrame, learn, rounds: int = ROUNDS, group: int = GROUP, spli
     learned, every word is unknown. An empty table gives no rows. ``group`` and ``split`` bound the groups of pairs, whatever they are the scores are the same."""
     bounded_batches(docs.sparkSession)
     made = Tables(docs.sparkSession)
-    first = made.write(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices")
-    words = word_rows(first)
-    counts = words.groupBy("word").agg(F.sum("n").alias("total")).filter("total > 0")
-    whole = counts.groupBy(F.least("total", F.lit(DISCOUNTED + 2)).alias("r")).agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
-    tokens, distinct = sum(int(r["tokens"]) for r in whole), sum(int(r["words"]) for r in whole)
-    model = Model(tokens, {r["r"]: int(r["words"]) for r in whole})
-    parts = made.write(recounted(first, totals(words, "word").filter("total <> n").select("slice", "word", "total")), "recounted")
-    made.drop("slices")
+    first = made.write(sliced(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "slices", compression="zstd")
+    size = first.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
+    groups = (size["words"] or 0) // group + 1
+    words = made.write(counted_words(asked_words(first, groups)), "words", compression="zstd")
+    whole = words.filter("slice IS NULL").agg(*[F.sum(c).alias(c) for c in (*FEW, "keys", "tokens")]).first()
+    tokens, distinct = int(whole["tokens"] or 0), int(whole["keys"] or 0)
+    model = Model(tokens, {r: int(whole[c] or 0) for r, c in enumerate(FEW, 1)})
+    in_share = F.pmod(F.shiftright("slice", 32), F.lit(SHARES))
+    for share in range(SHARES):
+        made.write(recounted(first.filter(F.col("share") == share), words.filter(in_share == share), groups), f"recounted-{share}", compression="zstd")
+    made.drop("slices", "words")
 
     # at most as many pairs as tokens
-    size = parts.agg(F.sum(F.octet_length("low")).alias("bytes")).first()["bytes"] or 0
-    groups = int(size // 2 // rounds // group) + 1
+    groups = (size["tokens"] or 0) // rounds // group + 1
+    most = max(split, tokens // MOST_SPLIT)
+    parts = made.read(*[f"recounted-{share}" for share in range(SHARES)])
     for turn in range(rounds):
-        made.write(counted(asked_pairs(parts, turn, rounds, groups, split), model), f"counted-{turn}")
-    few = made.read(*[f"counted-{turn}" for turn in range(rounds)]).agg(*[F.sum(c).alias(c) for c in FEW]).first()
+        made.write(counted(asked_pairs(parts, turn, rounds, groups, most), model), f"counted-{turn}", compression="zstd")
+    rows = made.read(*[f"counted-{turn}" for turn in range(rounds)])
+    few = rows.filter("slice IS NULL AND context IS NULL").agg(*[F.sum(c).alias(c) for c in FEW]).first()
     model.pair_discount = discounts({r: int(few[c] or 0) for r, c in enumerate(FEW, 1)})
+    frequent = Frequent(rows.filter("context IS NOT NULL").groupBy("context").agg(*[F.sum(c).alias(c) for c in (*FEW[:DISCOUNTED], "mass")]).collect())
 
     results = Tables(docs.sparkSession)
-    for turn in range(rounds):
-        rows = made.read(f"counted-{turn}")
-        weights = weighed(context_sums(rows), model)
-        facts = told(context_rows(parts, turn, rounds).join(weights, "context"))
-        replies = rows.filter("slice IS NOT NULL").select("slice", F.lit(PAIRS).alias("kind"), "part", "totals")
-        facts = facts.unionByName(replies, allowMissingColumns=True)
-        results.write(by_document(parts, facts, model, turn, rounds, groups, split), f"scores-{turn}")
-        made.drop(f"counted-{turn}")
+    for share in range(SHARES):
+        results.write(by_document(made.read(f"recounted-{share}"), rows.filter(in_share == share), model, frequent, rounds, groups, most), f"scores-{share}")
+        made.drop(f"recounted-{share}")
     made.drop()
-    numbers = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")]
-    sums = results.read(*[f"scores-{turn}" for turn in range(rounds)]).groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("learn").alias("learn"), *numbers)
-    return sums.select(
+    return results.read(*[f"scores-{share}" for share in range(SHARES)]).select(
         "doc_id", "learn", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (distinct + 1)))).alias("base_score"), "score",
     )
 
 
-def context_rows(parts: DataFrame, turn: int, rounds: int) -> DataFrame:
-    """(slice, context): the distinct contexts of each slice that belong to a round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _opened(batches):
-            own = part.hashes[part.hashes % np.uint64(rounds) == turn].view(np.int64)
-            yield from _rows(["slice", "context"], np.full(len(own), part.number), own)
-
-    return parts.mapInArrow(run, "slice long, context long")
-
-
 @query("op10_katz")
 def op10(spark, sf_dir):
     """Log probability of every document under pairs learned from the documents whose fold is not 1."""

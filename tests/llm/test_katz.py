@@ -74,3 +74,27 @@ def test_many_groups_and_split_contexts(spark):
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.collect()), key=str)
     assert [x[:4] for x in got] == [x[:4] for x in want]
     assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-9, atol=1e-9)
+
+
+def test_each_slice_moves_once_to_be_scored(spark, monkeypatch):
+    """Every round shuffled all slices again, which took more memory than an executor has; now a share of them goes at a time, and each once."""
+    moved, own = [], katz.by_document
+
+    def recorded(parts, *rest):
+        moved.append([r["slice"] for r in parts.select("slice").collect()])
+        return own(parts, *rest)
+
+    monkeypatch.setattr(katz, "by_document", recorded)
+    rows = corpus()
+    # a frequent word whose only neighbour here was never learned, in a slice of its own
+    rows = [(i, t) for i, t in rows if i != 1001] + [(None, "w1 neverlearned")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    model = brute.Katz([t for i, t in rows if i is not None and brute.fold(i, 5) != 1], 10**9)
+    want = sorted((model.row(i, t)[::5] for i, t in rows), key=str)
+    for split in (20, 10**9):
+        moved.clear()
+        got = sorted(((r["doc_id"], r["score"]) for r in katz.score(frame, fold("doc_id", 5) != 1, split=split).collect()), key=str)
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-9, atol=1e-9)
+        every = [x for part in moved for x in part]
+        assert len(every) == len(set(every)) and max(map(len, moved)) < len(every)
